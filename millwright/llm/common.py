@@ -52,6 +52,12 @@ def clean_scratch(spark: SparkSession) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def without(df: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """The rows of df whose id is not in gone; rows with a null id go only if gone has a null."""
+    gone = gone.select(F.col(id_col).alias("__gone")).distinct()
+    return df.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+
+
 def attach_group(
     rows: DataFrame,
     keys: Sequence[str],
