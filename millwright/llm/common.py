@@ -64,19 +64,21 @@ def attach_group(
     aggs: dict[str, tuple[Column, Callable]],
     spread_by: Sequence[str],
     salts: int = 64,
+    extend: Callable[[DataFrame], DataFrame] = lambda groups: groups,
 ) -> DataFrame:
     """rows with columns that hold aggregates of the row's group, safe for a group of any size.
 
     aggs: name -> (aggregate over rows, function that merges such values). A group is spread over
     salts by spread_by, so that neither the aggregation nor the join back puts it into one task;
-    the list of salts that a group collects has at most `salts` items.
+    the list of salts that a group collects has at most `salts` items. extend may add columns to the
+    table of groups, which has one row for each of them.
     """
     rows = rows.withColumn(SALT, F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     parts = rows.groupBy(*keys, SALT).agg(*[first.alias(n) for n, (first, _) in aggs.items()])
     whole = parts.groupBy(*keys).agg(
         *[merge(F.col(n)).alias(n) for n, (_, merge) in aggs.items()], F.collect_list(SALT).alias(SALT)
     )
-    return rows.join(whole.withColumn(SALT, F.explode(SALT)), [*keys, SALT]).drop(SALT)
+    return rows.join(extend(whole).withColumn(SALT, F.explode(SALT)), [*keys, SALT]).drop(SALT)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -121,6 +123,49 @@ def runs(*columns: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(new), n)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], most: int | None = None) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """From batches sorted by integer keys: (batch of whole groups, False), or (rows of a group of over most rows, True).
+
+    A group of over most rows comes in pieces, as they are read; no more than most rows of it are held.
+    """
+    held: list[pa.RecordBatch] = []
+    n, large, name = 0, False, None
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [longs(batch.column(k)) for k in keys]
+        starts = runs(*columns)
+        end = int(starts[1]) if name == tuple(c[0] for c in columns) else 0
+        if end:
+            held.append(batch.slice(0, end))
+            n += end
+        over = bool(most) and n > most
+        if held and (end < batch.num_rows or over):
+            yield joined(), large or over
+            held, large = [], large or over
+        if end == batch.num_rows:
+            continue
+        batch, starts = batch.slice(end), starts[int(end > 0) :] - end
+        sizes = np.diff(starts)
+        last, wide = int(starts[-2]), sizes[:-1] > most if most else np.zeros(len(sizes) - 1, bool)
+        if wide.any():
+            rows = np.repeat(wide, sizes[:-1])
+            yield batch.slice(0, last).filter(pa.array(rows)), True
+            yield batch.slice(0, last).filter(pa.array(~rows)), False
+        elif last:
+            yield batch.slice(0, last), False
+        held, n, large, name = [batch.slice(last)], int(sizes[-1]), False, tuple(c[-1] for c in columns)
+        if most and n > most:
+            yield joined(), True
+            held, large = [], True
+    if held:
+        yield joined(), large
+
+
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 

@@ -1,8 +1,8 @@
 """The corpus queries, by name, and their DuckDB equivalents where SQL can express them."""
 
-from millwright.llm import exact_dedup
+from millwright.llm import exact_dedup, hilbert, htmltext, langid, simhash, urlfilter
 
-_MODULES = (exact_dedup,)
+_MODULES = (exact_dedup, hilbert, htmltext, langid, simhash, urlfilter)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
