@@ -56,11 +56,11 @@ def psi_numeric(base: DataFrame, prod: DataFrame, columns: Sequence[str], bins:
     grid = edges.select("column", F.size("edges").alias("k"), F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin"))
     full = grid.join(counts, ["column", "bin"], "left").fillna(0, ["b", "p"])
     total = Window.partitionBy("column")
-    full = full.withColumns({"n_bins": F.col("k") + 1, "B": F.sum("b").over(total), "P": F.sum("p").over(total)})
+    full = full.withColumns({"n_bins": F.col("k") + 1, "b_all": F.sum("b").over(total), "p_all": F.sum("p").over(total)})
     share = lambda n, all_: (F.col(n) + epsilon) / (F.col(all_) + epsilon * F.col("n_bins"))
-    term = (share("p", "P") - share("b", "B")) * F.ln(share("p", "P") / share("b", "B"))
-    out = full.groupBy("column", "k", "n_bins", "B", "P").agg(F.sum(term).alias("psi"))
-    return out.select("column", "n_bins", F.when((F.col("k") >= 2) & (F.col("B") > 0) & (F.col("P") > 0), F.col("psi")).alias("psi"))
+    term = (share("p", "p_all") - share("b", "b_all")) * F.ln(share("p", "p_all") / share("b", "b_all"))
+    out = full.groupBy("column", "k", "n_bins", "b_all", "p_all").agg(F.sum(term).alias("psi"))
+    return out.select("column", "n_bins", F.when((F.col("k") >= 2) & (F.col("b_all") > 0) & (F.col("p_all") > 0), F.col("psi")).alias("psi"))
 
 
 def ks_two_sample(base: DataFrame, prod: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -68,8 +68,8 @@ def ks_two_sample(base: DataFrame, prod: DataFrame, columns: Sequence[str]) -> D
     counts = _present(base, prod, columns).groupBy("column", "value").agg(F.count_if(F.col("side") == 0).alias("b"), F.count_if(F.col("side") == 1).alias("p"))
     total, running = Window.partitionBy("column"), Window.partitionBy("column").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     d = F.abs(F.try_divide(F.sum("b").over(running), F.sum("b").over(total)) - F.try_divide(F.sum("p").over(running), F.sum("p").over(total)))
-    out = counts.select("column", d.alias("d"), F.sum("b").over(total).alias("B"), F.sum("p").over(total).alias("P")).groupBy("column", "B", "P").agg(F.max("d").alias("ks"))
-    n = F.col("B") * F.col("P") / (F.col("B") + F.col("P"))
+    out = counts.select("column", d.alias("d"), F.sum("b").over(total).alias("b_all"), F.sum("p").over(total).alias("p_all")).groupBy("column", "b_all", "p_all").agg(F.max("d").alias("ks"))
+    n = F.col("b_all") * F.col("p_all") / (F.col("b_all") + F.col("p_all"))
     x = F.col("ks") * F.sqrt(n)
     series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2 * k * k * x * x))
     return out.select("column", "ks", F.when(x < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series))).alias("p_value"))
@@ -86,14 +86,14 @@ def psi_categorical(base: DataFrame, prod: DataFrame, columns: Sequence[str], ep
     """column, psi over the categories of both sides, total_variation, new_categories (of production only, sorted)."""
     cells = _cells(base, prod, columns, "string").filter("value is not null")
     counts = cells.groupBy("column", "value").agg(F.count_if(F.col("side") == 0).alias("b"), F.count_if(F.col("side") == 1).alias("p"))
-    totals = counts.groupBy("column").agg(F.sum("b").alias("B"), F.sum("p").alias("P"), F.count("*").alias("k"))
+    totals = counts.groupBy("column").agg(F.sum("b").alias("b_all"), F.sum("p").alias("p_all"), F.count("*").alias("k"))
     full = counts.join(F.broadcast(totals), "column")  # one row for each column
     share = lambda n, all_: (F.col(n) + epsilon) / (F.col(all_) + epsilon * F.col("k"))
-    term = (share("p", "P") - share("b", "B")) * F.ln(share("p", "P") / share("b", "B"))
-    apart = F.abs(F.try_divide(F.col("p"), F.col("P")) - F.try_divide(F.col("b"), F.col("B")))
+    term = (share("p", "p_all") - share("b", "b_all")) * F.ln(share("p", "p_all") / share("b", "b_all"))
+    apart = F.abs(F.try_divide(F.col("p"), F.col("p_all")) - F.try_divide(F.col("b"), F.col("b_all")))
     new = F.array_sort(F.collect_list(F.when((F.col("b") == 0) & (F.col("p") > 0), F.col("value"))))
-    known = (F.col("B") > 0) & (F.col("P") > 0)
-    out = full.groupBy("column", "B", "P").agg(F.sum(term).alias("psi"), (0.5 * F.sum(apart)).alias("total_variation"), new.alias("new_categories"))
+    known = (F.col("b_all") > 0) & (F.col("p_all") > 0)
+    out = full.groupBy("column", "b_all", "p_all").agg(F.sum(term).alias("psi"), (0.5 * F.sum(apart)).alias("total_variation"), new.alias("new_categories"))
     return out.select("column", F.when(known, F.col("psi")).alias("psi"), F.when(known, F.col("total_variation")).alias("total_variation"), "new_categories")
 
 

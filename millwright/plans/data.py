@@ -48,7 +48,7 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores: dict[str, Column] = {
         "a_noise": base,
         "b_mixed": 0.6 * base + 0.4 * label * (F.col("event_id") % 3 > 0).cast("int"),
-        "c_sharp": F.round(0.3 * base + 0.7 * label * (F.col("event_id") % 10 > 0).cast("int"), 2),
+        "c_sharp": F.floor((0.3 * base + 0.7 * label * (F.col("event_id") % 10 > 0).cast("int")) * 100) / 100.0,
     }
     each = F.array(*[F.struct(F.lit(n).alias("model"), s.cast("double").alias("score")) for n, s in scores.items()])
     rows = e.select("event_id", label.alias("label"), F.explode(each).alias("m")).select("m.model", "event_id", "label", "m.score")
@@ -58,6 +58,6 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCORES_SQL = """
 SELECT m.model, event_id, label, CAST(m.score >= 0.5 AS INTEGER) AS prediction, m.score FROM (
   SELECT event_id, label, unnest([
-    {'model': 'a_noise', 'score': base}, {'model': 'b_mixed', 'score': 0.6 * base + 0.4 * label * CAST(event_id % 3 > 0 AS INTEGER)},
-    {'model': 'c_sharp', 'score': round(0.3 * base + 0.7 * label * CAST(event_id % 10 > 0 AS INTEGER), 2)}]) AS m
+    {'model': 'a_noise', 'score': base}, {'model': 'b_mixed', 'score': 0.6::DOUBLE * base + 0.4::DOUBLE * label * CAST(event_id % 3 > 0 AS INTEGER)},
+    {'model': 'c_sharp', 'score': floor((0.3::DOUBLE * base + 0.7::DOUBLE * label * CAST(event_id % 10 > 0 AS INTEGER)) * 100) / 100.0::DOUBLE}]) AS m
   FROM (SELECT event_id, CAST(event_type = 'error' AS INTEGER) AS label, CAST((event_id * 7919) % 1000 AS DOUBLE) / 1000.0::DOUBLE AS base FROM events))"""

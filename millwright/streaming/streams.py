@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from millwright.functions.prefix import shared_dir
 from millwright.operators.anomaly import RobustStats, robust_scores
+from millwright.operators.ledger import current_state
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", files: int = 1) -> DataFrame:
@@ -20,8 +22,6 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
 
 def drain(stream: DataFrame, name: str, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
     """Run a stream over what is there and stop: the rows that it wrote as Parquet, or None with a sink for each micro-batch."""
-    import uuid
-
     spark = stream.sparkSession
     path = f"{shared_dir(spark)}/millwright/{name}-{uuid.uuid4().hex[:12]}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
@@ -55,14 +55,14 @@ def stream_window_counts(readings: DataFrame, ts: str, value: str, edges: Sequen
 
 def window_psi(counts: DataFrame, baseline: DataFrame, n_bins: int, epsilon: float = 1e-6) -> DataFrame:
     """window_start, n, psi of each window's bin counts against the baseline's (bin, b)."""
-    windows = counts.groupBy("window_start").agg(F.sum("n").alias("N"))
-    base = baseline.withColumn("B", F.lit(baseline.agg(F.sum("b")).first()[0]))  # a row for each bin
+    windows = counts.groupBy("window_start").agg(F.sum("n").alias("all_n"))
+    base = baseline.withColumn("all_b", F.lit(baseline.agg(F.sum("b")).first()[0]))  # a row for each bin
     grid = windows.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1)))).join(F.broadcast(base), "bin", "left")
     full = grid.join(counts, ["window_start", "bin"], "left").fillna(0, ["n", "b"])
-    total = base.agg(F.max("B")).first()[0]
-    p = (F.col("n") + epsilon) / (F.col("N") + epsilon * n_bins)
+    total = base.agg(F.max("all_b")).first()[0]
+    p = (F.col("n") + epsilon) / (F.col("all_n") + epsilon * n_bins)
     q = (F.col("b") + epsilon) / (F.lit(total) + epsilon * n_bins)
-    return full.groupBy("window_start", "N").agg(F.sum((p - q) * F.ln(p / q)).alias("psi")).select("window_start", F.col("N").alias("n"), "psi")
+    return full.groupBy("window_start", "all_n").agg(F.sum((p - q) * F.ln(p / q)).alias("psi")).select("window_start", F.col("all_n").alias("n"), "psi")
 
 
 def stream_flatline(readings: DataFrame, asset: str, ts: str, state: str, rows: int = 3) -> DataFrame:
@@ -88,13 +88,16 @@ def stream_flatline(readings: DataFrame, asset: str, ts: str, state: str, rows:
 
 
 def keyed_state(store: str, by: str, at: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A sink that keeps the latest event of each name in a Parquet table: versions of the table are folders, the last one is current."""
+    """A sink that keeps the latest event of each name: each micro-batch writes a new version of the table beside the old one."""
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        from millwright.operators.ledger import current_state
-
-        spark = batch.sparkSession
-        rows = batch if epoch == 0 else batch.unionByName(spark.read.parquet(f"{store}/{epoch - 1}"))
-        current_state(rows, by, at, key).write.mode("overwrite").parquet(f"{store}/{epoch}")
+        rows = batch if epoch == 0 else batch.unionByName(batch.sparkSession.read.parquet(f"{store}/version={epoch - 1}"))
+        current_state(rows, by, at, key).write.mode("overwrite").parquet(f"{store}/version={epoch}")
 
     return sink
+
+
+def latest_state(spark: SparkSession, store: str) -> DataFrame:
+    """The last version that keyed_state wrote."""
+    rows = spark.read.parquet(store)
+    return rows.filter(F.col("version") == rows.agg(F.max("version")).first()[0]).drop("version")
