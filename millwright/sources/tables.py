@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millwright.functions.columns import normalise_missing
+from millwright.functions.prefix import written
 
 FORMATS = ("csv", "parquet")
 NA_TOKENS = ("", "na", "n/a", "nan", "null", "none")
@@ -38,7 +39,7 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema: T
 def quarantine(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """Rows of a CSV file that fit the schema, and the others as text."""
     wide = T.StructType([*schema, T.StructField("_bad", T.StringType())])
-    rows = spark.read.schema(wide).option("header", True).option("columnNameOfCorruptRecord", "_bad").csv(path)
+    rows = written(spark.read.schema(wide).option("header", True).option("columnNameOfCorruptRecord", "_bad").csv(path), "parsed")
     return rows.filter("_bad is null").drop("_bad"), rows.filter("_bad is not null").select("_bad")
 
 
