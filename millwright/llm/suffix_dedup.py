@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm.common import blocks, longs, materialise, mix, prefix_hash, runs, text_bytes, whole_groups
+from millwright.llm.common import blocks, longs, materialise, mix, powers, runs, text_bytes, whole_groups
 
-LENGTH, GRAM, BLOCK, FILTER_BITS = 100, 24, 1 << 22, 1 << 26
+LENGTH, GRAM, BLOCK, FILTER_BITS = 100, 32, 1 << 19, 1 << 24
 _ONE, _TWO = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -41,30 +41,44 @@ def segments(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[
     n, width = len(data), length - gram + 1
     if n < length:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64, np.uint64))
-    sums, down = prefix_hash(data, _ONE)
-    grams = mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
-    least = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
+    up, down = powers(_ONE, n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.multiply(data, up[:n], out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
+    grams = sums[gram:] - sums[:-gram]
+    grams *= down[: n - gram + 1]
+    least = grams & ~_LOW  # the high bits of the hash, then the place: of equal hashes the first one is the least
+    least |= np.arange(len(grams), dtype=np.uint64)
     step = 1
     while step * 2 <= width:
         least = np.minimum(least[:-step], least[step:])
         step *= 2
     if width > step:
         least = np.minimum(least[: len(least) - (width - step)], least[width - step :])
-    valid = np.ones(n - length + 1, bool)
-    for k in at[1:-1].tolist():
-        valid[max(0, k - length + 1) : k] = False
-    window = np.flatnonzero(valid)
-    anchor = (least[window] & _LOW).astype(np.int64)
-    starts = runs(window - np.arange(len(window)), anchor)
-    first, count, anchor = window[starts[:-1]], np.diff(starts), anchor[starts[:-1]]
-    whole, down2 = prefix_hash(data, _TWO)
-    end = first + count - 1 + length
-    digest = mix((whole[end] - whole[first]) * down2[first] + (anchor - first).astype(np.uint64) * np.uint64(_ONE) + count.astype(np.uint64))
+    least &= _LOW
+    new = np.ones(len(least), bool)
+    np.not_equal(least[1:], least[:-1], out=new[1:])
+    for begin, end in zip(at[1:-1].tolist(), at[1:-1].tolist(), strict=True):  # no window crosses into another text
+        new[max(0, end - length + 1) : begin] = False
+        if begin < len(new):
+            new[begin] = True
+    if len(least) > at[-2] and at[-1] - at[-2] < length:
+        new[at[-2] :] = False
+    first = np.flatnonzero(new)
+    owner = np.searchsorted(at, first, side="right") - 1
+    fits = first + length <= at[owner + 1]
+    first, owner = first[fits], owner[fits]
+    count = np.minimum(np.append(first[1:], n), at[owner + 1] - length + 1) - first
+    anchor = least[first].astype(np.int64)
+
+    def hashed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (sums[j] - sums[i]) * down[i]
+
     half = (length - gram + 1) // 2
-    left, right = np.maximum(anchor - half, 0), np.minimum(anchor + gram + half, n)
-    before = mix((whole[anchor] - whole[left]) * down2[left])
-    after = mix((whole[right] - whole[anchor + gram]) * down2[anchor + gram])
-    return first, count, anchor, grams[anchor], digest, before, after
+    digest = mix(hashed(first, first + count - 1 + length) + (anchor - first).astype(np.uint64) * np.uint64(_TWO) + count.astype(np.uint64))
+    before = mix(hashed(np.maximum(anchor - half, 0), anchor))
+    after = mix(hashed(anchor + gram, np.minimum(anchor + gram + half, n)))
+    return first, count, anchor, mix(grams[anchor]), digest, before, after
 
 
 def _occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
