@@ -126,7 +126,3 @@ def with_interval(pred: DataFrame, widths: DataFrame) -> DataFrame:
     """pred with lower and upper; widths has one row for each model."""
     out = pred.join(F.broadcast(widths), "model")
     return out.withColumns({"lower": F.col("prediction") - F.col("half_width"), "upper": F.col("prediction") + F.col("half_width")}).drop("half_width")
-
-
-def finite_or_null(c: Column) -> Column:
-    return F.when(F.abs(c) < float("inf"), c)

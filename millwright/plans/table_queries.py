@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from millwright.operators import framing, profile, quality, split
 from millwright.operators.quality import Roles
-from millwright.plans.data import EVENT_ROLES, EVENTS_SQL, LINE_SENSORS, events, rounded, table
+from millwright.plans.data import EVENT_ROLES, EVENTS_SQL, LINE_SENSORS, SPLIT_DATE, events, rounded, table, windows
+from millwright.sources import tables
 
 NO_TARGET = Roles(key="event_id", asset="user_id", ts="ts")
 LINE_ROLES = Roles(key="line_key", target="is_returned", asset="l_suppkey", ts="l_shipdate")
@@ -90,6 +91,17 @@ def robust_outliers(spark, sf_dir):
     return rounded(quality.robust_outliers(events(spark, sf_dir), ["value", "k"]))
 
 
+def split_summary(spark, sf_dir):
+    """Shape and missing cells of the readings before and after the split date."""
+    base, prod = windows(spark, sf_dir)
+    both = split.split_by_source(base, prod).withColumnRenamed("fold", "split").withColumn("failed", (F.col("event_type") == "error").cast("int"))
+    return rounded(tables.split_summary(both, "failed"))
+
+
+def limits(spark, sf_dir):
+    return tables.check_limits(events(spark, sf_dir), max_rows=500, max_columns=10)
+
+
 def asset_imbalance(spark, sf_dir):
     return rounded(quality.asset_imbalance(table(spark, sf_dir, "lineitem"), "l_suppkey"))
 
@@ -276,6 +288,9 @@ CASE WHEN semantic = 'datetime' OR NOT id_hint THEN 0 WHEN semantic = 'identifie
 round(CASE WHEN median_gap > 0 THEN std / median_gap END, 6) AS sampling_cv FROM p, m GROUP BY median_gap, std""",
     "duplicate_timestamps": "SELECT count(*) - count(DISTINCT (user_id, date_trunc('hour', ts))) AS duplicate_timestamps FROM events",
     "robust_outliers": f"WITH {_E}, o AS ({_outliers(['value', 'k'])}) SELECT \"column\", round(median, 6) AS median, round(mad, 6) AS mad, round(rate, 6) AS rate FROM o",
+    "split_summary": f"""WITH {_E} SELECT CASE WHEN ts < TIMESTAMP '{SPLIT_DATE}' THEN 'train' ELSE 'test' END AS split, count(*) AS n_rows, count(*) FILTER (event_type = 'error') AS n_positive,
+count(*) - count(value) AS missing_cells, round((count(*) - count(value)) / (count(*) * 7), 6) AS missing_rate FROM e GROUP BY 1""",
+    "limits": "SELECT count(*) <= 500 AS within, 6 AS n_columns, count(*) > 500 AS too_many_rows FROM events",
     "asset_imbalance": """SELECT count(*) AS n_assets, max(n) AS most, round(quantile_cont(n, 0.5), 6) AS middle, min(n) AS least, round(CASE WHEN count(*) > 1 THEN max(n) / quantile_cont(n, 0.5) END, 6) AS ratio
 FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_suppkey)""",
     "target_imbalance": "SELECT count(*) AS n_classes, round(CASE WHEN count(*) > 1 THEN max(n) / min(n) END, 6) AS ratio FROM (SELECT count(*) AS n FROM events GROUP BY event_type)",

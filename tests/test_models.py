@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from millwright.operators import anomaly, drift, evallog, features, ledger, metrics, models, monitor
+from millwright.operators.benchmark import benchmark
+from millwright.operators.quality import Roles
 from millwright.streaming import streams
 
 
@@ -79,6 +81,14 @@ def test_training_scoring_and_explanation(spark, table, tmp_path):
     assert importance.orderBy(F.desc("importance")).first()["feature"] == "num"
 
 
+def test_benchmark_run(spark, table, tmp_path):
+    rows = table.select("target", "key", "num", "cat", F.when(F.col("key") % 9 != 0, F.col("num")).alias("holed"))
+    reports = benchmark(rows.filter("key % 4 > 0"), rows.filter("key % 4 = 0"), Roles("key", target="target"), names=["logistic_regression"], path=str(tmp_path))
+    assert reports["ranking"].first()["place"] == 1 and reports["costs"].first()["total_cost"] >= 0
+    assert {r.split: r.n_rows for r in reports["summary"].collect()} == {"train": 180, "test": 60}
+    assert spark.read.json(str(tmp_path / "task/json")).first()["task"] == "binary_classification"
+
+
 def test_one_failed_model_does_not_stop_the_others(spark, table):
     done, failed = models.train_all(table, table, ["num"], "target", "binary_classification", ["logistic_regression", "unknown"])
     assert [m.name for m in done] == ["logistic_regression"] and "unknown" in failed
