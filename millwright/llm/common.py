@@ -183,7 +183,10 @@ def prefix_hash(data: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """P and D for which (P[j] - P[i]) * D[i], modulo 2**64, is a hash of data[i:j] that depends on those bytes only."""
     up, down = powers(base, len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    own = sums[1:]
+    np.add(data, 1, out=own, dtype=np.uint64)
+    own *= up[: len(data)]
+    np.cumsum(own, out=own)
     return sums, down
 
 
