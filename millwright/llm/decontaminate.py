@@ -1,9 +1,10 @@
 """Benchmark decontamination by canonical templates.
 
 Texts are read as tokens (runs of letters and digits; case is ignored). Numbers, units behind a number and
-names (capitalised words that do not start a sentence) become the typed placeholders of a template, so a
-question with other numbers or names has the same template. Windows of WINDOW template tokens are hashed
-and joined with those of the benchmark. For each document and item that share enough of the item's windows
+names (words with one capital, the first letter, that do not start a sentence) become the typed placeholders
+of a template, so a question with other numbers or names has the same template. Windows of WINDOW template
+tokens are hashed and joined with those of the benchmark; an item with names has a second form that keeps
+them as words, for copies that are all in lower or upper case. For each document and item that share enough of the item's windows
 the values in the slots are compared: an item is `verbatim` if all values agree, `reparameterised` if each
 value of the item has mostly one value in the document, else the hit is `inconsistent` and not reported.
 
@@ -89,7 +90,9 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     opens[owner[:-1][owner[:-1] < len(start)]] = True
     number = digit[start]
     template = value.copy()
-    template[big[start] & ~opens & ~number] = NAME
+    second = np.minimum(start + 1 + (data[start] >= 0x80), n - 1) if n else start
+    title = big[start] & (second < end) & ((low[second] == data[second]) & (data[second] >= 97))
+    template[title & ~opens & ~number] = NAME
     template[number] = NUMBER
     after = np.setdiff1d(np.flatnonzero(number[:-1]) + 1, owner)
     at_unit = np.searchsorted(_UNIT_HASHES, value[after])
@@ -130,8 +133,11 @@ def _slots(value: np.ndarray, template: np.ndarray, first: np.ndarray, width: in
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)
 
 
-def template_windows(df: DataFrame, id_col: str, text_col: str, width: int = WINDOW, bloom=None) -> DataFrame:
-    """id, first (token), n (windows of the text), h, slots; only windows that may be in the broadcast filter, if there is one."""
+def template_windows(df: DataFrame, id_col: str, text_col: str, width: int = WINDOW, bloom=None, names: bool = True) -> DataFrame:
+    """id, first (token), n (windows of the text), h, slots; only windows that may be in the broadcast filter, if there is one.
+
+    names=False: the second form of the texts that have names.
+    """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +145,13 @@ def template_windows(df: DataFrame, id_col: str, text_col: str, width: int = WIN
             value, template, owner = tokens(data, at)
             if not len(value):
                 continue
+            if not names:
+                named = template == NAME
+                template = np.where(named, value, template)
             h, text, first = windows(template, owner, width)
+            if not names:
+                has = np.diff(np.concatenate([[0], np.cumsum(named)])[owner]) > 0
+                h, text, first = h[has[text]], text[has[text]], first[has[text]]
             count = np.bincount(text, minlength=len(owner) - 1)
             if bloom is not None:
                 one, two = bloom_bits(h, 8 * len(bloom.value))
@@ -184,22 +196,24 @@ def contaminated(
     coverage: share of the item's different windows that the document has; consistency: share of the
     item's slots (by value) whose most frequent counterpart in the document is the only one or prevails.
     """
-    items = materialise(template_windows(benchmark, item_col, item_text_col, width), "items")
+    forms = [template_windows(benchmark, item_col, item_text_col, width, names=n).withColumn("form", F.lit(int(n))) for n in (True, False)]
+    items = materialise(forms[0].union(forms[1]), "items")
     bloom = docs.sparkSession.sparkContext.broadcast(bloom_filter(items))
     items = items.withColumnsRenamed({"id": "item_id", "first": "item_first", "slots": "item_slots"})
-    sizes = items.groupBy("item_id").agg(F.count_distinct("h").alias("different"))
+    sizes = items.groupBy("item_id", "form").agg(F.count_distinct("h").alias("different")).withColumnsRenamed({"item_id": "i", "form": "f"})
     hits = template_windows(docs, id_col, text_col, width, bloom).withColumnRenamed("id", "doc_id").drop("n")
-    hits = materialise(hits.join(items.select("item_id", "h", "item_slots"), "h"), "hits")
-    share = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("h").alias("shared"))
-    share = share.join(sizes, share["item_id"].eqNullSafe(sizes["item_id"])).drop(sizes["item_id"])
+    hits = materialise(hits.join(items.select("item_id", "form", "h", "item_slots"), "h"), "hits")
+    share = hits.groupBy("doc_id", "item_id", "form").agg(F.count_distinct("h").alias("shared"))
+    share = share.join(sizes, share["item_id"].eqNullSafe(sizes["i"]) & (F.col("form") == F.col("f")))
     share = share.withColumn("coverage", F.col("shared") / F.col("different")).filter(F.col("coverage") >= coverage)
-    share = materialise(share.select("doc_id", "item_id", "coverage"), "share")
-    pairs = hits.select("doc_id", "item_id", F.explode(F.arrays_zip("slots", "item_slots")).alias("s"))
-    pairs = pairs.groupBy("doc_id", "item_id", F.col("s.item_slots.val").alias("own"), F.col("s.slots.val").alias("other")).agg(F.count("*").alias("n"))
-    slots = pairs.groupBy("doc_id", "item_id", "own").agg(F.max("n").alias("top"), F.sum("n").alias("n"), F.max(F.col("own") != F.col("other")).alias("changed"))
-    slots = slots.groupBy("doc_id", "item_id").agg((F.sum("top") / F.sum("n")).alias("consistency"), F.max("changed").alias("changed"))
-    slots = slots.withColumnsRenamed({"doc_id": "d", "item_id": "i"})
-    out = share.join(slots, share["doc_id"].eqNullSafe(F.col("d")) & share["item_id"].eqNullSafe(F.col("i")), "left")
+    share = share.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "form")).alias("best"))
+    share = materialise(share.select("doc_id", "item_id", "best.coverage", "best.form"), "share")
+    pairs = hits.select("doc_id", "item_id", "form", F.explode(F.arrays_zip("slots", "item_slots")).alias("s"))
+    pairs = pairs.groupBy("doc_id", "item_id", "form", F.col("s.item_slots.val").alias("own"), F.col("s.slots.val").alias("other")).agg(F.count("*").alias("n"))
+    slots = pairs.groupBy("doc_id", "item_id", "form", "own").agg(F.max("n").alias("top"), F.sum("n").alias("n"), F.max(F.col("own") != F.col("other")).alias("changed"))
+    slots = slots.groupBy("doc_id", "item_id", "form").agg((F.sum("top") / F.sum("n")).alias("consistency"), F.max("changed").alias("changed"))
+    slots = slots.withColumnsRenamed({"doc_id": "d", "item_id": "i", "form": "f"})
+    out = share.join(slots, share["doc_id"].eqNullSafe(F.col("d")) & share["item_id"].eqNullSafe(F.col("i")) & (share["form"] == F.col("f")), "left")
     out = out.withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
     verdict = F.when(~F.coalesce("changed", F.lit(False)), "verbatim").when(F.col("consistency") >= consistency, "reparameterised").otherwise("inconsistent")
     return out.withColumn("verdict", verdict).filter("verdict <> 'inconsistent'").select("doc_id", "item_id", "coverage", "consistency", "verdict")
