@@ -48,7 +48,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The language model, fingerprints and packing are beyond SQL; tests compare run() with a brute-force version.
+#: The language model, fingerprints and packing are beyond SQL. The stages are tested one by one; run() as a whole is not yet.
 ORACLE_SQL = None
 
 
