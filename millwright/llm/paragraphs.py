@@ -1,18 +1,29 @@
 """Near-duplicate paragraphs by MinHash banding, exact Jaccard verification and connected components.
 
-A paragraph is a line of a text; its shingles are SHINGLE successive tokens (runs of letters and digits,
-case ignored). Paragraphs with the same tokens are merged first. Each different paragraph has BANDS bands of
-ROWS minima: few rows a band, for high recall (at a similarity of 0.8 a pair meets in a band with
-probability 1 - (1 - 0.8**3)**8 = 0.997). The members of a band's bucket are joined with their shingle sets, and
-a search through the bucket links them: each member is compared with all that are not yet reached, by an
-index of the bucket's shingles, so all similar pairs are respected and none is built as a row. Similarity is
-the exact Jaccard index of the shingle sets. Components of the links are the groups; the first paragraph of
-a group, by document and place, stays.
-
-Cases: a null text has no paragraphs; paragraphs of fewer than MIN_TOKENS tokens are too short to count as
-passages and are not compared; a null id is the smallest one; repeated rows are copies of each other; ties
-do not occur, since document and place order all paragraphs but those of repeated rows, one of which stays;
-an empty table gives an empty result; other columns of the input are not read.
+Line breaks and punctuation move between copies, so a paragraph is found by its words: it starts at a word whose
+shingle has the least hash among REACH words on either side (the first word of a text as well; a stretch of
+over 4 * REACH words without such a place is cut evenly) and has PASSAGE words, or what is left of its text if
+that is MIN_WORDS or more. Neighbours overlap, so a repeated passage of over 50 words holds a paragraph, or nearly
+all of one, wherever it stands in its text. Shingles are SHINGLE successive words (runs of letters and digits,
+case ignored).
+
+Paragraphs with the same words are merged first. Each different one has BANDS bands of ROWS minima: few rows a band,
+for high recall (at a similarity of 0.8 a pair meets in a band with probability 1 - (1 - 0.8**2)**4 = 0.983,
+and a repeated passage mostly has several paragraphs). The members of a band's bucket are joined with
+their shingle sets, and a search through the bucket links them: each member is compared with all that are not
+yet reached, by an index of the bucket's shingles, so all similar pairs are respected and none is built as a row.
+A bucket of over `most` members is dealt out by further bands, with the same probability at each level; what is
+still larger is cut into parts, and each two parts are compared as a whole, so no link is lost to a bucket's size.
+Similarity is the exact Jaccard index of the shingle sets. Components of the links are the groups; the first
+paragraph of a group, by document and place, stays.
+
+A group counts if it is in more than one document; what a document repeats only to itself is left to others.
+
+Cases: a null text has no paragraphs, nor has one of fewer than MIN_WORDS words; a text of any length is read as a
+whole, by one task; a null id is the smallest one; a document is a pair of id and text, so rows that repeat both are
+one document, and rows that repeat an id (or have none) with other texts are several; ties do not occur, since
+document and place order all paragraphs but those of repeated rows, one of which stays; an empty table gives
+an empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -24,79 +35,132 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm.common import attach_group, blocks, longs, materialise, mix, runs, whole_groups
+from millwright.llm.common import LOWER, attach_group, blocks, longs, materialise, mix, powers, prefix_hash, runs, whole_groups
 from millwright.llm.components import components
-from millwright.llm.decontaminate import tokens
 
-SHINGLE, MIN_TOKENS, SIMILARITY, BANDS, ROWS = 5, 10, 0.8, 8, 3
-_SEEDS = np.random.default_rng(11).integers(1, 1 << 62, BANDS * ROWS, dtype=np.int64).astype(np.uint64)
-
-
-def paragraph_tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of bytes of texts: token hashes, the first token of each line, the lines' starts and ends in data, and their texts."""
-    starts = np.union1d(np.flatnonzero(data == 10) + 1, at)
-    value, _, owner = tokens(data, starts)
-    ends = starts[1:]
-    return value, owner, starts[:-1], ends, np.searchsorted(at, starts[:-1], side="right") - 1
-
-
-def shingle_hashes(value: np.ndarray, owner: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of all lines, one after the other, and where each line's begin; a short line is one shingle."""
-    n = np.diff(owner)
-    size = np.minimum(n, width)
-    count = np.where(n > 0, n - size + 1, 0)
-    begin = np.concatenate([[0], np.cumsum(count)])
-    line = np.repeat(np.arange(len(n)), count)
-    first = np.arange(len(line)) - begin[line] + owner[:-1][line]
-    padded, h = np.append(value, np.zeros(width, np.uint64)), np.zeros(len(line), np.uint64)
-    for k in range(width):
-        h = h * np.uint64(0xD1342543DE82EF95) + np.where(k < size[line], padded[first + k], np.uint64(k))
-    return mix(h), begin
-
-
-def paragraphs(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """id, start, end (bytes of the text), n_tokens, hi and lo (128-bit hash of the tokens), bands: one row for each line that counts."""
+SHINGLE, PASSAGE, MIN_WORDS, REACH, SIMILARITY, BANDS, ROWS = 5, 36, 30, 7, 0.8, 4, 2
+_MOST = np.uint64((1 << 64) - 1)
+_WORD = np.zeros(256, bool)
+_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def _seeds(level: int) -> np.ndarray:
+    return np.random.default_rng(11 + level).integers(1, 1 << 62, BANDS * ROWS, dtype=np.int64).astype(np.uint64)
+
+
+def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of bytes of texts: a hash of each word, the first word of each text (and their number), and the words' starts and ends."""
+    low = LOWER[data]
+    accent = (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[:-1] == 0xC3) & (low[1:] != 0x97)  # capital letters of Latin-1
+    low[1:][accent] += 0x20
+    word = _WORD[low]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    inside = at[(at > 0) & (at < len(data))]
+    first[inside], last[inside - 1] = word[inside], word[inside - 1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    sums, down = prefix_hash(low, 0x9E3779B97F4A7C15)
+    return mix((sums[end] - sums[start]) * down[start]), np.searchsorted(start, at), start, end
+
+
+def shingle_hashes(value: np.ndarray) -> np.ndarray:
+    """The hash of the shingle that starts at each word; those that would leave the last text are missing."""
+    n = max(0, len(value) - SHINGLE + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(SHINGLE):
+        h = h * np.uint64(0xD1342543DE82EF95) + value[k : k + n]
+    return mix(h)
+
+
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of x[i : i + width] for each i."""
+    step = 1
+    while step * 2 <= width:
+        x, step = np.minimum(x[:-step], x[step:]), step * 2
+    return np.minimum(x[: len(x) - (width - step)], x[width - step :]) if width > step else x
+
+
+def cut(value: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+    """First word, number of words and text of each paragraph, the shingles' hashes with a gap behind each text, and each word's place there."""
+    text = np.repeat(np.arange(len(owner) - 1), np.diff(owner))
+    place = np.arange(len(value)) + text * PASSAGE + PASSAGE
+    laid = np.full(len(value) + len(owner) * PASSAGE, _MOST)
+    left = owner[1:][text] - np.arange(len(value))  # words from here to the text's end
+    h = shingle_hashes(value)
+    whole = np.flatnonzero(left >= SHINGLE)
+    laid[place[whole]] = h[whole]
+    window = _least(laid, REACH)
+    here = laid[place]
+    start = (here < window[place - REACH]) & (here <= window[place + 1])
+    begun = np.concatenate([[0], np.cumsum(start)])
+    opens = owner[:-1][np.diff(owner) > 0]
+    opens = opens[begun[np.minimum(opens + REACH + 1, owner[1:][text[opens]])] == begun[opens]]  # unless it starts anew at once
+    start[opens] = True
+    first = np.flatnonzero(start)
+    gap = np.minimum(np.diff(np.append(first, len(value))), left[first])
+    more = np.where(gap > 4 * REACH, gap // (2 * REACH) - 1, 0)
+    if more.any():
+        extra = np.repeat(first, more) + (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1) * 2 * REACH
+        first = np.sort(np.concatenate([first, extra]))
+    first = first[left[first] >= MIN_WORDS]
+    return first, np.minimum(left[first], PASSAGE), text[first], laid, place
+
+
+def _digests(value: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the words of each paragraph."""
+    out = []
+    for base in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F):
+        up, down = powers(base, len(value))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value ^ np.uint64(base)) * up[: len(value)])])
+        out.append(mix((sums[first + size] - sums[first]) * down[first] + size.astype(np.uint64)))
+    return out[0], out[1]
+
+
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """id, mark (hash of id and text), start, end (bytes of the text), n_words, hi and lo (128-bit hash of the words), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = _seeds(0)
         for rows, data, at in blocks(batches, "text", 2 << 20):
-            value, owner, starts, ends, text = paragraph_tokens(data, at)
-            keep = np.flatnonzero(np.diff(owner) >= min_tokens)
-            h, begin = shingle_hashes(value, owner)
-            n = np.diff(begin)[keep]
-            inside = np.repeat(begin[keep] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            h, edge = h[inside], np.cumsum(n) - n  # shingles of the lines that count
-            hi, lo = np.zeros(len(keep), np.uint64), np.zeros(len(keep), np.uint64)
-            bands = np.zeros((len(keep), BANDS), np.uint64)
-            if len(keep):
-                place = np.arange(len(h), dtype=np.uint64) - np.repeat(edge, n).astype(np.uint64)
-                hi = mix(np.add.reduceat(mix(h + place * np.uint64(0x9E3779B97F4A7C15)), edge) + n.astype(np.uint64))
-                lo = mix(np.add.reduceat(mix(h ^ mix(place + np.uint64(77))), edge))
-                for k, seed in enumerate(_SEEDS):
-                    least = np.minimum.reduceat((h ^ seed) * (seed | np.uint64(1)), edge)
-                    bands[:, k // ROWS] = mix(bands[:, k // ROWS] + least + np.uint64(k))
-            base = at[text[keep]]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1).view(np.int64)))
-            columns = [rows.column(0).take(pa.array(text[keep])), starts[keep] - base, ends[keep] - base, np.diff(owner)[keep], hi.view(np.int64), lo.view(np.int64)]
-            yield pa.RecordBatch.from_arrays([*[c if isinstance(c, pa.Array) else pa.array(c) for c in columns], lists], ["id", "start", "end", "n_tokens", "hi", "lo", "bands"])
+            value, owner, starts, ends = words(data, at)
+            first, size, text, laid, place = cut(value, owner)
+            hi, lo = _digests(value, first, size)
+            bands, none = np.zeros((len(first), BANDS), np.uint64), laid == _MOST
+            for k, seed in enumerate(seeds):
+                mixed = (laid ^ seed) * (seed | np.uint64(1))
+                mixed[none] = _MOST
+                least = _least(mixed, PASSAGE - SHINGLE + 1)[place[first]] if len(first) else np.zeros(0, np.uint64)
+                bands[:, k // ROWS] = mix(bands[:, k // ROWS] + least + np.uint64(k + 1))
+            base = at[text]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1).view(np.int64)))
+            columns = [starts[first] - base, ends[first + size - 1] - base, size, hi.view(np.int64), lo.view(np.int64)]
+            named = [rows.column(k).take(pa.array(text)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*named, *map(pa.array, columns), lists], ["id", "mark", "start", "end", "n_words", "hi", "lo", "bands"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, start long, end long, n_tokens long, hi long, lo long, bands array<long>")
+    return docs.mapInArrow(run, f"id {kind}, mark long, start long, end long, n_words long, hi long, lo long, bands array<long>")
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """p, set: the sorted different shingles of the paragraphs p that wanted (id, start, p) names."""
-    lists = wanted.groupBy("id").agg(F.collect_list(F.struct("start", "p")).alias("parts"))  # bounded by the text
+    """p, set: the sorted different shingles of the paragraphs p that wanted (mark, start, hi, p) names."""
+    lists = wanted.groupBy("mark").agg(F.collect_list(F.struct("start", "hi", "p")).alias("parts"))  # bounded by the text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in blocks(batches, "text", 2 << 20):
-            value, owner, starts, _, text = paragraph_tokens(data, at)
-            h, begin = shingle_hashes(value, owner)
-            line = {s: k for k, s in enumerate(starts.tolist())}
-            out = [(x["p"], line[b + x["start"]]) for b, parts in zip(at.tolist(), rows.column("parts").to_pylist(), strict=False) for x in parts if b + x["start"] in line]
-            sets = [np.unique(h[begin[k] : begin[k + 1]]).view(np.int64) for _, k in out]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["p", "set"])
-
-    joined = docs.join(lists.withColumnRenamed("id", "own"), F.col("id").eqNullSafe(F.col("own"))).select("id", "text", "parts")
+            value, owner, starts, _ = words(data, at)
+            first, size, _, laid, place = cut(value, owner)
+            hi, _ = _digests(value, first, size)
+            column = rows.column("parts")
+            parts, number = column.flatten(), np.diff(column.offsets.to_numpy())
+            want = np.repeat(at[:-1], number) + longs(parts.field("start"))
+            k = np.searchsorted(starts[first], want)
+            good = np.flatnonzero(hi.view(np.int64)[np.minimum(k, len(first) - 1)] == longs(parts.field("hi"))) if len(first) else np.zeros(0, np.int64)
+            k = k[good]
+            sets = [np.unique(laid[a : a + n]).view(np.int64) for a, n in zip(place[first[k]].tolist(), (size[k] - SHINGLE + 1).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(longs(parts.field("p"))[good]), pa.array(sets, pa.list_(pa.int64()))], ["p", "set"])
+
+    joined = docs.join(lists, "mark").select("text", "parts")
     return joined.mapInArrow(run, "p long, set array<long>").dropDuplicates(["p"])  # repeated rows have the same sets
 
 
@@ -132,96 +196,119 @@ def connect_sets(sets: list[np.ndarray], least: float) -> Iterator[tuple[int, in
                 yield x, y
 
 
-def _bands_of(sets: DataFrame, keys: list[str], seed: int) -> DataFrame:
-    """The rows of sets, dealt once more by the bands of other hash functions: columns b<seed> and k<seed> are added."""
-    seeds = np.random.default_rng(11 + seed).integers(1, 1 << 62, BANDS * ROWS, dtype=np.int64).astype(np.uint64)
-    names = [*keys, "p", "set"]
+def _shared_keys(banded: DataFrame, most: int) -> DataFrame:
+    """The rows of banded (key, p) whose key another paragraph has too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, large in whole_groups(batches, ["key"], most):
+            if not large:
+                starts = runs(longs(part.column("key")))
+                part = part.filter(pa.array(np.repeat(np.diff(starts) > 1, np.diff(starts))))
+            yield part
+
+    return banded.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, p long")
+
+
+def _bands_of(sets: DataFrame, keys: list[str], level: int) -> DataFrame:
+    """The rows of sets, dealt once more by the bands of other hash functions: a column k<level> is added."""
+    seeds, name, names = _seeds(level), f"k{level}", [*keys, "p", "set"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            column = rows.column("set")
-            at, h = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
             if not rows.num_rows:
                 continue
+            column = rows.column("set")
+            at, h = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
             least = [np.minimum.reduceat((h ^ s) * (s | np.uint64(1)), at[:-1]) for s in seeds]
             for band in range(BANDS):
-                key = mix(sum(mix(x + np.uint64(i)) for i, x in enumerate(least[band * ROWS : (band + 1) * ROWS])))
-                yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in names], pa.array(np.full(len(key), band)), pa.array(key.view(np.int64))], [*names, f"b{seed}", f"k{seed}"])
+                key = mix(sum(mix(x + np.uint64(i)) for i, x in enumerate(least[band * ROWS : (band + 1) * ROWS], band * ROWS)))
+                yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in names], pa.array(key.view(np.int64))], [*names, name])
 
-    schema = ", ".join(f"{k} long" for k in keys) + f", p long, set array<long>, b{seed} long, k{seed} long"
-    return sets.select(*names).mapInArrow(run, schema)
+    return sets.select(*names).mapInArrow(run, ", ".join(f"{k} long" for k in keys) + f", p long, set array<long>, {name} long")
 
 
-def _links(members: DataFrame, similarity: float, most: int, levels: int = 3) -> DataFrame:
-    """a, b: links within the buckets of members (band, key, p, set).
+def _compare(rows: DataFrame, keys: list[str], similarity: float, most: int | None) -> DataFrame:
+    """a, b: links within the groups of rows (keys, p, set); the rows of a group of over most rows come back as they are, a and b null."""
+    names = ["a", "b", *keys, "p", "set"]
 
-    A bucket of over most members is dealt out by further bands, so that no task compares more of them at
-    once; at the last level it is compared in parts of most members, which the other bands connect.
-    """
-    rows, keys, found = members, ["band", "key"], None
-    for level in range(1, levels + 1):
-        last = level == levels
-
-        def run(batches: Iterator[pa.RecordBatch], keys=tuple(keys), last=last) -> Iterator[pa.RecordBatch]:
-            names = ["a", "b", *keys, "p", "set"]
-            for part, large in whole_groups(batches, keys, most):
-                if large and not last:
-                    empty = pa.nulls(part.num_rows, pa.int64())
-                    yield pa.RecordBatch.from_arrays([empty, empty, *[part.column(n) for n in names[2:]]], names)
-                    continue
-                p, column = longs(part.column("p")), part.column("set")
-                at, items = column.offsets.to_numpy(), column.values.to_numpy()
-                starts, out = runs(*[longs(part.column(k)) for k in keys]), []
-                for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                    for lo in range(i, j, most):
-                        hi = min(j, lo + most)
-                        if hi - lo > 1:
-                            out += [(p[lo + x], p[lo + y]) for x, y in connect_sets([items[at[k] : at[k + 1]] for k in range(lo, hi)], similarity)]
-                a, b = np.array(out, np.int64).reshape(-1, 2).T
-                fill = [pa.nulls(len(a), pa.int64())] * (len(keys) + 1) + [pa.nulls(len(a), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *fill], names)
-
-        ordered = rows.select(*keys, "p", "set").repartition(*keys).sortWithinPartitions(*keys, "p")
-        schema = "a long, b long, " + ", ".join(f"{k} long" for k in keys) + ", p long, set array<long>"
-        out = materialise(ordered.mapInArrow(run, schema), "links")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, large in whole_groups(batches, keys, most):
+            if large:
+                empty = pa.nulls(part.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([empty, empty, *[part.column(n) for n in names[2:]]], names)
+                continue
+            p, column = longs(part.column("p")), part.column("set")
+            at, items = column.offsets.to_numpy(), column.values.to_numpy()
+            starts, out = runs(*[longs(part.column(k)) for k in keys]), []
+            for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if j - i > 1:
+                    out += [(p[i + x], p[i + y]) for x, y in connect_sets([items[at[k] : at[k + 1]] for k in range(i, j)], similarity)]
+            a, b = np.array(out, np.int64).reshape(-1, 2).T
+            fill = [pa.nulls(len(a), pa.int64())] * (len(keys) + 1) + [pa.nulls(len(a), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *fill], names)
+
+    ordered = rows.select(*keys, "p", "set").repartition(*keys).sortWithinPartitions(*keys, "p")
+    return ordered.mapInArrow(run, "a long, b long, " + ", ".join(f"{k} long" for k in keys) + ", p long, set array<long>")
+
+
+def _in_parts(rows: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, list[str]]:
+    """The rows of large groups once for each two parts of their group that hold them, and the keys of such a pair of parts."""
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / most).alias("parts"))
+    dealt = rows.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64("p"), F.col("parts")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return dealt.withColumn("x", F.least("part", "other")).withColumn("y", F.greatest("part", "other")), [*keys, "x", "y"]
+
+
+def _links(members: DataFrame, similarity: float, most: int, levels: int = 3) -> DataFrame:
+    """a, b: links within the buckets of members (key, p, set)."""
+    rows, keys, found = members, ["key"], None
+    for level in range(1, levels + 2):
+        last = level > levels
+        out = materialise(_compare(rows, keys, similarity, None if last else most), "links")
         links = out.filter("a is not null").select("a", "b")
         found = links if found is None else found.union(links)
         rest = out.filter("a is null").select(*keys, "p", "set")
         if last or rest.isEmpty():
             break
-        rows, keys = _bands_of(rest, keys, level), [*keys, f"b{level}", f"k{level}"]
+        if level < levels:
+            rows, keys = _bands_of(rest, keys, level), [*keys, f"k{level}"]
+        else:
+            rows, keys = _in_parts(rest, keys, most)
     return found.distinct()
 
 
-def paragraph_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, min_tokens: int = MIN_TOKENS, most: int = 4096) -> DataFrame:
-    """doc_id, start, end, n_tokens, class_doc, class_start, removed: one row for each paragraph that has near copies, itself included.
+def paragraph_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, most: int = 2048) -> DataFrame:
+    """doc_id, start, end, n_words, class_doc, class_start, removed: one row for each paragraph with near copies in another document, itself included.
 
     class_doc and class_start name the group's first paragraph, which stays; removed is true for all others.
+    Paragraphs of a text overlap; what goes is the union of the removed ones.
     """
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = paragraphs(docs, min_tokens).withColumn("row", F.monotonically_increasing_id())
+    text = F.col(text_col).cast("string")
+    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("mark"), text.alias("text"))
+    rows = paragraphs(docs).withColumn("row", F.monotonically_increasing_id())
     rows = materialise(rows, "paragraphs")
-    first = F.min(F.struct("id", "start", "row"))
-    # p, the row of a paragraph's first copy, is its number; paragraphs with the same tokens have the same bands
-    groups = rows.groupBy("hi", "lo").agg(first.alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    groups = materialise(groups.select(F.col("first.row").alias("p"), F.col("first.id").alias("id"), F.col("first.start").alias("start"), "copies", "hi", "lo", "bands"), "different")
-    banded = groups.select("p", F.posexplode("bands").alias("band", "key")).withColumn("band", F.col("band").cast("long"))
-    shared = banded.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = materialise(banded.join(shared, ["band", "key"]), "members")
-    wanted = members.select("p").distinct().join(groups.select("p", "id", "start"), "p")
+    first = F.min(F.struct("id", "start", "row", "mark"))
+    # p, the row of a paragraph's first copy, is its number; paragraphs with the same words have the same bands
+    spread = [F.min("mark").alias("low"), F.max("mark").alias("high")]  # differ if the copies are in several documents
+    groups = rows.groupBy("hi", "lo").agg(first.alias("first"), *spread, F.first("bands").alias("bands"))
+    groups = materialise(groups.select(F.col("first.row").alias("p"), "first.id", "first.start", "first.mark", "low", "high", "hi", "lo", "bands"), "different")
+    banded = groups.select("p", F.explode("bands").alias("key")).select("key", "p")
+    members = materialise(_shared_keys(banded, most), "members")
+    wanted = members.select("p").distinct().join(groups.select("p", "mark", "start", "hi"), "p")
     sets = materialise(_shingle_sets(docs, wanted), "sets")
     roots = components(_links(members.join(sets, "p"), similarity, most))
-    place = groups.select(F.col("p").alias("node"), F.struct("id", "start", "p").alias("place"))
-    least = roots.join(place, "node").groupBy("root").agg(F.min("place").alias("class"))
-    named = roots.join(least, "root").join(groups.select(F.col("p").alias("node"), "hi", "lo"), "node").select("hi", "lo", "class")
+    named = roots.join(groups.select(F.col("p").alias("node"), F.struct("id", "start", "p").alias("place"), "low", "high", "hi", "lo"), "node")
+    least = named.groupBy("root").agg(F.min("place").alias("class"), F.min("low").alias("low"), F.max("high").alias("high"))
+    named = named.select("root", "hi", "lo").join(least.filter("low <> high").select("root", "class"), "root").select("hi", "lo", "class")
 
     def with_class(parts: DataFrame) -> DataFrame:
-        whole = parts.join(named, ["hi", "lo"], "left").filter("copies > 1 or class is not null")
+        whole = parts.join(named, ["hi", "lo"], "left").filter("low <> high or class is not null")
         return whole.withColumn("class", F.coalesce("class", F.struct(F.col("first.id").alias("id"), F.col("first.start").alias("start"), F.col("first.row").alias("p"))))
 
-    out = attach_group(rows.drop("bands"), ["hi", "lo"], {"first": (first, F.min), "copies": (F.count("*"), F.sum)}, spread_by=["row"], extend=with_class)
+    aggs = {"first": (F.min(F.struct("id", "start", "row")), F.min), "low": (F.min("mark"), F.min), "high": (F.max("mark"), F.max)}
+    out = attach_group(rows.drop("bands"), ["hi", "lo"], aggs, spread_by=["row"], extend=with_class)
     return out.select(
-        F.col("id").alias("doc_id"), "start", "end", "n_tokens", F.col("class.id").alias("class_doc"), F.col("class.start").alias("class_start"),
+        F.col("id").alias("doc_id"), "start", "end", "n_words", F.col("class.id").alias("class_doc"), F.col("class.start").alias("class_start"),
         (F.col("row") != F.col("class.p")).alias("removed"),
     )
 

@@ -168,34 +168,64 @@ def test_suffix_array_and_prefixes():
         assert lcp[k] == min(n, 100)
 
 
-@pytest.mark.parametrize("most", [4096, 2])
-def test_paragraphs(docs, rows, most):
-    lines = []
-    for r in rows:
-        at = 0
-        for line in (r[1] or "").encode().split(b"\n"):
-            v = decontaminate.tokens(np.frombuffer(line, np.uint8), np.array([0, len(line)]))[0].tolist() if line else []
-            if len(v) >= 10:
-                lines.append((r[0], at, {tuple(v[k : k + 5]) for k in range(len(v) - 4)}))
-            at += len(line) + 1
-    near = [(i, j) for i, a in enumerate(lines) for j, b in enumerate(lines[:i]) if len(a[2] & b[2]) >= 0.8 * len(a[2] | b[2])]
-    root = classes(len(lines), near)
-    size = Counter(root)
-    want = {lines[i][:2]: lines[k][:2] for i, k in enumerate(root) if size[k] > 1}
-    found = paragraphs.paragraph_groups(docs, most=most).collect()
-    got = {(r.doc_id, r.start): (r.class_doc, r.class_start) for r in found}
-    if most == 4096:
-        assert got == want
-    else:  # dealt out again and again, in parts of two: links are real, nearly all are found
-        assert set(got) <= set(want) and len(got) >= 0.9 * len(want)
+def plain_paragraphs(rows):
+    """(id, start, words) of each paragraph; the places are those of cut(), the words are found by a regular expression."""
+    out = []
+    for i, text in enumerate(r[1] or "" for r in rows):
+        data = np.frombuffer(text.encode(), np.uint8)
+        value, owner, starts, _ = paragraphs.words(data, np.array([0, len(data)]))
+        first, size, *_ = paragraphs.cut(value, owner)
+        found = [(len(text[: m.start()].encode()), m[0].lower()) for m in re.finditer(r"[^\W_]+", text)]
+        assert [f[0] for f in found] == starts.tolist()
+        out += [(rows[i][0], found[a][0], [w for _, w in found[a : a + n]]) for a, n in zip(first.tolist(), size.tolist(), strict=True)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def passages():
+    """Documents of one line or many that share passages of 51 to 60 words, and variants of one passage."""
+    rng = random.Random(21)
+    shared, base = [prose(rng, 51 + k % 10) for k in range(30)], prose(rng, 70).split()
+    out = []
+    for k in range(90):
+        passage = shared[k % 30]
+        if k % 3:
+            passage = passage.replace(" ", "\n", 4).upper()
+        out.append(f"{prose(rng, rng.randint(0, 60))} {passage}. {prose(rng, rng.randint(0, 60))}")
+    for k in range(40):
+        out.append(" ".join(["w%d" % k if j == k else w for j, w in enumerate(base)]))
+    clean = [prose(rng, 150) + "\n" + " ".join(shared[0].split()[:14]) for _ in range(20)] + [" ".join([prose(rng, 60)] * 2)]
+    return [(i, t) for i, t in enumerate(out + clean)], len(out)
+
+
+@pytest.mark.parametrize("most", [2048, 2])
+def test_paragraphs(spark, docs, rows, passages, most):
+    """With most = 2 buckets are dealt out again, at three levels, and then compared part by part: no link is lost."""
+    rows = rows + [(1000 + i, t) for i, t in passages[0]]
+    lines = [(i, at, {tuple(w[k : k + 5]) for k in range(len(w) - 4)}) for i, at, w in plain_paragraphs(rows)]
+    root = classes(len(lines), [(i, j) for i, a in enumerate(lines) for j, b in enumerate(lines[:i]) if len(a[2] & b[2]) >= 0.8 * len(a[2] | b[2])])
+    within = defaultdict(set)
+    for i, k in enumerate(root):
+        within[k].add(lines[i][0])
+    want = {lines[i][:2]: lines[k][:2] for i, k in enumerate(root) if len(within[k]) > 1}
+    more = spark.createDataFrame([(1000 + i, t) for i, t in passages[0]], "doc_id long, text string")
+    found = paragraphs.paragraph_groups(docs.select("doc_id", "text").union(more), most=most).collect()
+    assert {(r.doc_id, r.start): (r.class_doc, r.class_start) for r in found} == want
     assert all(r.removed == ((r.doc_id, r.start) != (r.class_doc, r.class_start)) for r in found)
 
 
-def test_paragraphs_empty_and_repeated_rows(spark, empty):
+def test_passages_within_lines_are_found_and_short_ones_left_alone(spark, passages):
+    rows, shared = passages
+    found = {r.doc_id for r in paragraphs.paragraph_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len([i for i in range(90) if i in found]) >= 85 and not [i for i in found if i >= shared]
+
+
+def test_paragraphs_empty_repeated_rows_and_null_ids(spark, empty):
     assert paragraphs.paragraph_groups(empty).count() == 0
-    text = prose(random.Random(8), 40)
-    got = paragraphs.paragraph_groups(spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")).collect()
-    assert len(got) == 3 and sum(r.removed for r in got) == 2
+    text, other = prose(random.Random(8), 36), prose(random.Random(9), 36)
+    rows = [(1, text), (1, text), (None, text), (2, other), (2, other), (2, other + " end"), (3, None)]
+    got = paragraphs.paragraph_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id or 0 for r in got) == [0, 1, 1, 2, 2, 2] and sum(r.removed for r in got) == 4
 
 
 def test_packing(docs, rows, empty):
