@@ -35,10 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm.common import LOWER, attach_group, blocks, longs, materialise, mix, powers, prefix_hash, runs, whole_groups
+from millwright.llm.common import LOWER, attach_group, blocks, longs, materialise, mix, powers, prefix_hash, runs, text_bytes, whole_groups
 from millwright.llm.components import components
 
-SHINGLE, PASSAGE, MIN_WORDS, REACH, SIMILARITY, BANDS, ROWS = 5, 36, 30, 7, 0.8, 4, 2
+SHINGLE, PASSAGE, MIN_WORDS, REACH, SIMILARITY, BANDS, ROWS = 5, 30, 26, 9, 0.8, 4, 2
+SALTS = 64
 _MOST = np.uint64((1 << 64) - 1)
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -93,9 +94,9 @@ def cut(value: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
     window = _least(laid, REACH)
     here = laid[place]
     start = (here < window[place - REACH]) & (here <= window[place + 1])
-    begun = np.concatenate([[0], np.cumsum(start)])
+    begun = np.concatenate([[0], np.cumsum(start & (left >= MIN_WORDS))])
     opens = owner[:-1][np.diff(owner) > 0]
-    opens = opens[begun[np.minimum(opens + REACH + 1, owner[1:][text[opens]])] == begun[opens]]  # unless it starts anew at once
+    opens = opens[begun[np.minimum(opens + REACH + 1, owner[1:][text[opens]])] == begun[opens]]  # unless a paragraph starts soon after
     start[opens] = True
     first = np.flatnonzero(start)
     gap = np.minimum(np.diff(np.append(first, len(value))), left[first])
@@ -118,7 +119,7 @@ def _digests(value: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """id, mark (hash of id and text), start, end (bytes of the text), n_words, hi and lo (128-bit hash of the words), bands."""
+    """id, mark (hash of id and text), start, end (bytes of the text), n_words, hi and lo (128-bit hash of the words), b0 to b3 (bands)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = _seeds(0)
@@ -133,18 +134,30 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                 least = _least(mixed, PASSAGE - SHINGLE + 1)[place[first]] if len(first) else np.zeros(0, np.uint64)
                 bands[:, k // ROWS] = mix(bands[:, k // ROWS] + least + np.uint64(k + 1))
             base = at[text]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1).view(np.int64)))
-            columns = [starts[first] - base, ends[first + size - 1] - base, size, hi.view(np.int64), lo.view(np.int64)]
+            columns = [starts[first] - base, ends[first + size - 1] - base, size, hi.view(np.int64), lo.view(np.int64), *bands.view(np.int64).T]
             named = [rows.column(k).take(pa.array(text)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*named, *map(pa.array, columns), lists], ["id", "mark", "start", "end", "n_words", "hi", "lo", "bands"])
+            yield pa.RecordBatch.from_arrays([*named, *map(pa.array, columns)], ["id", "mark", "start", "end", "n_words", "hi", "lo", *names])
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, mark long, start long, end long, n_words long, hi long, lo long, bands array<long>")
+    names, kind = [f"b{k}" for k in range(BANDS)], docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"id {kind}, mark long, start long, end long, n_words long, hi long, lo long, " + ", ".join(f"{n} long" for n in names))
 
 
-def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """p, set: the sorted different shingles of the paragraphs p that wanted (mark, start, hi, p) names."""
-    lists = wanted.groupBy("mark").agg(F.collect_list(F.struct("start", "hi", "p")).alias("parts"))  # bounded by the text
+def _packed(h: np.ndarray) -> bytes:
+    """The high 40 bits of the different hashes: two different shingles of a pair of paragraphs agree with probability 1e-9."""
+    return np.unique(h >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The items of all sets, one after the other, and where each set's begin (and the end of the last)."""
+    data, at = text_bytes(column)
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, 3:] = data.reshape(-1, 5)
+    return out.view("<u8")[:, 0], at // 5
+
+
+def _with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key, p, set (of shingles) for each key of the paragraphs p that wanted (mark, start, hi, p, keys) names; repeated rows repeat them."""
+    lists = wanted.groupBy("mark").agg(F.collect_list(F.struct("start", "hi", "p", "keys")).alias("parts"))  # bounded by the text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in blocks(batches, "text", 2 << 20):
@@ -153,15 +166,18 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             hi, _ = _digests(value, first, size)
             column = rows.column("parts")
             parts, number = column.flatten(), np.diff(column.offsets.to_numpy())
-            want = np.repeat(at[:-1], number) + longs(parts.field("start"))
-            k = np.searchsorted(starts[first], want)
-            good = np.flatnonzero(hi.view(np.int64)[np.minimum(k, len(first) - 1)] == longs(parts.field("hi"))) if len(first) else np.zeros(0, np.int64)
-            k = k[good]
-            sets = [np.unique(laid[a : a + n]).view(np.int64) for a, n in zip(place[first[k]].tolist(), (size[k] - SHINGLE + 1).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(longs(parts.field("p"))[good]), pa.array(sets, pa.list_(pa.int64()))], ["p", "set"])
+            if not len(first):
+                continue
+            k = np.searchsorted(starts[first], np.repeat(at[:-1], number) + longs(parts.field("start")))
+            k = np.minimum(k, len(first) - 1)
+            good = np.flatnonzero(hi.view(np.int64)[k] == longs(parts.field("hi")))
+            parts, k = parts.take(pa.array(good)), k[good]
+            sets = [_packed(laid[a : a + n]) for a, n in zip(place[first[k]].tolist(), (size[k] - SHINGLE + 1).tolist(), strict=True)]
+            keys = parts.field("keys")
+            each = np.repeat(np.arange(len(k)), np.diff(keys.offsets.to_numpy()))
+            yield pa.RecordBatch.from_arrays([keys.flatten(), parts.field("p").take(pa.array(each)), pa.array(sets, pa.binary()).take(pa.array(each))], ["key", "p", "set"])
 
-    joined = docs.join(lists, "mark").select("text", "parts")
-    return joined.mapInArrow(run, "p long, set array<long>").dropDuplicates(["p"])  # repeated rows have the same sets
+    return docs.join(lists, "mark").select("text", "parts").mapInArrow(run, "key long, p long, set binary")
 
 
 def connect_sets(sets: list[np.ndarray], least: float) -> Iterator[tuple[int, int]]:
@@ -217,14 +233,13 @@ def _bands_of(sets: DataFrame, keys: list[str], level: int) -> DataFrame:
         for rows in batches:
             if not rows.num_rows:
                 continue
-            column = rows.column("set")
-            at, h = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+            h, at = _unpacked(rows.column("set"))
             least = [np.minimum.reduceat((h ^ s) * (s | np.uint64(1)), at[:-1]) for s in seeds]
             for band in range(BANDS):
                 key = mix(sum(mix(x + np.uint64(i)) for i, x in enumerate(least[band * ROWS : (band + 1) * ROWS], band * ROWS)))
                 yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in names], pa.array(key.view(np.int64))], [*names, name])
 
-    return sets.select(*names).mapInArrow(run, ", ".join(f"{k} long" for k in keys) + f", p long, set array<long>, {name} long")
+    return sets.select(*names).mapInArrow(run, ", ".join(f"{k} long" for k in keys) + f", p long, set binary, {name} long")
 
 
 def _compare(rows: DataFrame, keys: list[str], similarity: float, most: int | None) -> DataFrame:
@@ -237,18 +252,20 @@ def _compare(rows: DataFrame, keys: list[str], similarity: float, most: int | No
                 empty = pa.nulls(part.num_rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([empty, empty, *[part.column(n) for n in names[2:]]], names)
                 continue
-            p, column = longs(part.column("p")), part.column("set")
-            at, items = column.offsets.to_numpy(), column.values.to_numpy()
+            p = longs(part.column("p"))
+            again = np.append(False, np.all([np.diff(longs(part.column(k))) == 0 for k in (*keys, "p")], axis=0))
+            part, p = part.filter(pa.array(~again)), p[~again]  # a repeated row
+            items, at = _unpacked(part.column("set"))
             starts, out = runs(*[longs(part.column(k)) for k in keys]), []
             for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 if j - i > 1:
                     out += [(p[i + x], p[i + y]) for x, y in connect_sets([items[at[k] : at[k + 1]] for k in range(i, j)], similarity)]
             a, b = np.array(out, np.int64).reshape(-1, 2).T
-            fill = [pa.nulls(len(a), pa.int64())] * (len(keys) + 1) + [pa.nulls(len(a), pa.list_(pa.int64()))]
+            fill = [pa.nulls(len(a), pa.int64())] * (len(keys) + 1) + [pa.nulls(len(a), pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *fill], names)
 
     ordered = rows.select(*keys, "p", "set").repartition(*keys).sortWithinPartitions(*keys, "p")
-    return ordered.mapInArrow(run, "a long, b long, " + ", ".join(f"{k} long" for k in keys) + ", p long, set array<long>")
+    return ordered.mapInArrow(run, "a long, b long, " + ", ".join(f"{k} long" for k in keys) + ", p long, set binary")
 
 
 def _in_parts(rows: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, list[str]]:
@@ -285,31 +302,26 @@ def paragraph_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.col(text_col).cast("string")
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("mark"), text.alias("text"))
-    rows = paragraphs(docs).withColumn("row", F.monotonically_increasing_id())
-    rows = materialise(rows, "paragraphs")
-    first = F.min(F.struct("id", "start", "row", "mark"))
-    # p, the row of a paragraph's first copy, is its number; paragraphs with the same words have the same bands
-    spread = [F.min("mark").alias("low"), F.max("mark").alias("high")]  # differ if the copies are in several documents
-    groups = rows.groupBy("hi", "lo").agg(first.alias("first"), *spread, F.first("bands").alias("bands"))
-    groups = materialise(groups.select(F.col("first.row").alias("p"), "first.id", "first.start", "first.mark", "low", "high", "hi", "lo", "bands"), "different")
-    banded = groups.select("p", F.explode("bands").alias("key")).select("key", "p")
-    members = materialise(_shared_keys(banded, most), "members")
-    wanted = members.select("p").distinct().join(groups.select("p", "mark", "start", "hi"), "p")
-    sets = materialise(_shingle_sets(docs, wanted), "sets")
-    roots = components(_links(members.join(sets, "p"), similarity, most))
-    named = roots.join(groups.select(F.col("p").alias("node"), F.struct("id", "start", "p").alias("place"), "low", "high", "hi", "lo"), "node")
-    least = named.groupBy("root").agg(F.min("place").alias("class"), F.min("low").alias("low"), F.max("high").alias("high"))
-    named = named.select("root", "hi", "lo").join(least.filter("low <> high").select("root", "class"), "root").select("hi", "lo", "class")
-
-    def with_class(parts: DataFrame) -> DataFrame:
-        whole = parts.join(named, ["hi", "lo"], "left").filter("low <> high or class is not null")
-        return whole.withColumn("class", F.coalesce("class", F.struct(F.col("first.id").alias("id"), F.col("first.start").alias("start"), F.col("first.row").alias("p"))))
-
-    aggs = {"first": (F.min(F.struct("id", "start", "row")), F.min), "low": (F.min("mark"), F.min), "high": (F.max("mark"), F.max)}
-    out = attach_group(rows.drop("bands"), ["hi", "lo"], aggs, spread_by=["row"], extend=with_class)
-    return out.select(
+    rows = materialise(paragraphs(docs).withColumn("row", F.monotonically_increasing_id()), "paragraphs")
+    # p, the least row of a paragraph's copies, is its number; paragraphs with the same words have the same bands
+    bands = [f"b{k}" for k in range(BANDS)]
+    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
+    salts = F.expr("bit_or(shiftleft(1L, salt))").alias("salts")  # over which a group's rows are spread
+    groups = rows.withColumn("salt", salt).groupBy("hi", "lo").agg(F.min("row").alias("p"), F.count("*").alias("n"), salts, *[F.first(b).alias(b) for b in bands])
+    groups = materialise(groups, "different")
+    shared = _shared_keys(groups.select(F.explode(F.array(*bands)).alias("key"), "p"), most)
+    wanted = shared.groupBy("p").agg(F.collect_list("key").alias("keys"))
+    wanted = wanted.join(rows.select(F.col("row").alias("p"), "mark", "start", "hi"), "p")
+    roots = components(_links(_with_sets(docs, wanted), similarity, most))
+    chosen = groups.select("hi", "lo", F.col("p").alias("node"), "n", "salts").join(roots, "node", "left").filter("n > 1 or root is not null")
+    spread = F.expr(f"explode(filter(sequence(0, {SALTS - 1}), i -> (shiftright(salts, i) & 1) = 1))")
+    chosen = chosen.select("hi", "lo", F.coalesce("root", "node").alias("root"), spread.alias("salt"))
+    found = rows.drop(*bands).withColumn("salt", salt).join(chosen, ["hi", "lo", "salt"]).drop("hi", "lo", "salt")
+    aggs = {"class": (F.min(F.struct("id", "start", "row")), F.min), "low": (F.min("mark"), F.min), "high": (F.max("mark"), F.max)}
+    found = attach_group(materialise(found, "found"), ["root"], aggs, spread_by=["row"], extend=lambda classes: classes.filter("low <> high"))
+    return found.select(
         F.col("id").alias("doc_id"), "start", "end", "n_words", F.col("class.id").alias("class_doc"), F.col("class.start").alias("class_start"),
-        (F.col("row") != F.col("class.p")).alias("removed"),
+        (F.col("row") != F.col("class.row")).alias("removed"),
     )
 
 

@@ -222,7 +222,7 @@ def test_passages_within_lines_are_found_and_short_ones_left_alone(spark, passag
 
 def test_paragraphs_empty_repeated_rows_and_null_ids(spark, empty):
     assert paragraphs.paragraph_groups(empty).count() == 0
-    text, other = prose(random.Random(8), 36), prose(random.Random(9), 36)
+    text, other = prose(random.Random(8), 30), prose(random.Random(9), 30)
     rows = [(1, text), (1, text), (None, text), (2, other), (2, other), (2, other + " end"), (3, None)]
     got = paragraphs.paragraph_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id or 0 for r in got) == [0, 1, 1, 2, 2, 2] and sum(r.removed for r in got) == 4
