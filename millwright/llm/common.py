@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +82,57 @@ def attach_group(
     return rows.join(extend(whole).withColumn(SALT, F.explode(SALT)), [*keys, SALT]).drop(SALT)
 
 
+def bloom_places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each hash in a filter of `bits` bits, a power of two of at most 2**32."""
+    return h & np.uint64(bits - 1), (h >> np.uint64(32)) & np.uint64(bits - 1)
+
+
+def bloom_filter(hashes: DataFrame, bits: int = 1 << 25, block: int = 1 << 16) -> Broadcast:
+    """A broadcast Bloom filter of the long column h, a good hash. Its size is fixed: it spares work and decides nothing.
+
+    Executors set the bits, each those of some blocks; the driver reads the blocks, bits / 8 bytes at most.
+    """
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.unique(np.concatenate(bloom_places(longs(b.column(0)).view(np.uint64), bits))).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found // block), pa.array(found % block)], ["block", "place"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            number, place = longs(b.column(0)), longs(b.column(1))
+            for k in np.unique(number).tolist():
+                held.setdefault(k, np.zeros(block, bool))[place[number == k]] = True
+        made = [np.packbits(x, bitorder="little").tobytes() for x in held.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(made, pa.binary())], ["block", "bits"])
+
+    spread = hashes.select("h").mapInArrow(places, "block long, place long").distinct().repartition(min(64, bits // block), "block")
+    out = np.zeros(bits // 8, np.uint8)
+    for row in spread.mapInArrow(fill, "block long, bits binary").collect():
+        out[row["block"] * block // 8 : (row["block"] + 1) * block // 8] = np.frombuffer(row["bits"], np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(out)
+
+
+def in_bloom(h: np.ndarray, filled: np.ndarray) -> np.ndarray:
+    """Whether each hash (uint64) may be in the filter."""
+    may = np.ones(len(h), bool)
+    for place in bloom_places(h, 8 * len(filled)):
+        may &= (filled[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    return may
+
+
+def may_be_in(df: DataFrame, column: str, bloom: Broadcast, inside: bool = True) -> DataFrame:
+    """The rows of df whose hash in a long column may be in the filter, or (inside=False) cannot be in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            may = in_bloom(longs(b.column(b.schema.get_field_index(column))).view(np.uint64), bloom.value)
+            yield b.filter(pa.array(may if inside else ~may))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string or binary column, null as empty, and the offsets of its values."""
     if column.null_count:

@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm.common import LOWER, blocks, materialise, mix, prefix_hash, without
+from millwright.llm.common import LOWER, blocks, bloom_filter, in_bloom, materialise, mix, prefix_hash, without
 
-WINDOW, COVERAGE, CONSISTENCY, FILTER_BITS = 5, 0.6, 0.8, 1 << 25
+WINDOW, COVERAGE, CONSISTENCY = 5, 0.6, 0.8
 #: Units that follow a number.
 UNITS = (
     "mm cm m km inch inches ft foot feet yard yards mile miles mg g kg ton tons tonne tonnes lb lbs pound pounds oz ounce ounces ml l liter liters litre"
@@ -114,10 +114,6 @@ def windows(template: np.ndarray, owner: np.ndarray, width: int = WINDOW) -> tup
     return mix(h), text, first
 
 
-def bloom_bits(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return h & np.uint64(bits - 1), (h >> np.uint64(32)) & np.uint64(bits - 1)
-
-
 _SLOTS = "array<struct<pos:int,val:long>>"
 
 
@@ -154,8 +150,7 @@ def template_windows(df: DataFrame, id_col: str, text_col: str, width: int = WIN
                 h, text, first = h[has[text]], text[has[text]], first[has[text]]
             count = np.bincount(text, minlength=len(owner) - 1)
             if bloom is not None:
-                one, two = bloom_bits(h, 8 * len(bloom.value))
-                may = np.flatnonzero(_get(bloom.value, one) & _get(bloom.value, two))
+                may = np.flatnonzero(in_bloom(h, bloom.value))
                 h, text, first = h[may], text[may], first[may]
             ids = part.column(0).take(pa.array(text))
             slots = _slots(value, template, first, width, owner[1:][text])
@@ -168,25 +163,6 @@ def template_windows(df: DataFrame, id_col: str, text_col: str, width: int = WIN
     return rows.mapInArrow(run, f"id {kind}, first int, n int, h long, slots {_SLOTS}")
 
 
-def _get(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
-
-def bloom_filter(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A filter of `bits` bits of the column h. What the driver reads are the filter's bytes that are not zero: at most bits / 8 rows."""
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = b.column("h").to_numpy().view(np.uint64)
-            both = np.unique(np.concatenate(bloom_bits(h, bits)))
-            yield pa.RecordBatch.from_arrays([pa.array((both >> np.uint64(3)).astype(np.int64)), pa.array(1 << (both & np.uint64(7)).astype(np.int32))], ["byte", "bit"])
-
-    found = hashes.select("h").mapInArrow(places, "byte long, bit int").groupBy("byte").agg(F.bit_or("bit").alias("bit")).toArrow()
-    out = np.zeros(bits // 8, np.uint8)
-    out[found.column("byte").to_numpy()] = found.column("bit").to_numpy()
-    return out
-
-
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     width: int = WINDOW, coverage: float = COVERAGE, consistency: float = CONSISTENCY,
@@ -198,7 +174,7 @@ def contaminated(
     """
     forms = [template_windows(benchmark, item_col, item_text_col, width, names=n).withColumn("form", F.lit(int(n))) for n in (True, False)]
     items = materialise(forms[0].union(forms[1]), "items")
-    bloom = docs.sparkSession.sparkContext.broadcast(bloom_filter(items))
+    bloom = bloom_filter(items.select("h"))
     items = items.withColumnsRenamed({"id": "item_id", "first": "item_first", "slots": "item_slots"})
     sizes = items.groupBy("item_id", "form").agg(F.count_distinct("h").alias("different")).withColumnsRenamed({"item_id": "i", "form": "f"})
     hits = template_windows(docs, id_col, text_col, width, bloom).withColumnRenamed("id", "doc_id").drop("n")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm.common import LOWER, attach_group, blocks, longs, materialise, mix, powers, prefix_hash, runs, text_bytes, whole_groups
+from millwright.llm.common import LOWER, attach_group, blocks, bloom_filter, longs, materialise, may_be_in, mix, powers, prefix_hash, runs, text_bytes, whole_groups
 from millwright.llm.components import components
 
 SHINGLE, PASSAGE, MIN_WORDS, REACH, SIMILARITY, BANDS, ROWS = 5, 30, 26, 9, 0.8, 4, 2
@@ -96,7 +96,7 @@ def cut(value: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
     start = (here < window[place - REACH]) & (here <= window[place + 1])
     begun = np.concatenate([[0], np.cumsum(start & (left >= MIN_WORDS))])
     opens = owner[:-1][np.diff(owner) > 0]
-    opens = opens[begun[np.minimum(opens + REACH + 1, owner[1:][text[opens]])] == begun[opens]]  # unless a paragraph starts soon after
+    opens = opens[begun[np.minimum(opens + 3, owner[1:][text[opens]])] == begun[opens]]  # unless one that is nearly the same starts there
     start[opens] = True
     first = np.flatnonzero(start)
     gap = np.minimum(np.diff(np.append(first, len(value))), left[first])
@@ -177,7 +177,8 @@ def _with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             each = np.repeat(np.arange(len(k)), np.diff(keys.offsets.to_numpy()))
             yield pa.RecordBatch.from_arrays([keys.flatten(), parts.field("p").take(pa.array(each)), pa.array(sets, pa.binary()).take(pa.array(each))], ["key", "p", "set"])
 
-    return docs.join(lists, "mark").select("text", "parts").mapInArrow(run, "key long, p long, set binary")
+    texts = may_be_in(docs, "mark", bloom_filter(wanted.select(F.col("mark").alias("h"))))
+    return texts.join(lists, "mark").select("text", "parts").mapInArrow(run, "key long, p long, set binary")
 
 
 def connect_sets(sets: list[np.ndarray], least: float) -> Iterator[tuple[int, int]]:
@@ -311,7 +312,7 @@ def paragraph_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = materialise(groups, "different")
     shared = _shared_keys(groups.select(F.explode(F.array(*bands)).alias("key"), "p"), most)
     wanted = shared.groupBy("p").agg(F.collect_list("key").alias("keys"))
-    wanted = wanted.join(rows.select(F.col("row").alias("p"), "mark", "start", "hi"), "p")
+    wanted = materialise(wanted.join(rows.select(F.col("row").alias("p"), "mark", "start", "hi"), "p"), "wanted")
     roots = components(_links(_with_sets(docs, wanted), similarity, most))
     chosen = groups.select("hi", "lo", F.col("p").alias("node"), "n", "salts").join(roots, "node", "left").filter("n > 1 or root is not null")
     spread = F.expr(f"explode(filter(sequence(0, {SALTS - 1}), i -> (shiftright(salts, i) & 1) = 1))")
