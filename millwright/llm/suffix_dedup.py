@@ -2,45 +2,47 @@
 
 Every window of LENGTH bytes has an anchor, the window's GRAM-byte string with the least hash, so equal
 windows have equal anchors at equal places. A document's windows with the same anchor form a segment; there
-is one for about 40 bytes of text. The segments' hashes are grouped over the whole corpus without their text:
-
-- a segment that is identical to an earlier one is removed as a whole;
-- a segment whose anchor and neighbourhood occur elsewhere, though it is not identical, is contested. Only
-  contested segments are fetched. They are dealt to shards by anchor; a shard sorts their suffixes by
-  Larsson-Sadakane refinement, gets common prefixes by Kasai's scan (all segments of the shard in step) and
-  compares windows exactly. A group that is too large for one shard is cut into several, whose distinct
-  windows are merged by binary search in sorted tables of 128-bit digests.
-
-Everything else occurs once and never leaves its task. A text over BLOCK bytes is read in overlapping parts.
-
-Order: smaller id first, then the earlier start. Cases: a null text is empty; a null id is the smallest
-one; rows that repeat an id count as one document at the same places, spans found in one are removed in all;
-texts shorter than LENGTH are kept; an empty table gives an empty result; other columns are not read.
+is one for about 40 bytes of text. Of each segment only numbers are dealt out at first: those whose anchor, with the
+bytes of half a window before it or behind it, occurs once have no window that occurs elsewhere, and are dropped.
+
+All others are fetched and dealt to shards by anchor. A shard lays its segments out with a separator of its own
+behind each, sorts their suffixes by Larsson-Sadakane refinement and gets common prefixes by Kasai's scan (all
+segments of the shard in step). Windows are equal if their suffixes agree in LENGTH bytes; of equal ones the first
+stays, and the others are removed. A group of segments that is too large for one shard is cut into several; each
+gives its sorted table of different windows, and the tables are merged by binary search, on the windows' bytes.
+
+Order: smaller id first, then the earlier start. Cases: a null text is empty; a null id is the smallest one; ids of
+other types than integers are numbered in their order; rows that repeat both id and text are one document, and what is
+removed of one is removed of all; rows that repeat an id, or have none, with other texts are ordered by a hash of
+the text; texts shorter than LENGTH are kept; a text over BLOCK bytes is read in overlapping parts; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b, sha256
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millwright.llm.common import blocks, longs, materialise, mix, powers, runs, text_bytes, whole_groups
+from millwright.functions.prefix import global_order
+from millwright.llm.common import blocks, bloom_filter, longs, materialise, may_be_in, mix, powers, runs, text_bytes, whole_groups
 
-LENGTH, GRAM, BLOCK, FILTER_BITS = 100, 32, 1 << 19, 1 << 24
-_ONE, _TWO = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+LENGTH, GRAM, BLOCK = 100, 16, 1 << 19
+_ONE = 0xD6E8FEB86659FD93
 _LOW = np.uint64((1 << 24) - 1)
 
 
 def segments(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Of bytes of texts (up to 2**24): first window and number of windows of each segment, its anchor's place, and hashes
-    of the anchor, of the segment and of the bytes that make up half a window on either side of the anchor."""
+    of the anchor and of the bytes that make up half a window on either side of the anchor."""
     n, width = len(data), length - gram + 1
     if n < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64))
     up, down = powers(_ONE, n)
     sums = np.zeros(n + 1, np.uint64)
     np.multiply(data, up[:n], out=sums[1:])
@@ -75,17 +77,15 @@ def segments(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[
         return (sums[j] - sums[i]) * down[i]
 
     half = (length - gram + 1) // 2
-    digest = mix(hashed(first, first + count - 1 + length) + (anchor - first).astype(np.uint64) * np.uint64(_TWO) + count.astype(np.uint64))
     before = mix(hashed(np.maximum(anchor - half, 0), anchor))
     after = mix(hashed(anchor + gram, np.minimum(anchor + gram + half, n)))
-    return first, count, anchor, mix(grams[anchor]), digest, before, after
+    return first, count, anchor, mix(grams[anchor]), before, after
 
 
 def _occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """key, digest, doc, place: one row for each segment; key is the anchor's hash.
+    """key, doc, place: one row for each segment; key is the anchor's hash.
 
-    place packs the start (32 bits), the anchor's offset and the number of windows (8 bits each), 7 bits of each
-    neighbour's hash and whether an identical earlier segment was seen in the same block; such rows have a key of their own.
+    place packs the start (31 bits), the anchor's offset and the number of windows (7 bits each) and 9 bits of each neighbour's hash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,267 +94,296 @@ def _occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
             for base in range(0, max(1, len(data) - length + 1), 2 * BLOCK):  # more than one part only of a single long text
                 part = data[base : base + 2 * BLOCK + length - 1] if len(data) > 2 * BLOCK + length else data
                 inner = at if part is data else np.array([0, len(part)])
-                first, count, anchor, key, digest, before, after = segments(part, inner, length, gram)
+                first, count, anchor, key, before, after = segments(part, inner, length, gram)
                 owner = np.searchsorted(inner, first, side="right") - 1
-                doc = ids[owner]
                 start = first - inner[owner] + (base if part is not data else 0)
-                order = np.lexsort((start, doc, digest, key))
-                again = np.zeros(len(order), bool)
-                k, d = key[order], digest[order]
-                again[1:] = (k[1:] == k[:-1]) & (d[1:] == d[:-1])
-                again &= ~_same_place(doc[order], start[order], runs(k, d))
-                seen = np.zeros(len(order), bool)
-                seen[order] = again
-                key = np.where(seen, mix(digest + doc.view(np.uint64) * np.uint64(_TWO) + start.astype(np.uint64)), key)
-                place = (start.astype(np.int64) << 31) | ((anchor - first) << 23) | (count << 15)
-                place |= ((before & np.uint64(127)).astype(np.int64) << 8) | ((after & np.uint64(127)).astype(np.int64) << 1) | seen
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key, digest, doc, place)], ["key", "digest", "doc", "place"])
+                place = (start.astype(np.int64) << 32) | ((anchor - first) << 25) | (count << 18)
+                place |= ((before & np.uint64(511)).astype(np.int64) << 9) | (after & np.uint64(511)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[owner]), pa.array(place)], ["key", "doc", "place"])
                 if part is data:
                     break
 
-    return docs.mapInArrow(run, "key long, digest long, doc long, place long")
-
+    return docs.mapInArrow(run, "key long, doc long, place long")
 
-def _same_place(doc: np.ndarray, start: np.ndarray, groups: np.ndarray) -> np.ndarray:
-    """Whether a row has the document and start of its group's first row: the same place, read twice."""
-    head = np.repeat(groups[:-1], np.diff(groups))
-    return (doc == doc[head]) & (start == start[head])
 
-
-def _resolved(occurrences: DataFrame, length: int, gram: int, most: int) -> DataFrame:
-    """doc, start, count, key: segments that are removed as a whole (key null) and contested segments."""
+def _repeatable(occurrences: DataFrame, length: int, gram: int, most: int) -> DataFrame:
+    """doc, start, count, key: the segments of which a window may occur elsewhere."""
     half = (length - gram + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # key, digest, doc, start of the latest first occurrence
         for rows, large in whole_groups(batches, ["key"], most):
-            key, digest, doc, place = (longs(rows.column(c)) for c in ("key", "digest", "doc", "place"))
-            start, offset, count = place >> 31, (place >> 23) & 255, (place >> 15) & 255
-            seen = (place & 1).astype(bool)
-            groups = runs(key, digest, seen)
-            head = np.repeat(groups[:-1], np.diff(groups))
-            repeat = (np.arange(len(key)) > head) & ~_same_place(doc, start, groups)
-            if last is not None and last[:2] == (key[0], digest[0]) and not seen[0]:
-                own = slice(0, int(groups[1]))
-                repeat[own] = (doc[own] != last[2]) | (start[own] != last[3])
-            else:
-                last = None
-            tail = int(groups[-2])
-            if last is None or tail:
-                last = (key[tail], digest[tail], doc[tail], start[tail])
-            gone = seen | repeat
-            rest = np.flatnonzero(~gone)
             if not large:
-                pair = np.zeros(len(rest), bool)
-                for side, has in ((8, offset[rest] >= half), (1, offset[rest] - count[rest] + 1 <= half)):
-                    own = rest[has]
-                    code = mix(key[own].view(np.uint64)) + (((place[own] >> side) & 127).astype(np.uint64) << np.uint64(1)) + np.uint64(1)
+                starts = runs(longs(rows.column("key")))
+                rows = rows.filter(pa.array(np.repeat(np.diff(starts) > 1, np.diff(starts))))
+            key, doc, place = (longs(rows.column(c)) for c in ("key", "doc", "place"))
+            offset, count = (place >> 25) & 127, (place >> 18) & 127
+            pair = np.full(len(key), large)
+            if not large:
+                # half a window or more is before the anchor in the last windows, or behind it in the first ones
+                for side, has in ((9, offset >= half), (0, offset - count + 1 <= half)):
+                    own = np.flatnonzero(has)
+                    code = mix(mix(key[own].view(np.uint64)) + ((place[own] >> side) & 511).astype(np.uint64))
                     _, inverse, number = np.unique(code, return_inverse=True, return_counts=True)
-                    pair[np.flatnonzero(has)] |= number[inverse] > 1
-                rest = rest[pair]
-            out = np.concatenate([np.flatnonzero(gone), rest])
-            keys = pa.array(key[out], mask=np.arange(len(out)) < len(out) - len(rest))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[out]), pa.array(start[out]), pa.array(count[out].astype(np.int32)), keys], ["doc", "start", "count", "key"]
-            )
+                    pair[own] |= number[inverse] > 1
+            yield pa.RecordBatch.from_arrays([pa.array(x[pair]) for x in (doc, place >> 32, count.astype(np.int32), key)], ["doc", "start", "count", "key"])
+
+    return occurrences.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc long, start long, count int, key long")
 
-    sorted_rows = occurrences.repartition("key").sortWithinPartitions("key", "digest", "doc", "place")
-    return sorted_rows.mapInArrow(run, "doc long, start long, count int, key long")
 
+def laid_out(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Strings with a separator behind each: symbols (a byte + 1; a separator is 0) and the starts of the strings (and the end)."""
+    n = len(at) - 1
+    out = np.zeros(len(data) + n, np.uint16)
+    out[np.arange(len(data)) + np.repeat(np.arange(n), np.diff(at))] = data.astype(np.uint16) + 1
+    return out, at + np.arange(n + 1)
 
-def suffix_array(data: np.ndarray) -> np.ndarray:
-    """The sorted suffixes of data, by Larsson-Sadakane refinement.
 
-    Suffixes are sorted by 8 bytes first; each round sorts the groups that are still unsorted by the ranks
-    of the suffixes that start as many bytes later as the groups agree in.
+def _ordered(key: np.ndarray, key_bits: int, value: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """value (of up to `bits` bits), ordered by key and value, and where the key changes. If both fit they are packed, since a plain sort is fastest."""
+    new = np.ones(len(value), bool)
+    if key_bits + bits <= 64:
+        code = (key << np.uint64(bits)) | value.astype(np.uint64)
+        code.sort()
+        value, key = (code & np.uint64((1 << bits) - 1)).astype(np.int64), code >> np.uint64(bits)
+    else:
+        by = np.lexsort((value, key))
+        value, key = value[by], key[by]
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    return value, new
+
+
+def suffix_array(symbols: np.ndarray) -> np.ndarray:
+    """The sorted suffixes of strings that are laid out with separators, by Larsson-Sadakane refinement.
+
+    A separator is less than any byte and than all separators behind it, so no comparison goes on into the next
+    string. Suffixes are sorted by 4 symbols first; each round sorts the groups that are still unsorted by
+    the ranks of the suffixes that start as many symbols later as the groups agree in.
     """
-    n, word = len(data), np.append(data, np.zeros(8, np.uint8)).astype(np.uint64)
-    for k in (1, 2, 4):
-        word = (word[:-k] << np.uint64(8 * k)) | word[k:]
+    n = len(symbols)
+    bits = max(1, int(n).bit_length())
+    word = np.append(symbols, np.zeros(4, np.uint16)).astype(np.int64)
+    for k in (1, 2):
+        word = (word[:-k] << (9 * k)) | word[k:]
     word = word[:n]
-    order = np.argsort(word, kind="stable")
-    rank = np.empty(n + 1, np.int64)
-    rank[n] = -1
+    stop = np.append(np.flatnonzero(symbols == 0), n)
+    left = stop[np.searchsorted(stop, np.arange(n))] - np.arange(n)  # bytes up to the separator
+    short = left < 4
+    drop = 9 * (4 - left[short])
+    word[short] = word[short] >> drop << drop  # what is behind the separator does not count; the place tells such suffixes apart
+    rank = np.empty(n, np.int64)
 
     def name(places: np.ndarray, new: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
-        """Give the suffixes at places the place of their group's head as rank; places in groups of more than one."""
+        """Give the suffixes at places the place of their group's head as rank; which of them are in groups of more than one."""
         heads = np.flatnonzero(new)
         size = np.diff(np.append(heads, len(new)))
         rank[suffixes] = np.repeat(places[heads], size)
-        return places[np.repeat(size > 1, size)]
-
-    sorted_words = word[order]
-    open_places = name(np.arange(n), np.append(True, sorted_words[1:] != sorted_words[:-1])[:n], order)
-    h = 8
-    while len(open_places):
-        suffixes = order[open_places]
-        own, later = rank[suffixes], rank[np.minimum(suffixes + h, n)]
-        by = np.lexsort((later, own))
-        suffixes, own, later = suffixes[by], own[by], later[by]
-        order[open_places] = suffixes
-        new = np.ones(len(by), bool)
-        new[1:] = (own[1:] != own[:-1]) | (later[1:] != later[:-1])
-        open_places = name(open_places, new, suffixes)
+        return np.repeat(size > 1, size)
+
+    order, new = _ordered(word.astype(np.uint64), 36, np.arange(n), bits)
+    new |= short[order]
+    places = np.flatnonzero(name(np.arange(n), new, order))
+    h = 4
+    while len(places):
+        suffixes = order[places]
+        both = (rank[suffixes] << bits) | rank[suffixes + h]
+        suffixes, new = _ordered(both.astype(np.uint64), 2 * bits, suffixes, bits)
+        order[places] = suffixes
+        places = places[name(places, new, suffixes)]
         h *= 2
     return order
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, lanes: np.ndarray, depth: int) -> np.ndarray:
+def common_prefixes(symbols: np.ndarray, order: np.ndarray, lanes: np.ndarray, depth: int) -> np.ndarray:
     """For each place of the suffix array the common prefix with the place before, up to depth bytes, by Kasai's scan.
 
-    lanes: starts of parts of data and its length. The scan goes through all parts in step: from one suffix to the
+    lanes: the starts of the strings, and the end. The scan goes through all strings in step: from one suffix to the
     next the prefix loses one byte at most.
     """
-    n = len(data)
+    n = len(symbols)
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
-    padded = np.append(data, np.zeros(depth + 8, np.uint8)).astype(np.uint64)
-    word = padded
+    before = np.append(order[-1:], order[:-1])[place] if n else order  # the suffix that is sorted just before each one
+    left = np.repeat(lanes[1:] - 1, np.diff(lanes)) - np.arange(n)  # bytes up to the separator
+    word = np.append(np.maximum(symbols.astype(np.int64) - 1, 0), np.zeros(8, np.int64)).astype(np.uint64)
     for k in (1, 2, 4):
         word = (word[:-k] << np.uint64(8 * k)) | word[k:]
-    out = np.zeros(n, np.int64)
-    size = np.diff(lanes)
-    h = np.zeros(len(size), np.int64)
-    for t in range(int(size.max(initial=0))):
-        active = np.flatnonzero(size > t)
-        i = lanes[active] + t
-        j = order[place[i] - 1]
-        has = place[i] > 0
-        have = np.maximum(h[active] - 1, 0)
-        have[~has] = 0
-        going = np.flatnonzero(has & (have < depth))
+    out, size = np.zeros(n, np.int64), np.diff(lanes)
+    h, by_size = np.zeros(len(size), np.int64), np.argsort(-size, kind="stable")
+    alive = np.searchsorted(-size[by_size], -np.arange(int(size.max(initial=0))), side="left")  # strings of more than t symbols
+    for t in range(len(alive)):
+        lane = by_size[: alive[t]]
+        i = lanes[lane] + t
+        j, most = before[i], np.minimum(np.minimum(left[i], left[before[i]]), depth)
+        most[place[i] == 0] = 0
+        have = np.minimum(np.maximum(h[lane] - 1, 0), most)
+        going = np.flatnonzero(have < most)
         while len(going):
-            a, b = i[going] + have[going], j[going] + have[going]
-            differ = word[a] ^ word[b]
-            most = np.minimum(depth - have[going], n - np.maximum(a, b))
+            done = have[going]
+            differ = word[i[going] + done] ^ word[j[going] + done]
             same = sum((differ < np.uint64(1 << (56 - 8 * k))).astype(np.int64) for k in range(8))  # leading bytes that agree
-            have[going] += np.minimum(same, most)
-            going = going[(same == 8) & (most > 8)]
+            have[going] = np.minimum(done + same, most[going])
+            going = going[(same == 8) & (have[going] < most[going])]
         out[place[i]] = have
-        h[active] = have
+        h[lane] = have
     return out
 
 
+def _slices(key: np.ndarray, at: np.ndarray, limit: int) -> Iterator[slice]:
+    """Slices of whole groups of rows, of about limit bytes each, or of one group."""
+    starts, first = runs(key), 0
+    while first < len(starts) - 1:
+        last = int(np.searchsorted(at[starts], at[starts[first]] + limit, side="right")) - 1
+        last = min(max(first + 1, last), len(starts) - 1)
+        yield slice(int(starts[first]), int(starts[last]))
+        first = last
+
+
 def _shards(found: DataFrame, length: int, most: int) -> DataFrame:
-    """doc, start, end: spans to remove; with hi and lo: digests of the different windows of groups that are in several shards."""
+    """doc, start, end: spans to remove; with shard and window: the table of different windows of a shard that holds a part of a group."""
+    names = ["doc", "start", "end", "shard", "code", "window"]
 
-    def shard(rows: pa.RecordBatch, large: bool) -> pa.RecordBatch:
+    def sorted_shard(rows: pa.RecordBatch, shard: int | None) -> pa.RecordBatch:
+        # of equal windows the first one is in the first row, as rows are sorted by document and start
         doc, start = longs(rows.column("doc")), longs(rows.column("start"))
         data, at = text_bytes(rows.column("bytes"))
-        order = suffix_array(data)
-        lcp = common_prefixes(data, order, at, length)
-        group = np.cumsum(lcp < length)
-        owner = np.searchsorted(at, order, side="right") - 1
-        window = order + length <= at[owner + 1]
-        place, owner, group = order[window], owner[window], group[window]
-        own_doc, own_start = doc[owner], start[owner] + place - at[owner]
-        by = np.lexsort((own_start, own_doc, group))
-        heads = runs(group[by])
-        head = np.repeat(heads[:-1], np.diff(heads))
-        again = (own_doc[by] != own_doc[by][head]) | (own_start[by] != own_start[by][head])
-        gone = np.sort(place[by][again])
-        part = np.searchsorted(at, gone, side="right") - 1
+        symbols, lanes = laid_out(data, at)
+        order = suffix_array(symbols)
+        lcp = common_prefixes(symbols, order, lanes, length)
+        owner = np.repeat(np.arange(len(doc)), np.diff(lanes))[order]
+        inside = order + length < lanes[owner + 1]
+        group = np.cumsum(lcp < length)[inside]
+        place, owner = order[inside], owner[inside]
+        heads = runs(group)
+        first = np.minimum.reduceat(place, heads[:-1]) if len(place) else place
+        head = np.repeat(first, np.diff(heads))
+        gone = np.sort(place[place != head])
+        part = np.repeat(np.arange(len(doc)), np.diff(lanes))[gone]
         cut = runs(gone - np.arange(len(gone)), part)
-        first, last = gone[cut[:-1]], gone[cut[1:] - 1]
+        one, last = gone[cut[:-1]], gone[cut[1:] - 1]
         part = part[cut[:-1]]
-        columns = [doc[part], start[part] + first - at[part], start[part] + last - at[part] + length]
-        sums = np.zeros((0, 2), np.int64)
-        if large:
-            kept = place[by][~again]
-            raw = data.tobytes()
-            sums = np.frombuffer(b"".join(blake2b(raw[p : p + length], digest_size=16).digest() for p in kept.tolist()), "<i8").reshape(-1, 2)
-            more = own_doc[by][~again], own_start[by][~again], own_start[by][~again] + length
-            columns = [np.concatenate(x) for x in zip(columns, more, strict=True)]
-        mask = np.arange(len(columns[0])) < len(columns[0]) - len(sums)
-        fill = np.concatenate([np.zeros((mask.sum(), 2), np.int64), sums])
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(fill[:, 0], mask=mask), pa.array(fill[:, 1], mask=mask)], ["doc", "start", "end", "hi", "lo"])
+        columns = [doc[part], start[part] + one - lanes[part], start[part] + last - lanes[part] + length]
+        if shard is None:
+            fill = [pa.nulls(len(part), t) for t in (pa.int64(), pa.int64(), pa.binary())]
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), *fill], names)
+        part = np.searchsorted(lanes, first, side="right") - 1
+        base, raw = first - part, data.tobytes()  # without the separators
+        more = doc[part], start[part] + first - lanes[part], start[part] + first - lanes[part] + length
+        columns = [np.concatenate(x) for x in zip(columns, more, strict=True)]
+        mask = np.arange(len(columns[0])) < len(columns[0]) - len(first)
+        table = [None] * int(mask.sum()) + [raw[p : p + length] for p in base.tolist()]
+        up, down = powers(_ONE, len(data))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * up[: len(data)])])
+        code = np.zeros(len(mask), np.uint64)
+        code[~mask] = mix((sums[base + length] - sums[base]) * down[base])
+        return pa.RecordBatch.from_arrays(
+            [*map(pa.array, columns), pa.array(np.full(len(mask), shard), mask=mask), pa.array(code.view(np.int64), mask=mask), pa.array(table, pa.binary())], names
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = 0
         for rows, large in whole_groups(batches, ["key"], most):
-            for at in range(0, rows.num_rows, most) if large else (0,):
-                yield shard(rows.slice(at, most) if large else rows, large)
-
-    sorted_rows = found.repartition("key").sortWithinPartitions("key", "doc", "start")
-    return sorted_rows.mapInArrow(run, "doc long, start long, end long, hi long, lo long")
-
-
-def _merged(windows: DataFrame) -> DataFrame:
-    """doc, start, end of windows (hi, lo: digest) that are not the first with their digest: the first is found by binary search."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for rows in batches:
-            if not rows.num_rows:
+            if large:
+                for at in range(0, rows.num_rows, most):
+                    yield sorted_shard(rows.slice(at, most), shard)
+                    shard += 1
                 continue
-            digest = np.empty(rows.num_rows, [("hi", np.int64), ("lo", np.int64)])
-            digest["hi"], digest["lo"] = longs(rows.column("hi")), longs(rows.column("lo"))
-            doc, start = longs(rows.column("doc")), longs(rows.column("start"))
-            first = np.searchsorted(digest, digest, side="left")
-            head_doc, head_start = doc[first], start[first]
-            if last is not None and last[0] == digest[0]:  # the table goes on in this batch
-                own = first == 0
-                head_doc[own], head_start[own] = last[1], last[2]
-            last = digest[-1], head_doc[-1], head_start[-1]
-            yield rows.filter(pa.array((doc != head_doc) | (start != head_start))).select(["doc", "start", "end"])
-
-    sorted_rows = windows.repartition("hi", "lo").sortWithinPartitions("hi", "lo", "doc", "start")
-    return sorted_rows.select("doc", "start", "end", "hi", "lo").mapInArrow(run, "doc long, start long, end long")
+            for part in _slices(longs(rows.column("key")), text_bytes(rows.column("bytes"))[1], 1 << 20):
+                yield sorted_shard(rows.slice(part.start, part.stop - part.start), None)
 
+    sorted_rows = found.repartition("key").sortWithinPartitions("key", "doc", "start")
+    return sorted_rows.mapInArrow(run, "doc long, start long, end long, shard long, code long, window binary")
 
-def _id_filter(ids: DataFrame, bits: int = FILTER_BITS):
-    """A broadcast Bloom filter of fixed size over the column doc; it spares work and decides nothing."""
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = mix(longs(b.column(0)).view(np.uint64)) & np.uint64(bits - 1)
-            yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(3)).astype(np.int64)), pa.array(1 << (h & np.uint64(7)).astype(np.int32))], ["byte", "bit"])
+def merge_tables(a: tuple, b: tuple) -> tuple[tuple, tuple]:
+    """Two sorted tables (window, doc, start) as one, by binary search, and (doc, start) of the windows of which the other table has an earlier one."""
+    at = np.searchsorted(a[0], b[0])
+    safe = np.minimum(at, max(0, len(a[0]) - 1))
+    both = a[0][safe] == b[0] if len(a[0]) else np.zeros(len(b[0]), bool)
+    mine, other = safe[both], np.flatnonzero(both)
+    later = (a[1][mine] > b[1][other]) | ((a[1][mine] == b[1][other]) & (a[2][mine] > b[2][other]))
+    lost = tuple(np.where(later, a[k][mine], b[k][other]) for k in (1, 2))
+    kept = [a[k].copy() for k in (1, 2)]
+    for k in (1, 2):
+        kept[k - 1][mine] = np.where(later, b[k][other], a[k][mine])
+    rest = np.flatnonzero(~both)
+    merged = tuple(np.insert(x, at[rest], y[rest]) for x, y in zip((a[0], *kept), b, strict=True))
+    return merged, lost
 
-    found = ids.select("doc").mapInArrow(places, "byte long, bit int").groupBy("byte").agg(F.bit_or("bit").alias("bit")).toArrow()
-    out = np.zeros(bits // 8, np.uint8)
-    out[found.column("byte").to_numpy()] = found.column("bit").to_numpy()
-    return ids.sparkSession.sparkContext.broadcast(out)
 
+def _merged(windows: DataFrame, length: int, bucket: int = 1 << 15) -> DataFrame:
+    """doc, start, end of the windows (of the tables of shards) that an earlier one equals. Windows meet in buckets of their hash, of about `bucket` each."""
+    buckets = -(-windows.count() // bucket)
 
-def _rows_in(docs: DataFrame, bloom, inside: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bloom.value
-        for b in batches:
-            h = mix(longs(b.column(0)).view(np.uint64)) & np.uint64(8 * len(bits) - 1)
-            may = (bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 > 0
-            yield b.filter(pa.array(may if inside else ~may))
-
-    return docs.mapInArrow(run, docs.schema)
+        for rows, _ in whole_groups(batches, ["bucket"]):
+            window = np.array(rows.column("window").to_pylist(), f"S{length}")  # bytes of one length: zeros at the end do not matter
+            doc, start = longs(rows.column("doc")), longs(rows.column("start"))
+            cut, ends = runs(longs(rows.column("bucket")), longs(rows.column("task")), longs(rows.column("shard"))), runs(longs(rows.column("bucket")))
+            lost = [(doc[:0], start[:0])]
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                own = cut[(cut >= a) & (cut <= b)].tolist()
+                tables = [(window[i:j], doc[i:j], start[i:j]) for i, j in zip(own[:-1], own[1:], strict=True)]
+                while len(tables) > 1:
+                    pairs = [merge_tables(*tables[k : k + 2]) for k in range(0, len(tables) - 1, 2)]
+                    lost += [x[1] for x in pairs]
+                    tables = [x[0] for x in pairs] + tables[len(pairs) * 2 :]
+            doc, start = (np.concatenate(x) for x in zip(*lost, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, start, start + length)], ["doc", "start", "end"])
+
+    dealt = windows.withColumn("bucket", F.pmod("code", F.lit(max(1, buckets)))).select("bucket", "task", "shard", "window", "doc", "start")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "task", "shard", "window").mapInArrow(run, "doc long, start long, end long")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = 8192) -> DataFrame:
     """doc, start, end: byte spans, which may overlap, whose windows of length bytes all start earlier elsewhere.
 
-    docs has the columns doc (long, not null) and text. most: rows of a shard.
+    docs has the columns doc (long, not null; different) and text. most: rows of a shard.
     """
-    resolved = materialise(_resolved(_occurrences(docs, length, gram), length, gram, most), "segments")
-    spans = resolved.filter("key is null").select("doc", "start", (F.col("start") + F.col("count") - 1 + length).alias("end"))
-    contested = resolved.filter("key is not null")
-    lists = contested.groupBy("doc").agg(F.collect_list(F.struct("start", "count", "key")).alias("parts"))  # bounded by the text
+    repeatable = materialise(_repeatable(_occurrences(docs, length, gram), length, gram, most), "segments")
+    lists = repeatable.groupBy("doc").agg(F.collect_list(F.struct("start", "count", "key")).alias("parts"))  # bounded by the text
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in blocks(batches, "text"):
-            raw, base, doc = data.tobytes(), at.tolist(), rows.column("doc").to_pylist()
-            out = [(p["key"], d, p["start"], raw[b + p["start"] : b + p["start"] + p["count"] - 1 + length]) for d, b, parts in zip(doc, base, rows.column("parts").to_pylist(), strict=False) for p in parts]
-            out = [x for x in out if len(x[3]) >= length]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["key", "doc", "start", "bytes"])
-
-    texts = _rows_in(docs, _id_filter(contested), True)
+            column = rows.column("parts")
+            parts, number = column.flatten(), np.diff(column.offsets.to_numpy())
+            doc, start, count = np.repeat(longs(rows.column("doc")), number), longs(parts.field("start")), longs(parts.field("count"))
+            base, size = start + np.repeat(at[:-1], number), count + length - 1
+            ends = np.cumsum(size)
+            for a in range(0, len(doc), 1 << 15):  # bounded batches of a long text
+                own = slice(a, a + (1 << 15))
+                offsets = np.concatenate([[0], np.cumsum(size[own])])
+                taken = data[np.arange(offsets[-1]) + np.repeat(base[own] - offsets[:-1], size[own])]
+                column = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(taken)])
+                yield pa.RecordBatch.from_arrays([parts.field("key").slice(a, len(offsets) - 1), pa.array(doc[own]), pa.array(start[own]), column], ["key", "doc", "start", "bytes"])
+
+    bloom = bloom_filter(lists.select(F.xxhash64("doc").alias("h")))
+    texts = may_be_in(docs.withColumn("h", F.xxhash64("doc")), "h", bloom).drop("h")
     found = texts.join(lists, "doc").select("doc", "text", "parts").mapInArrow(fetch, "key long, doc long, start long, bytes binary")
-    compared = materialise(_shards(found, length, most), "compared")
-    spans = spans.union(compared.filter("hi is null").select("doc", "start", "end"))
-    return spans.union(_merged(compared.filter("hi is not null")))
+    compared = _shards(found, length, most).withColumn("task", F.spark_partition_id().cast("long"))
+    compared = materialise(compared, "compared")
+    spans = compared.filter("window is null").select("doc", "start", "end")
+    tables = compared.filter("window is not null")
+    return spans if tables.isEmpty() else spans.union(_merged(tables, length))
+
+
+def _numbered(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """id, doc, text: doc is the id, if ids are different integers; else the place of (id, hash of the text) in their order, which rows may repeat."""
+    text = F.col(text_col).cast("string")
+    rows = df.select(F.col(id_col).alias("id"), text.cast("binary").alias("text"))
+    plain = isinstance(rows.schema["id"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    if plain and rows.groupBy("id").count().filter("count > 1 or id is null").isEmpty():
+        return rows.select("id", F.col("id").cast("long").alias("doc"), "text"), False
+    rows = rows.withColumn("mark", F.xxhash64("text"))
+    ranks = global_order(rows.select(F.col("id").alias("own"), F.col("mark").alias("same")).distinct(), ["own", "same"])
+    joined = rows.join(ranks, F.col("id").eqNullSafe(F.col("own")) & (F.col("mark") == F.col("same")))
+    return materialise(joined.select("id", F.col("rank").cast("long").alias("doc"), "text"), "numbered"), True
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = 8192, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with with_text the kept bytes: one row for each row of df."""
-    null = F.lit(-(1 << 63))
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), null).alias("doc"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    spans = materialise(repeated_spans(docs, length, gram, most), "spans")
+    docs, repeats = _numbered(df, id_col, text_col)
+    different = docs.select("doc", "text")
+    spans = materialise(repeated_spans(different.dropDuplicates(["doc"]) if repeats else different, length, gram, most), "spans")
     lists = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,16 +402,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 kept.append(raw[a + done : b])
                 text = b"".join(kept)
                 out.append((b - a, b - a - len(text), n, sha256(text).hexdigest(), text))
-            names = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: 4 + with_text]
-            yield pa.RecordBatch.from_arrays([rows.column("doc"), *[pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)]], names[: 5 + with_text])
-
-    bloom = _id_filter(lists)
-    whole = _rows_in(docs, bloom, False).withColumn("spans", F.lit(None).cast(lists.schema["spans"].dataType))
-    cut = _rows_in(docs, bloom, True).join(lists, "doc", "left").select("doc", "text", "spans")
-    schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    out = whole.mapInArrow(finish, schema).union(cut.mapInArrow(finish, schema))
-    return out.withColumn("doc_id", F.nullif("doc", null)).select("doc_id", *out.columns[1:])
+            yield pa.RecordBatch.from_arrays([rows.column("id"), *[pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)]], names[: 5 + with_text])
+
+    bloom = bloom_filter(lists.select(F.xxhash64("doc").alias("h")))
+    marked = docs.withColumn("h", F.xxhash64("doc"))
+    whole = may_be_in(marked, "h", bloom, inside=False).withColumn("spans", F.lit(None).cast(lists.schema["spans"].dataType))
+    cut = may_be_in(marked, "h", bloom).join(lists, "doc", "left")
+    kind = docs.schema["id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    return whole.select("id", "text", "spans").mapInArrow(finish, schema).union(cut.select("id", "text", "spans").mapInArrow(finish, schema))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,19 +155,49 @@ def test_suffix_dedup_empty(empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_text_ids_repeated_and_null_ids(spark):
+    """Rows that repeat id and text are one document; other texts with the same id, or none, are documents of their own."""
+    rng = random.Random(12)
+    one, two = prose(rng, 60), prose(rng, 60)
+    rows = [("b", one), ("b", one), ("a", two), ("c", "x" + one), (None, two + "!"), (None, one[:200]), ("c", None)]
+    got = sorted((r.doc_id or "", r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    n, m = len(one), len(two)
+    # those without an id are the first documents
+    assert got == sorted([("a", m, m), ("b", n, 200), ("b", n, 200), ("c", n + 1, n), ("", m + 1, 0), ("", 200, 0), ("c", 0, 0)])
+
+
+def plain_suffixes(strings):
+    """(string, place) of all suffixes in order; a string's end is less than any byte and than the ends of later strings."""
+    found = [(k, i) for k, s in enumerate(strings) for i in range(len(s) + 1)]
+    return sorted(found, key=lambda f: [(b + 1, 0) for b in strings[f[0]][f[1] :]] + [(0, f[0])])
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(3)
-    data = np.concatenate([rng.integers(97, 100, 400), rng.integers(97, 99, 300), np.full(90, 97)]).astype(np.uint8)
-    raw = data.tobytes()
-    order = suffix_dedup.suffix_array(data)
-    assert order.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
-    lcp = suffix_dedup.common_prefixes(data, order, np.array([0, 150, 151, 500, len(raw)]), 100)
+    strings = [rng.integers(0, 3, 200), rng.integers(97, 99, 150), np.full(90, 97), np.full(120, 0), np.zeros(0), np.array([255, 0]), np.full(90, 97), rng.integers(0, 256, 100)]
+    strings = [x.astype(np.uint8).tobytes() for x in [*strings, strings[0]]]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in strings])])
+    symbols, lanes = suffix_dedup.laid_out(np.frombuffer(b"".join(strings), np.uint8), at)
+    order = suffix_dedup.suffix_array(symbols)
+    want = plain_suffixes(strings)
+    owner = np.searchsorted(lanes, order, side="right") - 1
+    assert list(zip(owner.tolist(), (order - lanes[owner]).tolist(), strict=True)) == want
+    lcp = suffix_dedup.common_prefixes(symbols, order, lanes, 100)
     for k in range(1, len(order)):
-        a, b = raw[order[k - 1] :], raw[order[k] :]
+        a, b = (strings[i][j:] for i, j in want[k - 1 : k + 1])
         n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
         assert lcp[k] == min(n, 100)
 
 
+def test_merging_by_binary_search():
+    def table(*rows):
+        return np.array([r[0] for r in rows], "S3"), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+
+    merged, lost = suffix_dedup.merge_tables(table((b"abc", 1, 5), (b"b\xff\x00", 4, 0)), table((b"abc", 1, 2), (b"abd", 9, 9), (b"b\xff\x00", 7, 0), (b"\xff\xff\xff", 1, 1)))
+    assert list(zip(*(x.tolist() for x in merged), strict=True)) == [(b"abc", 1, 2), (b"abd", 9, 9), (b"b\xff", 4, 0), (b"\xff\xff\xff", 1, 1)]
+    assert list(zip(*(x.tolist() for x in lost), strict=True)) == [(1, 5), (7, 0)]
+
+
 def plain_paragraphs(rows):
     """(id, start, words) of each paragraph; the places are those of cut(), the words are found by a regular expression."""
     out = []
