@@ -193,38 +193,40 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     return order
 
 
-def common_prefixes(symbols: np.ndarray, order: np.ndarray, lanes: np.ndarray, depth: int) -> np.ndarray:
-    """For each place of the suffix array the common prefix with the place before, up to depth bytes, by Kasai's scan.
+def common_prefixes(symbols: np.ndarray, order: np.ndarray, lanes: np.ndarray, count: np.ndarray, depth: int) -> np.ndarray:
+    """For each place in order the common prefix with the place before, up to depth bytes, by Kasai's scan.
 
-    lanes: the starts of the strings, and the end. The scan goes through all strings in step: from one suffix to the
-    next the prefix loses one byte at most.
+    lanes: the starts of the strings, and the end; order has the first `count` suffixes of each string. The scan goes through
+    all strings in step: from one suffix to the next the prefix loses one byte at most, if the other string goes on as well.
     """
     n = len(symbols)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    before = np.append(order[-1:], order[:-1])[place] if n else order  # the suffix that is sorted just before each one
+    place = np.full(n + 1, -1, np.int32)
+    place[order] = np.arange(len(order))
+    before = np.append(order[-1:], order[:-1])  # the suffix that is sorted just before each one
     left = np.repeat(lanes[1:] - 1, np.diff(lanes)) - np.arange(n)  # bytes up to the separator
-    word = np.append(np.maximum(symbols.astype(np.int64) - 1, 0), np.zeros(8, np.int64)).astype(np.uint64)
+    np.minimum(left, depth, out=left)
+    word = np.append(np.maximum(symbols, 1).astype(np.uint64) - np.uint64(1), np.zeros(8, np.uint64))
     for k in (1, 2, 4):
         word = (word[:-k] << np.uint64(8 * k)) | word[k:]
-    out, size = np.zeros(n, np.int64), np.diff(lanes)
-    h, by_size = np.zeros(len(size), np.int64), np.argsort(-size, kind="stable")
-    alive = np.searchsorted(-size[by_size], -np.arange(int(size.max(initial=0))), side="left")  # strings of more than t symbols
-    for t in range(len(alive)):
-        lane = by_size[: alive[t]]
-        i = lanes[lane] + t
-        j, most = before[i], np.minimum(np.minimum(left[i], left[before[i]]), depth)
-        most[place[i] == 0] = 0
-        have = np.minimum(np.maximum(h[lane] - 1, 0), most)
-        going = np.flatnonzero(have < most)
+    out, by_size = np.zeros(len(order), np.int64), np.argsort(-count, kind="stable")
+    lane, have, sizes = lanes[:-1][by_size], np.zeros(len(count), np.int64), -count[by_size]
+    last = np.full(len(count), -1, np.int64)  # the suffix with which each string was compared
+    for t in range(int(count.max(initial=0))):
+        alive = int(np.searchsorted(sizes, -t, side="left"))  # strings of more than t suffixes
+        i, h, goes_on = lane[:alive] + t, have[:alive], place[last[:alive] + 1] >= 0
+        own = place[i]
+        j = before[own]
+        most = np.minimum(left[i], left[j])
+        most[own == 0] = 0
+        h = np.minimum(np.maximum(h - 1, 0) * goes_on, most)
+        going = np.flatnonzero(h < most)
         while len(going):
-            done = have[going]
+            done = h[going]
             differ = word[i[going] + done] ^ word[j[going] + done]
             same = sum((differ < np.uint64(1 << (56 - 8 * k))).astype(np.int64) for k in range(8))  # leading bytes that agree
-            have[going] = np.minimum(done + same, most[going])
-            going = going[(same == 8) & (have[going] < most[going])]
-        out[place[i]] = have
-        h[lane] = have
+            h[going] = np.minimum(done + same, most[going])
+            going = going[(same == 8) & (h[going] < most[going])]
+        out[own], have, last = h, h, j
     return out
 
 
@@ -247,17 +249,14 @@ def _shards(found: DataFrame, length: int, most: int) -> DataFrame:
         doc, start = longs(rows.column("doc")), longs(rows.column("start"))
         data, at = text_bytes(rows.column("bytes"))
         symbols, lanes = laid_out(data, at)
-        order = suffix_array(symbols)
-        lcp = common_prefixes(symbols, order, lanes, length)
-        owner = np.repeat(np.arange(len(doc)), np.diff(lanes))[order]
-        inside = order + length < lanes[owner + 1]
-        group = np.cumsum(lcp < length)[inside]
-        place, owner = order[inside], owner[inside]
+        order, rows_of = suffix_array(symbols), np.repeat(np.arange(len(doc)), np.diff(lanes))
+        order = order[order + length < lanes[rows_of[order] + 1]]  # the windows
+        place, group = order, np.cumsum(common_prefixes(symbols, order, lanes, np.maximum(np.diff(lanes) - length, 0), length) < length)
         heads = runs(group)
         first = np.minimum.reduceat(place, heads[:-1]) if len(place) else place
         head = np.repeat(first, np.diff(heads))
         gone = np.sort(place[place != head])
-        part = np.repeat(np.arange(len(doc)), np.diff(lanes))[gone]
+        part = rows_of[gone]
         cut = runs(gone - np.arange(len(gone)), part)
         one, last = gone[cut[:-1]], gone[cut[1:] - 1]
         part = part[cut[:-1]]
@@ -265,7 +264,7 @@ def _shards(found: DataFrame, length: int, most: int) -> DataFrame:
         if shard is None:
             fill = [pa.nulls(len(part), t) for t in (pa.int64(), pa.int64(), pa.binary())]
             return pa.RecordBatch.from_arrays([*map(pa.array, columns), *fill], names)
-        part = np.searchsorted(lanes, first, side="right") - 1
+        part = rows_of[first]
         base, raw = first - part, data.tobytes()  # without the separators
         more = doc[part], start[part] + first - lanes[part], start[part] + first - lanes[part] + length
         columns = [np.concatenate(x) for x in zip(columns, more, strict=True)]
@@ -287,7 +286,7 @@ def _shards(found: DataFrame, length: int, most: int) -> DataFrame:
                     yield sorted_shard(rows.slice(at, most), shard)
                     shard += 1
                 continue
-            for part in _slices(longs(rows.column("key")), text_bytes(rows.column("bytes"))[1], 1 << 20):
+            for part in _slices(longs(rows.column("key")), text_bytes(rows.column("bytes"))[1], 1 << 17):
                 yield sorted_shard(rows.slice(part.start, part.stop - part.start), None)
 
     sorted_rows = found.repartition("key").sortWithinPartitions("key", "doc", "start")
@@ -334,12 +333,12 @@ def _merged(windows: DataFrame, length: int, bucket: int = 1 << 15) -> DataFrame
     return dealt.repartition("bucket").sortWithinPartitions("bucket", "task", "shard", "window").mapInArrow(run, "doc long, start long, end long")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = 8192) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = 1024) -> DataFrame:
     """doc, start, end: byte spans, which may overlap, whose windows of length bytes all start earlier elsewhere.
 
     docs has the columns doc (long, not null; different) and text. most: rows of a shard.
     """
-    repeatable = materialise(_repeatable(_occurrences(docs, length, gram), length, gram, most), "segments")
+    repeatable = materialise(_repeatable(_occurrences(docs, length, gram), length, gram, 8 * most), "segments")
     lists = repeatable.groupBy("doc").agg(F.collect_list(F.struct("start", "count", "key")).alias("parts"))  # bounded by the text
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,7 +378,7 @@ def _numbered(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, boo
     return materialise(joined.select("id", F.col("rank").cast("long").alias("doc"), "text"), "numbered"), True
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = 8192, with_text: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = 1024, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with with_text the kept bytes: one row for each row of df."""
     docs, repeats = _numbered(df, id_col, text_col)
     different = docs.select("doc", "text")

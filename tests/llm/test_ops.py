@@ -182,11 +182,14 @@ def test_suffix_array_and_prefixes():
     want = plain_suffixes(strings)
     owner = np.searchsorted(lanes, order, side="right") - 1
     assert list(zip(owner.tolist(), (order - lanes[owner]).tolist(), strict=True)) == want
-    lcp = suffix_dedup.common_prefixes(symbols, order, lanes, 100)
-    for k in range(1, len(order)):
-        a, b = (strings[i][j:] for i, j in want[k - 1 : k + 1])
-        n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-        assert lcp[k] == min(n, 100)
+    for count in (np.diff(lanes), np.maximum(np.diff(lanes) - 40, 0)):  # all suffixes, and the first ones of each string
+        some = order[order - lanes[owner] < count[owner]]
+        found = [x for x in want if x[1] < count[x[0]]]
+        lcp = suffix_dedup.common_prefixes(symbols, some, lanes, count, 100)
+        for k in range(1, len(some)):
+            a, b = (strings[i][j:] for i, j in found[k - 1 : k + 1])
+            n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+            assert lcp[k] == min(n, 100)
 
 
 def test_merging_by_binary_search():
