@@ -74,12 +74,15 @@ def attach_group(
     the list of salts that a group collects has at most `salts` items. extend may add columns to the
     table of groups, which has one row for each of them.
     """
-    rows = rows.withColumn(SALT, F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    parts = rows.groupBy(*keys, SALT).agg(*[first.alias(n) for n, (first, _) in aggs.items()])
+    salt = SALT
+    while salt in rows.columns:  # groups that extend gets have such a column
+        salt += "_"
+    rows = rows.withColumn(salt, F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
+    parts = rows.groupBy(*keys, salt).agg(*[first.alias(n) for n, (first, _) in aggs.items()])
     whole = parts.groupBy(*keys).agg(
-        *[merge(F.col(n)).alias(n) for n, (_, merge) in aggs.items()], F.collect_list(SALT).alias(SALT)
+        *[merge(F.col(n)).alias(n) for n, (_, merge) in aggs.items()], F.collect_list(salt).alias(salt)
     )
-    return rows.join(extend(whole).withColumn(SALT, F.explode(SALT)), [*keys, SALT]).drop(SALT)
+    return rows.join(extend(whole).withColumn(salt, F.explode(salt)), [*keys, salt]).drop(salt)
 
 
 def bloom_places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:

@@ -4,16 +4,19 @@ Texts are read as tokens (runs of letters and digits; case is ignored). Numbers,
 names (words with one capital, the first letter, that do not start a sentence) become the typed placeholders
 of a template, so a question with other numbers or names has the same template. Windows of WINDOW template
 tokens are hashed and joined with those of the benchmark; an item with names has a second form that keeps
-them as words, for copies that are all in lower or upper case. For each document and item that share enough of the item's windows
-the values in the slots are compared: an item is `verbatim` if all values agree, `reparameterised` if each
-value of the item has mostly one value in the document, else the hit is `inconsistent` and not reported.
+them as words, for copies that are all in lower or upper case. A template counts once for each document and item,
+however often it occurs. An item is `verbatim` if the document has enough of its windows with the same values;
+else, if it has enough of the templates, the values in the slots are compared: it is `reparameterised` if each value of the
+item has mostly one value in the document. Only templates that occur once in the item tell which value stands for
+which; an item without one (a list of numbers) is found verbatim or not at all.
 
 Document windows meet a Bloom filter of the benchmark's windows before the shuffle. The filter has a fixed
 size and only spares work: what passes it is joined by the exact hash, so its false hits cost a little and
 change nothing.
 
-Cases: a null or empty text has no windows; an item or text of fewer than WINDOW tokens has one window, all
-of its tokens; items that repeat are reported each; null ids are kept; an empty table gives an empty result;
+Cases: a null or empty text has no windows; a text of any length is read as a whole; repeated rows, and rows that
+repeat an id or have none, count as one document (or item) with the windows of all of them; an item or text of fewer than WINDOW tokens has one window, all
+of its tokens; an empty table gives an empty result;
 other columns of the inputs are not read, whatever their names.
 """
 
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 from millwright.llm.common import LOWER, blocks, bloom_filter, in_bloom, materialise, mix, prefix_hash, without
 
 WINDOW, COVERAGE, CONSISTENCY = 5, 0.6, 0.8
+SALTS = 16
 #: Units that follow a number.
 UNITS = (
     "mm cm m km inch inches ft foot feet yard yards mile miles mg g kg ton tons tonne tonnes lb lbs pound pounds oz ounce ounces ml l liter liters litre"
@@ -169,30 +173,39 @@ def contaminated(
 ) -> DataFrame:
     """doc_id, item_id, coverage, consistency, verdict: one row for each item found in a document.
 
-    coverage: share of the item's different windows that the document has; consistency: share of the
-    item's slots (by value) whose most frequent counterpart in the document is the only one or prevails.
+    coverage: share of the item's different templates that the document has; consistency: share of the slots, by the
+    item's value, that hold the value's most frequent counterpart in the document (1 for verbatim ones).
     """
     forms = [template_windows(benchmark, item_col, item_text_col, width, names=n).withColumn("form", F.lit(int(n))) for n in (True, False)]
-    items = materialise(forms[0].union(forms[1]), "items")
+    items = forms[0].union(forms[1]).select("id", "form", "h", "slots", F.xxhash64("slots").alias("own"))
+    items = materialise(items.withColumnRenamed("id", "item_id").dropDuplicates(["item_id", "form", "h", "own"]), "items")
     bloom = bloom_filter(items.select("h"))
-    items = items.withColumnsRenamed({"id": "item_id", "first": "item_first", "slots": "item_slots"})
-    sizes = items.groupBy("item_id", "form").agg(F.count_distinct("h").alias("different")).withColumnsRenamed({"item_id": "i", "form": "f"})
-    hits = template_windows(docs, id_col, text_col, width, bloom).withColumnRenamed("id", "doc_id").drop("n")
-    hits = materialise(hits.join(items.select("item_id", "form", "h", "item_slots"), "h"), "hits")
-    share = hits.groupBy("doc_id", "item_id", "form").agg(F.count_distinct("h").alias("shared"))
-    share = share.join(sizes, share["item_id"].eqNullSafe(sizes["i"]) & (F.col("form") == F.col("f")))
-    share = share.withColumn("coverage", F.col("shared") / F.col("different")).filter(F.col("coverage") >= coverage)
-    share = share.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "form")).alias("best"))
-    share = materialise(share.select("doc_id", "item_id", "best.coverage", "best.form"), "share")
-    pairs = hits.select("doc_id", "item_id", "form", F.explode(F.arrays_zip("slots", "item_slots")).alias("s"))
-    pairs = pairs.groupBy("doc_id", "item_id", "form", F.col("s.item_slots.val").alias("own"), F.col("s.slots.val").alias("other")).agg(F.count("*").alias("n"))
-    slots = pairs.groupBy("doc_id", "item_id", "form", "own").agg(F.max("n").alias("top"), F.sum("n").alias("n"), F.max(F.col("own") != F.col("other")).alias("changed"))
-    slots = slots.groupBy("doc_id", "item_id", "form").agg((F.sum("top") / F.sum("n")).alias("consistency"), F.max("changed").alias("changed"))
-    slots = slots.withColumnsRenamed({"doc_id": "d", "item_id": "i", "form": "f"})
-    out = share.join(slots, share["doc_id"].eqNullSafe(F.col("d")) & share["item_id"].eqNullSafe(F.col("i")) & (share["form"] == F.col("f")), "left")
-    out = out.withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
-    verdict = F.when(~F.coalesce("changed", F.lit(False)), "verbatim").when(F.col("consistency") >= consistency, "reparameterised").otherwise("inconsistent")
-    return out.withColumn("verdict", verdict).filter("verdict <> 'inconsistent'").select("doc_id", "item_id", "coverage", "consistency", "verdict")
+    found = template_windows(docs, id_col, text_col, width, bloom).select(F.col("id").alias("doc_id"), "h", "slots", F.xxhash64("slots").alias("own"))
+    found = materialise(found.dropDuplicates(["doc_id", "h", "own"]), "windows")
+    # a window of an item is told by its template, and by its template and values; either is counted once in a document
+    each = items.groupBy("item_id", "form", "h").agg(F.count("*").alias("values"), F.first("slots").alias("item_slots"), F.collect_list("own").alias("owns"))
+    each = materialise(each.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "templates")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
+    owns = found.groupBy("doc_id", "h").agg(F.collect_list("own").alias("found_owns")).select("doc_id", "h", "found_owns", salt)  # bounded by the text
+    met = owns.join(each.select("item_id", "form", "h", "owns", "salt"), ["h", "salt"])
+    met = met.groupBy("doc_id", "item_id", "form").agg(F.count("*").alias("shared"), F.sum(F.size(F.array_intersect("owns", "found_owns"))).alias("equal"))
+    sizes = items.groupBy("item_id", "form").agg(F.count_distinct("h").alias("different"), F.count("*").alias("windows")).withColumnsRenamed({"item_id": "i", "form": "f"})
+    met = met.join(sizes, met["item_id"].eqNullSafe(sizes["i"]) & (F.col("form") == F.col("f"))).drop("i", "f")
+    met = met.withColumn("coverage", F.col("shared") / F.col("different")).filter(F.col("coverage") >= coverage)
+    met = met.withColumn("verbatim", F.col("equal") / F.col("windows") >= coverage)
+    best = met.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "verbatim", "form")).alias("best"), F.max("verbatim").alias("verbatim"))
+    best = materialise(best.select("doc_id", "item_id", "best.coverage", "best.form", "verbatim"), "share")
+    # slots of the others: only windows whose template occurs once in the item say which value stands for which
+    open_ = best.filter("not verbatim").select("doc_id", F.col("item_id").alias("i"), F.col("form").alias("f"))
+    once = each.filter("values = 1 and salt = 0").select(F.col("item_id").alias("j"), F.col("form").alias("g"), "h", "item_slots")
+    asked = open_.join(once, F.col("i").eqNullSafe(F.col("j")) & (F.col("f") == F.col("g"))).drop("j", "g").withColumnRenamed("doc_id", "d").withColumnRenamed("h", "k")
+    pairs = asked.join(found, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("h"))).select("d", "i", F.explode(F.arrays_zip("slots", "item_slots")).alias("s"))
+    pairs = pairs.groupBy("d", "i", F.col("s.item_slots.val").alias("mine"), F.col("s.slots.val").alias("other")).agg(F.count("*").alias("n"))
+    slots = pairs.groupBy("d", "i", "mine").agg(F.max("n").alias("top"), F.sum("n").alias("n")).groupBy("d", "i").agg((F.sum("top") / F.sum("n")).alias("consistency"))
+    out = best.join(slots, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i")), "left")
+    out = out.withColumn("consistency", F.when(F.col("verbatim"), F.lit(1.0)).otherwise(F.coalesce("consistency", F.lit(0.0))))
+    out = out.filter(F.col("consistency") >= consistency).withColumn("verdict", F.when(F.col("verbatim"), "verbatim").otherwise("reparameterised"))
+    return out.select("doc_id", "item_id", "coverage", "consistency", "verdict")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -68,21 +68,21 @@ def recipes(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
 
 
 def _chunks(docs: DataFrame, digest_bytes: int, places: bool) -> DataFrame:
-    """chunk_id and chunk, with places also id and pos."""
-    names = ["chunk_id", "chunk"] + ["id", "pos"] * places
+    """chunk_id and chunk, with places also text_sha256 and pos."""
+    names = ["chunk_id", "chunk"] + ["text_sha256", "pos"] * places
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, _, cuts, first in _chunked(batches, "text"):
+        for _, data, at, cuts, first in _chunked(batches, "text"):
             parts = [data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
             columns = [pa.array([blake2b(x, digest_size=digest_bytes).digest() for x in parts], pa.binary()), pa.array(parts, pa.binary())]
             if places:
                 n = np.diff(first)
                 owner = np.repeat(np.arange(len(n)), n)
-                columns += [rows.column(0).take(pa.array(owner)), pa.array(np.arange(len(owner)) - first[:-1][owner], pa.int32())]
+                whole = pa.array([sha256(data[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.string())
+                columns += [whole.take(pa.array(owner)), pa.array(np.arange(len(owner)) - first[:-1][owner], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, "chunk_id binary, chunk binary" + f", id {kind}, pos int" * places)
+    return docs.mapInArrow(run, "chunk_id binary, chunk binary" + ", text_sha256 string, pos int" * places)
 
 
 def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 16) -> DataFrame:
@@ -120,9 +120,10 @@ def _verified(docs: DataFrame, rows: DataFrame, clashes: DataFrame, digest_bytes
     numbers = materialise(numbers, "numbers")
     placed = _chunks(docs, digest_bytes, places=True).join(numbers, ["chunk_id", "chunk"], "left")
     name = F.concat(F.hex("chunk_id"), F.lit("#"), F.coalesce("number", F.lit("0")))
-    lists = placed.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", name.alias("name")))).alias("parts"))
-    lists = lists.select(F.col("id").alias("own"), F.array_join(F.col("parts.name"), ",").cast("binary").alias("list"))
-    joined = rows.join(lists, F.col("id").eqNullSafe(F.col("own")), "left")
+    # rows with the same text give the same list, which is as long as the text
+    lists = placed.groupBy("text_sha256").agg(F.sort_array(F.collect_set(F.struct("pos", name.alias("name")))).alias("parts"))
+    lists = lists.select("text_sha256", F.array_join(F.col("parts.name"), ",").cast("binary").alias("list"))
+    joined = rows.join(lists, "text_sha256", "left")
     return joined.select("id", "text_sha256", F.coalesce("list", F.lit(b"")).alias("recipe"), "row")
 
 

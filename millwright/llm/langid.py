@@ -93,15 +93,16 @@ def codewords(n: int, bits: int = BITS) -> np.ndarray:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, bits: int = BITS) -> Model:
     """Fit on up to sample rows of docs for each non-null language."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy("hash", "id")
-    named = rows.select("id", "lang", F.xxhash64("id").alias("hash"))
+    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("hash"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
+    order = Window.partitionBy("lang").orderBy("hash")
+    named = rows.select("lang", "hash")  # of id and text, so that rows without an id, or with the same one, are told apart
     # about four times the sample of each language reaches the window, so that a large one is not sorted in one task
     share = named.groupBy("lang").agg((F.lit(4.0 * sample) / F.count("*")).alias("share"))
-    named = named.join(share, "lang").filter(F.pmod("hash", F.lit(1 << 20)) < F.col("share") * (1 << 20))
-    chosen = named.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample).select("id", F.col("lang").alias("of"))
+    named = named.join(F.broadcast(share), "lang").filter(F.pmod("hash", F.lit(1 << 20)) < F.col("share") * (1 << 20))  # share: one row a language
+    named = named.select("lang", "hash").distinct()
+    chosen = named.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample).select("hash", F.col("lang").alias("of"))
     # chosen has at most sample rows for each language
-    rows = rows.join(F.broadcast(chosen), F.col("lang").eqNullSafe(F.col("of")) & rows["id"].eqNullSafe(chosen["id"]), "left_semi")
+    rows = rows.join(F.broadcast(chosen), (F.col("lang") == F.col("of")) & (rows["hash"] == chosen["hash"]), "left_semi").dropDuplicates(["lang", "hash"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}

@@ -139,7 +139,9 @@ def links(fps: DataFrame, radius: int = RADIUS, most: int = 4096, levels: int =
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, most: int = 4096) -> DataFrame:
     """doc_id, fingerprint, component_id (smallest id that is reachable): one row for each row of df."""
     docs = materialise(fingerprints(df, id_col, text_col), "fingerprints")
-    distinct = docs.groupBy("fp").agg(F.min("id").alias("least"))
+    # a fingerprint of most documents is spread over salts before it meets itself
+    parts = docs.groupBy("fp", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(F.min("id").alias("least"))
+    distinct = parts.groupBy("fp").agg(F.min("least").alias("least"))
     roots = components(links(distinct, radius, most))
     named = roots.join(distinct, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("least").alias("component_id"))
     named = roots.join(named, "root").select(F.col("node").alias("fp"), "component_id")
@@ -148,9 +150,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias("doc_id"), hexed, F.coalesce("component_id", "least").alias("component_id"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df without those that are linked to a row with a smaller id."""
-    gone = near_duplicates(df, id_col, text_col).filter("doc_id <> component_id")
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of df without those that are linked to a row with a smaller id. A null id is the largest; rows that share one stay or go together."""
+    gone = near_duplicates(df, id_col, text_col, radius).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     return without(df, id_col, gone.select(F.col("doc_id").alias(id_col)))
 
 

@@ -26,8 +26,6 @@ from millwright.llm.common import attach_group, materialise
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Segments beyond this depth share one wildcard.
-DEPTH = 8
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -47,7 +45,7 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]],
 
 
 def typed_path(path: Column) -> Column:
-    """The path with typed wildcards for its variable segments, `/` before each segment, at most DEPTH of them."""
+    """The path with typed wildcards for its variable segments, `/` before each segment."""
 
     def kind(s: Column) -> Column:
         return (
@@ -60,29 +58,45 @@ def typed_path(path: Column) -> Column:
         )
 
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    kept = F.transform(F.slice(segments, 1, DEPTH), kind)
-    kept = F.when(F.size(segments) > DEPTH, F.concat(kept, F.array(F.lit("**")))).otherwise(kept)
+    kept = F.transform(segments, kind)
     return F.concat(F.array_join(F.transform(kept, lambda s: F.concat(F.lit("/"), s)), ""), F.when(path.endswith("/") & (F.size(segments) > 0), "/").otherwise(""))
 
 
 def templates(paths: DataFrame, significance: float = 1.96) -> DataFrame:
-    """paths (host, typed, labelled, bad, more) with the column template, level by level."""
-    paths = paths.withColumns({"segments": F.filter(F.split("typed", "/"), lambda s: s != ""), "template": F.lit("")})
-    paths = materialise(paths, "paths")
-    depth = paths.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(depth):  # at most DEPTH + 1
-        here = paths.withColumn("segment", F.get("segments", F.lit(level)))
-        named = here.filter("segment is not null").groupBy("host", "template", "segment").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
-        nodes = named.groupBy("host", "template").agg(F.sum("l").alias("all_l"), F.sum("b").alias("all_b"))
-        named = named.join(nodes, ["host", "template"])
+    """paths (host, typed, labelled, bad, more) with the column template, level by level.
+
+    Each level adds a segment to the paths that have one. Where none of a node's paths is labelled, or there is one path only
+    (which cannot differ from its node with z > 1), all named branches are alike, so such paths get the rest of their
+    template at once; there are as many levels as labelled paths share with others. A node or branch may hold most
+    paths: it is spread over salts.
+    """
+    columns = paths.columns
+    columns = columns
+    paths = materialise(paths.withColumns({"segments": F.filter(F.split("typed", "/"), lambda s: s != ""), "template": F.lit("")}), "paths")
+    done, level = [], 0
+    while True:
+        whole = F.size("segments") <= level
+        done.append(paths.filter(whole))
+        paths = paths.filter(~whole).withColumn("segment", F.get("segments", F.lit(level)))
+        node = {"all_l": (F.sum("labelled"), F.sum), "all_b": (F.sum("bad"), F.sum), "all_n": (F.count("*"), F.sum)}
+        paths = materialise(attach_group(paths, ["host", "template"], node, spread_by=["typed"]), "paths")
+        rest = F.transform(F.slice("segments", level + 1, F.size("segments")), lambda x: F.when(x.startswith("{"), x).otherwise("*"))
+        settled = F.col("all_l") == 0 if significance < 1 else (F.col("all_l") == 0) | (F.col("all_n") == 1)
+        alike = paths.filter(settled).withColumn("template", F.concat("template", F.lit("/"), F.array_join(rest, "/")))
+        done.append(alike.drop("segment", "all_l", "all_b", "all_n"))
+        paths = paths.filter(~settled)
+        if paths.isEmpty():
+            break
+        paths = attach_group(paths, ["host", "template", "segment"], {"l": (F.sum("labelled"), F.sum), "b": (F.sum("bad"), F.sum)}, spread_by=["typed"])
         p = (F.col("all_b") + 1) / (F.col("all_l") + 2)
         z = F.abs(F.col("b") - F.col("l") * p) / F.sqrt(F.greatest(F.col("l"), F.lit(1)) * p * (1 - p))
         keep = F.col("segment").startswith("{") | ((F.col("l") > 0) & (z > significance))
-        named = named.select("host", "template", "segment", F.when(keep, F.col("segment")).otherwise("*").alias("as"))
-        paths = here.join(named, ["host", "template", "segment"], "left")
-        paths = paths.withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "as")))
-        paths = materialise(paths.drop("segment", "as"), "paths")
-    return paths.drop("segments")
+        paths = paths.withColumn("template", F.concat("template", F.lit("/"), F.when(keep, F.col("segment")).otherwise("*")))
+        paths, level = materialise(paths.drop("segment", "all_l", "all_b", "all_n", "l", "b"), "paths"), level + 1
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.select(*columns, "template")
 
 
 def judge_urls(
@@ -103,12 +117,12 @@ def judge_urls(
 
     def purity(groups: DataFrame) -> DataFrame:
         found = templates(groups, significance)
-        hosts = found.groupBy("host").agg(F.sum("labelled").alias("hl"), F.sum("bad").alias("hb"))
-        hosts = hosts.select("host", ((F.col("hb") + weight * prior) / (F.col("hl") + weight)).alias("host_share"))
-        each = found.groupBy("host", "template").agg(F.sum("labelled").alias("tl"), F.sum("bad").alias("tb")).join(hosts, "host")
-        share = (F.col("tb") + weight * F.col("host_share")) / (F.col("tl") + weight)
-        each = each.select("host", "template", (1 - share).alias("purity"), (share > threshold).alias("reject"))
-        return found.join(each, ["host", "template"]).drop("labelled", "bad")
+        found = attach_group(found, ["host"], {"hl": (F.sum("labelled"), F.sum), "hb": (F.sum("bad"), F.sum)}, spread_by=["typed"])
+        found = attach_group(found, ["host", "template"], {"tl": (F.sum("labelled"), F.sum), "tb": (F.sum("bad"), F.sum)}, spread_by=["typed"])
+        host_share = (F.col("hb") + weight * prior) / (F.col("hl") + weight)
+        share = (F.col("tb") + weight * host_share) / (F.col("tl") + weight)
+        found = found.withColumn("purity", 1 - share).withColumn("reject", share > threshold)
+        return found.drop("labelled", "bad", "hl", "hb", "tl", "tb")
 
     counts = {"labelled": (F.count("is_bad"), F.sum), "bad": (F.count_if("is_bad"), F.sum)}
     out = attach_group(rows, ["host", "typed"], counts, spread_by=["row"], extend=purity)

@@ -60,6 +60,18 @@ def test_exact_dedup(docs, rows, digest_bytes):
     assert got == want
 
 
+@pytest.mark.parametrize("digest_bytes", [16, 1])
+def test_exact_dedup_repeated_ids_with_other_texts(spark, digest_bytes):
+    rng = random.Random(3)
+    texts = [prose(rng, 900) for _ in range(4)]
+    rows = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (2, texts[0]), (3, texts[3]), (3, texts[3])]
+    size = Counter(t for _, t in rows)
+    got = exact_dedup.duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string"), digest_bytes=digest_bytes).collect()
+    digest = {hashlib.sha256(t.encode()).hexdigest(): t for t in texts}
+    assert len(got) == len(rows) and all(r.group_size == size[digest[r.text_sha256]] for r in got)
+    assert sorted((r.keep_id or 0, r.group_size) for r in got) == [(0, 1), (1, 1), (2, 2), (2, 2), (3, 3), (3, 3), (3, 3)]
+
+
 def test_exact_dedup_rows_without_ids_and_twice(spark, empty):
     twice = spark.createDataFrame([(None, "a"), (None, "A"), (3, "b"), (3, "b"), (4, "b")], "doc_id long, text string")
     got = exact_dedup.duplicate_groups(twice).collect()
@@ -309,6 +321,84 @@ def test_decontaminate(spark, empty):
     assert decontaminate.contaminated(docs, benchmark.filter("false")).count() == 0
 
 
+def plain_windows(text, names):
+    """(template, values) of each window of a text; names=False: the second form, None without names."""
+    data = np.frombuffer((text or "").encode(), np.uint8)
+    if not len(data):
+        return []
+    value, template, _ = decontaminate.tokens(data, np.array([0, len(data)]))
+    if not names:
+        if not (template == decontaminate.NAME).any():
+            return []
+        template = np.where(template == decontaminate.NAME, value, template)
+    kinds = {int(k) for k in (decontaminate.NUMBER, decontaminate.UNIT, decontaminate.NAME)}
+    value, template = value.tolist(), template.tolist()
+    spans = [(k, min(k + 5, len(value))) for k in range(max(1, len(value) - 4) if value else 0)]
+    return [(tuple(template[a:b]), tuple((k - a, value[k]) for k in range(a, b) if template[k] in kinds)) for a, b in spans]
+
+
+def plain_contaminated(docs, items):
+    out = {}
+    for d, text in docs:
+        have = set(plain_windows(text, True))
+        by = defaultdict(set)
+        for h, slots in have:
+            by[h].add(slots)
+        for i, question in items:
+            best = []
+            for form in (1, 0):
+                want = set(plain_windows(question, bool(form)))
+                mine = defaultdict(set)
+                for h, slots in want:
+                    mine[h].add(slots)
+                if want:
+                    covered = sum(h in by for h in mine) / len(mine)
+                    best.append((covered, len(want & have) / len(want) >= 0.6, form, mine))
+            best = [b for b in best if b[0] >= 0.6]
+            if not best:
+                continue
+            covered, _, _, mine = max(best, key=lambda b: b[:3])
+            if any(b[1] for b in best):
+                out[d, i] = ("verbatim", covered, 1.0)
+                continue
+            pairs = Counter()
+            for h, alternatives in mine.items():
+                if len(alternatives) == 1:
+                    for slots in by.get(h, ()):
+                        pairs.update((own[1], other[1]) for own, other in zip(*alternatives, slots, strict=True))
+            top = defaultdict(int)
+            for (own, _), n in pairs.items():
+                top[own] = max(top[own], n)
+            share = sum(top.values()) / sum(pairs.values()) if pairs else 0.0
+            if share >= 0.8:
+                out[d, i] = ("reparameterised", covered, share)
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    """Questions with other numbers, names and units, halves of questions, repeated rows, lists of numbers, texts of many numbers."""
+    rng = random.Random(31)
+    people, places = ["Anna", "Boris", "Clara", "Denis"], ["Paris", "Oslo", "Rome", "Lima"]
+
+    def question(k):
+        who, where = rng.choice(people), rng.choice(places)
+        return f"{prose(random.Random(k), 6)} and {who} walks {rng.randint(2, 99)} km from {where} with {rng.randint(2, 99)} kg of {prose(random.Random(k), 4)} in {rng.randint(2, 9)} hours. How fast is {who} near {where}?"
+
+    numbers = " ".join(str(rng.randint(1, 999)) for _ in range(200))
+    items = [(k, question(k)) for k in range(12)] + [(50, numbers), (51, None), (52, "one two"), (53, "")]
+    docs = []
+    for k in range(60):
+        kind, q = k % 6, items[k % 12][1]
+        q = {0: q, 1: question(k % 12), 2: q.lower(), 3: q[: len(q) // 2], 4: q.replace("km", "miles"), 5: prose(rng, 60)}[kind]
+        docs.append((k, f"{prose(rng, 20)}. {q} {prose(rng, 20)}"))
+    docs += [(100, " ".join(str(rng.randint(1, 999)) for _ in range(3000))), (101, "x " + numbers + " y"), (102, None), (103, "one two"), (104, "")]
+    table = spark.createDataFrame(docs + docs[:3], "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.verdict, round(r.coverage, 9), round(r.consistency, 9)) for r in decontaminate.contaminated(table, benchmark).collect()}
+    want = {k: (v, round(c, 9), round(s, 9)) for k, (v, c, s) in plain_contaminated(docs, items).items()}
+    assert got == want and {v[0] for v in want.values()} == {"verbatim", "reparameterised"} and (101, 50) in want and (100, 50) not in want
+
+
 def test_language_accuracy_and_rejects(spark, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(docs.filter(~langid.held_out()))
@@ -356,6 +446,59 @@ def test_url_rules(spark):
     assert urlfilter.judge_urls(pages.filter("false"), F.lit(None).cast("boolean")).count() == 0
 
 
+def plain_templates(paths, significance=1.96):
+    """(host, typed path) -> template, by recursion from the root."""
+    out = {}
+
+    def split(node, rows, template):
+        level, branches = len(template), defaultdict(list)
+        for typed, segments, l, b in rows:
+            if level == len(segments):
+                out[node, typed] = "".join("/" + x for x in template)
+            else:
+                branches[segments[level]].append((typed, segments, l, b))
+        rows = [r for x in branches.values() for r in x]
+        p = (sum(r[3] for r in rows) + 1) / (sum(r[2] for r in rows) + 2)
+        merged = defaultdict(list)
+        for name, own in branches.items():
+            l, b = sum(r[2] for r in own), sum(r[3] for r in own)
+            z = abs(b - l * p) / (max(l, 1) * p * (1 - p)) ** 0.5
+            merged[name if name[0] == "{" or l and z > significance else "*"] += own
+        for name, own in merged.items():
+            split(node, own, [*template, name])
+
+    hosts = defaultdict(list)
+    for host, typed, l, b in paths:
+        hosts[host].append((typed, [x for x in typed.split("/") if x], l, b))
+    for host, rows in hosts.items():
+        split(host, rows, [])
+    return out
+
+
+def test_url_tree_against_recursion(spark, empty):
+    """Paths of up to 30 segments, labelled and not, repeated rows, one large host; purity and verdicts follow from the templates."""
+    rng = random.Random(17)
+    names = ["a", "b", "spam", "c", "7", "2024-01-02", "x9"]
+    urls = [(f"http://{rng.choice(['big.org', 'big.org', 'small.de'])}/" + "/".join(rng.choice(names) for _ in range(rng.choice([0, 1, 2, 3, 4, 30])))) for _ in range(400)]
+    rows = [(i, u, None if rng.random() < 0.3 else "spam" in u and rng.random() < 0.9) for i, u in enumerate(urls + urls[:50] + ["http://deep.org/" + "/".join("ab" * 150)])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    got = {r.page_id: r for r in urlfilter.judge_urls(pages, F.col("bad")).collect()}
+    kind = {"7": "{num}", "2024-01-02": "{date}", "x9": "{id}"}
+    split = [(u.split("/")[2], "".join("/" + kind.get(x, x) for x in u.split("/")[3:] if x)) for _, u, _ in rows]
+    labels = defaultdict(list)
+    for key, (_, _, bad) in zip(split, rows, strict=True):
+        labels[key].append(bad)
+    found = plain_templates([(h, t, sum(b is not None for b in v), sum(b is True for b in v)) for (h, t), v in labels.items()])
+    assert {i: r.template for i, r in got.items()} == {i: found[k] for i, k in enumerate(split)}
+    share = [r[2] for r in rows if r[2] is not None]
+    prior = (sum(share) + 1) / (len(share) + 2)
+    for i, (host, _) in enumerate(split):
+        own = [bad for k, (_, _, bad) in zip(split, rows, strict=True) if k[0] == host and bad is not None]
+        same = [bad for k, (_, _, bad) in zip(split, rows, strict=True) if k[0] == host and found[k] == got[i].template and bad is not None]
+        expected = (sum(same) + 8 * (sum(own) + 8 * prior) / (len(own) + 8)) / (len(same) + 8)
+        assert abs(1 - expected - got[i].purity) < 1e-9 and (got[i].verdict == "block") == (expected > 0.5)
+
+
 def test_url_templates_are_learnt(spark):
     rows = [(i, f"http://h.org/{['news', 'spam', 'art'][i % 3]}/{i}", i % 3 == 1 if i < 240 else None) for i in range(300)]
     pages = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
