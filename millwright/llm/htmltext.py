@@ -3,7 +3,9 @@
 A small tree builder applies the implied tags (a paragraph ends where a block starts, an item where the
 next one starts, a cell where the next cell or row starts), visibility rules drop what is not shown, and a
 renderer keeps the spacing of blocks, the marks and depth of lists and the columns of tables. All visible
-text is emitted: no block is judged or dropped.
+text is emitted: no block is judged or dropped. Attributes are read by a state machine, and every search goes forward only, so
+long and hostile markup takes time in proportion to its length. `visibility` is inherited, so a visible element within a
+hidden one is shown; `display: none` and the `hidden` attribute hide all that is within.
 
 Cases: null or empty markup gives an empty text; broken markup is read as far as it goes (an open comment
 or script hides the rest, as in browsers); elements nested deeper than DEEPEST become siblings, their
@@ -23,10 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEEPEST = 200
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_GAP, _KEY, _BARE = re.compile(r"[\s/]*"), re.compile(r"[^\s/>][^\s/>=]*"), re.compile(r"[^\s>]*")
+_EQUALS = re.compile(r"\s*=\s*")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_INVISIBLE_STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -57,22 +61,72 @@ SCOPE = frozenset("table td th caption html body button template".split())
 
 
 class Node:
-    __slots__ = ("tag", "hidden", "start", "children")
+    """An element. shown: whether its own text is visible; None as that of its parent. hidden: neither it nor what is in it is shown."""
 
-    def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.children, self.start = tag, [], 1
-        self.hidden = tag in NEVER_SHOWN
+    __slots__ = ("tag", "hidden", "shown", "start", "span", "children")
+
+    def __init__(self, tag: str, attrs: dict[str, str] | None = None):
+        self.tag, self.children, self.start, self.span = tag, [], 1, (1, 1)
+        self.hidden, self.shown = tag in NEVER_SHOWN, None
         if attrs and not self.hidden:
-            found = {m[1].lower(): next((unescape(x) for x in m.groups()[1:] if x is not None), "") for m in _ATTR.finditer(attrs)}
-            self.hidden = "hidden" in found or bool(_INVISIBLE_STYLE.search(found.get("style", "")))
-            if found.get("start", "").lstrip("-").isdigit():
-                self.start = int(found["start"])
+            found = {k: unescape(v) for k, v in attrs.items()}
+            style = found.get("style", "")
+            self.hidden = "hidden" in found or bool(_NO_DISPLAY.search(style))
+            if seen := _VISIBILITY.findall(style):
+                self.shown = seen[-1].lower() == "visible"
+            if found.get("start", "").lstrip("-").isdecimal():
+                self.start = int(found["start"][:9])
+            if tag in ("td", "th"):
+                across, down = (int(x[:6]) if (x := found.get(n, "").strip()).isdecimal() else 1 for n in ("colspan", "rowspan"))
+                self.span = min(max(across, 1), 1000), min(down, 65534) or 65534
             if tag in ("details", "dialog") and "open" in found:
                 self.tag = "div"
             if tag == "input" and not self.hidden and found.get("type", "").lower() in ("submit", "button", "reset"):
                 self.children.append(found.get("value", ""))
 
 
+class _Reader:
+    """Tags of a page, in one pass: a search that fails is not made again, so that no markup takes quadratic time."""
+
+    def __init__(self, markup: str):
+        self.markup, self.absent = markup, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.absent:
+            return -1
+        found = self.markup.find(what, at)
+        if found < 0:
+            self.absent.add(what)
+        return found
+
+    def skip(self, what: str, at: int) -> int:
+        """The place behind what, or the end of the page."""
+        found = self.find(what, at)
+        return len(self.markup) if found < 0 else found + len(what)
+
+    def attributes(self, at: int) -> tuple[dict[str, str], int]:
+        """Attributes from a place in a tag on, and the place behind the tag. A quote that is never closed goes on to the tag's end only."""
+        found: dict[str, str] = {}
+        while True:
+            at = _GAP.match(self.markup, at).end()
+            if at >= len(self.markup):
+                return found, at
+            if self.markup[at] == ">":
+                return found, at + 1
+            key = _KEY.match(self.markup, at)
+            name, at = key[0].lower(), key.end()
+            value, equals = "", _EQUALS.match(self.markup, at)
+            if equals:
+                at = equals.end()
+                quote = self.markup[at : at + 1]
+                if quote in ('"', "'") and (close := self.find(quote, at + 1)) >= 0:
+                    value, at = self.markup[at + 1 : close], close + 1
+                else:
+                    bare = _BARE.match(self.markup, at)
+                    value, at = bare[0], bare.end()
+            found.setdefault(name, value)
+
+
 def parse(markup: str) -> Node:
     """The tree of elements and text pieces."""
     root = Node("html")
@@ -90,20 +144,34 @@ def parse(markup: str) -> Node:
                 del stack[found:]
                 break
 
-    while at < size:
-        m = _TOKEN.search(markup, at)
-        text = markup[at : m.start() if m else size]
-        if text:
-            if stack[-1].tag == "head" and not text.isspace():
+    reader, text_from = _Reader(markup), 0
+
+    def text(until: int) -> None:
+        if until > text_from:
+            piece = markup[text_from:until]
+            if stack[-1].tag == "head" and not piece.isspace():
                 stack.pop()
-            stack[-1].children.append(unescape(text))
-        if not m:
+            stack[-1].children.append(unescape(piece))
+
+    while True:
+        at = reader.find("<", at)
+        if at < 0:
+            text(size)
             break
-        at = m.end()
-        if not m[2]:
+        name = _NAME.match(markup, at + 1)
+        if not name:
+            if markup[at + 1 : at + 2] in ("!", "?", "/"):
+                text(at)
+                at = reader.skip("-->", at + 2) if markup.startswith("<!--", at) else reader.skip(">", at)
+                text_from = at
+            else:  # a plain character
+                at += 1
             continue
-        tag = m[2].lower()
-        if m[1]:
+        text(at)
+        attrs, at = reader.attributes(name.end())
+        text_from = at
+        closing, tag = name[0].startswith("/"), name[0].lstrip("/").lower()
+        if closing:
             if tag in ("html", "body"):
                 continue
             if tag == "p" and not any(x.tag == "p" for x in stack):
@@ -124,12 +192,16 @@ def parse(markup: str) -> Node:
             end(*IMPLIED_END[tag])
         if tag == "body" or stack[-1].tag == "head" and tag not in RAW | VOID | {"noscript", "template"}:
             end({"head"}, {"html"})
-        node = Node(tag, m[3])
+        node = Node(tag, attrs)
         stack[-1].children.append(node)
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(markup, at)
-            node.children.append(unescape(markup[at : close.start() if close else size]) if tag in ("textarea", "title") else markup[at : close.start() if close else size])
-            at = markup.find(">", close.end()) + 1 or size if close else size
+            close = None if tag in reader.absent else re.compile(rf"</{tag}(?=[\s/>])", re.I).search(markup, at)
+            if not close:
+                reader.absent.add(tag)
+            content = markup[at : close.start() if close else size]
+            node.children.append(unescape(content) if tag in ("textarea", "title") else content)
+            at = reader.skip(">", close.end()) if close else size
+            text_from = at
         elif tag not in VOID and len(stack) < DEEPEST:
             stack.append(node)
     return root
@@ -196,11 +268,12 @@ class _Lines:
         self.block(apart)
 
 
-def _render(node: Node, out: _Lines, pre: bool = False) -> None:
-    number = node.start
+def _render(node: Node, out: _Lines, pre: bool = False, shown: bool = True) -> None:
+    number, shown = node.start, shown if node.shown is None else node.shown
     for child in node.children:
         if isinstance(child, str):
-            out.text(child, pre)
+            if shown:
+                out.text(child, pre)
             continue
         if child.hidden:
             continue
@@ -208,41 +281,62 @@ def _render(node: Node, out: _Lines, pre: bool = False) -> None:
         if tag == "br":
             out.newline()
         elif tag == "table":
-            out.embed(_table(child), True)
+            out.embed(_table(child, shown), True)
         elif tag == "li":
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
-            inner = _inner(child, pre)
+            inner = _inner(child, pre, shown)
+            if not inner and not (shown if child.shown is None else child.shown):
+                continue
             out.embed([(mark if i == 0 else " " * len(mark) if x else "") + x for i, x in enumerate(inner)], False)
         elif tag in ("blockquote", "dd"):
-            out.embed([("  " + x) if x else "" for x in _inner(child, pre)], tag in APART)
+            out.embed([("  " + x) if x else "" for x in _inner(child, pre, shown)], tag in APART)
         elif tag == "details":
             for x in child.children:
                 if isinstance(x, Node) and x.tag == "summary" and not x.hidden:
-                    out.embed(_inner(x, pre), False)
+                    out.embed(_inner(x, pre, shown if child.shown is None else child.shown), False)
         elif tag == "dialog":
             continue
         elif tag in BLOCK:
             nested = tag in ("ul", "ol") and node.tag == "li"
             out.block(tag in APART and not nested)
-            _render(child, out, pre or tag == "pre")
+            _render(child, out, pre or tag == "pre", shown)
             out.block(tag in APART and not nested)
         else:
-            _render(child, out, pre or tag in ("textarea", "xmp"))
+            _render(child, out, pre or tag in ("textarea", "xmp"), shown)
 
 
-def _inner(node: Node, pre: bool = False) -> list[str]:
+def _inner(node: Node, pre: bool = False, shown: bool = True) -> list[str]:
     out = _Lines()
-    _render(node, out, pre)
+    _render(node, out, pre, shown)
     return out.lines()
 
 
-def _table(table: Node) -> list[str]:
-    """Rows of cells in aligned columns; a cell of several lines takes as many lines of its row."""
+def _table(table: Node, shown: bool = True) -> list[str]:
+    """Rows of cells in aligned columns; a cell of several lines takes as many lines of its row, and cells may span columns and rows."""
     head: list[str] = []
-    rows: list[list[list[str]]] = []
-
-    def walk(node: Node) -> None:
+    rows: list[list[tuple[int, int, list[str]]]] = []  # first column, column behind the last, lines
+    over: list[tuple[int, int, int]] = []  # columns of cells of earlier rows, and the row where they end
+
+    def row(cells: list[Node], shown: bool) -> None:
+        nonlocal over
+        over = sorted(x for x in over if x[2] > len(rows))
+        column, k, out, new = 0, 0, [], []
+        for cell in cells:
+            while k < len(over) and over[k][0] <= column:
+                column = max(column, over[k][1])
+                out.append((*over[k][:2], []))
+                k += 1
+            across, down = cell.span
+            out.append((column, column + across, _inner(cell, False, shown)))
+            if down > 1:
+                new.append((column, column + across, len(rows) + down))
+            column += across
+        rows.append(out)
+        over += new
+
+    def walk(node: Node, shown: bool) -> None:
+        shown = shown if node.shown is None else node.shown
         loose = Node("div")
         for child in node.children:
             if isinstance(child, str) or child.tag not in ("caption", "tr", "td", "th", "thead", "tbody", "tfoot", "colgroup", "col"):
@@ -250,31 +344,40 @@ def _table(table: Node) -> list[str]:
             elif child.hidden:
                 continue
             elif child.tag == "caption":
-                head.extend(_inner(child))
+                head.extend(_inner(child, False, shown))
             elif child.tag == "tr":
-                cells = [c for c in child.children if isinstance(c, Node) and c.tag in ("td", "th") and not c.hidden]
+                visible = shown if child.shown is None else child.shown
                 rest = Node("div")
                 rest.children = [c for c in child.children if isinstance(c, str) or c.tag not in ("td", "th")]
-                head.extend(_inner(rest))  # text that is not in a cell stands before the table
-                rows.append([_inner(c) for c in cells])
+                head.extend(_inner(rest, False, visible))  # text that is not in a cell stands before the table
+                row([c for c in child.children if isinstance(c, Node) and c.tag in ("td", "th") and not c.hidden], visible)
             elif child.tag in ("td", "th"):
-                rows.append([_inner(child)])
+                row([child], shown)
             else:
-                walk(child)
-        head.extend(_inner(loose))
-
-    walk(table)
-    widths: list[int] = []
-    for row in rows:
-        for i, cell in enumerate(row):
-            width = max(map(len, cell), default=0)
-            if i == len(widths):
-                widths.append(0)
-            widths[i] = max(widths[i], width)
+                walk(child, shown)
+        head.extend(_inner(loose, False, shown))
+
+    walk(table, shown)
+    edges = sorted({e for cells in rows for a, b, _ in cells for e in (a, b)})  # columns that no cell starts or ends at count as one
+    number = {e: k for k, e in enumerate(edges)}
+    widths = [0] * len(edges)
+    placed = [[(number[a], number[b], cell, max(map(len, cell), default=0)) for a, b, cell in cells] for cells in rows]
+    for cells in placed:
+        for a, b, _, width in cells:
+            if b == a + 1:
+                widths[a] = max(widths[a], width)
+    before = [0]
+    for cells in placed:
+        for a, b, _, width in cells:
+            if b > a + 1 and width > sum(widths[a:b]) + 3 * (b - a - 1):
+                widths[b - 1] += width - sum(widths[a:b]) - 3 * (b - a - 1)
+    for w in widths:
+        before.append(before[-1] + w)
     lines = list(head)
-    for row in rows:
-        for k in range(max(map(len, row), default=0)):
-            lines.append(" | ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(row, widths, strict=False)).rstrip())
+    for cells in placed:
+        for k in range(max((len(c[2]) for c in cells), default=0)):
+            parts = [(c[k] if k < len(c) else "").ljust(before[b] - before[a] + 3 * (b - a - 1)) for a, b, c, _ in cells]
+            lines.append(" | ".join(parts).rstrip())
     return lines
 
 

@@ -29,6 +29,14 @@ from millwright.llm.htmltext import extract_text, page_text
         ("<table><tr><td>out<table><tr><td>in<td>side</table><td>end</table>", "out       | end\n          |\nin | side |"),
         ("<a title='x > y'>q</a><img alt='no'>", "q"),
         ("text < 3 and <", "text < 3 and <"),
+        ("<p><a title=it's href=x>hello</a> world</p><p>they don't go</p><p>end</p>", "hello world\n\nthey don't go\n\nend"),
+        ("a <b class=\"x>bold</b> c", "a bold c"),
+        ("<div style='visibility:hidden'>no <b style='visibility:visible'>yes</b> no</div>end", "yes\nend"),
+        ("<table><tr><th colspan=2>head<th>n<tr><td>a<td>bb<td>1</table>", "head   | n\na | bb | 1"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a | b\n  | c\nd | e"),
+        ("<table><tr><td colspan=2>much longer<tr><td>a<td>b</table>", "much longer\na | b"),
+        ("<a x='1' y=2 z>q</a><br/>r<img src=x/>s", "q\nrs"),
+        ("<!doctype html><?xml?></>a", "a"),
         ("", ""),
         (None, ""),
     ],
@@ -76,3 +84,18 @@ def test_columns_and_empty_table(spark):
     pages = spark.createDataFrame([(1, "<p>x", "old", None), (2, None, "old", 5)], "page_id long, html string, text string, n int")
     assert [tuple(r) for r in extract_text(pages).orderBy("page_id").collect()] == [(1, None, "x"), (2, 5, "")]
     assert extract_text(pages.filter("false")).count() == 0
+
+
+@pytest.mark.parametrize("piece", ["<a x='", '<a x="', "<a x=", "<", "<!--", "<a b=c d", "</", "<td colspan=1000>x", "<p><b><i>", "<script>", "<a x='y", "<table><tr>", "&amp", "<a =", "<title>x"])
+def test_long_hostile_markup_takes_linear_time(piece):
+    import time
+
+    start = time.process_time()
+    page_text(piece * (300_000 // len(piece)))
+    assert time.process_time() - start < 20
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    pages = spark.createDataFrame([(1, "<p>a", "x", 2), (1, "<p>a", "x", 2), (None, None, None, None)], "page_id long, html string, text string, n_chars int")
+    got = sorted(map(tuple, extract_text(pages).select("page_id", "text").collect()), key=str)
+    assert got == [(1, "a"), (1, "a"), (None, "")]
