@@ -2,7 +2,7 @@
 
 Texts become token ids once; the ids are written to a table. Document frequencies of the ids over all
 documents (a vector of the vocabulary's size) weigh the terms. Documents are dealt to shards by hash; a
-shard has an inverted index of its documents with BM25 weights for their best terms. Each document in
+shard has an inverted index of its documents with BM25 weights for all their terms. Each document in
 turn, if it is unused, seeds a sequence, and the index returns its unused neighbours, best first, which
 fill the window; the last one is cut to fit and its rest goes on as the next seed. Documents of over a
 window are cut into full windows first. What is left at the end of a shard goes into sequences whose
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from millwright.llm.common import LOWER, blocks, longs, materialise, mix, prefix_hash, runs, text_bytes, whole_groups
 
-WINDOW, END, TERMS, SHARD_TOKENS, CACHE = 4096, 2, 16, 4_000_000, 1_500_000
+WINDOW, END, SHARD_TOKENS, CACHE = 4096, 2, 4_000_000, 1_500_000
 K1, B = 1.2, 0.75
 _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
@@ -231,18 +231,21 @@ def term_counts(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class _Index:
-    """Inverted index of a shard: for each term the items that have it among their best terms, with BM25 weights."""
+    """Inverted index of a shard: for each term the items that have it, with BM25 weights."""
 
-    def __init__(self, ids: np.ndarray, at: np.ndarray, idf: np.ndarray, average: float, terms: int):
+    def __init__(self, ids: np.ndarray, at: np.ndarray, idf: np.ndarray, average: float, terms: int | None):
         term, item, tf = term_counts(ids, at)
         w = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * np.diff(at)[item] / average))
         self.n = len(at) - 1
         order = np.argsort(item.astype(np.uint16) if self.n <= 1 << 16 else item, kind="stable")
-        bounds, best = np.searchsorted(item[order], np.arange(self.n + 1)), np.zeros(len(item), bool)
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            own = order[a:b]
-            best[own[np.argpartition(-w[own], terms)[:terms]] if b - a > terms else own] = True
-        term, self.item, self.weight = term[best], item[best], w[best]
+        best = np.ones(len(item), bool)
+        if terms is not None:
+            best[:] = False
+            bounds = np.searchsorted(item[order], np.arange(self.n + 1))
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                own = order[a:b]
+                best[own[np.argpartition(-w[own], terms)[:terms]] if b - a > terms else own] = True
+        term, self.item, self.weight = term[best], item[best].astype(np.int32), w[best].astype(np.float32)
         self.bounds = np.searchsorted(term, np.arange(len(idf) + 1))
         order = np.argsort(self.item, kind="stable")
         self.queries = np.split(term[order].astype(np.int64), np.searchsorted(self.item[order], np.arange(1, self.n)))
@@ -322,8 +325,11 @@ def pack_shard(sizes: np.ndarray, index_of: Callable, window: int = WINDOW) -> I
         sequence, left = sequence + 1, left - bit
 
 
-def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, terms: int = TERMS) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, n_tokens (of the sequence): one row for each piece."""
+def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, terms: int | None = None) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, n_tokens (of the sequence): one row for each piece.
+
+    terms: how many of a document's best terms are posted and asked for; by default all are.
+    """
     tokens = materialise(tokenise(df, tokenizer, id_col, text_col), "tokens")
     count, total = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     df_counts = document_frequencies(tokens)

@@ -297,6 +297,22 @@ def test_words_are_tokenised_as_the_whole_text(text):
     assert own.encode(text.encode()).tolist() == own.whole.encode(text, add_special_tokens=False).ids
 
 
+def test_index_ranks_as_bm25_does():
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(3, 60, rng.integers(1, 80)) for _ in range(50)]
+    at, ids = np.concatenate([[0], np.cumsum([len(d) for d in docs])]), np.concatenate(docs).astype("<u2")
+    df = np.array([sum(t in d for d in docs) for t in range(100)])
+    idf, average = np.log1p((50 - df + 0.5) / (df + 0.5)), at[-1] / 50
+    index, unused = packing._Index(ids, at, idf, average, None), rng.random(50) < 0.7
+    for seed in range(50):
+        tf = np.array([[np.sum(d == t) for t in set(docs[seed].tolist())] for d in docs])
+        size = np.array([[len(d)] for d in docs])
+        score = (idf[list(set(docs[seed].tolist()))] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / average))).sum(axis=1)
+        got = index.neighbours(seed, unused).tolist()
+        assert set(got) == set(np.flatnonzero(unused & (score > 0)).tolist())
+        assert np.all(np.diff(score[got]) <= 1e-4)
+
+
 def test_packing_brings_related_documents_together(spark):
     rng = random.Random(4)
     topics = [[f"{c}{w}" for w in WORDS] for c in "qwz"]
@@ -412,6 +428,83 @@ def test_language_accuracy_and_rejects(spark, empty):
     assert {r.lang_pred for r in untaught.collect()} == {"und"}
 
 
+def test_packing_repeated_rows_and_null_ids(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (None, "x"), (None, None)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), packing.default_tokenizer()).toPandas()
+    assert out.length.sum() == sum(len(packing.WordTokenizer(packing.default_tokenizer()).encode((t or "").encode())) + 1 for _, t in rows)
+
+
+def test_language_sample_is_bounded_with_repeated_and_null_ids(spark):
+    """Ties, repeated rows and rows without ids: the sample holds at most `sample` different rows of a language."""
+    rng = random.Random(2)
+    rows = [(None, prose(rng, 20), "xx") for _ in range(60)] + [(7, prose(rng, 20), "yy") for _ in range(60)] + [(8, "same words here", "yy")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(docs, sample=10).languages == ["xx", "yy"]
+    got = langid.predict(docs, langid.fit(docs)).select("text", "lang_pred", "lang_score").distinct().collect()
+    assert len(got) == len({r.text for r in got})  # equal texts are judged alike
+
+
+def test_pipeline_stages_and_run(spark, tmp_path):
+    """Each stage against a plain version over what the one before it kept, and the run as a whole."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = random.Random(77)
+    sample = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(150).toPandas()
+    rows = [(int(r.doc_id), r.text, r.lang, r.source, int(r.n_chars)) for r in sample.itertuples()]
+    item = "A train leaves Boston at 9 am and travels 120 km to Albany. How long does it take if it covers 60 km in 1 hour?"
+    words = sample.text[0].split()
+    more = [item, sample.text[3].upper(), None, "", "123 456", " ".join(words + ["extra"]), sample.text[1]]
+    rows += [(9000 + i, t, None if i % 2 else "en", "s", 0) for i, t in enumerate(more)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    table = spark.createDataFrame(rows, schema)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, prose(rng, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    text = {r[0]: r[1] for r in rows}
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = kept[list(kept)[-1]] if kept else set(text)
+        out = stage(spark, docs, str(tmp_path))
+        if name != "packing":
+            assert out.columns == table.columns
+            docs = spark.createDataFrame(out.collect(), schema)
+            kept[name] = {r.doc_id for r in docs.collect()}
+        if name == "language_id":
+            gone = before - kept[name]
+            assert {9002, 9003, 9004} <= gone and len(gone) < 0.05 * len(text) + 3
+        elif name == "exact_dedup":
+            groups = defaultdict(list)
+            for i in before:
+                groups[low(text[i])].append(i)
+            assert kept[name] == {max(g) for g in groups.values()}
+        elif name == "simhash_dedup":
+            ids = sorted(before)
+            prints = [fingerprint(text[i]) for i in ids]
+            root = classes(len(ids), [(i, j) for i in range(len(ids)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= corpus_pipeline.RADIUS])
+            assert kept[name] == {ids[k] for k in set(root)}
+        elif name == "decontamination":
+            found = plain_contaminated([(i, text[i]) for i in before], [(1, item)])
+            assert found and kept[name] == before - {d for d, _ in found}
+        else:
+            pieces = out.toPandas()
+            plain = Tokenizer.from_file(packing.default_tokenizer())
+            assert set(pieces.doc_id) == before
+            for i, g in pieces.groupby("doc_id"):
+                assert g.length.sum() == len(plain.encode(text[i], add_special_tokens=False).ids) + 1
+            whole = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+            order = ["sequence_id", "offset"]
+            assert whole.sort_values(order).values.tolist() == pieces.sort_values(order).values.tolist()
+
+
+def test_pipeline_keeps_clashing_columns(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, prose(random.Random(i), 60), "en", "mine", "other") for i in range(8)], "doc_id long, text string, lang string, __lang_pred string, __LANG_score string")
+    out = corpus_pipeline.identify_language(spark, docs, "")
+    assert out.columns == docs.columns and {(r[3], r[4]) for r in out.collect()} <= {("mine", "other")}
+
+
 def test_hilbert_curve_is_continuous():
     n = 1 << 4
     points = np.array([(x, y, z) for x in range(n) for y in range(n) for z in range(n)]).T
