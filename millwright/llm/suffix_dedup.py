@@ -35,6 +35,7 @@ from millwright.llm.common import blocks, bloom_filter, longs, materialise, may_
 LENGTH, GRAM, BLOCK = 100, 16, 1 << 19
 _ONE = 0xD6E8FEB86659FD93
 _LOW = np.uint64((1 << 24) - 1)
+_BYTES = np.array([1 << (8 * k) for k in range(8)], np.uint64)
 
 
 def segments(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -152,24 +153,30 @@ def _ordered(key: np.ndarray, key_bits: int, value: np.ndarray, bits: int) -> tu
     return value, new
 
 
-def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """The sorted suffixes of strings that are laid out with separators, by Larsson-Sadakane refinement.
+def suffix_array(symbols: np.ndarray, lanes: np.ndarray, count: np.ndarray | None = None) -> np.ndarray:
+    """The sorted suffixes of strings that are laid out with separators (lanes: their starts, and the end), by Larsson-Sadakane refinement.
 
     A separator is less than any byte and than all separators behind it, so no comparison goes on into the next
     string. Suffixes are sorted by 4 symbols first; each round sorts the groups that are still unsorted by
     the ranks of the suffixes that start as many symbols later as the groups agree in.
+
+    With count, only the first `count` suffixes of each string come in order; of the others those are refined whose ranks they need.
     """
     n = len(symbols)
+    if count is not None:
+        offset = (np.arange(n) - np.repeat(lanes[:-1], np.diff(lanes))).astype(np.int32)
+        wanted = np.repeat(count.astype(np.int32), np.diff(lanes))
     bits = max(1, int(n).bit_length())
     word = np.append(symbols, np.zeros(4, np.uint16)).astype(np.int64)
     for k in (1, 2):
         word = (word[:-k] << (9 * k)) | word[k:]
     word = word[:n]
-    stop = np.append(np.flatnonzero(symbols == 0), n)
-    left = stop[np.searchsorted(stop, np.arange(n))] - np.arange(n)  # bytes up to the separator
-    short = left < 4
-    drop = 9 * (4 - left[short])
-    word[short] = word[short] >> drop << drop  # what is behind the separator does not count; the place tells such suffixes apart
+    short = np.zeros(n, bool)  # what is behind the separator does not count; the place tells such suffixes apart
+    for left in range(4):
+        at = lanes[1:] - 1 - left
+        at = at[at >= lanes[:-1]]
+        short[at] = True
+        word[at] = word[at] >> (9 * (4 - left)) << (9 * (4 - left))
     rank = np.empty(n, np.int64)
 
     def name(places: np.ndarray, new: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
@@ -185,6 +192,9 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     h = 4
     while len(places):
         suffixes = order[places]
+        if count is not None and h >= 32:  # to agree in 2 h symbols is asked of the first ones, and of those multiples of 2 h behind them
+            needed = (offset[suffixes] & (2 * h - 1)) < wanted[suffixes]
+            places, suffixes = places[needed], suffixes[needed]
         both = (rank[suffixes] << bits) | rank[suffixes + h]
         suffixes, new = _ordered(both.astype(np.uint64), 2 * bits, suffixes, bits)
         order[places] = suffixes
@@ -223,7 +233,7 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray, lanes: np.ndarray, c
         while len(going):
             done = h[going]
             differ = word[i[going] + done] ^ word[j[going] + done]
-            same = sum((differ < np.uint64(1 << (56 - 8 * k))).astype(np.int64) for k in range(8))  # leading bytes that agree
+            same = 8 - np.searchsorted(_BYTES, differ, side="right")  # leading bytes that agree
             h[going] = np.minimum(done + same, most[going])
             going = going[(same == 8) & (h[going] < most[going])]
         out[own], have, last = h, h, j
@@ -249,9 +259,10 @@ def _shards(found: DataFrame, length: int, most: int) -> DataFrame:
         doc, start = longs(rows.column("doc")), longs(rows.column("start"))
         data, at = text_bytes(rows.column("bytes"))
         symbols, lanes = laid_out(data, at)
-        order, rows_of = suffix_array(symbols), np.repeat(np.arange(len(doc)), np.diff(lanes))
-        order = order[order + length < lanes[rows_of[order] + 1]]  # the windows
-        place, group = order, np.cumsum(common_prefixes(symbols, order, lanes, np.maximum(np.diff(lanes) - length, 0), length) < length)
+        count, rows_of = np.maximum(np.diff(lanes) - length, 0), np.repeat(np.arange(len(doc)), np.diff(lanes))
+        order = suffix_array(symbols, lanes, count)
+        place = order[order + length < lanes[rows_of[order] + 1]]  # the windows
+        group = np.cumsum(common_prefixes(symbols, place, lanes, count, length) < length)
         heads = runs(group)
         first = np.minimum.reduceat(place, heads[:-1]) if len(place) else place
         head = np.repeat(first, np.diff(heads))
@@ -347,9 +358,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
             parts, number = column.flatten(), np.diff(column.offsets.to_numpy())
             doc, start, count = np.repeat(longs(rows.column("doc")), number), longs(parts.field("start")), longs(parts.field("count"))
             base, size = start + np.repeat(at[:-1], number), count + length - 1
-            ends = np.cumsum(size)
-            for a in range(0, len(doc), 1 << 15):  # bounded batches of a long text
-                own = slice(a, a + (1 << 15))
+            for a in range(0, len(doc), 1 << 12):  # bounded batches of a long text
+                own = slice(a, a + (1 << 12))
                 offsets = np.concatenate([[0], np.cumsum(size[own])])
                 taken = data[np.arange(offsets[-1]) + np.repeat(base[own] - offsets[:-1], size[own])]
                 column = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(taken)])

@@ -190,12 +190,14 @@ def test_suffix_array_and_prefixes():
     strings = [x.astype(np.uint8).tobytes() for x in [*strings, strings[0]]]
     at = np.concatenate([[0], np.cumsum([len(x) for x in strings])])
     symbols, lanes = suffix_dedup.laid_out(np.frombuffer(b"".join(strings), np.uint8), at)
-    order = suffix_dedup.suffix_array(symbols)
+    order = suffix_dedup.suffix_array(symbols, lanes)
     want = plain_suffixes(strings)
     owner = np.searchsorted(lanes, order, side="right") - 1
     assert list(zip(owner.tolist(), (order - lanes[owner]).tolist(), strict=True)) == want
-    for count in (np.diff(lanes), np.maximum(np.diff(lanes) - 40, 0)):  # all suffixes, and the first ones of each string
-        some = order[order - lanes[owner] < count[owner]]
+    for count in (np.diff(lanes), np.maximum(np.diff(lanes) - 40, 0), np.minimum(np.diff(lanes), 20)):  # all suffixes, and the first ones of each string
+        partly = suffix_dedup.suffix_array(symbols, lanes, count)
+        some = partly[partly - lanes[np.searchsorted(lanes, partly, side="right") - 1] < count[np.searchsorted(lanes, partly, side="right") - 1]]
+        assert some.tolist() == order[order - lanes[owner] < count[owner]].tolist()
         found = [x for x in want if x[1] < count[x[0]]]
         lcp = suffix_dedup.common_prefixes(symbols, some, lanes, count, 100)
         for k in range(1, len(some)):
