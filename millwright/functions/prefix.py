@@ -51,3 +51,18 @@ def global_order(df: DataFrame, order: Sequence[str | Column], sums: dict[str, s
     for n, c in sums.items():
         out = out.withColumn(n, F.col(f"__before_{n}") + F.sum(c).over(within))
     return out.drop("__place", "__part", "__before", *[f"__before_{n}" for n in sums])
+
+
+def running_within(df: DataFrame, key: str, order: Sequence[str | Column], sums: dict[str, str]) -> DataFrame:
+    """df with, for name -> column in sums, the running sum within key (`name`, inclusive) and the key's sum (`name_all`).
+
+    One global order serves all keys, so a key that has most rows is spread over tasks as well. key has few values, such as
+    models or columns of a table: one row for each of them is broadcast.
+    """
+    ordered = global_order(df, [key, *order], {f"__run_{n}": c for n, c in sums.items()}).drop("rank", "total")
+    totals = df.groupBy(F.col(key).alias("__key")).agg(*[F.sum(c).alias(f"{n}_all") for n, c in sums.items()])
+    before = Window.orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("*", *[F.coalesce(F.sum(f"{n}_all").over(before), F.lit(0)).alias(f"__off_{n}") for n in sums])
+    out = ordered.join(F.broadcast(offsets), F.col(key).eqNullSafe(F.col("__key")))
+    out = out.withColumns({n: F.col(f"__run_{n}") - F.col(f"__off_{n}") for n in sums})
+    return out.drop("__key", *[f"__run_{n}" for n in sums], *[f"__off_{n}" for n in sums])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millwright.functions.columns import finite, is_numeric, normalise_missing, unpivot
+from millwright.functions.prefix import running_within
 
 SEVERITIES = ("LOW", "MEDIUM", "HIGH")
 
@@ -66,9 +67,9 @@ def psi_numeric(base: DataFrame, prod: DataFrame, columns: Sequence[str], bins:
 def ks_two_sample(base: DataFrame, prod: DataFrame, columns: Sequence[str]) -> DataFrame:
     """column, ks, p_value (asymptotic): the largest distance of the distribution functions, over the different values of a column."""
     counts = _present(base, prod, columns).groupBy("column", "value").agg(F.count_if(F.col("side") == 0).alias("b"), F.count_if(F.col("side") == 1).alias("p"))
-    total, running = Window.partitionBy("column"), Window.partitionBy("column").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    d = F.abs(F.try_divide(F.sum("b").over(running), F.sum("b").over(total)) - F.try_divide(F.sum("p").over(running), F.sum("p").over(total)))
-    out = counts.select("column", d.alias("d"), F.sum("b").over(total).alias("b_all"), F.sum("p").over(total).alias("p_all")).groupBy("column", "b_all", "p_all").agg(F.max("d").alias("ks"))
+    counts = running_within(counts, "column", ["value"], {"below_b": "b", "below_p": "p"}).withColumnsRenamed({"below_b_all": "b_all", "below_p_all": "p_all"})
+    d = F.abs(F.try_divide(F.col("below_b"), F.col("b_all")) - F.try_divide(F.col("below_p"), F.col("p_all")))
+    out = counts.groupBy("column", "b_all", "p_all").agg(F.max(d).alias("ks"))
     n = F.col("b_all") * F.col("p_all") / (F.col("b_all") + F.col("p_all"))
     x = F.col("ks") * F.sqrt(n)
     series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2 * k * k * x * x))

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millwright.functions.prefix import running_within
+
 LOWER_IS_BETTER = ("rmse", "mae", "mse")
 METRICS = {"binary_classification": ("precision", "recall", "f1", "roc_auc", "pr_auc"), "multiclass_classification": ("precision", "recall", "f1"), "regression": ("mae", "rmse", "r2")}
 
@@ -50,17 +52,16 @@ def _by_score(pred: DataFrame, positive: str) -> DataFrame:
 
 def roc_auc(pred: DataFrame, positive: str) -> DataFrame:
     """model, roc_auc: share of pairs of a positive and a negative row in the right order, ties half; null with one class."""
-    w = Window.partitionBy("model").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     s = _by_score(pred, positive).withColumn("q", F.col("n") - F.col("p"))
-    s = s.withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0)))
-    out = s.groupBy("model").agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("u"), F.sum("p").alias("pos"), F.sum("q").alias("neg"))
+    s = running_within(s, "model", ["score"], {"neg": "q"})
+    u = F.sum(F.col("p") * (F.col("neg") - F.col("q") / 2))  # negatives below, and half of those with the same score
+    out = s.groupBy("model").agg(u.alias("u"), F.sum("p").alias("pos"), F.sum("q").alias("neg"))
     return out.select("model", F.try_divide(F.col("u"), F.col("pos") * F.col("neg").cast("double")).alias("roc_auc"))
 
 
 def average_precision(pred: DataFrame, positive: str) -> DataFrame:
     """model, pr_auc: sum of precision by gain of recall over descending scores; null without a positive row."""
-    w = Window.partitionBy("model").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    s = _by_score(pred, positive).withColumns({"tp": F.sum("p").over(w), "seen": F.sum("n").over(w)})
+    s = running_within(_by_score(pred, positive), "model", [F.desc("score")], {"tp": "p", "seen": "n"})
     out = s.groupBy("model").agg(F.sum(F.col("p") * F.col("tp") / F.col("seen")).alias("a"), F.sum("p").alias("pos"))
     return out.select("model", F.try_divide(F.col("a"), F.col("pos")).alias("pr_auc"))
 

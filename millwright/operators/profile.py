@@ -12,7 +12,7 @@ from millwright.functions.columns import (
     BOOLEAN_WORDS, IDENTIFIER_HINTS, SENSOR_HINTS, TARGET_HINTS, TIMESTAMP_HINTS, coarse_dtype, has_hint, is_numeric, normalise_missing, unpivot,
 )
 
-MOST_CLASSES, NEAR_UNIQUE, DATE_SAMPLE = 30, 0.9, 200
+MOST_CLASSES, NEAR_UNIQUE = 30, 0.9
 
 
 def table_profile(df: DataFrame) -> DataFrame:
@@ -98,16 +98,11 @@ def boolean_like(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return found.select("column", (F.col("column").isin(booleans) | (F.col("fits") & (F.col("n") <= 2))).alias("boolean_like"))
 
 
-def datetime_like(df: DataFrame, columns: Sequence[str], sample: int = DATE_SAMPLE) -> DataFrame:
-    """column, datetime_like: whether the first sample present texts all are timestamps."""
-    parts = []
-    for c in columns:
-        taken = df.select(F.col(f"`{c}`").alias("v")).filter("v is not null").limit(sample)
-        parts.append(taken.agg(F.coalesce(F.bool_and(F.try_to_timestamp("v").isNotNull()), F.lit(False)).alias("datetime_like")).select(F.lit(c).alias("column"), "datetime_like"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+def datetime_like(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column, datetime_like: whether all present texts are timestamps, by one scan; the first rows of a table without an order would not do."""
+    present = [F.bool_and(F.when(F.col(f"`{c}`").isNotNull(), F.try_to_timestamp(F.col(f"`{c}`")).isNotNull())) for c in columns]
+    facts = df.agg(F.array(*[F.coalesce(p, F.lit(False)) for p in present]).alias("all_dates"))
+    return facts.select(F.posexplode("all_dates").alias("at", "datetime_like")).select(F.get(F.array(*map(F.lit, columns)), F.col("at")).alias("column"), "datetime_like")
 
 
 def infer_schema(df: DataFrame) -> DataFrame:

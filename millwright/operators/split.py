@@ -117,17 +117,33 @@ def validate(df: DataFrame, roles: Roles, strategy: str, plan: SplitPlan) -> int
     return facts["n"]
 
 
+def _without_empty_fold(df: DataFrame, other: str) -> DataFrame:
+    counts = df.agg(F.count_if(F.col("fold") == "train"), F.count_if(F.col("fold") == other)).first()
+    if not all(counts):
+        raise SplitError(f"an empty fold: train has {counts[0]} rows, {other} has {counts[1]}")
+    return df
+
+
 def split(df: DataFrame, roles: Roles, strategy: str, plan: SplitPlan = SplitPlan()) -> DataFrame:
-    """df with fold: train, validation or test. Validation is carved from train by the same strategy, if train has at least 4 rows."""
+    """df with fold: train, validation or test; split_with_note() tells why there is no validation fold, if it was asked for."""
+    return split_with_note(df, roles, strategy, plan)[0]
+
+
+def split_with_note(df: DataFrame, roles: Roles, strategy: str, plan: SplitPlan = SplitPlan()) -> tuple[DataFrame, str | None]:
+    """df with fold, and a note where validation cannot be carved from train by the same strategy: then train stays whole."""
     validate(df, roles, strategy, plan)
     if strategy == "group_time" and df.groupBy(roles.asset).count().filter("count > 1").isEmpty():
         strategy = "chronological"
-    first = _apply(df, strategy, roles, plan.test, plan.seed, "test")
-    train = first.filter("fold = 'train'").drop("fold")
-    if not plan.validation or train.limit(4).count() < 4:
-        return first
-    second = _apply(train, strategy, roles, plan.validation / (1 - plan.test), plan.seed, "validation")
-    return second.unionByName(first.filter("fold <> 'train'"))
+    first = _without_empty_fold(_apply(df, strategy, roles, plan.test, plan.seed, "test"), "test")
+    train, share = first.filter("fold = 'train'").drop("fold"), plan.validation / (1 - plan.test)
+    if not plan.validation:
+        return first, None
+    try:
+        validate(train, roles, strategy, SplitPlan(test=share, validation=0.0, seed=plan.seed))
+        second = _without_empty_fold(_apply(train, strategy, roles, share, plan.seed, "validation"), "validation")
+    except SplitError as reason:
+        return first, f"no validation fold: {reason}"
+    return second.unionByName(first.filter("fold <> 'train'")), None
 
 
 def split_by_source(train: DataFrame, test: DataFrame) -> DataFrame:

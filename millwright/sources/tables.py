@@ -64,13 +64,17 @@ def new_files(spark: SparkSession, glob: str, catalog: DataFrame | None = None)
 def read_labelled_csv(spark: SparkSession, path: str, columns: Sequence[str], label: str, labels: Mapping[str, int], na: str = "na", sensor_type: str = "double") -> tuple[DataFrame, DataFrame]:
     """A sensor file with a text preamble before its header: good rows with the label as a number, and rejected lines with the reason.
 
-    Lines before the header are those without its first columns; the header may stand anywhere, as lines are told by
-    their content and not by their number.
+    The preamble is what stands before a file's header. All lines behind it count, so one that was cut off is rejected; in a
+    file without the header all lines count.
     """
-    lines = spark.read.text(path).withColumn("value", F.regexp_replace("value", "^﻿|\r$", ""))
-    header = ",".join(columns)
+    lines = spark.read.text(path).select(
+        F.regexp_replace("value", "^﻿|\r$", "").alias("value"), F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("place"),
+    )
+    header = F.trim("value") == F.lit(",".join(columns))
     width = F.size(F.split("value", ","))
-    body = lines.filter(F.trim("value") != F.lit(header)).filter(width > 1)
+    headers = lines.filter(header).groupBy("file").agg(F.min("place").alias("header"))
+    body = lines.join(headers, "file", "left").filter("header is null or place > header").filter(~header & (F.trim("value") != ""))
     schema = ", ".join(f"`{c}` {'string' if c == label else sensor_type}" for c in columns)
     parsed = body.select("value", width.alias("width"), F.from_csv("value", F.lit(schema), {"nullValue": na, "mode": "PERMISSIVE"}).alias("row"))
     codes = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])

@@ -217,3 +217,34 @@ def test_sources_and_sinks(spark, tmp_path):
         tables.load(spark, catalog, "a", max_rows=1)
     good, bad = tables.quarantine(spark, str(tmp_path / "a.csv"), df.schema)
     assert good.count() + bad.count() == 2
+
+
+def test_split_keeps_train_where_validation_cannot_be_carved(spark):
+    from millwright.operators import split
+    from millwright.operators.quality import Roles
+
+    rows = [(i, f"a{i % 2}", i % 2) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, asset string, target long")
+    folds, note = split.split_with_note(df, Roles(key="id", asset="asset", target="target"), "group")
+    assert {r.fold: r["count"] for r in folds.groupBy("fold").count().collect()} == {"train": 10, "test": 10} and "no validation fold" in note
+    folds, note = split.split_with_note(df, Roles(key="id", asset="asset", target="target"), "stratified")
+    assert {r.fold for r in folds.select("fold").distinct().collect()} == {"train", "validation", "test"} and note is None
+
+
+def test_cut_off_lines_behind_the_header_are_rejected(spark, tmp_path):
+    from millwright.sources.tables import read_labelled_csv
+
+    (tmp_path / "a.csv").write_text("About, this file\nno header yet\nclass,s1\npos,1.5\ncut\nneg,na\nother,2\npos\n")
+    good, bad = read_labelled_csv(spark, str(tmp_path / "a.csv"), ["class", "s1"], "class", {"neg": 0, "pos": 1})
+    assert sorted(map(tuple, good.collect()), key=str) == [(0, None), (1, 1.5)]
+    assert sorted((r.line, r.reason) for r in bad.collect()) == [("cut", "column count"), ("other,2", "unexpected label"), ("pos", "column count")]
+
+
+def test_running_sums_within_a_key(spark):
+    from pyspark.sql import functions as F
+
+    from millwright.functions.prefix import running_within
+
+    rows = [(k, float(v), v % 3) for k in ("x", "y", "z") for v in range(40)]
+    out = running_within(spark.createDataFrame(rows, "k string, v double, n long"), "k", [F.desc("v")], {"s": "n"}).collect()
+    assert all(r.s == sum(v % 3 for v in range(int(r.v), 40)) and r.s_all == 39 for r in out)
