@@ -60,7 +60,7 @@ def running_within(df: DataFrame, key: str, order: Sequence[str | Column], sums:
     models or columns of a table: one row for each of them is broadcast.
     """
     ordered = global_order(df, [key, *order], {f"__run_{n}": c for n, c in sums.items()}).drop("rank", "total")
-    totals = df.groupBy(F.col(key).alias("__key")).agg(*[F.sum(c).alias(f"{n}_all") for n, c in sums.items()])
+    totals = ordered.groupBy(F.col(key).alias("__key")).agg(*[F.sum(c).alias(f"{n}_all") for n, c in sums.items()])  # of the written rows
     before = Window.orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("*", *[F.coalesce(F.sum(f"{n}_all").over(before), F.lit(0)).alias(f"__off_{n}") for n in sums])
     out = ordered.join(F.broadcast(offsets), F.col(key).eqNullSafe(F.col("__key")))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millwright.functions.columns import finite, normalise_missing, seeded_order, unpivot
+from millwright.functions.quantiles import median_mad, quantiles, value_counts
 
 TREES, SAMPLE, THRESHOLD = 100, 256, 3.0
 
@@ -20,10 +21,10 @@ def fit_robust_baseline(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     if df.limit(4).count() < 4:
         raise ValueError("a baseline needs at least 4 rows")
     cells = unpivot(normalise_missing(df), columns, "double").withColumn("value", finite(F.col("value")))
-    one = cells.groupBy("column").agg(F.percentile("value", 0.5).alias("median"), F.stddev_pop("value").alias("std"))
-    two = cells.join(F.broadcast(one), "column").groupBy("column").agg(F.percentile(F.abs(F.col("value") - F.col("median")), 0.5).alias("mad"))  # one row for each column
+    one = cells.groupBy("column").agg(F.stddev_pop("value").alias("std"))
+    two = median_mad(value_counts(cells))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
-    return one.join(two, "column").select("column", zero("median"), zero("mad"), zero("std"))
+    return one.join(two, "column", "left").select("column", zero("median"), zero("mad"), zero("std"))
 
 
 @dataclass(frozen=True)
@@ -161,14 +162,17 @@ class Combiner:
 
 def fit_combiner(baseline: DataFrame, scores: Sequence[str], contamination: float | None = None) -> Combiner:
     """Scores are centred by the baseline's median and scaled by MAD / 0.6745, else std, else 1; contamination sets the threshold's quantile."""
-    one = baseline.agg(*[F.percentile(s, 0.5).alias(f"m_{s}") for s in scores], *[F.stddev_pop(s).alias(f"s_{s}") for s in scores]).first()
-    centre = {s: one[f"m_{s}"] for s in scores}
-    mad = baseline.agg(*[F.percentile(F.abs(F.col(s) - centre[s]), 0.5).alias(s) for s in scores]).first()
-    scale = {s: mad[s] / 0.6745 if mad[s] else one[f"s_{s}"] or 1.0 for s in scores}
+    std = baseline.agg(*[F.stddev_pop(s).alias(s) for s in scores]).first()
+    rows = {r["column"]: r for r in median_mad(value_counts(unpivot(baseline, scores, "double"))).collect()}  # one for each score
+    if lost := [s for s in scores if s not in rows]:
+        raise ValueError(f"no values of {lost}")
+    centre = {s: rows[s]["median"] for s in scores}
+    scale = {s: rows[s]["mad"] / 0.6745 if rows[s]["mad"] else std[s] or 1.0 for s in scores}
     out = Combiner(centre, scale)
     if contamination is None:
         return out
-    return Combiner(centre, scale, baseline.agg(F.percentile(out.score(), 1 - contamination)).first()[0])
+    counts = value_counts(baseline.select(F.lit(0).alias("column"), out.score().alias("value")))
+    return Combiner(centre, scale, quantiles(counts, [1 - contamination]).first()["q"][0])
 
 
 def combined_score(df: DataFrame, combiner: Combiner) -> DataFrame:

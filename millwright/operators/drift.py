@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millwright.functions.columns import finite, is_numeric, normalise_missing, unpivot
 from millwright.functions.prefix import running_within
+from millwright.functions.quantiles import quantiles, value_counts
 
 SEVERITIES = ("LOW", "MEDIUM", "HIGH")
 
@@ -48,8 +49,8 @@ def _present(base: DataFrame, prod: DataFrame, columns: Sequence[str]) -> DataFr
 def psi_numeric(base: DataFrame, prod: DataFrame, columns: Sequence[str], bins: int = 10, epsilon: float = 1e-6) -> DataFrame:
     """column, n_bins, psi over the baseline's quantile bins and two overflow bins; null with fewer than two different edges or an empty side."""
     cells = _present(base, prod, columns)
-    points = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = cells.filter("side = 0").groupBy("column").agg(F.array_distinct(F.percentile("value", points)).alias("edges"))
+    counts = value_counts(cells.filter("side = 0"))
+    edges = quantiles(counts, [i / bins for i in range(bins + 1)]).select("column", F.array_distinct("q").alias("edges"))
     last = F.element_at("edges", -1)
     place = F.when(F.col("value") == last, F.size("edges") - 1).otherwise(F.size(F.filter("edges", lambda e: e <= F.col("value"))))
     counts = cells.join(F.broadcast(edges), "column").withColumn("bin", place)  # one row for each column

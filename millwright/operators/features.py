@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millwright.functions.columns import boolean_code, coarse_dtype, is_numeric, normalise_missing
+from millwright.functions.columns import boolean_code, coarse_dtype, is_numeric, normalise_missing, unpivot
+from millwright.functions.quantiles import modes, quantiles, value_counts
 from millwright.operators.profile import boolean_like, column_profile
 
 
@@ -87,18 +88,13 @@ class Preprocessor:
 
 
 def fit_preprocessor(train: DataFrame, features: Sequence[str]) -> Preprocessor:
-    """One aggregate gives the fills, a second one the moments after filling."""
+    """Counts of values give the fills, one aggregate the moments after filling."""
     train = normalise_missing(train)
     kinds = classify_columns(train, features)
-    aggs = []
-    for c, kind in kinds.items():
-        if kind == "numeric":
-            aggs.append(F.percentile(F.col(c).cast("double"), 0.5).alias(c))
-        elif kind == "boolean":
-            aggs.append(F.coalesce(F.mode(boolean_code(F.col(c), train.schema[c].dataType), True), F.lit(0.0)).alias(c))
-        elif kind == "categorical":
-            aggs.append(F.mode(F.col(c).cast("string"), True).alias(c))
-    fills = train.agg(*aggs).first().asDict()
+    codes = {c: boolean_code(F.col(c), train.schema[c].dataType) for c, k in kinds.items() if k == "boolean"}
+    fills = _medians(train, [c for c, k in kinds.items() if k == "numeric"]) | _modes(train, [c for c, k in kinds.items() if k == "categorical"])
+    if codes:  # zeros and ones
+        fills |= train.agg(*[F.when(F.count_if(x == 1.0) > F.count_if(x == 0.0), 1.0).otherwise(0.0).alias(c) for c, x in codes.items()]).first().asDict()
     numbers = [c for c, k in kinds.items() if k == "numeric"]
     means, stds = {}, {}
     if numbers:
@@ -116,9 +112,20 @@ def fit_preprocessor(train: DataFrame, features: Sequence[str]) -> Preprocessor:
     return Preprocessor(kinds, fills, means, stds, Pipeline(stages=stages).fit(half.impute(train)))
 
 
+def _medians(train: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+    found = quantiles(value_counts(unpivot(train, columns, "double")), [0.5]).collect() if columns else []  # a row for each column
+    return dict.fromkeys(columns) | {r["column"]: r["q"][0] for r in found}
+
+
+def _modes(train: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
+    found = modes(unpivot(train, columns, "string")).collect() if columns else []  # a row for each column
+    return dict.fromkeys(columns) | {r["column"]: r["mode"] for r in found}
+
+
 def feature_baseline(train: DataFrame, features: Sequence[str]) -> DataFrame:
     """One row: the median of each number, the mode of every other feature."""
     train = normalise_missing(train)
-    return train.agg(*[
-        (F.percentile(c, 0.5) if is_numeric(train.schema[c].dataType, booleans=False) else F.mode(c, True)).alias(c) for c in features
-    ])
+    numbers = [c for c in features if is_numeric(train.schema[c].dataType, booleans=False)]
+    fills = _medians(train, numbers) | _modes(train, [c for c in features if c not in numbers])
+    kinds = {c: T.DoubleType() if c in numbers else train.schema[c].dataType for c in features}
+    return train.sparkSession.range(1).select(*[F.lit(fills[c]).cast(kinds[c]).alias(c) for c in features])

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millwright.functions.prefix import running_within
+from millwright.functions.quantiles import quantiles, value_counts
 
 LOWER_IS_BETTER = ("rmse", "mae", "mse")
 METRICS = {"binary_classification": ("precision", "recall", "f1", "roc_auc", "pr_auc"), "multiclass_classification": ("precision", "recall", "f1"), "regression": ("mae", "rmse", "r2")}
@@ -120,7 +121,8 @@ def compare_costs(confusion: DataFrame, positive: str, costs: Sequence[tuple[flo
 
 def residual_interval(pred: DataFrame, q: float = 0.9) -> DataFrame:
     """model, half_width: the q quantile of the absolute residuals."""
-    return pred.groupBy("model").agg(F.percentile(F.abs(F.col("label") - F.col("prediction")), q).alias("half_width"))
+    counts = value_counts(pred.select("model", F.abs(F.col("label") - F.col("prediction")).alias("away")), "model", "away")
+    return quantiles(counts, [q], "model", "away").select("model", F.col("q")[0].alias("half_width"))
 
 
 def with_interval(pred: DataFrame, widths: DataFrame) -> DataFrame:

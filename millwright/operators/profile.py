@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from millwright.functions.columns import (
     BOOLEAN_WORDS, IDENTIFIER_HINTS, SENSOR_HINTS, TARGET_HINTS, TIMESTAMP_HINTS, coarse_dtype, has_hint, is_numeric, normalise_missing, unpivot,
 )
+from millwright.functions.quantiles import quantiles, value_counts
 
 MOST_CLASSES, NEAR_UNIQUE = 30, 0.9
 
@@ -64,12 +65,14 @@ def numeric_columns(df: DataFrame, booleans: bool = True) -> list[str]:
 def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, accuracy: int | None = None) -> DataFrame:
     """column, n, minimum, maximum, mean, std (population), q1, median, q3, iqr. accuracy: approximate quantiles instead of exact ones."""
     cells = unpivot(normalise_missing(df), columns or numeric_columns(df), "double")
-    points = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    quantiles = F.percentile("value", points) if accuracy is None else F.percentile_approx("value", points, accuracy)
+    points = [0.25, 0.5, 0.75]
+    rough = [] if accuracy is None else [F.percentile_approx("value", F.array(*map(F.lit, points)), accuracy).alias("q")]
     out = cells.groupBy("column").agg(
         F.count("value").alias("n"), F.min("value").alias("minimum"), F.max("value").alias("maximum"), F.avg("value").alias("mean"),
-        F.stddev_pop("value").alias("std"), quantiles.alias("q"),
+        F.stddev_pop("value").alias("std"), *rough,
     )
+    if accuracy is None:
+        out = out.join(F.broadcast(quantiles(value_counts(cells), points).select("column", "q")), "column", "left")  # one row for each column
     q = [F.col("q")[i] for i in range(3)]
     return out.select("column", "n", "minimum", "maximum", "mean", "std", q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), (q[2] - q[0]).alias("iqr"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millwright.functions.columns import is_numeric, normalise_missing, unpivot
+from millwright.functions.quantiles import median_mad, quantiles, value_counts
 from millwright.operators.profile import column_profile, duplicate_rows, table_profile
 
 
@@ -92,10 +93,14 @@ def gaps(df: DataFrame, roles: Roles) -> DataFrame:
 
 def sampling_gaps(df: DataFrame, roles: Roles, factor: float = 5.0) -> DataFrame:
     """One row: n_gaps, median_gap, long_gaps (over factor medians), sampling_cv (population std by median); nulls without gaps or a zero median."""
-    found = gaps(df, roles)
-    middle = found.agg(F.percentile("gap", 0.5).alias("median_gap"), F.stddev_pop("gap").alias("std"))
-    out = found.join(F.broadcast(middle)).agg(  # one row, beside every gap
-        F.count("*").alias("n_gaps"), F.first("median_gap").alias("median_gap"), F.count_if(F.col("gap") > factor * F.col("median_gap")).alias("long_gaps"), F.first("std").alias("std")
+    counts = value_counts(gaps(df, roles).withColumn("all", F.lit(0)), "all", "gap")  # the windows by asset run once
+    middle = quantiles(counts, [0.5], "all", "gap").select("all", F.col("q")[0].alias("median_gap"))
+    mean = counts.groupBy("all").agg((F.sum(F.col("gap") * F.col("n")) / F.sum("n")).alias("mean"))
+    both = counts.join(F.broadcast(middle), "all").join(F.broadcast(mean), "all")  # one row each
+    n = F.coalesce(F.sum("n"), F.lit(0))
+    out = both.agg(
+        n.alias("n_gaps"), F.max("median_gap").alias("median_gap"), F.sum(F.when(F.col("gap") > factor * F.col("median_gap"), F.col("n")).otherwise(0)).alias("long_gaps"),
+        F.sqrt(F.sum(F.col("n") * F.pow(F.col("gap") - F.col("mean"), 2)) / n).alias("std"),
     )
     known = F.col("median_gap") > 0
     return out.select("n_gaps", "median_gap", F.when(known, F.col("long_gaps")).alias("long_gaps"), F.when(known, F.col("std") / F.col("median_gap")).alias("sampling_cv"))
@@ -110,14 +115,13 @@ def duplicate_timestamps(df: DataFrame, roles: Roles) -> DataFrame:
 def robust_outliers(df: DataFrame, columns: Sequence[str], z: float = 3.5) -> DataFrame:
     """column, median, mad, rate: share of readings whose robust z score exceeds z; not for columns without spread or with one reading.
 
-    The statistics, one row for each column, are joined to the cells as a broadcast table.
+    Counts of different values serve both medians and the rate; the statistics, one row for each column, are broadcast.
     """
     cells = unpivot(normalise_missing(df), columns, "double").filter("value is not null")
-    middle = cells.groupBy("column").agg(F.percentile("value", 0.5).alias("median"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    cells = cells.join(F.broadcast(middle), "column")
-    spread = cells.groupBy("column").agg(F.percentile(F.abs(F.col("value") - F.col("median")), 0.5).alias("mad")).filter("mad > 0")
-    score = 0.6745 * F.abs(F.col("value") - F.col("median")) / F.col("mad")
-    return cells.join(F.broadcast(spread), "column").groupBy("column", "median", "mad").agg(F.avg((score > z).cast("int")).alias("rate"))
+    counts = value_counts(cells)
+    middle = median_mad(counts).filter("total > 1 AND mad > 0")
+    far = F.when(0.6745 * F.abs(F.col("value") - F.col("median")) / F.col("mad") > z, F.col("n")).otherwise(0)
+    return counts.join(F.broadcast(middle), "column").groupBy("column", "median", "mad").agg((F.sum(far) / F.sum("n")).alias("rate"))
 
 
 def asset_imbalance(df: DataFrame, asset: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millwright.functions.prefix import shared_dir
+from millwright.functions.quantiles import quantiles, value_counts
 from millwright.operators import anomaly, evallog, ledger
 from millwright.plans.data import EVENTS_SQL, SPLIT_DATE, rounded, table, windows
 from millwright.streaming import streams
@@ -176,7 +177,8 @@ def stream_dedup(spark, sf_dir):
 def stream_drift(spark, sf_dir):
     """Population stability of each day's readings against the baseline window, from a stream."""
     base, _ = windows(spark, sf_dir)
-    edges = base.agg(F.array_distinct(F.percentile("value", F.array(*[F.lit(i / 10) for i in range(11)])))).first()[0]
+    counts = value_counts(base.select(F.lit("value").alias("column"), "value"))
+    edges = quantiles(counts, [i / 10 for i in range(11)]).select(F.array_distinct("q")).first()[0]
     place = F.when(F.col("value") == edges[-1], len(edges) - 1).otherwise(F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col("value"))))
     baseline = base.filter("value is not null").groupBy(place.alias("bin")).agg(F.count("*").alias("b"))
     bins = spark.range(len(edges) + 1).select(F.col("id").cast("int").alias("bin"))
