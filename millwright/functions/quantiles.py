@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwright.functions.prefix import running_within, written
+from millwright.functions.prefix import running_within
 
 
 def value_counts(rows: DataFrame, key: str = "column", value: str = "value") -> DataFrame:
-    """key, value, n: how often each present value occurs, written once for the passes to come."""
-    return written(rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n")), "values")
+    """key, value, n: how often each present value occurs. Write it if several passes follow."""
+    return rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
 
 
 def quantiles(counts: DataFrame, points: Sequence[float], key: str = "column", value: str = "value") -> DataFrame:
@@ -21,19 +21,27 @@ def quantiles(counts: DataFrame, points: Sequence[float], key: str = "column", v
     counts has key, value and n, with each value of a key once. No group is held by one task, and a key's row is all
     that its group leaves. A key without a value has no row.
     """
-    ordered = running_within(counts.select(key, value, "n"), key, [value], {"upto": "n"})
-    ranks = [(F.col("upto_all") - 1) * F.lit(float(p)) for p in points]
-    at = lambda rank: F.max(F.when((F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col(value)))
+    return at_ranks(running_within(counts.select(key, value, "n"), key, [value], {"upto": "n"}), points, key, value)
+
+
+def at_ranks(ordered: DataFrame, points: Sequence[float], key: str = "column", value: str = "value", n: str = "n", upto: str = "upto") -> DataFrame:
+    """The same from counts n that have their running sums, as running_within adds them; a value with n = 0 counts for nothing."""
+    total = F.col(f"{upto}_all")
+    ranks = [(total - 1) * F.lit(float(p)) for p in points]
+    at = lambda rank: F.max(F.when((F.col(upto) - F.col(n) <= rank) & (rank < F.col(upto)), F.col(value)))
     found = [x for i, r in enumerate(ranks) for x in (at(F.floor(r)).alias(f"low{i}"), at(F.ceil(r)).alias(f"high{i}"))]
-    out = ordered.groupBy(key).agg(F.max("upto_all").alias("upto_all"), *found)
+    out = ordered.filter(F.col(n) > 0).groupBy(key).agg(F.max(total).alias(f"{upto}_all"), *found)
     low, high = ([F.col(f"{side}{i}").cast("double") for i in range(len(ranks))] for side in ("low", "high"))
     between = [F.when(a == b, a).otherwise((F.ceil(r) - r) * a + (r - F.floor(r)) * b) for a, b, r in zip(low, high, ranks, strict=True)]
-    return out.select(key, F.col("upto_all").alias("total"), F.array(*between).alias("q"))
+    return out.select(key, total.alias("total"), F.array(*between).alias("q"))
 
 
 def median_mad(counts: DataFrame, key: str = "column", value: str = "value") -> DataFrame:
-    """key, total, median, mad (median absolute deviation from the median) of values that occur n times. One row for each key."""
-    middle = written(quantiles(counts, [0.5], key, value).select(key, "total", F.col("q")[0].alias("median")), "medians")
+    """key, total, median, mad (median absolute deviation from the median) of values that occur n times. One row for each key.
+
+    counts are read twice, so they should be a written table.
+    """
+    middle = quantiles(counts, [0.5], key, value).select(key, "total", F.col("q")[0].alias("median"))
     away = counts.join(F.broadcast(middle), key).withColumn(value, F.abs(F.col(value) - F.col("median")))  # one row for each key
     away = away.groupBy(key, value).agg(F.sum("n").alias("n"))
     return middle.join(F.broadcast(quantiles(away, [0.5], key, value).select(key, F.col("q")[0].alias("mad"))), key)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millwright.functions.columns import finite, is_numeric, normalise_missing, unpivot
 from millwright.functions.prefix import running_within
-from millwright.functions.quantiles import quantiles, value_counts
+from millwright.functions.quantiles import at_ranks
 
 SEVERITIES = ("LOW", "MEDIUM", "HIGH")
 
@@ -46,15 +46,20 @@ def _present(base: DataFrame, prod: DataFrame, columns: Sequence[str]) -> DataFr
     return cells.withColumn("value", finite(F.col("value"))).filter("value is not null")
 
 
-def psi_numeric(base: DataFrame, prod: DataFrame, columns: Sequence[str], bins: int = 10, epsilon: float = 1e-6) -> DataFrame:
+def ordered_counts(base: DataFrame, prod: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column, value, b, p: occurrences on both sides, with running sums (below_b, below_p) and those of the column (_all), from one global order."""
+    counts = _present(base, prod, columns).groupBy("column", "value").agg(F.count_if(F.col("side") == 0).alias("b"), F.count_if(F.col("side") == 1).alias("p"))
+    return running_within(counts, "column", ["value"], {"below_b": "b", "below_p": "p"})
+
+
+def psi_numeric(base: DataFrame, prod: DataFrame, columns: Sequence[str], bins: int = 10, epsilon: float = 1e-6, ordered: DataFrame | None = None) -> DataFrame:
     """column, n_bins, psi over the baseline's quantile bins and two overflow bins; null with fewer than two different edges or an empty side."""
-    cells = _present(base, prod, columns)
-    counts = value_counts(cells.filter("side = 0"))
-    edges = quantiles(counts, [i / bins for i in range(bins + 1)]).select("column", F.array_distinct("q").alias("edges"))
+    ordered = ordered_counts(base, prod, columns) if ordered is None else ordered
+    edges = at_ranks(ordered, [i / bins for i in range(bins + 1)], n="b", upto="below_b").select("column", F.array_distinct("q").alias("edges"))
     last = F.element_at("edges", -1)
     place = F.when(F.col("value") == last, F.size("edges") - 1).otherwise(F.size(F.filter("edges", lambda e: e <= F.col("value"))))
-    counts = cells.join(F.broadcast(edges), "column").withColumn("bin", place)  # one row for each column
-    counts = counts.groupBy("column", "bin").agg(F.count_if(F.col("side") == 0).alias("b"), F.count_if(F.col("side") == 1).alias("p"))
+    counts = ordered.select("column", "value", "b", "p").join(F.broadcast(edges), "column").withColumn("bin", place)  # one row for each column
+    counts = counts.groupBy("column", "bin").agg(F.sum("b").alias("b"), F.sum("p").alias("p"))
     grid = edges.select("column", F.size("edges").alias("k"), F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin"))
     full = grid.join(counts, ["column", "bin"], "left").fillna(0, ["b", "p"])
     total = Window.partitionBy("column")
@@ -65,10 +70,10 @@ def psi_numeric(base: DataFrame, prod: DataFrame, columns: Sequence[str], bins:
     return out.select("column", "n_bins", F.when((F.col("k") >= 2) & (F.col("b_all") > 0) & (F.col("p_all") > 0), F.col("psi")).alias("psi"))
 
 
-def ks_two_sample(base: DataFrame, prod: DataFrame, columns: Sequence[str]) -> DataFrame:
+def ks_two_sample(base: DataFrame, prod: DataFrame, columns: Sequence[str], ordered: DataFrame | None = None) -> DataFrame:
     """column, ks, p_value (asymptotic): the largest distance of the distribution functions, over the different values of a column."""
-    counts = _present(base, prod, columns).groupBy("column", "value").agg(F.count_if(F.col("side") == 0).alias("b"), F.count_if(F.col("side") == 1).alias("p"))
-    counts = running_within(counts, "column", ["value"], {"below_b": "b", "below_p": "p"}).withColumnsRenamed({"below_b_all": "b_all", "below_p_all": "p_all"})
+    ordered = ordered_counts(base, prod, columns) if ordered is None else ordered
+    counts = ordered.withColumnsRenamed({"below_b_all": "b_all", "below_p_all": "p_all"})
     d = F.abs(F.try_divide(F.col("below_b"), F.col("b_all")) - F.try_divide(F.col("below_p"), F.col("p_all")))
     out = counts.groupBy("column", "b_all", "p_all").agg(F.max(d).alias("ks"))
     n = F.col("b_all") * F.col("p_all") / (F.col("b_all") + F.col("p_all"))
@@ -126,8 +131,9 @@ def drift_report(base: DataFrame, prod: DataFrame, columns: Sequence[str] | None
     empty = {"psi": "double", "ks": "double", "total_variation": "double", "mean_shift": "double", "std_shift": "double", "new_categories": "array<string>"}
     parts = []
     if numbers:
-        part = psi_numeric(base, prod, numbers, plan.bins, plan.epsilon).drop("n_bins")
-        part = part.join(ks_two_sample(base, prod, numbers).drop("p_value"), "column", "full_outer").join(moment_shift(base, prod, numbers), "column", "full_outer")
+        ordered = ordered_counts(base, prod, numbers)  # serves both
+        part = psi_numeric(base, prod, numbers, plan.bins, plan.epsilon, ordered).drop("n_bins")
+        part = part.join(ks_two_sample(base, prod, numbers, ordered).drop("p_value"), "column", "full_outer").join(moment_shift(base, prod, numbers), "column", "full_outer")
         parts.append(part)
     if names:
         parts.append(psi_categorical(base, prod, names, plan.epsilon))

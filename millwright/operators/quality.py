@@ -8,9 +8,19 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millwright.functions.columns import is_numeric, normalise_missing, unpivot
+from millwright.functions.columns import IDENTIFIER_HINTS, has_hint, is_numeric, normalise_missing, unpivot
+from millwright.functions.prefix import written
 from millwright.functions.quantiles import median_mad, quantiles, value_counts
-from millwright.operators.profile import column_profile, duplicate_rows, table_profile
+from millwright.operators.profile import NEAR_UNIQUE, boolean_like, column_profile, duplicate_rows, table_profile
+
+
+#: What each check found, for its reader; the column's name follows.
+MESSAGES = {
+    "missing": "cells without a value", "duplicates": "rows that repeat another row", "constant_sensor": "readings never change", "near_constant_sensor": "readings hardly change",
+    "flatline": "a long run of equal readings", "duplicate_timestamps": "several readings at one time", "timestamp_gaps": "gaps far longer than the usual interval",
+    "sampling_irregularity": "intervals between readings vary", "outlier": "many readings far from the median", "asset_imbalance": "one asset has far more rows than the usual one",
+    "target_imbalance": "classes of very different size, or one only", "few_samples": "too few rows to train on",
+}
 
 
 @dataclass(frozen=True)
@@ -54,6 +64,16 @@ def sensor_columns(df: DataFrame, roles: Roles, identifiers: Sequence[str] = ())
     return [f.name for f in df.schema if is_numeric(f.dataType) and f.name not in roles.named() and f.name not in identifiers]
 
 
+def identifier_columns(df: DataFrame, roles: Roles) -> list[str]:
+    """Numeric columns without a role whose name is an identifier's and whose values are nearly unique; 0 and 1 alone are no identifiers."""
+    named = [c for c in sensor_columns(df, roles) if has_hint(c, IDENTIFIER_HINTS)]
+    if not named:
+        return []
+    facts = column_profile(df, named).join(boolean_like(df, named), "column", "left")
+    found = {r[0] for r in facts.filter((F.col("unique_ratio") >= NEAR_UNIQUE) & ~F.coalesce("boolean_like", F.lit(False))).select("column").collect()}  # a row for each column
+    return [c for c in named if c in found]
+
+
 def _per_asset(roles: Roles) -> list[str]:
     return [roles.asset] if roles.asset else []
 
@@ -93,7 +113,7 @@ def gaps(df: DataFrame, roles: Roles) -> DataFrame:
 
 def sampling_gaps(df: DataFrame, roles: Roles, factor: float = 5.0) -> DataFrame:
     """One row: n_gaps, median_gap, long_gaps (over factor medians), sampling_cv (population std by median); nulls without gaps or a zero median."""
-    counts = value_counts(gaps(df, roles).withColumn("all", F.lit(0)), "all", "gap")  # the windows by asset run once
+    counts = written(value_counts(gaps(df, roles).withColumn("all", F.lit(0)), "all", "gap"), "gaps")  # the windows by asset run once
     middle = quantiles(counts, [0.5], "all", "gap").select("all", F.col("q")[0].alias("median_gap"))
     mean = counts.groupBy("all").agg((F.sum(F.col("gap") * F.col("n")) / F.sum("n")).alias("mean"))
     both = counts.join(F.broadcast(middle), "all").join(F.broadcast(mean), "all")  # one row each
@@ -118,7 +138,7 @@ def robust_outliers(df: DataFrame, columns: Sequence[str], z: float = 3.5) -> Da
     Counts of different values serve both medians and the rate; the statistics, one row for each column, are broadcast.
     """
     cells = unpivot(normalise_missing(df), columns, "double").filter("value is not null")
-    counts = value_counts(cells)
+    counts = written(value_counts(cells), "values")
     middle = median_mad(counts).filter("total > 1 AND mad > 0")
     far = F.when(0.6745 * F.abs(F.col("value") - F.col("median")) / F.col("mad") > z, F.col("n")).otherwise(0)
     return counts.join(F.broadcast(middle), "column").groupBy("column", "median", "mad").agg((F.sum(far) / F.sum("n")).alias("rate"))
@@ -142,6 +162,7 @@ def _finding(df: DataFrame, check: str, severity: str | Column, value: Column, p
     return df.select(
         F.lit(check).alias("check"), severity.alias("severity"), (F.lit(None).cast("string") if column is None else column).alias("column"),
         value.cast("double").alias("value"), penalty.cast("double").alias("penalty"),
+        F.concat(F.lit(MESSAGES[check]), F.lit("") if column is None else F.concat(F.lit(": "), column)).alias("message"),
     )
 
 
@@ -150,11 +171,14 @@ def _bands(df: DataFrame, check: str, rate: Column, bands: tuple[float, float],
     return _finding(df.filter(rate > bands[0]), check, F.when(severe, "error").otherwise("warning"), rate, F.when(severe, p[f"{check}_severe"]).otherwise(p[check]))
 
 
-def quality_findings(df: DataFrame, roles: Roles, t: Thresholds = Thresholds(), identifiers: Sequence[str] = ()) -> DataFrame:
-    """check, severity, column, value, penalty: one row for each finding. Every part is an aggregate; their union is a small table."""
+def quality_findings(df: DataFrame, roles: Roles, t: Thresholds = Thresholds(), identifiers: Sequence[str] | None = None) -> DataFrame:
+    """check, severity, column, value, penalty, message: one row for each finding. Every part is an aggregate; their union is a small table.
+
+    identifiers are no sensors; None finds them by identifier_columns.
+    """
     p = t.penalties
     df = normalise_missing(df)
-    sensors = sensor_columns(df, roles, identifiers)
+    sensors = sensor_columns(df, roles, identifier_columns(df, roles) if identifiers is None else identifiers)
     parts = [
         _bands(table_profile(df), "missing", F.col("missing_rate"), t.missing, p),
         _bands(duplicate_rows(df), "duplicates", F.col("duplicate_rate"), t.duplicates, p),

@@ -294,7 +294,8 @@ count(*) - count(value) AS missing_cells, round((count(*) - count(value)) / (cou
     "asset_imbalance": """SELECT count(*) AS n_assets, max(n) AS most, round(quantile_cont(n, 0.5), 6) AS middle, min(n) AS least, round(CASE WHEN count(*) > 1 THEN max(n) / quantile_cont(n, 0.5) END, 6) AS ratio
 FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_suppkey)""",
     "target_imbalance": "SELECT count(*) AS n_classes, round(CASE WHEN count(*) > 1 THEN max(n) / min(n) END, 6) AS ratio FROM (SELECT count(*) AS n FROM events GROUP BY event_type)",
-    "quality_findings": _FINDINGS + ' SELECT "check", severity, "column", round(value::DOUBLE, 6) AS value, penalty::DOUBLE AS penalty FROM f',
+    "quality_findings": _FINDINGS + ' SELECT "check", severity, "column", round(value::DOUBLE, 6) AS value, penalty::DOUBLE AS penalty, CASE "check" '
+    + " ".join(f"WHEN '{check}' THEN '{message}'" for check, message in quality.MESSAGES.items()) + """ END || coalesce(': ' || "column", '') AS message FROM f""",
     "health_score": _FINDINGS + " SELECT count(*) AS n_findings, coalesce(sum(penalty), 0)::DOUBLE AS penalty, round(greatest(0, least(100, 100 - coalesce(sum(penalty), 0)))::DOUBLE, 2) AS score FROM f",
     "class_distribution": "SELECT CAST(label AS VARCHAR) AS label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS rate FROM embeddings GROUP BY label",
     "recommend_task": " UNION ALL ".join(_task_sql(n) for n in _TASKS),

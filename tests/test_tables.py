@@ -59,6 +59,17 @@ def test_constant_and_near_constant(spark):
     assert found == {("constant_sensor", "constant"), ("near_constant_sensor", "near")}
 
 
+def test_identifiers_are_no_sensors_and_findings_have_messages(spark):
+    far = F.when(F.col("k") % 5 == 0, F.col("k") * 1e9).otherwise(F.col("k") % 7)
+    df = spark.range(400).select(F.col("id").alias("k")).select("k", far.alias("serial_id"), F.lit(3.0).alias("load"), (F.col("k") % 2).alias("unit_id"))
+    near = df.withColumn("serial_id", F.col("k") * 1000)
+    assert quality.identifier_columns(near, Roles("k")) == ["serial_id"]
+    assert quality.identifier_columns(df, Roles("k")) == []
+    found = {r["check"]: (r["column"], r["message"]) for r in quality.quality_findings(near, Roles("k")).collect()}
+    assert found == {"constant_sensor": ("load", "readings never change: load")}
+    assert ("outlier", "serial_id") in {(r["check"], r["column"]) for r in quality.quality_findings(df, Roles("k")).collect()}
+
+
 def test_flatline_does_not_cross_assets(spark):
     rows = [(i, "ab"[i % 2], t, 5.0) for i, t in enumerate(hourly(12))]
     df = spark.createDataFrame(rows, "k int, asset string, ts timestamp_ntz, x double")
