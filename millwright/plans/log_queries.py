@@ -201,12 +201,26 @@ def stream_flatline(spark, sf_dir):
     return out.groupBy("asset", "state").agg(F.count("*").alias("n_runs"))
 
 
+def stream_watch(spark, sf_dir):
+    """Runs, gaps and silences of users, from a stream of readings that arrive up to two hours late, in three parts and an end mark."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    arrival = F.col("ts") + F.make_dt_interval(secs=F.pmod(F.col("event_id") * 7919, F.lit(7200)))
+    part = (arrival >= "2024-01-11").cast("int") + (arrival >= "2024-01-21").cast("int")
+    end = e.agg((F.max("ts") + F.expr("INTERVAL 100 DAYS")).alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), "ts", F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"))
+    path = f"{shared_dir(spark)}/millwright/arrivals-{uuid.uuid4().hex[:12]}"
+    for rows in (*[e.filter(part == k) for k in range(3)], end):
+        rows.write.mode("append").parquet(path)
+    found = streams.drain(streams.stream_watch(streams.read_stream(spark, path, e.schema, files=1000), "user_id", "ts", "event_id", "event_type", delay="3 hours"), "watch", rocksdb=True)
+    when = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return found.select("asset", "kind", when("started"), when("ended"), "n", "state")
+
+
 def stream_state(spark, sf_dir):
     """The last event of each user, kept by a stream."""
     store = f"{shared_dir(spark)}/millwright/state-{uuid.uuid4().hex[:12]}"
     stream = _stream(spark, sf_dir).select("user_id", "ts", "event_id", "event_type")
     streams.drain(stream, "state", sink=streams.keyed_state(store, "user_id", "ts", "event_id"))
-    return streams.latest_state(spark, store).select("user_id", "event_id", "event_type")
+    return streams.latest_state(spark, store, "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_")}
@@ -270,5 +284,11 @@ SELECT day, n, round(sum((p - q) * ln(p / q)), 6) AS psi FROM p GROUP BY day, n"
     "stream_flatline": """WITH s AS (SELECT user_id, ts, event_id, event_type, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) THEN 0 ELSE 1 END AS starts FROM events),
 i AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts) AS island FROM s)
 SELECT user_id AS asset, state, count(*) AS n_runs FROM (SELECT user_id, island, event_type AS state FROM i GROUP BY ALL HAVING count(*) >= 3) GROUP BY 1, 2""",
+    "stream_watch": """WITH s AS (SELECT *, lag(ts) OVER w AS before, lead(ts) OVER w AS following, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+i AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM s),
+f AS (SELECT user_id, 'flatline' AS kind, min(ts) AS a, max(ts) AS b, count(*) AS n, event_type AS state FROM i GROUP BY user_id, island, event_type HAVING count(*) >= 3
+  UNION ALL SELECT user_id, 'gap', before, ts, (epoch_us(ts) - epoch_us(before)) // 1000000, NULL FROM s WHERE ts - before > INTERVAL 1 DAY
+  UNION ALL SELECT user_id, 'silent', ts, ts + INTERVAL 2 DAY, NULL, NULL FROM s WHERE following IS NULL OR following - ts > INTERVAL 2 DAY)
+SELECT user_id AS asset, kind, strftime(a, '%Y-%m-%d %H:%M:%S') AS started, strftime(b, '%Y-%m-%d %H:%M:%S') AS ended, n, state FROM f""",
     "stream_state": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
 }

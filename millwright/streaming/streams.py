@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from millwright.functions.prefix import shared_dir
 from millwright.operators.anomaly import RobustStats, robust_scores
@@ -20,16 +22,26 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(fmt).load(path)
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
+#: State on the executors' disks instead of their heaps; operators with timers need it.
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def drain(stream: DataFrame, name: str, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None, rocksdb: bool = False) -> DataFrame | None:
     """Run a stream over what is there and stop: the rows that it wrote as Parquet, or None with a sink for each micro-batch."""
     spark = stream.sparkSession
     path = f"{shared_dir(spark)}/millwright/{name}-{uuid.uuid4().hex[:12]}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
-    query = writer.foreachBatch(sink).start() if sink else writer.format("parquet").start(f"{path}/rows")
+    before = spark.conf.get(ROCKSDB[0])
+    if rocksdb:
+        spark.conf.set(*ROCKSDB)
     try:
-        query.awaitTermination()
+        query = writer.foreachBatch(sink).start() if sink else writer.format("parquet").start(f"{path}/rows")
+        try:
+            query.awaitTermination()
+        finally:
+            query.stop()
     finally:
-        query.stop()
+        spark.conf.set(ROCKSDB[0], before)
     return None if sink else spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
@@ -87,17 +99,162 @@ def stream_flatline(readings: DataFrame, asset: str, ts: str, state: str, rows:
     return rows_.groupBy("asset").applyInPandasWithState(step, kinds, "last string, run long", "append", "NoTimeout")
 
 
-def keyed_state(store: str, by: str, at: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A sink that keeps the latest event of each name: each micro-batch writes a new version of the table beside the old one."""
+class _Watch(StatefulProcessor):
+    """An asset's readings in the order of time. State: readings that the watermark has not passed (buffer), and the last one that was judged, with its run."""
+
+    def __init__(self, ts: T.DataType, key: T.DataType, rows: int, gap: int, silence: int, forget: int):
+        self.kinds, self.rows, self.gap, self.silence, self.forget = (ts, key), rows, gap, silence, forget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        reading = [T.StructField("at", T.LongType()), T.StructField("key", self.kinds[1]), T.StructField("state", T.StringType())]
+        self.handle = handle
+        self.buffer = handle.getListState("buffer", T.StructType(reading))
+        self.last = handle.getValueState("last", T.StructType([reading[0], reading[2], T.StructField("run", T.LongType()), T.StructField("since", T.LongType()), T.StructField("told", T.BooleanType())]))
+
+    def _judge(self, asset: object, now: int) -> Iterator[pd.DataFrame]:
+        """What is known up to the watermark (milliseconds); later readings stay in the buffer, and a timer wakes the asset for the next of them."""
+        found: list[tuple] = []
+        at, state, run, since, told = self.last.get() if self.last.exists() else (None, None, 0, 0, False)
+        held = sorted((tuple(r) for r in self.buffer.get()), key=lambda r: r[:2]) if self.buffer.exists() else []
+        due = [r for r in held if r[0] // 1000 <= now]
+
+        def ended() -> None:
+            if run >= self.rows:
+                found.append((asset, "flatline", since, at, run, state))
+
+        def silent() -> None:
+            found.append((asset, "silent", at, at + self.silence, None, None))
+
+        def forgotten(until: int) -> bool:
+            return at is not None and until > at + self.forget
+
+        for t, _, x in due:
+            if forgotten(t):
+                if not told:
+                    silent()
+                ended()
+                at, state, run, told = None, None, 0, False
+            if at is not None:
+                if t - at > self.silence and not told:
+                    silent()
+                if t - at > self.gap:
+                    found.append((asset, "gap", at, t, (t - at) // 1_000_000, None))
+            if x is not None and x == state:
+                run += 1
+            else:
+                ended()
+                run, since = int(x is not None), t
+            at, state, told = t, x, False
+        rest = held[len(due) :]
+        clock = now * 1000
+        if at is not None and not rest and clock > at + self.silence and not told:
+            silent()
+            told = True
+        if not rest and forgotten(clock):
+            ended()
+            self.last.clear()
+            self.buffer.clear()
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+        else:
+            if at is not None:
+                self.last.update((at, state, run, since, told))
+            if due:
+                self.buffer.put(rest) if rest else self.buffer.clear()
+            self._wake(now, rest[0][0] if rest else at + (self.forget if told else self.silence) + 1000)
+        if found:
+            out = pd.DataFrame(found, columns=["asset", "kind", "started", "ended", "n", "state"])
+            times = {c: pd.to_datetime(out[c], unit="us") for c in ("started", "ended")}
+            yield out.assign(n=out["n"].astype("Int64"), **times)
+
+    def _wake(self, now: int, at: int) -> None:
+        """One timer: at a reading's time, or when silence or the time to forget has passed."""
+        when = max(now + 1, -(-at // 1000))
+        there = list(self.handle.listTimers())
+        for timer in there:
+            if timer != when:
+                self.handle.deleteTimer(timer)
+        if when not in there:
+            self.handle.registerTimer(when)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            at = part["ts"].to_numpy("datetime64[us]").astype("int64").tolist()
+            states = [None if pd.isna(x) else x for x in part["state"].tolist()]
+            self.buffer.appendList(list(zip(at, part["key"].tolist(), states, strict=True)))
+        yield from self._judge(key[0], max(timerValues.getCurrentWatermarkInMs(), 0))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._judge(key[0], max(timerValues.getCurrentWatermarkInMs(), 0))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_watch(
+    readings: DataFrame, asset: str, ts: str, key: str, state: str, delay: str = "1 hour", rows: int = 3, gap: str = "1 day", silence: str = "2 days", forget: str = "60 days"
+) -> DataFrame:
+    """asset, kind, started, ended, n, state: what happens to assets, in the order of their readings' time, whatever the order of arrival within delay.
+
+    flatline: a run of at least `rows` equal successive states, told when it has ended (n readings; a null ends it and is none). gap:
+    successive readings more than `gap` apart (n seconds). silent: no reading for `silence` after one at `started`, told once, by a
+    timer when the watermark passes, so an asset needs no further reading to be missed. After `forget` without a reading an asset's
+    open run is told and its state dropped. Readings later than delay are dropped. State holds an asset's readings of the last delay and one row.
+    Ties of time are judged by key. Needs the RocksDB state store: drain(rocksdb=True).
+    """
+    micros = [int(pd.Timedelta(x).value // 1000) for x in (gap, silence, forget)]
+    rows_ = readings.filter(F.col(asset).isNotNull() & F.col(ts).isNotNull()).select(F.col(asset).alias("asset"), F.col(ts).alias("ts"), F.col(key).alias("key"), F.col(state).cast("string").alias("state"))
+    schema = T.StructType([rows_.schema["asset"], T.StructField("kind", T.StringType()), *[T.StructField(c, T.TimestampType()) for c in ("started", "ended")], T.StructField("n", T.LongType()), T.StructField("state", T.StringType())])
+    watch = _Watch(rows_.schema["ts"].dataType, rows_.schema["key"].dataType, rows, *micros)
+    return rows_.withWatermark("ts", delay).groupBy("asset").transformWithStateInPandas(watch, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+def keyed_state(store: str, by: str, at: str, key: str, fan: int = 4) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps the latest event of each name, and writes in proportion to the micro-batch.
+
+    A micro-batch becomes a run: its latest event of each name, at level 0. As soon as a level has `fan` runs they are merged into one of the
+    next level, so an event is written again once for each level: log(events) times. A version lists the runs that
+    count; it is written last, so a micro-batch that is tried again starts from the version before it and leaves the same state. Runs that neither of
+    the last two versions lists are deleted. A table that is read while it is written stays whole for one more micro-batch.
+    """
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        rows = batch if epoch == 0 else batch.unionByName(batch.sparkSession.read.parquet(f"{store}/version={epoch - 1}"))
-        current_state(rows, by, at, key).write.mode("overwrite").parquet(f"{store}/version={epoch}")
+        spark = batch.sparkSession
+        runs = _version(spark, store, epoch - 1)
+        keep, level = set(runs), 0
+        current_state(batch, by, at, key).write.mode("overwrite").parquet(f"{store}/level=0/run={epoch}")
+        runs = [*runs, (0, epoch)]
+        while len(own := [r for r in runs if r[0] == level]) >= fan:
+            merged = (level + 1, epoch)
+            current_state(_runs(spark, store, own), by, at, key).write.mode("overwrite").parquet(f"{store}/level={level + 1}/run={epoch}")
+            runs, level = [*[r for r in runs if r[0] != level], merged], level + 1
+        spark.createDataFrame(runs, "level int, run long").coalesce(1).write.mode("overwrite").parquet(f"{store}/versions/{epoch}")
+        for old in set(_version(spark, store, epoch - 2)) - keep - set(runs):
+            _delete(spark, f"{store}/level={old[0]}/run={old[1]}")
+        _delete(spark, f"{store}/versions/{epoch - 2}")
 
     return sink
 
 
-def latest_state(spark: SparkSession, store: str) -> DataFrame:
-    """The last version that keyed_state wrote."""
-    rows = spark.read.parquet(store)
-    return rows.filter(F.col("version") == rows.agg(F.max("version")).first()[0]).drop("version")
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _version(spark: SparkSession, store: str, epoch: int) -> list[tuple[int, int]]:
+    """The runs of a version, few of each level; none before the first one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/versions/{epoch}")
+    if epoch < 0 or not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return []
+    return sorted(tuple(r) for r in spark.read.parquet(f"{store}/versions/{epoch}").collect())
+
+
+def _runs(spark: SparkSession, store: str, runs: Sequence[tuple[int, int]]) -> DataFrame:
+    return spark.read.parquet(*[f"{store}/level={level}/run={run}" for level, run in runs])
+
+
+def latest_state(spark: SparkSession, store: str, by: str, at: str, key: str) -> DataFrame:
+    """What keyed_state holds: the latest event of each name over the runs of the last version, so a name is met once for each of few runs."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/versions")
+    last = max(int(f.getPath().getName()) for f in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where))
+    return current_state(_runs(spark, store, _version(spark, store, last)), by, at, key)
