@@ -12,6 +12,7 @@ from millwright.functions.columns import IDENTIFIER_HINTS, has_hint, is_numeric,
 from millwright.functions.prefix import written
 from millwright.functions.quantiles import median_mad, quantiles, value_counts
 from millwright.operators.profile import NEAR_UNIQUE, boolean_like, column_profile, duplicate_rows, table_profile
+from millwright.operators.succession import gap_counts, runs_by_asset, succession
 
 
 #: What each check found, for its reader; the column's name follows.
@@ -78,42 +79,27 @@ def _per_asset(roles: Roles) -> list[str]:
     return [roles.asset] if roles.asset else []
 
 
-def flatline_runs(df: DataFrame, roles: Roles, columns: Sequence[str], kind: str = "double") -> DataFrame:
+def successive(df: DataFrame, roles: Roles, columns: Sequence[str] = (), kind: str = "double") -> DataFrame:
+    """The summaries of successive readings that flatlines and gaps are made from; make them once where both are wanted."""
+    return succession(df, roles.asset, roles.ts, roles.key, columns, kind)
+
+
+def flatline_runs(df: DataFrame, roles: Roles, columns: Sequence[str], kind: str = "double", summaries: DataFrame | None = None) -> DataFrame:
     """column, asset, longest, n_rows: the longest run of equal successive readings of each asset; a null ends a run."""
-    keep = [roles.asset or F.lit(None).cast("string").alias("asset"), roles.ts, roles.key]
-    cells = unpivot(normalise_missing(df).filter(F.col(roles.ts).isNotNull()), columns, kind, keep).withColumnsRenamed({roles.asset or "asset": "asset"})
-    if roles.asset:
-        cells = cells.filter("asset is not null")
-    w = Window.partitionBy("column", "asset").orderBy(roles.ts, roles.key)
-    same = F.coalesce(F.col("value") == F.lag("value").over(w), F.lit(False))
-    cells = cells.withColumn("starts", (~same).cast("int"))
-    cells = cells.withColumn("island", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = cells.groupBy("column", "asset", "island").agg(F.count("value").alias("run"), F.count("*").alias("rows"))
-    return runs.groupBy("column", "asset").agg(F.greatest(F.max("run"), F.lit(1)).alias("longest"), F.sum("rows").alias("n_rows"))
+    return runs_by_asset(successive(df, roles, columns, kind) if summaries is None else summaries)
 
 
-def longest_flatline(df: DataFrame, roles: Roles, columns: Sequence[str], kind: str = "double") -> DataFrame:
+def longest_flatline(df: DataFrame, roles: Roles, columns: Sequence[str], kind: str = "double", summaries: DataFrame | None = None) -> DataFrame:
     """column, asset, longest, n_rows, ratio: one row for each column, of the asset with its longest run (the smallest such asset)."""
-    runs = flatline_runs(df, roles, columns, kind)
+    runs = flatline_runs(df, roles, columns, kind, summaries)
     best = runs.groupBy("column").agg(F.min(F.struct((-F.col("longest")).alias("least"), F.col("asset"), F.col("n_rows"))).alias("b"))
     return best.select("column", F.col("b.asset"), (-F.col("b.least")).alias("longest"), F.col("b.n_rows")).withColumn("ratio", F.col("longest") / F.col("n_rows"))
 
 
-def gaps(df: DataFrame, roles: Roles) -> DataFrame:
-    """asset, gap: whole seconds between successive readings of an asset."""
-    rows = df.filter(F.col(roles.ts).isNotNull())
-    if roles.asset:
-        rows = rows.filter(F.col(roles.asset).isNotNull())
-    asset = F.col(roles.asset) if roles.asset else F.lit(None).cast("string")
-    rows = rows.select(asset.alias("asset"), F.col(roles.ts).alias("ts"), F.col(roles.key).alias("key"))
-    before = F.lag("ts").over(Window.partitionBy("asset").orderBy("ts", "key"))
-    rows = rows.withColumn("before", before).filter("before is not null")
-    return rows.select("asset", F.expr("timestampdiff(SECOND, before, ts)").alias("gap"))
-
-
-def sampling_gaps(df: DataFrame, roles: Roles, factor: float = 5.0) -> DataFrame:
+def sampling_gaps(df: DataFrame, roles: Roles, factor: float = 5.0, summaries: DataFrame | None = None) -> DataFrame:
     """One row: n_gaps, median_gap, long_gaps (over factor medians), sampling_cv (population std by median); nulls without gaps or a zero median."""
-    counts = written(value_counts(gaps(df, roles).withColumn("all", F.lit(0)), "all", "gap"), "gaps")  # the windows by asset run once
+    found = gap_counts(successive(df, roles) if summaries is None else summaries)
+    counts = written(found.select(F.lit(0).alias("all"), "gap", "n"), "gaps")
     middle = quantiles(counts, [0.5], "all", "gap").select("all", F.col("q")[0].alias("median_gap"))
     mean = counts.groupBy("all").agg((F.sum(F.col("gap") * F.col("n")) / F.sum("n")).alias("mean"))
     both = counts.join(F.broadcast(middle), "all").join(F.broadcast(mean), "all")  # one row each
@@ -191,12 +177,13 @@ def quality_findings(df: DataFrame, roles: Roles, t: Thresholds = Thresholds(),
         outliers = robust_outliers(df, sensors, t.outlier_z).filter(F.col("rate") > t.outlier_rate)
         parts.append(_finding(outliers, "outlier", "warning", F.col("rate"), F.lit(p["outlier"]), F.col("column")))
     if roles.ts:
+        summaries = successive(df, roles, sensors)
         if sensors:
-            flat = longest_flatline(df, roles, sensors).filter((F.col("longest") >= t.flatline_rows) & (F.col("ratio") >= t.flatline_ratio))
+            flat = longest_flatline(df, roles, sensors, summaries=summaries).filter((F.col("longest") >= t.flatline_rows) & (F.col("ratio") >= t.flatline_ratio))
             parts.append(_finding(flat, "flatline", "warning", F.col("longest"), F.lit(p["flatline"]), F.col("column")))
         twice = duplicate_timestamps(df, roles).filter("duplicate_timestamps > 0")
         parts.append(_finding(twice, "duplicate_timestamps", "warning", F.col("duplicate_timestamps"), F.lit(p["duplicate_timestamps"])))
-        between = sampling_gaps(df, roles, t.gap_factor)
+        between = sampling_gaps(df, roles, t.gap_factor, summaries)
         parts.append(_finding(between.filter("long_gaps > 0"), "timestamp_gaps", "warning", F.col("long_gaps"), F.lit(p["timestamp_gaps"])))
         parts.append(_finding(between.filter(F.col("sampling_cv") > t.sampling_cv), "sampling_irregularity", "warning", F.col("sampling_cv"), F.lit(p["sampling_irregularity"])))
     if roles.asset:
