@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,29 +95,75 @@ def _grow(x: np.ndarray, rng: np.random.Generator, depth: int) -> list[tuple]:
     return nodes
 
 
-def fit_isolation_forest(df: DataFrame, stats: RobustStats, columns: Sequence[str], key: str, trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> DataFrame:
-    """tree, node, feature, cut, left, right: a table of trees x 2 x sample rows at most.
+def tree_sample(rows: DataFrame, key: str, trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> DataFrame:
+    """tree, rank and the columns of rows: for each tree the `sample` rows of least rank, of those that are dealt to it. Every row is as likely as any other.
 
-    Each tree grows from the `sample` rows with the least seeded hash for it. A row can only be among them
-    if its hash is low, so a cut by hash share, wide enough for any table, precedes the exact choice.
+    One md5 of a row's key deals it to a few successive trees, just so many that a tree gets four times its sample (all trees where rows are
+    few), and gives it a rank for each. Each task keeps the least `sample` rows of a tree, and such samples merge into the least of
+    all, so rows are read once and no task holds more than trees x sample rows of a partition.
     """
+    n = rows.count()
+    few = min(trees, -(-4 * trees * sample // max(1, n)))
+    digest = seeded_order(F.col(key), seed)
+    word = lambda i: F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long")
+    kept = [c for c in rows.columns if c not in ("tree", "rank")]
+    dealt = rows.select(*kept, *[word(i).alias(f"__w{i}") for i in range(3)], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(few - 1).cast("long"))).alias("__j"))
+    rank = F.pmod(F.col("__w1") + F.col("__j") * F.col("__w2"), F.lit(1 << 32))
+    dealt = dealt.select(*kept, F.pmod(F.col("__w0") + F.col("__j"), F.lit(trees)).cast("int").alias("tree"), rank.alias("rank"))
+    if 4 * sample * trees < n * few:  # a tree's least ranks are below this for any table
+        dealt = dealt.filter(F.col("rank") < int(4 * sample * trees / (n * few) * 2**32))
+    order = [("tree", "ascending"), ("rank", "ascending"), (key, "ascending")]
+
+    def least(held: list[pa.RecordBatch]) -> pa.Table:
+        table = pa.Table.from_batches(held).sort_by(order)
+        tree = table.column("tree").to_numpy()
+        return table.filter(pa.array(np.arange(len(tree)) - np.searchsorted(tree, tree) < sample))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for b in batches:
+            held.append(b)
+            count += b.num_rows
+            if count > 4 * trees * sample:
+                held = least(held).to_batches()
+                count = sum(b.num_rows for b in held)
+        if count:
+            yield from least(held).to_batches()
+
+    partial = dealt.mapInArrow(run, dealt.schema)
+    return partial.repartition("tree").sortWithinPartitions("tree", "rank", key).mapInArrow(_first_of_each(sample), dealt.schema)
+
+
+def _first_of_each(sample: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The first `sample` rows of each tree, of rows sorted by tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            tree = b.column(b.schema.get_field_index("tree")).to_numpy()
+            place = np.arange(len(tree)) - np.searchsorted(tree, tree) + np.where(tree == last, seen, 0)
+            yield b.filter(pa.array(place < sample))
+            last, seen = tree[-1], int(place[-1]) + 1
+
+    return run
+
+
+def fit_isolation_forest(df: DataFrame, stats: RobustStats, columns: Sequence[str], key: str, trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> DataFrame:
+    """tree, node, feature, cut, left, right: a table of trees x 2 x sample rows at most. Each tree grows from its rows of tree_sample."""
     filled = [F.coalesce(finite(F.col(c).cast("double")), F.lit(stats.median[c])).alias(f"x{i}") for i, c in enumerate(columns)]
     rows = normalise_missing(df).select(F.col(key).alias("key"), *filled)
-    n = rows.count()
-    order = seeded_order(F.concat_ws("|", F.col("key").cast("string"), F.col("tree").cast("string")), seed)
-    dealt = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("order", order)
-    share = min(1.0, 4 * sample / max(1, n))  # expected rows of a tree: four times the sample
-    if share < 1:
-        dealt = dealt.filter(F.conv(F.substring("order", 1, 8), 16, 10).cast("double") < share * 2.0**32)
-    names, depth = [f"x{i}" for i in range(len(columns))], int(np.ceil(np.log2(max(2, min(sample, n)))))
+    names = [f"x{i}" for i in range(len(columns))]
 
     def grow(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["order", "key"]).head(sample)
+        part = part.sort_values(["rank", "key"])
         tree = int(part["tree"].iloc[0])
+        depth = int(np.ceil(np.log2(max(2, len(part)))))
         nodes = _grow(part[names].to_numpy(float), np.random.default_rng([seed, tree]), depth)
         return pd.DataFrame([(tree, *x) for x in nodes], columns=["tree", "node", "feature", "cut", "left", "right"])
 
-    return dealt.groupBy("tree").applyInPandas(grow, "tree int, node int, feature int, cut double, left int, right int")
+    return tree_sample(rows, "key", trees, sample, seed).groupBy("tree").applyInPandas(grow, "tree int, node int, feature int, cut double, left int, right int")
 
 
 def isolation_scores(df: DataFrame, forest: DataFrame, stats: RobustStats, columns: Sequence[str], key: Sequence[str], sample: int = SAMPLE) -> DataFrame:

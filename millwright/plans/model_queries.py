@@ -177,6 +177,12 @@ def isolation_scores(spark, sf_dir):
     return rounded(anomaly.isolation_scores(prod, forest, stats, NUMBERS, ["event_id"]))
 
 
+def isolation_sample(spark, sf_dir):
+    """What each tree of the baseline's forest grows from: its rows' number, greatest rank and sum of keys."""
+    base, _ = windows(spark, sf_dir)
+    return anomaly.tree_sample(base.select("event_id"), "event_id", trees=50).groupBy("tree").agg(F.count("*").alias("n"), F.max("rank").alias("greatest"), F.sum("event_id").alias("keys"))
+
+
 def retraining_recommendation(spark, sf_dir):
     """Triggers by the worst drift of the readings and the change of their anomaly rate."""
     run = monitoring_run(spark, sf_dir)
@@ -311,6 +317,11 @@ SELECT a, z, model, fn, fp, fn * a + fp * z AS total_cost FROM c, (VALUES {pairs
 
 
 ORACLE_SQL = {
+    "isolation_sample": f"""WITH b AS (SELECT event_id, md5(event_id || '|42') AS h FROM events WHERE ts < TIMESTAMP '{SPLIT_DATE}'), f AS (SELECT least(50, CAST(ceil(4 * 50 * 256 / greatest(1, count(*))) AS BIGINT)) AS few FROM b),
+w AS (SELECT event_id, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS w0, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS w1, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS w2, unnest(range(few)) AS j FROM b, f),
+r AS (SELECT (w0 + j) % 50 AS tree, (w1 + j * w2) % 4294967296 AS rank, event_id FROM w),
+t AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY rank, event_id) AS place FROM r)
+SELECT CAST(tree AS INTEGER) AS tree, count(*) AS n, max(rank) AS greatest, CAST(sum(event_id) AS BIGINT) AS keys FROM t WHERE place <= 256 GROUP BY 1""",
     "feature_baseline": f"WITH {_E} SELECT round(quantile_cont(value, 0.5), 6) AS value, round(quantile_cont(k, 0.5), 6) AS k, (SELECT event_type FROM e GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS event_type FROM e",
     "impute_scale_encode": f"""WITH {_E}, f AS (SELECT quantile_cont(value, 0.5) AS vm, quantile_cont(k, 0.5) AS km FROM b), g AS (SELECT avg(coalesce(value, vm)) AS va, stddev_pop(coalesce(value, vm)) AS vs, avg(k) AS ka, stddev_pop(k) AS ks FROM b, f)
 SELECT event_id, round((coalesce(value, vm) - va) / vs, 6) AS value_scaled, round((k - ka) / ks, 6) AS k_scaled, event_type FROM e, f, g""",
