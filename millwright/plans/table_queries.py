@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from millwright.functions.prefix import shared_dir
 from millwright.operators import framing, profile, quality, split
 from millwright.operators.quality import Roles
 from millwright.plans.data import EVENT_ROLES, EVENTS_SQL, LINE_SENSORS, SPLIT_DATE, events, rounded, table, windows
@@ -98,6 +102,33 @@ def split_summary(spark, sf_dir):
     return rounded(tables.split_summary(both, "failed"))
 
 
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def file_footers(spark, sf_dir):
+    """Rows and columns of every table by the footers of its files."""
+    found = [tables.footers(spark, f"{sf_dir}/{t}.parquet").agg(F.lit(t).alias("table_name"), F.sum("n_rows").alias("n_rows"), F.lit(len(table(spark, sf_dir, t).columns)).alias("n_columns")) for t in _TABLES]
+    out = found[0]
+    for other in found[1:]:
+        out = out.unionByName(other)
+    return out
+
+
+def csv_reasons(spark, sf_dir):
+    """Orders as lines of CSV files, some of them damaged: how many fit, and how many are rejected for each reason."""
+    orders = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    price = F.when(key % 13 == 0, "dear").otherwise(F.col("o_totalprice").cast("string"))
+    fields = F.concat_ws(",", key.cast("string"), F.concat(F.lit('"'), "o_orderpriority", F.lit(', "" '), "o_orderstatus", F.lit('"')), price)
+    line = F.when(key % 19 == 0, F.rpad(fields, 300, "x")).when(key % 11 == 0, F.concat(fields, F.lit(",more"))).when(key % 17 == 0, key.cast("string")).otherwise(fields)
+    path = f"{shared_dir(spark)}/millwright/csv-{uuid.uuid4().hex[:12]}"
+    orders.select(line).write.text(path)
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("name", T.StringType()), T.StructField("price", T.DoubleType())])
+    good, bad = tables.quarantine(spark, path, schema, max_line=250)
+    rows = good.select(F.lit("fits").alias("reason"), "key", F.when(F.col("name").endswith("O"), "O").alias("status")).unionByName(bad.select("reason", F.lit(0).cast("long").alias("key"), F.lit(None).cast("string").alias("status")))
+    return rows.groupBy("reason").agg(F.count("*").alias("n"), F.sum("key").alias("keys"), F.count("status").alias("n_open"))
+
+
 def limits(spark, sf_dir):
     return tables.check_limits(events(spark, sf_dir), max_rows=500, max_columns=10)
 
@@ -290,6 +321,9 @@ round(CASE WHEN median_gap > 0 THEN std / median_gap END, 6) AS sampling_cv FROM
     "robust_outliers": f"WITH {_E}, o AS ({_outliers(['value', 'k'])}) SELECT \"column\", round(median, 6) AS median, round(mad, 6) AS mad, round(rate, 6) AS rate FROM o",
     "split_summary": f"""WITH {_E} SELECT CASE WHEN ts < TIMESTAMP '{SPLIT_DATE}' THEN 'train' ELSE 'test' END AS split, count(*) AS n_rows, count(*) FILTER (event_type = 'error') AS n_positive,
 count(*) - count(value) AS missing_cells, round((count(*) - count(value)) / (count(*) * 7), 6) AS missing_rate FROM e GROUP BY 1""",
+    "file_footers": " UNION ALL ".join(f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS n_rows, (SELECT CAST(count(*) AS INTEGER) FROM (DESCRIBE {t})) AS n_columns" for t in _TABLES),
+    "csv_reasons": """SELECT reason, count(*) AS n, CAST(sum(CASE WHEN reason = 'fits' THEN o_orderkey ELSE 0 END) AS BIGINT) AS keys, count(*) FILTER (reason = 'fits' AND o_orderstatus = 'O') AS n_open FROM (SELECT *, CASE
+WHEN o_orderkey % 19 = 0 THEN 'line too long' WHEN o_orderkey % 11 = 0 THEN 'too many fields' WHEN o_orderkey % 17 = 0 THEN 'too few fields' WHEN o_orderkey % 13 = 0 THEN 'bad value' ELSE 'fits' END AS reason FROM orders) GROUP BY reason""",
     "limits": "SELECT count(*) <= 500 AS within, 6 AS n_columns, count(*) > 500 AS too_many_rows FROM events",
     "asset_imbalance": """SELECT count(*) AS n_assets, max(n) AS most, round(quantile_cont(n, 0.5), 6) AS middle, min(n) AS least, round(CASE WHEN count(*) > 1 THEN max(n) / quantile_cont(n, 0.5) END, 6) AS ratio
 FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_suppkey)""",

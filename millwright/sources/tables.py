@@ -19,16 +19,29 @@ class SourceError(ValueError):
     """A file that cannot be read as told, or that exceeds a limit."""
 
 
-def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | str | None = None, na: Sequence[str] = NA_TOKENS) -> DataFrame:
-    """A CSV file with a header (UTF-8) or Parquet; NaN and, in CSV texts, NA tokens become null. A malformed file is one SourceError."""
+def read_table(
+    spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | str | None = None, na: Sequence[str] = NA_TOKENS,
+    check: bool = True, max_rows: int | None = None, max_columns: int | None = None, max_bytes: int | None = None,
+) -> DataFrame:
+    """A CSV file with a header (UTF-8) or Parquet; NaN and, in CSV texts, NA tokens become null. A malformed file, or one beyond a limit, is one SourceError.
+
+    Limits of Parquet are held against footers, before any data is read. A CSV file is checked line by line when it is read (one pass more;
+    check=False leaves that out, and the first action fails at a malformed line). max_bytes is a file's size.
+    """
     fmt = fmt or path.rstrip("/").rsplit(".", 1)[-1].lower()
     if fmt not in FORMATS:
         raise SourceError(f"unknown format {fmt}: one of {FORMATS}")
     try:
         if fmt == "parquet":
+            if max_rows is not None or max_columns is not None or max_bytes is not None:
+                check_footers(spark, path, max_rows, max_columns, max_bytes)
             return normalise_missing(spark.read.parquet(path) if schema is None else spark.read.schema(schema).parquet(path))
-        reader = spark.read.option("header", True).option("encoding", "UTF-8").option("mode", "FAILFAST")
+        reader = spark.read.option("header", True).option("encoding", "UTF-8").option("escape", '"').option("mode", "FAILFAST")
         df = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
+        if check:
+            _check_csv(spark, path, df.schema, max_rows, max_columns, max_bytes)
+    except SourceError:
+        raise
     except Exception as error:
         raise SourceError(f"{path} cannot be read as {fmt}") from error
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
@@ -36,11 +49,60 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema: T
     return normalise_missing(df)
 
 
-def quarantine(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """Rows of a CSV file that fit the schema, and the others as text."""
-    wide = T.StructType([*schema, T.StructField("_bad", T.StringType())])
-    rows = written(spark.read.schema(wide).option("header", True).option("columnNameOfCorruptRecord", "_bad").csv(path), "parsed")
-    return rows.filter("_bad is null").drop("_bad"), rows.filter("_bad is not null").select("_bad")
+def footers(spark: SparkSession, path: str) -> DataFrame:
+    """file, n_bytes, n_rows of Parquet files, by their footers: executors read no column, so any store that Spark reads will do."""
+    read = spark.read.parquet(path)
+    return read.groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("n_bytes")).agg(F.count("*").alias("n_rows"))
+
+
+def check_footers(spark: SparkSession, path: str, max_rows: int | None = None, max_columns: int | None = None, max_bytes: int | None = None) -> None:
+    """A SourceError if the files have too many rows together, one is too large, or there are too many columns."""
+    columns = len(spark.read.parquet(path).columns)
+    if max_columns is not None and columns > max_columns:
+        raise SourceError(f"{path} has {columns} columns: {max_columns} at most")
+    sizes = footers(spark, path).agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("rows"), F.max("n_bytes").alias("largest")).first()
+    if max_rows is not None and sizes["rows"] > max_rows:
+        raise SourceError(f"{path} has {sizes['rows']} rows: {max_rows} at most")
+    if max_bytes is not None and (sizes["largest"] or 0) > max_bytes:
+        raise SourceError(f"{path} has a file of {sizes['largest']} bytes: {max_bytes} at most")
+
+
+def judged_lines(spark: SparkSession, path: str, schema: T.StructType, max_line: int | None = None) -> DataFrame:
+    """Every line of CSV files but headers and empty ones: file, line, n_bytes, width (fields, commas within quotes are none), row and reason (null: it fits).
+
+    The first of these that holds is the reason: "line too long" (over max_line bytes), "too many fields", "too few fields", "bad value". A line that is the schema's names is a header.
+    """
+    bare = F.regexp_replace("value", '"([^"]|"")*"', "")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\ufeff|\r$", "").alias("value"))
+    lines = lines.filter((F.trim("value") != "") & (F.regexp_replace(F.trim("value"), '"', "") != ",".join(schema.names)))
+    wide = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + ["`_bad` string"])
+    row = F.from_csv("value", F.lit(wide), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "escape": '"'})
+    out = lines.select("file", F.col("value").alias("line"), F.octet_length("value").alias("n_bytes"), (F.length(bare) - F.length(F.replace(bare, F.lit(","))) + 1).alias("width"), row.alias("row"))
+    long = F.col("n_bytes") > max_line if max_line is not None else F.lit(False)
+    reason = F.when(long, "line too long").when(F.col("width") > len(schema), "too many fields").when(F.col("width") < len(schema), "too few fields").when(F.col("row._bad").isNotNull(), "bad value")
+    return out.withColumn("reason", reason)
+
+
+def quarantine(spark: SparkSession, path: str, schema: T.StructType, max_line: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of CSV files that fit the schema, and the other lines (file, line, n_bytes, width, reason). Lines are parsed once."""
+    rows = written(judged_lines(spark, path, schema, max_line), "parsed")
+    good = rows.filter("reason is null").select(*[F.col(f"row.`{c}`").alias(c) for c in schema.names])
+    return good, rows.filter("reason is not null").drop("row")
+
+
+def _check_csv(spark: SparkSession, path: str, schema: T.StructType, max_rows: int | None, max_columns: int | None, max_bytes: int | None) -> None:
+    """A SourceError that names what is wrong with a CSV file, by one pass."""
+    if max_columns is not None and len(schema) > max_columns:
+        raise SourceError(f"{path} has {len(schema)} columns: {max_columns} at most")
+    if max_bytes is not None:
+        largest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0  # the files' list only
+        if largest > max_bytes:
+            raise SourceError(f"{path} has a file of {largest} bytes: {max_bytes} at most")
+    found = {r["reason"]: r["n"] for r in judged_lines(spark, path, schema).groupBy("reason").agg(F.count("*").alias("n")).collect()}  # a row for each reason
+    if max_rows is not None and sum(found.values()) > max_rows:
+        raise SourceError(f"{path} has {sum(found.values())} rows: {max_rows} at most")
+    if bad := {k: n for k, n in found.items() if k}:
+        raise SourceError(f"{path} has malformed lines: " + ", ".join(f"{n} with {k}" for k, n in sorted(bad.items())))
 
 
 def check_limits(df: DataFrame, max_rows: int | None = None, max_columns: int | None = None) -> DataFrame:

@@ -259,3 +259,37 @@ def test_running_sums_within_a_key(spark):
     rows = [(k, float(v), v % 3) for k in ("x", "y", "z") for v in range(40)]
     out = running_within(spark.createDataFrame(rows, "k string, v double, n long"), "k", [F.desc("v")], {"s": "n"}).collect()
     assert all(r.s == sum(v % 3 for v in range(int(r.v), 40)) and r.s_all == 39 for r in out)
+
+
+def test_malformed_csv_is_one_error_when_it_is_read(spark, tmp_path):
+    schema = "k long, x double, c string"
+    (tmp_path / "bad.csv").write_text('k,x,c\n1,2.5,"a, ""b"""\n2,1,b,more\n3,oops,c\n4\n5,1,' + "y" * 90 + "\n")
+    for given in (schema, None):
+        with pytest.raises(tables.SourceError, match="malformed lines: .*1 with too few fields, 1 with too many fields"):
+            tables.read_table(spark, str(tmp_path / "bad.csv"), schema=given)
+    assert tables.read_table(spark, str(tmp_path / "bad.csv"), schema=schema, check=False).columns == ["k", "x", "c"]
+    good, bad = tables.quarantine(spark, str(tmp_path / "bad.csv"), spark.createDataFrame([], schema).schema, max_line=50)
+    assert [tuple(r) for r in good.collect()] == [(1, 2.5, 'a, "b"')]
+    assert {(r["reason"], r["width"]) for r in bad.collect()} == {("too many fields", 4), ("bad value", 3), ("too few fields", 1), ("line too long", 3)}
+    (tmp_path / "good.csv").write_text("k,x,c\n1,2.5,a\n2,,b\n")
+    assert tables.read_table(spark, str(tmp_path / "good.csv"), max_rows=2, max_columns=3, max_bytes=100).count() == 2
+    for limit in ({"max_rows": 1}, {"max_columns": 2}, {"max_bytes": 3}):
+        with pytest.raises(tables.SourceError, match="at most"):
+            tables.read_table(spark, str(tmp_path / "good.csv"), **limit)
+
+
+def test_parquet_limits_come_from_footers_alone(spark, tmp_path):
+    path = tmp_path / "damaged.parquet"
+    spark.range(5000).selectExpr("id", "id * 2 AS x").coalesce(1).write.parquet(str(tmp_path / "whole"))
+    (part,) = (tmp_path / "whole").glob("part-*.parquet")
+    data = bytearray(part.read_bytes())
+    length = int.from_bytes(data[-8:-4], "little")
+    data[4 : len(data) - 8 - length] = b"\xff" * (len(data) - 12 - length)  # all pages; the footer stays
+    path.write_bytes(bytes(data))
+    row = tables.footers(spark, str(path)).first()
+    assert (row["n_rows"], row["n_bytes"]) == (5000, len(data))
+    for limit in ({"max_rows": 4999}, {"max_columns": 1}, {"max_bytes": 100}):
+        with pytest.raises(tables.SourceError, match="at most"):
+            tables.read_table(spark, str(path), **limit)
+    with pytest.raises(Exception, match="(?i)parquet|page|header"):
+        tables.read_table(spark, str(path), max_rows=5000).agg({"x": "sum"}).collect()
