@@ -102,6 +102,43 @@ def redact(df: DataFrame, allow: Sequence[str]) -> DataFrame:
     return df.select([c for c in df.columns if c in allow])
 
 
+def redact_nested(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """df without the columns, struct fields and entries of maps that have one of the names (in any case), however deeply they are nested.
+
+    Null values stay null; a struct that would have no field left goes, and so does an array or map of such structs.
+    """
+    gone = {n.lower() for n in names}
+
+    def cleaned(value: Column, kind: T.DataType) -> Column | None:
+        if isinstance(kind, T.StructType):
+            fields = {f.name: cleaned(value.getField(f.name), f.dataType) for f in kind if f.name.lower() not in gone}
+            kept = [c.alias(n) for n, c in fields.items() if c is not None]
+            return F.when(value.isNotNull(), F.struct(*kept)) if kept else None
+        if isinstance(kind, T.ArrayType):
+            return None if _hollow(kind.elementType, gone) else F.transform(value, lambda x: cleaned(x, kind.elementType)) if _nested(kind.elementType) else value
+        if isinstance(kind, T.MapType):
+            if _hollow(kind.valueType, gone):
+                return None
+            value = F.map_filter(value, lambda k, _: ~F.lower(k).isin(*gone)) if isinstance(kind.keyType, T.StringType) and gone else value
+            return F.transform_values(value, lambda _, x: cleaned(x, kind.valueType)) if _nested(kind.valueType) else value
+        return value
+
+    kept = {f.name: cleaned(F.col(f"`{f.name}`"), f.dataType) for f in df.schema if f.name.lower() not in gone}
+    return df.select(*[c.alias(n) for n, c in kept.items() if c is not None])
+
+
+def _nested(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.StructType, T.ArrayType, T.MapType))
+
+
+def _hollow(kind: T.DataType, gone: set[str]) -> bool:
+    """Whether nothing is left of a type without the fields of these names."""
+    if isinstance(kind, T.StructType):
+        return all(f.name.lower() in gone or _hollow(f.dataType, gone) for f in kind)
+    inner = kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType if isinstance(kind, T.MapType) else None
+    return inner is not None and _hollow(inner, gone)
+
+
 def percent_text(c: Column) -> Column:
     return F.concat(F.format_number(c * 100, 1), F.lit("%"))
 

@@ -23,6 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in any store that Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: its rows and their partitions are fixed from then on."""
     path = f"{shared_dir(df.sparkSession)}/millwright/{name}-{uuid.uuid4().hex[:12]}"

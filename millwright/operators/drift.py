@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from millwright.functions.prefix import running_within
 from millwright.functions.quantiles import at_ranks
 
 SEVERITIES = ("LOW", "MEDIUM", "HIGH")
+#: Pairs of readings of two windows up to which the p-value of their distance is exact.
+EXACT_PAIRS = 10_000
 
 
 @dataclass(frozen=True)
@@ -71,7 +75,10 @@ def psi_numeric(base: DataFrame, prod: DataFrame, columns: Sequence[str], bins:
 
 
 def ks_two_sample(base: DataFrame, prod: DataFrame, columns: Sequence[str], ordered: DataFrame | None = None) -> DataFrame:
-    """column, ks, p_value (asymptotic): the largest distance of the distribution functions, over the different values of a column."""
+    """column, ks, p_value, method: the largest distance of the distribution functions, over the different values of a column.
+
+    The p-value is exact for windows of at most EXACT_PAIRS pairs of readings (method exact), else the asymptotic series.
+    """
     ordered = ordered_counts(base, prod, columns) if ordered is None else ordered
     counts = ordered.withColumnsRenamed({"below_b_all": "b_all", "below_p_all": "p_all"})
     d = F.abs(F.try_divide(F.col("below_b"), F.col("b_all")) - F.try_divide(F.col("below_p"), F.col("p_all")))
@@ -79,7 +86,31 @@ def ks_two_sample(base: DataFrame, prod: DataFrame, columns: Sequence[str], orde
     n = F.col("b_all") * F.col("p_all") / (F.col("b_all") + F.col("p_all"))
     x = F.col("ks") * F.sqrt(n)
     series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2 * k * k * x * x))
-    return out.select("column", "ks", F.when(x < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series))).alias("p_value"))
+    asymptotic = F.when(x < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
+    small = F.col("b_all") * F.col("p_all") <= EXACT_PAIRS
+    exact = F.pandas_udf(_exact_p_values, "double")(*[F.when(small, F.col(c)) for c in ("b_all", "p_all", "ks")])  # of one row for each column
+    return out.select("column", "ks", F.when(small & F.col("ks").isNotNull(), exact).otherwise(asymptotic).alias("p_value"), F.when(F.col("ks").isNotNull(), F.when(small, "exact").otherwise("asymptotic")).alias("method"))
+
+
+def exact_p_value(n: int, m: int, ks: float) -> float:
+    """The probability of a KS distance of at least ks between samples of n and m readings of one continuous distribution.
+
+    All orders of the readings are lattice paths from (0, 0) to (n, m); those that stay nearer to the diagonal than ks are counted row by
+    row, as shares of all paths, so that no number overflows. Ties are taken as for continuous readings.
+    """
+    bound = round(ks * n * m)  # a path is at |i * m - j * n|
+    if bound <= 0:
+        return 1.0
+    column = np.arange(m + 1)
+    inside = np.where(column * n < bound, 1.0, 0.0)
+    for i in range(1, n + 1):
+        near = np.abs(i * m - column * n) < bound
+        inside = np.where(near, np.cumsum(np.where(near, inside * (i / (i + m)), 0.0)), 0.0)
+    return float(min(1.0, max(0.0, 1.0 - inside[m])))
+
+
+def _exact_p_values(n: pd.Series, m: pd.Series, ks: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(d) else exact_p_value(int(a), int(b), float(d)) for a, b, d in zip(n, m, ks, strict=True)], dtype="float64")
 
 
 def moment_shift(base: DataFrame, prod: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -133,7 +164,7 @@ def drift_report(base: DataFrame, prod: DataFrame, columns: Sequence[str] | None
     if numbers:
         ordered = ordered_counts(base, prod, numbers)  # serves both
         part = psi_numeric(base, prod, numbers, plan.bins, plan.epsilon, ordered).drop("n_bins")
-        part = part.join(ks_two_sample(base, prod, numbers, ordered).drop("p_value"), "column", "full_outer").join(moment_shift(base, prod, numbers), "column", "full_outer")
+        part = part.join(ks_two_sample(base, prod, numbers, ordered).drop("p_value", "method"), "column", "full_outer").join(moment_shift(base, prod, numbers), "column", "full_outer")
         parts.append(part)
     if names:
         parts.append(psi_categorical(base, prod, names, plan.epsilon))

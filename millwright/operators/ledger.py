@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millwright.functions.prefix import exists
+
+# Outcomes of feedback, a work order's payload, its longest values and what it must have.
 OUTCOMES = ("confirmed_issue", "false_alarm", "different_issue", "no_action_needed")
 PAYLOAD = "asset_id string, priority string, recommended_action string, prediction_event_id string, reason string, risk_score double, source_model_version string"
-#: Longest values of a work order's payload.
 LENGTHS = {"asset_id": 255, "priority": 32, "recommended_action": 1024, "prediction_event_id": 64, "reason": 2048, "source_model_version": 32}
 REQUIRED = ("asset_id", "priority", "recommended_action", "prediction_event_id")
 
@@ -132,6 +134,23 @@ def append(rows: DataFrame, path: str, allow: Sequence[str] | None = None) -> No
     (rows if allow is None else rows.select([c for c in rows.columns if c in allow])).write.mode("append").parquet(path)
 
 
+def append_once(rows: DataFrame, path: str, key: str) -> None:
+    """Append the rows whose key the log does not have, so that an append that is tried again adds nothing. New columns extend the log's schema.
+
+    Two writers at once may both add a key; read_log counts it once.
+    """
+    spark = rows.sparkSession
+    if exists(spark, path):
+        rows = rows.join(spark.read.option("mergeSchema", True).parquet(path).select(key).distinct(), key, "left_anti")
+    rows.dropDuplicates([key]).withColumn("logged_at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def read_log(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The log's rows, each key once as it was logged first; columns that came later are null in older rows."""
+    log = spark.read.option("mergeSchema", True).parquet(path)
+    return log.groupBy(key).agg(F.min_by(F.struct(*log.columns), "logged_at").alias("row")).select("row.*")
+
+
 def versions(models: DataFrame, name: str) -> DataFrame:
     """A model's versions in numeric order."""
     return models.filter(F.col("name") == name).orderBy(F.col("version").cast("int"))

@@ -27,6 +27,14 @@ def confusion_matrix(pred: DataFrame, labels: Sequence[str]) -> DataFrame:
     return grid.join(counts, ["model", "label", "prediction"], "left").fillna(0, ["n"])
 
 
+def confusion_lists(pred: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """model, confusion: its matrix as a list of label, prediction, n, in the order of labels; for the run log."""
+    place = {x: i for i, x in enumerate(labels)}
+    order = F.create_map(*[F.lit(x) for kv in place.items() for x in kv])
+    cells = F.sort_array(F.collect_list(F.struct(order[F.col("label")].alias("i"), order[F.col("prediction")].alias("j"), "label", "prediction", "n")))  # labels squared
+    return confusion_matrix(pred, labels).groupBy("model").agg(F.transform(cells, lambda c: F.struct(c["label"].alias("label"), c["prediction"].alias("prediction"), c["n"].alias("n"))).alias("confusion"))
+
+
 def per_class(pred: DataFrame, labels: Sequence[str]) -> DataFrame:
     """model, class, precision, recall, f1, support; a division by zero is 0."""
     m = confusion_matrix(pred, labels)

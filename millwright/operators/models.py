@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,7 @@ from millwright.functions.columns import coarse_dtype, config_hash, is_numeric,
 from millwright.functions.prefix import global_order
 from millwright.operators import metrics
 from millwright.operators.features import FeatureError, Preprocessor, fit_preprocessor
+from millwright.operators.ledger import append_once, read_log
 
 #: Models by task, in order of complexity.
 CATALOG = {
@@ -141,13 +142,24 @@ def evaluate(models: Sequence[Trained], df: DataFrame, key: Sequence[str]) -> Da
 
 
 def append_runs(evaluated: DataFrame, settings: dict, path: str) -> None:
-    """One row for each model in the run log: settings, metrics without nulls, hash of the settings. A metric that is not finite is refused."""
+    """One row for each model in the run log: run_id, model, params, metrics without nulls, config_hash, and evaluated's other columns, such as its confusion.
+
+    run_id is the hash of settings and model: a run is logged once, however often it is appended. A metric that is not finite is refused.
+    """
     numbers = [f.name for f in evaluated.schema if isinstance(f.dataType, T.DoubleType)]
-    rows = evaluated.select("model", F.map_filter(F.map_from_arrays(F.array(*[F.lit(c) for c in numbers]), F.array(*numbers)), lambda _, v: v.isNotNull()).alias("metrics"))
+    others = [c for c in evaluated.columns if c not in (*numbers, "model")]
+    params = F.create_map(*[F.lit(str(x)) for kv in sorted(settings.items()) for x in kv]) if settings else F.lit(None).cast("map<string,string>")
+    measured = F.map_filter(F.map_from_arrays(F.array(*[F.lit(c) for c in numbers]), F.array(*numbers)), lambda _, v: v.isNotNull())
+    known = config_hash(settings)
+    rows = evaluated.select(F.sha2(F.concat(F.lit(f"{known}|"), "model"), 256).alias("run_id"), "model", params.alias("params"), measured.alias("metrics"), F.lit(known).alias("config_hash"), *others)
     if not rows.filter(F.exists(F.map_values("metrics"), lambda v: F.isnan(v) | (F.abs(v) == float("inf")))).isEmpty():
         raise ValueError("a metric is not finite")
-    params = F.create_map(*[F.lit(str(x)) for kv in sorted(settings.items()) for x in kv]) if settings else F.lit(None).cast("map<string,string>")
-    rows.withColumn("params", params).withColumn("config_hash", F.lit(config_hash(settings))).withColumn("logged_at", F.current_timestamp()).write.mode("append").parquet(path)
+    append_once(rows, path, "run_id")
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The run log, each run once."""
+    return read_log(spark, path, "run_id")
 
 
 def check_contract(model: Trained, df: DataFrame, key: Sequence[str]) -> None:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millwright.functions.columns import config_hash
+from millwright.functions.prefix import written
 from millwright.operators import anomaly, drift
+from millwright.operators.ledger import append_once
 
 
 def monitor_features(columns: Sequence[str], plan: Sequence[str], roles: Sequence[str | None], leaking: Sequence[str]) -> list[str]:
@@ -55,3 +59,59 @@ def monitoring_run(base: DataFrame, prod: DataFrame, columns: Sequence[str], key
         F.lit(days_since).cast("int").alias("days_since"), F.lit(None).cast("boolean").alias("due"), F.lit(manual).alias("manual"),
     )
     return run.join(F.broadcast(recommendation(retraining_recommendation(facts))))
+
+
+@dataclass(frozen=True)
+class Monitor:
+    """What a baseline was fitted to, once for all windows that are held against it."""
+
+    numbers: list[str]
+    stats: anomaly.RobustStats
+    forest: DataFrame
+    combiner: anomaly.Combiner
+
+    def scores(self, df: DataFrame, key: Sequence[str]) -> DataFrame:
+        """The key, robust_score, isolation_score, combined_score and flagged of each row, in one pass without a shuffle."""
+        robust = anomaly.robust_scores(df, self.stats, self.numbers, key).drop("z")
+        both = anomaly.isolation_scores(robust, self.forest, self.stats, self.numbers, [*key, "robust_score"])
+        return anomaly.combined_score(both, self.combiner)
+
+
+def fit_monitor(base: DataFrame, numbers: Sequence[str], key: str, path: str, trees: int = anomaly.TREES, contamination: float = 0.05) -> None:
+    """Fit the robust statistics, the forest and the combiner to a baseline, and store them at path: three small tables."""
+    numbers = list(numbers)
+    anomaly.fit_robust_baseline(base, numbers).write.parquet(f"{path}/stats")
+    spark = base.sparkSession
+    stats = anomaly.RobustStats.of(spark.read.parquet(f"{path}/stats"))
+    anomaly.fit_isolation_forest(base, stats, numbers, key, trees).write.parquet(f"{path}/forest")
+    names = ["robust_score", "isolation_score"]
+    open_ = Monitor(numbers, stats, spark.read.parquet(f"{path}/forest"), anomaly.Combiner(dict.fromkeys(names, 0.0), dict.fromkeys(names, 1.0)))
+    scored = open_.scores(base, [key]).select(*names)
+    scored.write.parquet(f"{path}/scores")  # both passes of the combiner's fit read these
+    found = anomaly.fit_combiner(spark.read.parquet(f"{path}/scores"), names, contamination)
+    rows = [(n, found.centre[n], found.scale[n], found.threshold, i, c) for i, (n, c) in enumerate(zip(names, [",".join(numbers)] * 2, strict=True))]
+    spark.createDataFrame(rows, "score string, centre double, scale double, threshold double, place int, numbers string").coalesce(1).write.parquet(f"{path}/combiner")
+
+
+def load_monitor(spark: SparkSession, path: str) -> Monitor:
+    """A fitted monitor; only its statistics, a row for each column and score, reach the driver."""
+    rows = spark.read.parquet(f"{path}/combiner").orderBy("place").collect()
+    combiner = anomaly.Combiner({r["score"]: r["centre"] for r in rows}, {r["score"]: r["scale"] for r in rows}, rows[0]["threshold"])
+    return Monitor(rows[0]["numbers"].split(","), anomaly.RobustStats.of(spark.read.parquet(f"{path}/stats")), spark.read.parquet(f"{path}/forest"), combiner)
+
+
+def rates(scored: DataFrame, prefix: str, threshold: float = anomaly.THRESHOLD) -> DataFrame:
+    """One row: the shares of rows beyond each score's limit: the robust threshold, 0 for isolation, the combiner's threshold."""
+    share = lambda c: F.round(F.coalesce(F.try_divide(F.count_if(c), F.count("*")), F.lit(0.0)), 6)
+    flags = {"robust": F.col("robust_score") > threshold, "isolation": F.col("isolation_score") > 0, "combined": F.col("flagged")}
+    return scored.agg(*[share(c).alias(f"{prefix}_{n}_rate") for n, c in flags.items()])
+
+
+def full_run(fitted: Monitor, base: DataFrame, prod: DataFrame, columns: Sequence[str], key: Sequence[str], log: str, settings: dict, **how: object) -> DataFrame:
+    """monitoring_run with the rates of all three scores, appended to a log once: the row's run_id is the hash of the settings, which name the window."""
+    run = monitoring_run(base, prod, columns, key, fitted.numbers, **how)
+    for prefix, df in (("base", base), ("prod", prod)):
+        run = run.join(F.broadcast(rates(fitted.scores(df, key), prefix)))  # one row each
+    row = written(run.select(F.lit(config_hash(settings)).alias("run_id"), "*"), "run")
+    append_once(row, log, "run_id")
+    return row

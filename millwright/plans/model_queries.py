@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwright.operators import anomaly, drift, features, metrics, models, monitor
+from millwright.functions.columns import redact_nested
+from millwright.functions.prefix import shared_dir
+from millwright.operators import anomaly, drift, features, ledger, metrics, models, monitor
 from millwright.plans.data import EVENTS_SQL, LINE_SENSORS, SCORES_SQL, SPLIT_DATE, events, model_scores, rounded, table, windows
 
 NUMBERS = ("value", "k")
@@ -198,6 +202,43 @@ def monitoring_run(spark, sf_dir):
     return rounded(monitor.monitoring_run(base, prod, ["value", "k", "event_type"], ["event_id"], list(NUMBERS)).drop("reasons"))
 
 
+def monitoring_log(spark, sf_dir):
+    """The full run over both windows with a monitor that was fitted to the baseline, stored and loaded; its append is tried twice."""
+    base, prod = windows(spark, sf_dir)
+    path = f"{shared_dir(spark)}/millwright/monitor-{uuid.uuid4().hex[:12]}"
+    monitor.fit_monitor(base, NUMBERS, "event_id", f"{path}/fitted", trees=50)
+    fitted = monitor.load_monitor(spark, f"{path}/fitted")
+    row = monitor.full_run(fitted, base, prod, ["value", "k", "event_type"], ["event_id"], f"{path}/log", {"window": SPLIT_DATE})
+    ledger.append_once(row, f"{path}/log", "run_id")
+    log = ledger.read_log(spark, f"{path}/log", "run_id")
+    share = lambda c: F.col(c).between(0, 1)
+    near = (F.abs(F.col("base_combined_rate") - 0.05) < 0.01).alias("base_combined_near")
+    return rounded(log.select("base_rows", "prod_rows", "base_robust_rate", "prod_robust_rate", "severity", "retrain", near, (share("base_isolation_rate") & share("prod_isolation_rate") & share("prod_combined_rate")).alias("shares")))
+
+
+def run_log(spark, sf_dir):
+    """Runs of three models under two settings, the second ones with their confusion; all appends are tried twice."""
+    path = f"{shared_dir(spark)}/millwright/runs-{uuid.uuid4().hex[:12]}"
+    pred = model_scores(spark, sf_dir)
+    measured = metrics.classification_metrics(pred, ["0", "1"], "1").select("model", "precision", "recall", "f1")
+    for _ in range(2):
+        models.append_runs(measured, {"seed": 1}, path)
+        models.append_runs(measured.drop("precision").join(metrics.confusion_lists(pred, ["0", "1"]), "model"), {"seed": 2}, path)
+    log = models.read_runs(spark, path)
+    metric = lambda m: F.try_element_at("metrics", F.lit(m)).alias(m)
+    hits = F.filter("confusion", lambda c: (c["label"] == "1") & (c["prediction"] == "1"))[0]["n"].alias("hits")
+    return rounded(log.select("model", F.element_at("params", "seed").alias("seed"), metric("precision"), metric("recall"), metric("f1"), F.size("metrics").alias("n_metrics"), hits))
+
+
+def redacted_reports(spark, sf_dir):
+    """A nested report of each user's readings without comments and raw values, as JSON."""
+    e = events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.max("k").alias("k"))
+    finding = F.struct(F.col("event_type").alias("kind"), "n", F.concat(F.lit("seen by "), "user_id").alias("comment"), F.struct("k", F.lit("x").alias("value")).alias("detail"))
+    report = e.groupBy("user_id").agg(F.array_sort(F.collect_list(finding)).alias("findings"))  # one for each kind of event
+    report = report.select("user_id", F.struct("user_id", F.lit("text").alias("comment"), "findings").alias("report"), F.lit("y").alias("value"))
+    return redact_nested(report, ["comment", "value"]).select("user_id", F.to_json("report").alias("report"))
+
+
 def _fitted(spark, sf_dir, names=("logistic_regression",)):
     rows = _train(spark, sf_dir)
     cut = F.pmod(F.xxhash64("event_id"), F.lit(5)) == 0
@@ -317,6 +358,12 @@ SELECT a, z, model, fn, fp, fn * a + fp * z AS total_cost FROM c, (VALUES {pairs
 
 
 ORACLE_SQL = {
+    "monitoring_log": _RUN + " SELECT base_rows, prod_rows, round(base_rate, 6) AS base_robust_rate, round(prod_rate, 6) AS prod_robust_rate, severity, severity = 'HIGH' OR prod_rate - base_rate >= 0.1 AS retrain, TRUE AS base_combined_near, TRUE AS shares FROM w",
+    "run_log": _COUNTS + f""", m AS (SELECT model, {_POS} FROM c), h AS (SELECT model, count(*) FILTER (label = 1 AND prediction = 1) AS hits FROM ({SCORES_SQL}) GROUP BY model)
+SELECT model, seed, CASE WHEN seed = '1' THEN round(precision, 6) END AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, CASE WHEN seed = '1' THEN 3 ELSE 2 END AS n_metrics, CASE WHEN seed = '2' THEN hits END AS hits
+FROM m JOIN h USING (model), (VALUES ('1'), ('2')) s(seed)""",
+    "redacted_reports": f"""WITH {_E}, g AS (SELECT user_id, event_type, count(*) AS n, max(k) AS k FROM e GROUP BY 1, 2)
+SELECT user_id, '{{"user_id":' || user_id || ',"findings":[' || string_agg('{{"kind":"' || event_type || '","n":' || n || ',"detail":{{"k":' || k || '}}}}', ',' ORDER BY event_type) || ']}}' AS report FROM g GROUP BY user_id""",
     "isolation_sample": f"""WITH b AS (SELECT event_id, md5(event_id || '|42') AS h FROM events WHERE ts < TIMESTAMP '{SPLIT_DATE}'), f AS (SELECT least(50, CAST(ceil(4 * 50 * 256 / greatest(1, count(*))) AS BIGINT)) AS few FROM b),
 w AS (SELECT event_id, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS w0, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS w1, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS w2, unnest(range(few)) AS j FROM b, f),
 r AS (SELECT (w0 + j) % 50 AS tree, (w1 + j * w2) % 4294967296 AS rank, event_id FROM w),
@@ -346,7 +393,7 @@ CASE WHEN recall >= 0.5 THEN CAST(row_number() OVER (PARTITION BY recall >= 0.5
     "new_categories": f"""WITH {_E}, x AS (SELECT DISTINCT concat(hour(ts), ':', user_id % 40) AS pair FROM p EXCEPT SELECT concat(hour(ts), ':', user_id % 40) FROM b)
 SELECT 'pair' AS "column", CAST(count(*) AS INTEGER) AS n_new, coalesce(string_agg(pair, ',' ORDER BY pair), '') AS new_categories FROM x""",
     "ks_two_sample": f"""WITH {_E}, x AS ({_ks('value')} UNION ALL {_ks('k')}), y AS (SELECT *, ks * sqrt(nb * np / (nb + np)) AS t FROM x)
-SELECT "column", round(ks, 6) AS ks, round(CASE WHEN t < 0.2 THEN 1.0 ELSE greatest(0, least(1, (SELECT sum(CASE WHEN j % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2 * j * j * t * t)) FROM range(1, 101) g(j)))) END, 6) AS p_value FROM y""",
+SELECT "column", round(ks, 6) AS ks, round(CASE WHEN t < 0.2 THEN 1.0 ELSE greatest(0, least(1, (SELECT sum(CASE WHEN j % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2 * j * j * t * t)) FROM range(1, 101) g(j)))) END, 6) AS p_value, CASE WHEN nb * np <= 10000 THEN 'exact' ELSE 'asymptotic' END AS method FROM y""",
     "moment_shift": f"WITH {_E}, x AS ({_shift('value')} UNION ALL {_shift('k')}) SELECT \"column\", round(mean_shift, 6) AS mean_shift, round(std_shift, 6) AS std_shift FROM x",
     "missing_shift": f"WITH {_E}, x AS ({_missing('value')} UNION ALL {_missing('k')} UNION ALL {_missing('event_type')}) SELECT \"column\", round(missing_shift, 6) AS missing_shift FROM x",
     "drift_report": _DRIFT + f""" SELECT "column", round(psi, 6) AS psi, round(ks, 6) AS ks, round(total_variation, 6) AS total_variation, round(mean_shift, 6) AS mean_shift, round(std_shift, 6) AS std_shift,

@@ -63,8 +63,12 @@ def test_training_scoring_and_explanation(spark, table, tmp_path):
     assert not failed and done[0].labels == ("0", "1")
     out = models.evaluate(done, test, ["key"])
     assert out.first()["roc_auc"] > 0.95
-    models.append_runs(out, {"seed": 42}, str(tmp_path / "runs"))
-    assert spark.read.parquet(str(tmp_path / "runs")).first()["metrics"]["f1"] > 0.9
+    for _ in range(2):  # the second append is a retry
+        models.append_runs(out, {"seed": 42}, str(tmp_path / "runs"))
+    assert spark.read.parquet(str(tmp_path / "runs")).count() == 1
+    assert models.read_runs(spark, str(tmp_path / "runs")).first()["metrics"]["f1"] > 0.9
+    with pytest.raises(ValueError, match="finite"):
+        models.append_runs(out.withColumn("f1", F.lit(float("nan"))), {"seed": 43}, str(tmp_path / "runs"))
     raw = test.select("key", F.when(F.col("key") == 5, "bad").otherwise(F.col("num").cast("string")).alias("num"), "cat", "flag")
     good, bad = models.score_batch(done[0], raw, ["key"])
     assert [tuple(r) for r in bad.collect()] == [(5, ["num"])] and good.count() == test.count() - 1
@@ -247,3 +251,70 @@ def test_every_query_has_sql_or_is_listed():
 
 def test_flagship(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_exact_p_values_of_small_windows(spark):
+    from itertools import combinations
+    from math import comb
+
+    def counted(n, m, ks):  # over all orders of n and m readings
+        far = 0
+        for own in combinations(range(n + m), n):
+            i = j = 0
+            best = 0.0
+            for k in range(n + m):
+                i, j = (i + 1, j) if k in own else (i, j + 1)
+                best = max(best, abs(i / n - j / m))
+            far += best >= ks - 1e-9
+        return far / comb(n + m, n)
+
+    for n, m in ((1, 1), (3, 4), (5, 5), (2, 7)):
+        for k in range(n * m + 1):
+            assert abs(drift.exact_p_value(n, m, k / (n * m)) - counted(n, m, k / (n * m))) < 1e-12
+    assert abs(drift.exact_p_value(10, 10, 0.6) - 0.05244755244755244) < 1e-12
+    base, prod = (spark.createDataFrame([(float(x),) for x in xs], "x double") for xs in (range(5), range(3, 8)))
+    row = drift.ks_two_sample(base, prod, ["x"]).first()
+    assert (row["method"], round(row["ks"], 6), round(row["p_value"], 6)) == ("exact", 0.6, round(drift.exact_p_value(5, 5, 0.6), 6))
+    many = spark.range(200).selectExpr("CAST(id AS double) AS x")
+    assert drift.ks_two_sample(many, many, ["x"]).first()["method"] == "asymptotic"
+
+
+def test_nested_values_are_redacted_at_any_depth(spark):
+    from millwright.functions.columns import redact_nested
+
+    rows = [(1, "no", {"a": {"value": 1.0, "n": 2}}, [([{"Comment": "c", "n": 3}],)], {"value": "x", "kept": "y"}, (5,)), (2, None, None, [None, (None,)], None, None)]
+    schema = "k int, comment string, m map<string,struct<value:double,n:int>>, a array<struct<inner:array<struct<Comment:string,n:int>>>>, t map<string,string>, s struct<value:int>"
+    out = redact_nested(spark.createDataFrame(rows, schema), ["VALUE", "comment"])
+    assert out.columns == ["k", "m", "a", "t"]
+    first, second = (r.asDict(recursive=True) for r in out.orderBy("k").collect())
+    assert first == {"k": 1, "m": {"a": {"n": 2}}, "a": [{"inner": [{"n": 3}]}], "t": {"kept": "y"}}
+    assert second == {"k": 2, "m": None, "a": [None, {"inner": None}], "t": None}
+
+
+def test_trees_sample_every_row_alike_and_do_not_depend_on_partitions(spark):
+    rows = spark.range(6000).withColumnRenamed("id", "key")
+    found = anomaly.tree_sample(rows.repartition(5), "key", trees=20, sample=64)
+    sets = {}
+    for r in found.collect():
+        sets.setdefault(r["tree"], []).append((r["rank"], r["key"]))
+    again = {(r["tree"], r["key"]) for r in anomaly.tree_sample(rows.coalesce(1), "key", trees=20, sample=64).collect()}
+    assert again == {(t, k) for t, own in sets.items() for _, k in own}
+    assert sorted(sets) == list(range(20)) and all(len(own) == 64 for own in sets.values())
+    picked = [k for own in sets.values() for _, k in own]
+    thirds = [sum(lo <= k < lo + 2000 for k in picked) for lo in (0, 2000, 4000)]
+    assert all(abs(n - 20 * 64 / 3) < 100 for n in thirds)  # about six standard deviations
+    small = anomaly.tree_sample(rows.limit(50), "key", trees=4, sample=64).groupBy("tree").count().collect()
+    assert sorted(tuple(r) for r in small) == [(t, 50) for t in range(4)]  # few rows are in all trees
+    assert anomaly.tree_sample(rows.limit(0), "key").count() == 0
+
+
+def test_a_monitor_is_fitted_once_and_its_run_is_logged_once(spark, tmp_path):
+    base = spark.range(400).select(F.col("id").alias("key"), F.sin("id").alias("a"), (F.col("id") % 17).cast("double").alias("b"))
+    prod = base.withColumn("a", F.when(F.col("key") % 4 == 0, F.lit(40.0)).otherwise(F.col("a")))
+    monitor.fit_monitor(base, ["a", "b"], "key", str(tmp_path / "fitted"), trees=20)
+    fitted = monitor.load_monitor(spark, str(tmp_path / "fitted"))
+    for _ in range(2):
+        row = monitor.full_run(fitted, base, prod, ["a", "b"], ["key"], str(tmp_path / "log"), {"window": "w"}).first()
+    assert abs(row["base_combined_rate"] - 0.05) < 0.02 and row["prod_combined_rate"] > 0.2 and row["prod_robust_rate"] == 0.25
+    assert row["prod_isolation_rate"] > row["base_isolation_rate"] and row["retrain"]
+    assert ledger.read_log(spark, str(tmp_path / "log"), "run_id").count() == spark.read.parquet(str(tmp_path / "log")).count() == 1
