@@ -8,8 +8,8 @@ Stems are matched without edits, and a word that clean documents use is no missp
 
 Each hit gets a window of words around it. Hits that stand within quotation marks or quoted lines count apart from those that do
 not, unless their window has others that do not. A document's score is a logistic function of what its worst window, all its
-hits and their density weigh, unquoted and quoted. Weights of that function are fitted on at most SAMPLE labelled documents, those with
-the least hash of the id; the lexicon's statistics cover all labelled documents, and every text is scored whole.
+hits and their density weigh, unquoted and quoted. The lexicon is learnt from at most LABELS documents of each kind, that function's weights
+from at most SAMPLE of them, those with the least hash of the id; every text is scored whole.
 
 Cases: a null text is empty; an empty text, and one without a hit, gets the score of no hits; without labelled
 documents of both kinds every score is 0; rows that share an id share its label, an id or text labelled both ways is toxic;
@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm.common import bloom_filter, longs, materialise, may_be_in, prefix_hash, text_bytes
+from millwright.llm.common import longs, materialise, prefix_hash, text_bytes
 
-#: Bound of the lexicon, by strength, and of the sample that the score's weights are fitted on.
-TERMS, SAMPLE = 5000, 20000
+#: Bounds of the lexicon, by strength; of the labelled documents of each kind that it is learnt from; of those that the score's weights are fitted on.
+TERMS, LABELS, SAMPLE = 5000, 100000, 20000
 LONGEST, STEMS, LEAST_Z, LEAST_WEIGHT, WINDOW, BLOCK = 40, (4, 5, 6, 7), 5.0, 1.5, 25, 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 FEATURES = ("worst", "all", "density", "quoted_worst", "quoted_density")
@@ -281,18 +281,22 @@ def _texts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.
             first = last
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = LABELS) -> DataFrame:
     """id, toxic, text of documents with a label, equal texts once (toxic if one of them is), so that copies don't make a term strong.
 
-    A Bloom filter of the ids spares the shuffle of other texts.
+    At most `most` documents of each kind, those with the least hash of the id: that bounds the broadcast of their ids, and no text is shuffled.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("id is not null")
-    marks = rows.select("id", F.xxhash64("text").alias("mark")).join(known, "id")
-    known = materialise(marks.groupBy("mark").agg(F.min("id").alias("id"), F.max("toxic").alias("toxic")), "marks")
-    chosen = bloom_filter(known.select(F.xxhash64("id").alias("h")))
-    rows = may_be_in(rows.withColumn("h", F.xxhash64("id")), "h", chosen).drop("h").withColumn("mark", F.xxhash64("text"))
-    return rows.join(known, ["id", "mark"]).select("id", "toxic", "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("id is not null").withColumn("mark", F.xxhash64("text"))
+    marks = rows.select("id", "mark").join(known, "id")
+    marks = materialise(marks.groupBy("mark").agg(F.min("id").alias("id"), (F.max("toxic") > 0).alias("toxic")), "marks")
+    sizes = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
+    chosen = marks.limit(0)
+    for kind, n in sizes.items():
+        place = F.xxhash64("id", F.lit(1))
+        own = marks.filter(F.col("toxic") == kind).filter(F.shiftrightunsigned(place, 11) / 2.0**53 <= 1.2 * most / n)  # spares the order most rows
+        chosen = chosen.unionByName(own.orderBy(place, "id").limit(most))
+    return rows.join(F.broadcast(chosen), ["id", "mark"]).select("id", F.col("toxic").cast("int").alias("toxic"), "text")
 
 
 def _counts(train: DataFrame) -> DataFrame:

@@ -92,6 +92,15 @@ def test_quotation_scores_lower_than_abuse(spark, planted):
     assert not any(h["quoted"] for h in got[2]["toxic_hits"])  # abuse that also quotes is abuse
 
 
+def test_the_sample_is_bounded_and_copies_count_once(spark):
+    docs = spark.createDataFrame([(i, f"t{i // 2}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    for most, expected in ((30, {0: 30, 1: 30}), (1000, {0: 100, 1: 100})):
+        rows = toxicity.labelled(docs, labels, most=most).collect()
+        assert {k: sum(r["toxic"] == k for r in rows) for k in (0, 1)} == expected
+        assert len({r["text"] for r in rows}) == len(rows)
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     for labels in ([], [(1, 0)], [(2, 1)]):
