@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwright.functions.prefix import running_within
+from millwright.functions.prefix import running_within, written
 
 
 def value_counts(rows: DataFrame, key: str = "column", value: str = "value") -> DataFrame:
@@ -21,7 +21,7 @@ def quantiles(counts: DataFrame, points: Sequence[float], key: str = "column", v
     counts has key, value and n, with each value of a key once. No group is held by one task, and a key's row is all
     that its group leaves. A key without a value has no row.
     """
-    return at_ranks(running_within(counts.select(key, value, "n"), key, [value], {"upto": "n"}), points, key, value)
+    return at_ranks(ordered_values(counts, key, value), points, key, value)
 
 
 def at_ranks(ordered: DataFrame, points: Sequence[float], key: str = "column", value: str = "value", n: str = "n", upto: str = "upto") -> DataFrame:
@@ -36,13 +36,17 @@ def at_ranks(ordered: DataFrame, points: Sequence[float], key: str = "column", v
     return out.select(key, total.alias("total"), F.array(*between).alias("q"))
 
 
-def median_mad(counts: DataFrame, key: str = "column", value: str = "value") -> DataFrame:
-    """key, total, median, mad (median absolute deviation from the median) of values that occur n times. One row for each key.
+def ordered_values(counts: DataFrame, key: str = "column", value: str = "value") -> DataFrame:
+    """key, value, n, upto, upto_all: values that occur n times in their order, with running sums. Written, so several passes may read it."""
+    return running_within(counts.select(key, value, "n"), key, [value], {"upto": "n"})
 
-    counts are read twice, so they should be a written table.
-    """
-    middle = quantiles(counts, [0.5], key, value).select(key, "total", F.col("q")[0].alias("median"))
-    away = counts.join(F.broadcast(middle), key).withColumn(value, F.abs(F.col(value) - F.col("median")))  # one row for each key
+
+def median_mad(ordered: DataFrame, key: str = "column", value: str = "value") -> DataFrame:
+    """key, total, median, mad (median absolute deviation from the median) of ordered_values, or of counts, which are ordered first. One row for each key."""
+    ordered = ordered if "upto" in ordered.columns else ordered_values(ordered, key, value)
+    middle = at_ranks(ordered, [0.5], key, value).select(key, "total", F.col("q")[0].alias("median"))
+    middle = written(middle, "medians")  # read twice
+    away = ordered.join(F.broadcast(middle), key).withColumn(value, F.abs(F.col(value) - F.col("median")))  # one row for each key
     away = away.groupBy(key, value).agg(F.sum("n").alias("n"))
     return middle.join(F.broadcast(quantiles(away, [0.5], key, value).select(key, F.col("q")[0].alias("mad"))), key)
 

@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millwright.functions.columns import finite, normalise_missing, seeded_order, unpivot
-from millwright.functions.prefix import written
-from millwright.functions.quantiles import median_mad, quantiles, value_counts
+from millwright.functions.quantiles import median_mad, ordered_values, quantiles, value_counts
 
 TREES, SAMPLE, THRESHOLD = 100, 256, 3.0
 
@@ -24,7 +23,7 @@ def fit_robust_baseline(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         raise ValueError("a baseline needs at least 4 rows")
     cells = unpivot(normalise_missing(df), columns, "double").withColumn("value", finite(F.col("value")))
     one = cells.groupBy("column").agg(F.stddev_pop("value").alias("std"))
-    two = median_mad(written(value_counts(cells), "values"))
+    two = median_mad(ordered_values(value_counts(cells)))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
     return one.join(two, "column", "left").select("column", zero("median"), zero("mad"), zero("std"))
 
@@ -211,7 +210,7 @@ class Combiner:
 def fit_combiner(baseline: DataFrame, scores: Sequence[str], contamination: float | None = None) -> Combiner:
     """Scores are centred by the baseline's median and scaled by MAD / 0.6745, else std, else 1; contamination sets the threshold's quantile."""
     std = baseline.agg(*[F.stddev_pop(s).alias(s) for s in scores]).first()
-    rows = {r["column"]: r for r in median_mad(written(value_counts(unpivot(baseline, scores, "double")), "values")).collect()}  # one for each score
+    rows = {r["column"]: r for r in median_mad(ordered_values(value_counts(unpivot(baseline, scores, "double")))).collect()}  # one for each score
     if lost := [s for s in scores if s not in rows]:
         raise ValueError(f"no values of {lost}")
     centre = {s: rows[s]["median"] for s in scores}

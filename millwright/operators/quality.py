@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millwright.functions.columns import IDENTIFIER_HINTS, has_hint, is_numeric, normalise_missing, unpivot
-from millwright.functions.prefix import written
-from millwright.functions.quantiles import median_mad, quantiles, value_counts
+from millwright.functions.quantiles import at_ranks, median_mad, ordered_values, value_counts
 from millwright.operators.profile import NEAR_UNIQUE, boolean_like, column_profile, duplicate_rows, table_profile
 from millwright.operators.succession import gap_counts, runs_by_asset, succession
 
@@ -99,8 +98,8 @@ def longest_flatline(df: DataFrame, roles: Roles, columns: Sequence[str], kind:
 def sampling_gaps(df: DataFrame, roles: Roles, factor: float = 5.0, summaries: DataFrame | None = None) -> DataFrame:
     """One row: n_gaps, median_gap, long_gaps (over factor medians), sampling_cv (population std by median); nulls without gaps or a zero median."""
     found = gap_counts(successive(df, roles) if summaries is None else summaries)
-    counts = written(found.select(F.lit(0).alias("all"), "gap", "n"), "gaps")
-    middle = quantiles(counts, [0.5], "all", "gap").select("all", F.col("q")[0].alias("median_gap"))
+    counts = ordered_values(found.select(F.lit(0).alias("all"), "gap", "n"), "all", "gap")
+    middle = at_ranks(counts, [0.5], "all", "gap").select("all", F.col("q")[0].alias("median_gap"))
     mean = counts.groupBy("all").agg((F.sum(F.col("gap") * F.col("n")) / F.sum("n")).alias("mean"))
     both = counts.join(F.broadcast(middle), "all").join(F.broadcast(mean), "all")  # one row each
     n = F.coalesce(F.sum("n"), F.lit(0))
@@ -124,7 +123,7 @@ def robust_outliers(df: DataFrame, columns: Sequence[str], z: float = 3.5) -> Da
     Counts of different values serve both medians and the rate; the statistics, one row for each column, are broadcast.
     """
     cells = unpivot(normalise_missing(df), columns, "double").filter("value is not null")
-    counts = written(value_counts(cells), "values")
+    counts = ordered_values(value_counts(cells))
     middle = median_mad(counts).filter("total > 1 AND mad > 0")
     far = F.when(0.6745 * F.abs(F.col("value") - F.col("median")) / F.col("mad") > z, F.col("n")).otherwise(0)
     return counts.join(F.broadcast(middle), "column").groupBy("column", "median", "mad").agg((F.sum(far) / F.sum("n")).alias("rate"))
