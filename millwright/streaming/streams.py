@@ -228,7 +228,7 @@ def keyed_state(store: str, by: str, at: str, key: str, fan: int = 4) -> Callabl
             merged = (level + 1, epoch)
             current_state(_runs(spark, store, own), by, at, key).write.mode("overwrite").parquet(f"{store}/level={level + 1}/run={epoch}")
             runs, level = [*[r for r in runs if r[0] != level], merged], level + 1
-        spark.createDataFrame(runs, "level int, run long").coalesce(1).write.mode("overwrite").parquet(f"{store}/versions/{epoch}")
+        spark.createDataFrame([(*r, by, at, key) for r in runs], "level int, run long, by string, at string, key string").coalesce(1).write.mode("overwrite").parquet(f"{store}/versions/{epoch}")
         for old in set(_version(spark, store, epoch - 2)) - keep - set(runs):
             _delete(spark, f"{store}/level={old[0]}/run={old[1]}")
         _delete(spark, f"{store}/versions/{epoch - 2}")
@@ -246,15 +246,16 @@ def _version(spark: SparkSession, store: str, epoch: int) -> list[tuple[int, int
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/versions/{epoch}")
     if epoch < 0 or not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return []
-    return sorted(tuple(r) for r in spark.read.parquet(f"{store}/versions/{epoch}").collect())
+    return sorted(tuple(r) for r in spark.read.parquet(f"{store}/versions/{epoch}").select("level", "run").collect())
 
 
 def _runs(spark: SparkSession, store: str, runs: Sequence[tuple[int, int]]) -> DataFrame:
     return spark.read.parquet(*[f"{store}/level={level}/run={run}" for level, run in runs])
 
 
-def latest_state(spark: SparkSession, store: str, by: str, at: str, key: str) -> DataFrame:
+def latest_state(spark: SparkSession, store: str) -> DataFrame:
     """What keyed_state holds: the latest event of each name over the runs of the last version, so a name is met once for each of few runs."""
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/versions")
     last = max(int(f.getPath().getName()) for f in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where))
-    return current_state(_runs(spark, store, _version(spark, store, last)), by, at, key)
+    names = spark.read.parquet(f"{store}/versions/{last}").select("by", "at", "key").first()
+    return current_state(_runs(spark, store, _version(spark, store, last)), *names)

@@ -72,7 +72,7 @@ def test_keyed_state_writes_in_proportion_and_bears_retries(spark, tmp_path):
         if epoch in (3, 5):
             sink(batch, epoch)  # the micro-batch was tried again
         if epoch in (0, 5, 9):
-            rows = streams.latest_state(spark, store, "name", "at", "key").collect()
+            rows = streams.latest_state(spark, store).collect()
             assert {r["name"]: (r["at"], r["key"]) for r in rows} == seen and len(rows) == len(seen)
     small = sorted(g for g in grown[1:])
     assert small[len(small) // 2] < grown[0] / 5  # most batches write what they bring
