@@ -79,7 +79,11 @@ class Model:
 
 
 def codewords(n: int, bits: int = BITS) -> np.ndarray:
-    """n codewords of -1 and 1: a bit for each language, then up to bits of them in all that split the languages in halves."""
+    """n codewords of -1 and 1: a bit for each language, then up to bits of them in all that split the languages in halves.
+
+    From four languages on any two codewords differ in three bits at least, so a wrong bit can be corrected: where that takes more
+    bits, halves that split most of the closest pairs are added, about 2 log2(n) of them.
+    """
     columns = list(2 * np.eye(n, dtype=int) - 1)
     seen = {tuple(c * c[0]) for c in columns}  # a split and its complement ask the same question
     rng, half = np.random.default_rng(n), np.where(np.arange(n) < n // 2, 1, -1)
@@ -88,6 +92,13 @@ def codewords(n: int, bits: int = BITS) -> np.ndarray:
         if len(columns) < bits and tuple(c * c[0]) not in seen:
             seen.add(tuple(c * c[0]))
             columns.append(c)
+    while n > 4:
+        codes = np.array(columns).T
+        apart = np.triu((codes[:, None, :] != codes[None, :, :]).sum(axis=2) >= 3) | np.tri(n, dtype=bool)
+        if apart.all():
+            break
+        drawn = [rng.permutation(half) for _ in range(16)]
+        columns.append(max(drawn, key=lambda c: int((~apart & (c[:, None] != c[None, :])).sum())))
     return np.array(columns).T.reshape(n, len(columns))
 
 
