@@ -127,6 +127,28 @@ def compare_costs(confusion: DataFrame, positive: str, costs: Sequence[tuple[flo
     return out.withColumn("place", F.row_number().over(order)).select("fn_cost", "fp_cost", "model", "fn", "fp", "total_cost", "place")
 
 
+def cost_selection(
+    confusion: DataFrame, positive: str, ranked: DataFrame, costs: Sequence[tuple[float, float]] = ((1.0, 1.0),), failed: DataFrame | None = None, complexity: DataFrame | None = None
+) -> DataFrame:
+    """compare_costs with the choice by metric beside it: available, reason, cost_best, metric_best and saving, for each pair of costs.
+
+    ranked is what rank_models gives (model, place); failed has model and reason of models that could not be trained: they come last, unavailable and
+    without a place. saving is what the cheapest model saves against the best one by metric, null where no model has a place by metric.
+    """
+    found = compare_costs(confusion, positive, costs, complexity).withColumns({"available": F.lit(True), "reason": F.lit(None).cast("string")})
+    if failed is not None:
+        pairs = F.array(*[F.struct(F.lit(float(a)).alias("fn_cost"), F.lit(float(b)).alias("fp_cost")) for a, b in costs])
+        lost = failed.select("model", "reason", F.explode(pairs).alias("c")).select("c.fn_cost", "c.fp_cost", "model", "reason", F.lit(False).alias("available"))
+        found = found.unionByName(lost, allowMissingColumns=True)
+    first = ranked.filter("place = 1").select(F.col("model").alias("__first"))
+    found = found.join(F.broadcast(first), F.col("model") == F.col("__first"), "left")  # one model
+    one = Window.partitionBy("fn_cost", "fp_cost")  # a row for each model
+    cost = lambda flag: F.max(F.when(flag, F.col("total_cost"))).over(one)
+    best, chosen = F.coalesce(F.col("place") == 1, F.lit(False)), F.col("__first").isNotNull() & F.col("available")
+    out = found.withColumns({"cost_best": best, "metric_best": chosen})
+    return out.withColumn("saving", cost(F.col("metric_best")) - cost(F.col("cost_best"))).drop("__first")
+
+
 def residual_interval(pred: DataFrame, q: float = 0.9) -> DataFrame:
     """model, half_width: the q quantile of the absolute residuals."""
     counts = value_counts(pred.select("model", F.abs(F.col("label") - F.col("prediction")).alias("away")), "model", "away")

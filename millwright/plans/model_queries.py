@@ -105,6 +105,14 @@ def cost_grid(spark, sf_dir):
     return metrics.compare_costs(counts, "1", [(1.0, 1.0), (5.0, 1.0), (50.0, 1.0), (500.0, 10.0)])
 
 
+def cost_selection(spark, sf_dir):
+    """The cheapest model beside the best one by F1, for three pairs of costs; a fourth model failed."""
+    counts = metrics.confusion_matrix(model_scores(spark, sf_dir), ["0", "1"])
+    ranked = metrics.rank_models(_evaluated(spark, sf_dir), "f1", 0.5)
+    failed = spark.createDataFrame([("d_failed", "no convergence")], "model string, reason string")
+    return metrics.cost_selection(counts, "1", ranked, [(1.0, 1.0), (1.0, 20.0), (500.0, 10.0)], failed)
+
+
 def psi_numeric(spark, sf_dir):
     return rounded(drift.psi_numeric(*windows(spark, sf_dir), NUMBERS))
 
@@ -412,3 +420,9 @@ SELECT event_id, round(c, 6) AS combined_score, c > (SELECT quantile_cont(c, 0.9
     "retraining_recommendation": _RUN + """ SELECT t.trigger, t.fired FROM (SELECT unnest([{'trigger': 'high_drift', 'fired': severity = 'HIGH'}, {'trigger': 'metric_drop', 'fired': TRUE}, {'trigger': 'anomaly_jump', 'fired': round(prod_rate - base_rate, 6) >= 0.1},
 {'trigger': 'schedule', 'fired': FALSE}, {'trigger': 'manual', 'fired': FALSE}]) AS t FROM w)""",
 }
+_PAIRS = "(1.0::DOUBLE, 1.0::DOUBLE), (1.0, 20.0), (500.0, 10.0)"
+ORACLE_SQL["cost_selection"] = f"""WITH k AS ({_costs(_PAIRS)}), r AS (SELECT model FROM ({ORACLE_SQL["rank_models"]}) WHERE place = 1),
+a AS (SELECT fn_cost, fp_cost, k.model, fn, fp, total_cost, place, TRUE AS available, NULL AS reason, place = 1 AS cost_best, r.model IS NOT NULL AS metric_best FROM k LEFT JOIN r ON r.model = k.model
+  UNION ALL SELECT x, y, 'd_failed', NULL, NULL, NULL, NULL, FALSE, 'no convergence', FALSE, FALSE FROM (VALUES {_PAIRS}) p(x, y))
+SELECT *, max(total_cost) FILTER (metric_best) OVER w - max(total_cost) FILTER (cost_best) OVER w AS saving FROM a WINDOW w AS (PARTITION BY fn_cost, fp_cost)"""
+

@@ -318,3 +318,18 @@ def test_a_monitor_is_fitted_once_and_its_run_is_logged_once(spark, tmp_path):
     assert abs(row["base_combined_rate"] - 0.05) < 0.02 and row["prod_combined_rate"] > 0.2 and row["prod_robust_rate"] == 0.25
     assert row["prod_isolation_rate"] > row["base_isolation_rate"] and row["retrain"]
     assert ledger.read_log(spark, str(tmp_path / "log"), "run_id").count() == spark.read.parquet(str(tmp_path / "log")).count() == 1
+
+
+def test_cost_best_beside_metric_best_and_failed_models(spark):
+    counts = {"cheap": (90, 10, 1, 9), "sharp": (99, 1, 4, 6)}  # tn, fp, fn, tp
+    rows = [(m, a, p, n) for m, c in counts.items() for (a, p), n in zip([("0", "0"), ("0", "1"), ("1", "0"), ("1", "1")], c, strict=True)]
+    confusion = spark.createDataFrame(rows, "model string, label string, prediction string, n long")
+    ranked = spark.createDataFrame([("sharp", 1), ("cheap", 2)], "model string, place int")
+    failed = spark.createDataFrame([("lost", "no memory")], "model string, reason string")
+    out = {(r.fn_cost, r.model): r for r in metrics.cost_selection(confusion, "1", ranked, [(100.0, 1.0), (1.0, 1.0)], failed).collect()}
+    assert out[100.0, "cheap"].cost_best and out[100.0, "sharp"].metric_best and out[100.0, "sharp"].saving == 401.0 - 110.0
+    assert out[1.0, "sharp"].cost_best and out[1.0, "sharp"].metric_best and out[1.0, "sharp"].saving == 0.0
+    lost = out[1.0, "lost"]
+    assert (lost.available, lost.reason, lost.place, lost.total_cost, lost.cost_best, lost.metric_best) == (False, "no memory", None, None, False, False)
+    nobody = metrics.cost_selection(confusion, "1", ranked.limit(0)).first()
+    assert nobody["saving"] is None
