@@ -210,7 +210,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], most: i
         if wide.any():
             rows = np.repeat(wide, sizes[:-1])
             yield batch.slice(0, last).filter(pa.array(rows)), True
-            yield batch.slice(0, last).filter(pa.array(~rows)), False
+            if not rows.all():
+                yield batch.slice(0, last).filter(pa.array(~rows)), False
         elif last:
             yield batch.slice(0, last), False
         held, n, large, name = [batch.slice(last)], int(sizes[-1]), False, tuple(c[-1] for c in columns)

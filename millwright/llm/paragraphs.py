@@ -12,8 +12,9 @@ for high recall (at a similarity of 0.8 a pair meets in a band with probability
 and a repeated passage mostly has several paragraphs). The members of a band's bucket are joined with
 their shingle sets, and a search through the bucket links them: each member is compared with all that are not
 yet reached, by an index of the bucket's shingles, so all similar pairs are respected and none is built as a row.
-A bucket of over `most` members is dealt out by further bands, with the same probability at each level; what is
-still larger is cut into parts, and each two parts are compared as a whole, so no link is lost to a bucket's size.
+A bucket of over `most` members is dealt out by its members' rarest shingles, of which similar sets share one for certain. What is
+still larger (many variants of one passage) is dealt to parts twice at random, which mostly connects all of it; where it
+does not, each two parts are compared as a whole. So no link is lost to a bucket's size.
 Similarity is the exact Jaccard index of the shingle sets. Components of the links are the groups; the first
 paragraph of a group, by document and place, stays.
 
@@ -226,21 +227,27 @@ def _shared_keys(banded: DataFrame, most: int) -> DataFrame:
     return banded.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, p long")
 
 
-def _bands_of(sets: DataFrame, keys: list[str], level: int) -> DataFrame:
-    """The rows of sets, dealt once more by the bands of other hash functions: a column k<level> is added."""
-    seeds, name, names = _seeds(level), f"k{level}", [*keys, "p", "set"]
+def _firsts(rows: DataFrame, keys: list[str], similarity: float) -> DataFrame:
+    """The rows of large groups (keys, p, set), once for each of the set's rarest shingles in its group: a column first is added.
+
+    Two sets of a Jaccard index of at least `similarity` share at least that part of either one's shingles. So they share one of the
+    first size - ceil(similarity * size) + 1 shingles of both in any common order, and no link is lost. Shingles are ordered by how
+    many sets of the group have them; those of one set only link nothing.
+    """
+    names = [*keys, "p"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            if not rows.num_rows:
-                continue
-            h, at = _unpacked(rows.column("set"))
-            least = [np.minimum.reduceat((h ^ s) * (s | np.uint64(1)), at[:-1]) for s in seeds]
-            for band in range(BANDS):
-                key = mix(sum(mix(x + np.uint64(i)) for i, x in enumerate(least[band * ROWS : (band + 1) * ROWS], band * ROWS)))
-                yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in names], pa.array(key.view(np.int64))], [*names, name])
+        for b in batches:
+            items, at = _unpacked(b.column("set"))
+            row = pa.array(np.repeat(np.arange(b.num_rows), np.diff(at)))
+            yield pa.RecordBatch.from_arrays([*[b.column(n).take(row) for n in names], pa.array(items.view(np.int64))], [*names, "first"])
 
-    return sets.select(*names).mapInArrow(run, ", ".join(f"{k} long" for k in keys) + f", p long, set binary, {name} long")
+    items = rows.select(*names, "set").mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", first long")
+    counted = attach_group(items, [*keys, "first"], {"n": (F.count("*"), F.sum)}, spread_by=["p"])
+    ranked = counted.groupBy(*names).agg(F.sort_array(F.collect_set(F.struct("n", "first"))).alias("all"))  # bounded by PASSAGE
+    least = F.ceil(F.size("all") * similarity - 1e-9).cast("int")
+    chosen = ranked.select(*names, F.explode(F.slice("all", F.lit(1), F.size("all") - least + 1)).alias("at")).filter("at.n > 1")
+    return rows.dropDuplicates(names).join(chosen.select(*names, "at.first"), names)
 
 
 def _compare(rows: DataFrame, keys: list[str], similarity: float, most: int | None) -> DataFrame:
@@ -269,30 +276,44 @@ def _compare(rows: DataFrame, keys: list[str], similarity: float, most: int | No
     return ordered.mapInArrow(run, "a long, b long, " + ", ".join(f"{k} long" for k in keys) + ", p long, set binary")
 
 
-def _in_parts(rows: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, list[str]]:
-    """The rows of large groups once for each two parts of their group that hold them, and the keys of such a pair of parts."""
-    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / most).alias("parts"))
-    dealt = rows.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64("p"), F.col("parts")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    return dealt.withColumn("x", F.least("part", "other")).withColumn("y", F.greatest("part", "other")), [*keys, "x", "y"]
-
-
-def _links(members: DataFrame, similarity: float, most: int, levels: int = 3) -> DataFrame:
-    """a, b: links within the buckets of members (key, p, set)."""
-    rows, keys, found = members, ["key"], None
-    for level in range(1, levels + 2):
-        last = level > levels
-        out = materialise(_compare(rows, keys, similarity, None if last else most), "links")
-        links = out.filter("a is not null").select("a", "b")
-        found = links if found is None else found.union(links)
-        rest = out.filter("a is null").select(*keys, "p", "set")
-        if last or rest.isEmpty():
-            break
-        if level < levels:
-            rows, keys = _bands_of(rest, keys, level), [*keys, f"k{level}"]
-        else:
-            rows, keys = _in_parts(rest, keys, most)
-    return found.distinct()
+def _dealt(rows: DataFrame, keys: list[str], most: int, turn: int) -> DataFrame:
+    """The rows of large groups with a part of about most rows of their group, another one in each turn."""
+    sized = attach_group(rows, keys, {"n": (F.count("*"), F.sum)}, spread_by=["p"])
+    return sized.withColumn("part", F.pmod(F.xxhash64("p", F.lit(turn)), F.ceil(F.col("n") / most)))
+
+
+def _in_parts(rows: DataFrame, keys: list[str], links: DataFrame, most: int) -> tuple[DataFrame, list[str]]:
+    """The rows of large groups once for each two parts of their group that hold them, and the keys of such a pair of parts.
+
+    A group whose rows are all connected by links already has nothing to add and is left out.
+    """
+    roots = components(links).withColumnRenamed("node", "p")
+    rows = rows.join(roots, "p", "left").withColumn("root", F.coalesce("root", "p"))
+    aggs = {"n": (F.count("*"), F.sum), "low": (F.min("root"), F.min), "high": (F.max("root"), F.max)}
+    rows = attach_group(rows, keys, aggs, spread_by=["p"], extend=lambda groups: groups.filter("low <> high"))
+    rows = rows.withColumn("parts", F.ceil(F.col("n") / most)).withColumn("part", F.pmod(F.xxhash64("p"), F.col("parts")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return rows.withColumn("x", F.least("part", "other")).withColumn("y", F.greatest("part", "other")), [*keys, "x", "y"]
+
+
+def _links(members: DataFrame, similarity: float, most: int) -> DataFrame:
+    """a, b: links that connect what pairs of at least `similarity` connect within the buckets of members (key, p, set)."""
+
+    def compared(rows: DataFrame, keys: list[str], most: int | None) -> tuple[DataFrame, DataFrame]:
+        out = materialise(_compare(rows, keys, similarity, most), "links")
+        return out.filter("a is not null").select("a", "b"), out.filter("a is null").select(*keys, "p", "set")
+
+    found, rest = compared(members, ["key"], most)
+    if rest.isEmpty():
+        return found.distinct()
+    keys = ["key", "first"]
+    links, rest = compared(_firsts(rest, ["key"], similarity), keys, most)
+    found = found.union(links)
+    if rest.isEmpty():
+        return found.distinct()
+    for turn in (1, 2):  # parts that each hold near copies of one passage are connected by the second dealing
+        found = found.union(compared(_dealt(rest, keys, most, turn), [*keys, "part"], None)[0])
+    return found.union(compared(*_in_parts(rest, keys, found, most), None)[0]).distinct()
 
 
 def paragraph_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, most: int = 2048) -> DataFrame:

@@ -247,7 +247,7 @@ def passages():
 
 @pytest.mark.parametrize("most", [2048, 2])
 def test_paragraphs(spark, docs, rows, passages, most):
-    """With most = 2 buckets are dealt out again, at three levels, and then compared part by part: no link is lost."""
+    """With most = 2 buckets are dealt out by rare shingles, then at random, and then compared part by part: no link is lost."""
     rows = rows + [(1000 + i, t) for i, t in passages[0]]
     lines = [(i, at, {tuple(w[k : k + 5]) for k in range(len(w) - 4)}) for i, at, w in plain_paragraphs(rows)]
     root = classes(len(lines), [(i, j) for i, a in enumerate(lines) for j, b in enumerate(lines[:i]) if len(a[2] & b[2]) >= 0.8 * len(a[2] | b[2])])
@@ -261,6 +261,22 @@ def test_paragraphs(spark, docs, rows, passages, most):
     assert all(r.removed == ((r.doc_id, r.start) != (r.class_doc, r.class_start)) for r in found)
 
 
+def test_large_buckets_lose_no_link(spark):
+    """At the default size: a bucket of 2,000 pairs that are just similar enough, and one of 5,000 variants of a passage beside strangers."""
+    rng = np.random.default_rng(4)
+    fresh = lambda n: [rng.bytes(5) for _ in range(n)]
+    members = []
+    for k in range(2000):
+        both = fresh(24)
+        members += [(1, 2 * k, b"".join(both + fresh(3))), (1, 2 * k + 1, b"".join(fresh(3) + both))]
+    base = fresh(24)
+    members += [(2, 10_000 + k, b"".join(base + fresh(2))) for k in range(5000)]
+    members += [(2, 20_000 + k, b"".join(base[:10] + fresh(16))) for k in range(50)]
+    rows = spark.createDataFrame(members, "key long, p long, set binary")
+    roots = {r.node: r.root for r in components.components(paragraphs._links(rows.union(rows.limit(500)), 0.8, 2048)).collect()}
+    assert roots == {2 * k + i: 2 * k for k in range(2000) for i in (0, 1)} | {10_000 + k: 10_000 for k in range(5000)}
+
+
 def test_passages_within_lines_are_found_and_short_ones_left_alone(spark, passages):
     rows, shared = passages
     found = {r.doc_id for r in paragraphs.paragraph_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
