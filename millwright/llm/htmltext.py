@@ -3,38 +3,49 @@
 A small tree builder applies the implied tags (a paragraph ends where a block starts, an item where the
 next one starts, a cell where the next cell or row starts), visibility rules drop what is not shown, and a
 renderer keeps the spacing of blocks, the marks and depth of lists and the columns of tables. All visible
-text is emitted: no block is judged or dropped. Attributes are read by a state machine, and every search goes forward only, so
-long and hostile markup takes time in proportion to its length. `visibility` is inherited, so a visible element within a
-hidden one is shown; `display: none` and the `hidden` attribute hide all that is within.
+text is emitted: no block is judged or dropped. Attributes are read by a state machine, searches go forward only and open elements
+are found by their names, so long and hostile markup takes time in proportion to its length; only a table in which many cells
+reach over very different numbers of rows takes more. `visibility` is inherited, so a visible element within a
+hidden one is shown; `display: none` and the `hidden` attribute hide all that is within. Values of text fields and the text
+of svg and math are shown; an element of theirs that closes itself is closed.
 
 Cases: null or empty markup gives an empty text; broken markup is read as far as it goes (an open comment
-or script hides the rest, as in browsers); elements nested deeper than DEEPEST become siblings, their
-text is kept; repeated rows are rendered alike; an empty table gives an empty result; the input's other
+or script hides the rest, as in browsers); elements may be nested to any depth, but lists, quotations and tables within LEVELS
+others are neither indented nor aligned; a cell wider than WIDEST is shown whole and its column is
+aligned by the others, and padding within a row ends at 4 * WIDEST; repeated rows are rendered alike; an empty table gives an empty result; the input's other
 columns are kept unless they bear the output's name.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterable, Iterator
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEEPEST = 200
+LEVELS, WIDEST = 60, 100
 _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 _GAP, _KEY, _BARE = re.compile(r"[\s/]*"), re.compile(r"[^\s/>][^\s/>=]*"), re.compile(r"[^\s>]*")
 _EQUALS = re.compile(r"\s*=\s*")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
-_VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
+_STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([\w-]+)\s*(!\s*important)?", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-NEVER_SHOWN = frozenset("head title script style template noscript iframe noembed noframes datalist audio video canvas object svg math rp".split())
+NEVER_SHOWN = frozenset("head title script style template noscript iframe noembed noframes datalist audio video canvas object rp".split())
+#: Elements of svg and math whose text is not drawn where it stands, and tags that end an open svg or math.
+NEVER_DRAWN = frozenset("defs symbol desc metadata clippath mask marker pattern lineargradient radialgradient filter annotation annotation-xml".split())
+FOREIGN, HTML_WITHIN = ("svg", "math"), ("foreignobject", "annotation-xml")
+NOT_FOREIGN = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+#: Fields whose value is not shown as text.
+NO_TEXT = frozenset("hidden checkbox radio file password range color image".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split()
@@ -42,6 +53,7 @@ BLOCK = frozenset(
 #: Blocks with an empty line before and after them.
 APART = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul menu dir".split())
 CLOSES_P = BLOCK - frozenset("dd dt li html body legend optgroup option summary".split()) | frozenset(["summary"])
+CELLS = frozenset("caption tr td th thead tbody tfoot colgroup col".split())
 #: A start tag of the key ends the open elements in the first set, looking up to one in the second.
 IMPLIED_END = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -57,6 +69,7 @@ IMPLIED_END = {
 }
 IMPLIED_END["thead"] = IMPLIED_END["tfoot"] = IMPLIED_END["tbody"]
 #: An end tag does not reach beyond these, but for its own kind.
+_P = frozenset(["p"])
 SCOPE = frozenset("table td th caption html body button template".split())
 
 
@@ -71,9 +84,14 @@ class Node:
         if attrs and not self.hidden:
             found = {k: unescape(v) for k, v in attrs.items()}
             style = found.get("style", "")
-            self.hidden = "hidden" in found or bool(_NO_DISPLAY.search(style))
-            if seen := _VISIBILITY.findall(style):
-                self.shown = seen[-1].lower() == "visible"
+            said: dict[str, tuple[bool, str]] = {}
+            for name, value, important in _STYLE.findall(style):  # the last one holds, or the last important one
+                name = name.lower()
+                if important or not said.get(name, (False,))[0]:
+                    said[name] = bool(important), value.lower()
+            self.hidden = said["display"][1] == "none" if "display" in said else "hidden" in found
+            if (seen := said.get("visibility", (False, ""))[1]) in ("visible", "hidden", "collapse"):
+                self.shown = seen == "visible"
             if found.get("start", "").lstrip("-").isdecimal():
                 self.start = int(found["start"][:9])
             if tag in ("td", "th"):
@@ -81,7 +99,7 @@ class Node:
                 self.span = min(max(across, 1), 1000), min(down, 65534) or 65534
             if tag in ("details", "dialog") and "open" in found:
                 self.tag = "div"
-            if tag == "input" and not self.hidden and found.get("type", "").lower() in ("submit", "button", "reset"):
+            if tag == "input" and not self.hidden and found.get("type", "").strip().lower() not in NO_TEXT:
                 self.children.append(found.get("value", ""))
 
 
@@ -104,15 +122,16 @@ class _Reader:
         found = self.find(what, at)
         return len(self.markup) if found < 0 else found + len(what)
 
-    def attributes(self, at: int) -> tuple[dict[str, str], int]:
-        """Attributes from a place in a tag on, and the place behind the tag. A quote that is never closed goes on to the tag's end only."""
+    def attributes(self, at: int) -> tuple[dict[str, str], int, bool]:
+        """Attributes from a place in a tag on, the place behind the tag, and whether it ends with a slash. A quote that is never closed goes on to the tag's end only."""
         found: dict[str, str] = {}
         while True:
-            at = _GAP.match(self.markup, at).end()
+            gap = _GAP.match(self.markup, at)
+            at = gap.end()
             if at >= len(self.markup):
-                return found, at
+                return found, at, False
             if self.markup[at] == ">":
-                return found, at + 1
+                return found, at + 1, gap[0].endswith("/")
             key = _KEY.match(self.markup, at)
             name, at = key[0].lower(), key.end()
             value, equals = "", _EQUALS.match(self.markup, at)
@@ -130,27 +149,38 @@ class _Reader:
 def parse(markup: str) -> Node:
     """The tree of elements and text pieces."""
     root = Node("html")
-    stack, at, size = [root], 0, len(markup)
+    stack, names, at, size = [root], ["html"], 0, len(markup)
+    places: dict[str, list[int]] = {"html": [0]}  # where elements of each name are in the stack
+
+    def top(tags: Iterable[str]) -> int:
+        """The place of the last open element of tags, or -1."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
+    def close(first: int) -> None:
+        """Close the open elements from a place on; the root stays."""
+        while len(stack) > max(first, 1):
+            stack.pop()
+            places[names.pop()].pop()
 
     def end(tags: set[str] | frozenset[str], until: set[str] | frozenset[str]) -> None:
-        """Close the outermost open element of tags that is not beyond one of until."""
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in until and stack[k].tag not in tags:
-                break
-            if stack[k].tag in tags:
-                found = k
-                while found > 1 and stack[found - 1].tag in tags:
-                    found -= 1
-                del stack[found:]
-                break
+        """Close the outermost of the last open elements of tags, if it is not beyond one of until."""
+        found = top(tags)
+        if found < 1 or top(until - tags) > found:
+            return
+        while found > 1 and names[found - 1] in tags:
+            found -= 1
+        close(found)
+
+    def foreign() -> bool:
+        return top(FOREIGN) > top(HTML_WITHIN)
 
     reader, text_from = _Reader(markup), 0
 
     def text(until: int) -> None:
         if until > text_from:
             piece = markup[text_from:until]
-            if stack[-1].tag == "head" and not piece.isspace():
-                stack.pop()
+            if names[-1] == "head" and not piece.isspace():
+                close(len(stack) - 1)
             stack[-1].children.append(unescape(piece))
 
     while True:
@@ -168,42 +198,49 @@ def parse(markup: str) -> Node:
                 at += 1
             continue
         text(at)
-        attrs, at = reader.attributes(name.end())
+        attrs, at, ended = reader.attributes(name.end())
         text_from = at
         closing, tag = name[0].startswith("/"), name[0].lstrip("/").lower()
         if closing:
             if tag in ("html", "body"):
                 continue
-            if tag == "p" and not any(x.tag == "p" for x in stack):
-                stack[-1].children.append(Node("p"))
-            elif any(x.tag == tag for x in stack[1:]):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        break
-                    if stack[k].tag in SCOPE and tag not in SCOPE | {"tr", "tbody", "thead", "tfoot"}:
-                        break
+            found = top([tag])
+            if tag == "br" or tag == "p" and found < 0:
+                stack[-1].children.append(Node(tag))
+            elif found > 0 and (tag in SCOPE or tag in ("tr", "tbody", "thead", "tfoot") or top(SCOPE) < found):
+                close(found)
             continue
         if tag == "html":
             continue
+        while tag in NOT_FOREIGN and foreign():
+            close(top(FOREIGN))
+        within = tag in FOREIGN or foreign()
         if tag in CLOSES_P:
-            end({"p"}, SCOPE)
+            end(_P, SCOPE)
         if tag in IMPLIED_END:
             end(*IMPLIED_END[tag])
-        if tag == "body" or stack[-1].tag == "head" and tag not in RAW | VOID | {"noscript", "template"}:
+        if tag == "body" or names[-1] == "head" and tag not in RAW | VOID | {"noscript", "template"}:
             end({"head"}, {"html"})
         node = Node(tag, attrs)
+        if within and tag in NEVER_DRAWN:
+            node.hidden = True
+        elif within and tag == "text":
+            node.tag = "div"  # each text of a drawing has its own place
         stack[-1].children.append(node)
-        if tag in RAW:
-            close = None if tag in reader.absent else re.compile(rf"</{tag}(?=[\s/>])", re.I).search(markup, at)
-            if not close:
+        if within and ended:
+            continue
+        if tag in RAW and not within:
+            finish = None if tag in reader.absent else re.compile(rf"</{tag}(?=[\s/>])", re.I).search(markup, at)
+            if not finish:
                 reader.absent.add(tag)
-            content = markup[at : close.start() if close else size]
+            content = markup[at : finish.start() if finish else size]
             node.children.append(unescape(content) if tag in ("textarea", "title") else content)
-            at = reader.skip(">", close.end()) if close else size
+            at = reader.skip(">", finish.end()) if finish else size
             text_from = at
-        elif tag not in VOID and len(stack) < DEEPEST:
+        elif tag not in VOID:
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
+            names.append(tag)
     return root
 
 
@@ -212,7 +249,8 @@ class _Lines:
 
     def __init__(self):
         self.done: list[str] = []
-        self.line, self.gap, self.space = "", 0, False
+        self.line: list[str] = []  # pieces
+        self.gap, self.space = 0, False
 
     def text(self, piece: str, pre: bool) -> None:
         if pre:
@@ -236,19 +274,22 @@ class _Lines:
             if self.done:
                 self.done.extend([""] * (self.gap - 1))
             self.gap = 0
-        self.line += x
+        if x:
+            self.line.append(x)
+
+    def _end(self) -> None:
+        self.done.append("".join(self.line))
+        self.line = []
 
     def newline(self) -> None:
-        self._add("")
         if not self.gap or self.line:
-            self.done.append(self.line)
-        self.line, self.space = "", False
+            self._end()
+        self.space = False
 
     def block(self, apart: bool) -> None:
         """End the line; the next text starts on a new one, after an empty line if apart."""
         if self.line:
-            self.done.append(self.line)
-            self.line = ""
+            self._end()
         self.space = False
         self.gap = max(self.gap, 2 if apart else 1)
 
@@ -263,13 +304,29 @@ class _Lines:
         for x in lines:
             if x or not self.gap:
                 self._add(x)
-            self.done.append(self.line)
-            self.line = ""
+            self._end()
         self.block(apart)
 
 
-def _render(node: Node, out: _Lines, pre: bool = False, shown: bool = True) -> None:
+#: A step of rendering: it yields the steps that it needs and gets what they return, so pages of any depth need no deep calls.
+_Step = Generator["_Step", object, object]
+
+
+def _finish(step: _Step) -> object:
+    waiting, value = [step], None
+    while waiting:
+        try:
+            waiting.append(waiting[-1].send(value))
+            value = None
+        except StopIteration as last:
+            waiting.pop()
+            value = last.value
+    return value
+
+
+def _render(node: Node, out: _Lines, pre: bool = False, shown: bool = True, level: int = 0) -> _Step:
     number, shown = node.start, shown if node.shown is None else node.shown
+    deep = level >= LEVELS
     for child in node.children:
         if isinstance(child, str):
             if shown:
@@ -278,111 +335,149 @@ def _render(node: Node, out: _Lines, pre: bool = False, shown: bool = True) -> N
         if child.hidden:
             continue
         tag = child.tag
+        seen = shown if child.shown is None else child.shown
         if tag == "br":
             out.newline()
-        elif tag == "table":
-            out.embed(_table(child, shown), True)
-        elif tag == "li":
+        elif tag == "table" and not deep:
+            out.embed((yield _table(child, shown, level + 1)), True)
+        elif tag == "li" and not deep:
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
-            inner = _inner(child, pre, shown)
-            if not inner and not (shown if child.shown is None else child.shown):
+            inner = yield _inner(child, pre, shown, level + 1)
+            if not inner and not seen:
                 continue
             out.embed([(mark if i == 0 else " " * len(mark) if x else "") + x for i, x in enumerate(inner)], False)
-        elif tag in ("blockquote", "dd"):
-            out.embed([("  " + x) if x else "" for x in _inner(child, pre, shown)], tag in APART)
+        elif tag in ("blockquote", "dd") and not deep:
+            inner = yield _inner(child, pre, shown, level + 1)
+            out.embed([("  " + x) if x else "" for x in inner], tag in APART)
         elif tag == "details":
             for x in child.children:
                 if isinstance(x, Node) and x.tag == "summary" and not x.hidden:
-                    out.embed(_inner(x, pre, shown if child.shown is None else child.shown), False)
+                    out.block(False)
+                    yield _render(x, out, pre, seen, level)
+                    out.block(False)
         elif tag == "dialog":
             continue
-        elif tag in BLOCK:
+        elif tag in BLOCK or deep and tag in CELLS:
             nested = tag in ("ul", "ol") and node.tag == "li"
-            out.block(tag in APART and not nested)
-            _render(child, out, pre or tag == "pre", shown)
-            out.block(tag in APART and not nested)
+            apart = tag in APART and not nested
+            out.block(apart)
+            yield _render(child, out, pre or tag == "pre", shown, level)
+            out.block(apart)
         else:
-            _render(child, out, pre or tag in ("textarea", "xmp"), shown)
+            yield _render(child, out, pre or tag in ("textarea", "xmp"), shown, level)
 
 
-def _inner(node: Node, pre: bool = False, shown: bool = True) -> list[str]:
+def _inner(node: Node, pre: bool = False, shown: bool = True, level: int = 0) -> _Step:
     out = _Lines()
-    _render(node, out, pre, shown)
+    yield _render(node, out, pre, shown, level)
     return out.lines()
 
 
-def _table(table: Node, shown: bool = True) -> list[str]:
-    """Rows of cells in aligned columns; a cell of several lines takes as many lines of its row, and cells may span columns and rows."""
-    head: list[str] = []
-    rows: list[list[tuple[int, int, list[str]]]] = []  # first column, column behind the last, lines
-    over: list[tuple[int, int, int]] = []  # columns of cells of earlier rows, and the row where they end
-
-    def row(cells: list[Node], shown: bool) -> None:
-        nonlocal over
-        over = sorted(x for x in over if x[2] > len(rows))
-        column, k, out, new = 0, 0, [], []
-        for cell in cells:
-            while k < len(over) and over[k][0] <= column:
-                column = max(column, over[k][1])
-                out.append((*over[k][:2], []))
-                k += 1
-            across, down = cell.span
-            out.append((column, column + across, _inner(cell, False, shown)))
-            if down > 1:
-                new.append((column, column + across, len(rows) + down))
-            column += across
-        rows.append(out)
-        over += new
-
-    def walk(node: Node, shown: bool) -> None:
+def _cells(table: Node, shown: bool) -> tuple[list[tuple[Node, bool]], list[tuple[int, list[Node], bool]]]:
+    """What stands before a table (nodes, and whether they are visible), and its rows: section, cells, whether they are visible."""
+    head: list[tuple[Node, bool]] = []
+    rows: list[tuple[int, list[Node], bool]] = []
+    section, waiting = 0, [(table, shown)]
+    while waiting:
+        node, shown = waiting.pop()
         shown = shown if node.shown is None else node.shown
+        section += 1  # cells reach no further than their section
         loose = Node("div")
-        for child in node.children:
-            if isinstance(child, str) or child.tag not in ("caption", "tr", "td", "th", "thead", "tbody", "tfoot", "colgroup", "col"):
+        for k, child in enumerate(node.children):
+            if isinstance(child, str) or child.tag not in CELLS:
                 loose.children.append(child)
             elif child.hidden:
                 continue
             elif child.tag == "caption":
-                head.extend(_inner(child, False, shown))
+                head.append((child, shown))
             elif child.tag == "tr":
                 visible = shown if child.shown is None else child.shown
                 rest = Node("div")
                 rest.children = [c for c in child.children if isinstance(c, str) or c.tag not in ("td", "th")]
-                head.extend(_inner(rest, False, visible))  # text that is not in a cell stands before the table
-                row([c for c in child.children if isinstance(c, Node) and c.tag in ("td", "th") and not c.hidden], visible)
+                head.append((rest, visible))  # text that is not in a cell stands before the table
+                rows.append((section, [c for c in child.children if isinstance(c, Node) and c.tag in ("td", "th") and not c.hidden], visible))
             elif child.tag in ("td", "th"):
-                row([child], shown)
+                rows.append((section, [child], shown))
             else:
-                walk(child, shown)
-        head.extend(_inner(loose, False, shown))
+                after = Node(node.tag)
+                after.children = node.children[k + 1 :]
+                if after.children:
+                    waiting.append((after, shown))
+                waiting.append((child, shown))
+                break
+        head.append((loose, shown))
+    return head, rows
+
 
-    walk(table, shown)
+def _table(table: Node, shown: bool = True, level: int = 0) -> _Step:
+    """Rows of cells in aligned columns; a cell of several lines takes as many lines of its row, and cells may span columns and rows."""
+    lines: list[str] = []
+    before, found = _cells(table, shown)
+    for node, visible in before:
+        lines.extend((yield _inner(node, False, visible, level)))
+    bottom = {section: k + 1 for k, (section, _, _) in enumerate(found)}
+    rows: list[list[tuple[int, int, list[str]]]] = []  # first column, column behind the last, lines
+    over: list[tuple[int, int, int]] = []  # columns of cells of earlier rows, and the row where they end
+    for k, (section, cells, visible) in enumerate(found):
+        column, at, out, new = 0, 0, [], []
+
+        def pass_over() -> None:
+            """Go on behind the cells of earlier rows; neighbours are one empty stretch."""
+            nonlocal column, at
+            while at < len(over) and over[at][0] <= column:
+                first, column = over[at][0], max(column, over[at][1])
+                if out and not out[-1][2] and out[-1][3] and out[-1][1] == first:
+                    out[-1] = (out[-1][0], column, [], True)
+                else:
+                    out.append((first, column, [], True))
+                at += 1
+
+        for cell in cells:
+            pass_over()
+            across, down = cell.span
+            out.append((column, column + across, (yield _inner(cell, False, visible, level)), False))
+            last = min(k + down, bottom[section])
+            if last > k + 1:
+                new.append((column, column + across, last))
+            column += across
+        rows.append([x[:3] for x in out])
+        kept: list[tuple[int, int, int]] = []
+        for x in sorted([*[x for x in over if x[2] > k + 1], *new]):
+            if kept and kept[-1][1] == x[0] and kept[-1][2] == x[2]:
+                kept[-1] = (kept[-1][0], *x[1:])
+            else:
+                kept.append(x)
+        over = kept
     edges = sorted({e for cells in rows for a, b, _ in cells for e in (a, b)})  # columns that no cell starts or ends at count as one
     number = {e: k for k, e in enumerate(edges)}
     widths = [0] * len(edges)
-    placed = [[(number[a], number[b], cell, max(map(len, cell), default=0)) for a, b, cell in cells] for cells in rows]
+    placed = [[(number[a], number[b], cell, max((len(x) for x in cell if len(x) <= WIDEST), default=0)) for a, b, cell in cells] for cells in rows]
     for cells in placed:
         for a, b, _, width in cells:
             if b == a + 1:
                 widths[a] = max(widths[a], width)
-    before = [0]
+    starts = [0, *accumulate(widths)]
+    wider = [0] * len(edges)
     for cells in placed:
         for a, b, _, width in cells:
-            if b > a + 1 and width > sum(widths[a:b]) + 3 * (b - a - 1):
-                widths[b - 1] += width - sum(widths[a:b]) - 3 * (b - a - 1)
-    for w in widths:
-        before.append(before[-1] + w)
-    lines = list(head)
+            if b > a + 1:
+                wider[b - 1] = max(wider[b - 1], width - (starts[b] - starts[a]) - 3 * (b - a - 1))
+    starts = [0, *accumulate(w + x for w, x in zip(widths, wider, strict=True))]
     for cells in placed:
         for k in range(max((len(c[2]) for c in cells), default=0)):
-            parts = [(c[k] if k < len(c) else "").ljust(before[b] - before[a] + 3 * (b - a - 1)) for a, b, c, _ in cells]
+            parts, room = [], 4 * WIDEST
+            for a, b, c, _ in cells:
+                x = c[k] if k < len(c) else ""
+                blank = max(0, min(starts[b] - starts[a] + 3 * (b - a - 1) - len(x), room))
+                room -= blank
+                parts.append(x + " " * blank)
             lines.append(" | ".join(parts).rstrip())
     return lines
 
 
 def page_text(markup: str | None) -> str:
-    return "\n".join(_inner(parse(markup))) if markup else ""
+    return "\n".join(_finish(_inner(parse(markup)))) if markup else ""
 
 
 def extract_text(df: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:

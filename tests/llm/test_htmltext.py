@@ -37,6 +37,16 @@ from millwright.llm.htmltext import extract_text, page_text
         ("<table><tr><td colspan=2>much longer<tr><td>a<td>b</table>", "much longer\na | b"),
         ("<a x='1' y=2 z>q</a><br/>r<img src=x/>s", "q\nrs"),
         ("<!doctype html><?xml?></>a", "a"),
+        ('<p>before <svg class="icon"/> after the icon</p>', "before after the icon"),
+        ("<body><svg/>one<p>two</p></body>", "one\n\ntwo"),
+        ("a<svg><title>no</title><defs><text>no</text></defs><path d=x/><text>label</text></svg>b", "a\nlabel\nb"),
+        ("<math><mi>x</mi><mo>+</mo><mn>1</mn><annotation>no</annotation></math>", "x+1"),
+        ("<svg><style/><g>open<p>out", "open\n\nout"),
+        ("<input value=v><input type=hidden value=no><input type=checkbox value=no>", "v"),
+        ("<b style='display:none;display:inline'>yes</b><b style='display:none !important;display:inline'>no</b>", "yes"),
+        ("a</br>b", "a\nb"),
+        ("<details open>a</details>b", "a\nb"),
+        ("<table><tbody><tr><td rowspan=9>a<td>b<tbody><tr><td>c<td>d</table>", "a | b\nc | d"),
         ("", ""),
         (None, ""),
     ],
@@ -48,6 +58,34 @@ def test_layout(markup, text):
 def test_deep_nesting_keeps_its_text():
     assert page_text("<div>" * 5000 + "deep" + "</div>" * 5000 + " end") == "deep\nend"
     assert page_text("<b>" * 100_000 + "x") == "x"
+    for hidden in ("<div style='display:none'>SECRET</div>", "<noscript>SECRET</noscript>", "<video>SECRET</video>"):
+        assert page_text("<div>" * 205 + hidden + "shown") == "shown"
+        assert page_text("<ul><li>" * 500 + hidden + "shown").split()[-1] == "shown"
+    assert page_text("<table><tr><td>" * 300 + "deep").split()[-1] == "deep"
+
+
+@pytest.mark.parametrize(
+    "markup",
+    [
+        "<table><tr><td>" + "w" * 20_000 + "<td>y" + "<tr><td>a<td>b" * 50_000,
+        "<table>" + "<tr><td rowspan=60000>x" * 40_000,
+        "<table><tr>" + f"<td>{'w' * 90}" * 1000 + "<tr><td colspan=1000>x<td>y" * 30_000,
+        "<ul><li>x" * 100_000,
+        "<p><button>" + "<div>" * 150_000,
+        "x<b>y</b>" * 100_000,
+    ],
+)
+def test_wide_and_deep_pages_take_bounded_memory_and_time(markup):
+    import time
+
+    start = time.process_time()
+    assert len(page_text(markup)) < 100_000_000
+    assert time.process_time() - start < 30
+
+
+def test_a_wide_cell_is_whole_and_others_stay_aligned():
+    wide = "w" * 500
+    assert page_text(f"<table><tr><td>{wide}<td>1<tr><td>abc<td>2<tr><td>a<td>3</table>") == f"{wide} | 1\nabc | 2\na   | 3"
 
 
 class Plain(HTMLParser):
