@@ -172,7 +172,7 @@ def parse(markup: str) -> Node:
         close(found)
 
     def foreign() -> bool:
-        return top(FOREIGN) > top(HTML_WITHIN)
+        return bool(places.get("svg") or places.get("math")) and top(FOREIGN) > top(HTML_WITHIN)
 
     reader, text_from = _Reader(markup), 0
 
@@ -207,7 +207,7 @@ def parse(markup: str) -> Node:
             found = top([tag])
             if tag == "br" or tag == "p" and found < 0:
                 stack[-1].children.append(Node(tag))
-            elif found > 0 and (tag in SCOPE or tag in ("tr", "tbody", "thead", "tfoot") or top(SCOPE) < found):
+            elif found > 0 and (found == len(stack) - 1 or tag in SCOPE or tag in ("tr", "tbody", "thead", "tfoot") or top(SCOPE) < found):
                 close(found)
             continue
         if tag == "html":
