@@ -65,6 +65,17 @@ def top_anomalies(scores: DataFrame, score: str, key: Sequence[str], n: int = 20
     return scores.orderBy(F.desc(score), *key).limit(n).select(*key, score)
 
 
+def anomaly_listing(scores: DataFrame, score: str, key: Sequence[str], columns: Sequence[str], n: int = 20, k: int = 3) -> DataFrame:
+    """The n rows with the highest score: key, score, top (their k most deviating columns with z, without values), and rows_omitted, those not listed.
+
+    scores has z, as robust_scores gives it. Only n rows are ranked and shown; the others are counted, by a pass that reads no column.
+    """
+    shown = top_deviating(scores, columns, k).orderBy(F.desc(score), *key).limit(n)
+    shown = shown.select(*key, score, F.transform("top", lambda x: F.struct(x["column"].alias("column"), x["z"].alias("z"))).alias("top"))
+    rest = scores.agg(F.greatest(F.count("*") - n, F.lit(0)).alias("rows_omitted"))
+    return shown.join(F.broadcast(rest))  # one row
+
+
 def path_length(n: np.ndarray) -> np.ndarray:
     """Mean depth of an unsuccessful search in a binary tree of n rows."""
     n = np.asarray(n, float)

@@ -120,6 +120,13 @@ def moment_shift(base: DataFrame, prod: DataFrame, columns: Sequence[str]) -> Da
     return out.select("column", F.try_divide(F.col("m1") - F.col("m0"), F.col("s0")).alias("mean_shift"), F.try_divide(F.col("s1") - F.col("s0"), F.col("s0")).alias("std_shift"))
 
 
+def new_category_rows(base: DataFrame, prod: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column, category, n: categories that only production has and how often it has them, one row each, so a column may have any number."""
+    cells = _cells(base, prod, columns, "string").filter("value is not null")
+    counts = cells.groupBy("column", "value").agg(F.max(F.col("side") == 0).alias("known"), F.count("*").alias("n"))
+    return counts.filter(~F.col("known")).select("column", F.col("value").alias("category"), "n")
+
+
 def psi_categorical(base: DataFrame, prod: DataFrame, columns: Sequence[str], epsilon: float = 1e-6) -> DataFrame:
     """column, psi over the categories of both sides, total_variation, new_categories (of production only, sorted)."""
     cells = _cells(base, prod, columns, "string").filter("value is not null")

@@ -122,6 +122,15 @@ def scorecard(flags: DataFrame, key: str, metrics: dict[str, tuple[Column, Colum
     return out.join(firsts, "metric", "left").select("metric", "numerator", "denominator", F.try_divide("numerator", "denominator").alias("rate"), "first_failing")
 
 
+def failing_rows(flags: DataFrame, key: str, metrics: dict[str, tuple[Column, Column, Column]]) -> DataFrame:
+    """metric, key, reason: one row for each row of flags that counts for a metric and is not good. No list is built, so any number may fail.
+
+    metrics: name -> (counts for the denominator, is good, why it is not), the first two as in scorecard.
+    """
+    each = [F.when(F.coalesce(d, F.lit(False)) & ~F.coalesce(g, F.lit(False)), F.struct(F.lit(n).alias("metric"), why.cast("string").alias("reason"))) for n, (d, g, why) in metrics.items()]
+    return flags.select(F.col(key).alias("key"), F.explode(F.array_compact(F.array(*each))).alias("m")).select("m.metric", "key", "m.reason")
+
+
 def resolve_expected(cases: DataFrame, report: DataFrame) -> DataFrame:
     """cases (case_id, model, metric) with the value that the report (model, metric, value) holds; it is looked up, not computed again."""
     return cases.join(report, ["model", "metric"], "left")

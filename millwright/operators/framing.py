@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millwright.functions.columns import IDENTIFIER_HINTS, coarse_dtype, has_hint, is_numeric, normalise_missing, normalise_name, unpivot
@@ -21,7 +21,8 @@ LABEL_NAMES = ("class", "predictedclass", "outputclass", "groundtruth")
 def class_distribution(df: DataFrame, target: str) -> DataFrame:
     """label, n, rate: present classes of the target."""
     counts = normalise_missing(df).filter(F.col(target).isNotNull()).groupBy(F.col(target).cast("string").alias("label")).agg(F.count("*").alias("n"))
-    return counts.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy()))  # one row for each class
+    total = counts.agg(F.sum("n").alias("all"))  # one row; a window over all classes would be one task
+    return counts.join(F.broadcast(total)).select("label", "n", (F.col("n") / F.col("all")).alias("rate"))
 
 
 def recommend_task(df: DataFrame, target: str) -> DataFrame:
@@ -55,6 +56,24 @@ def recommend_task(df: DataFrame, target: str) -> DataFrame:
     return out.select("task", trainable.alias("trainable"), confidence.alias("confidence"), "n", "n_classes", "least_rate", evidence.alias("evidence"), other.alias("alternative"))
 
 
+def task_evidence(df: DataFrame, target: str) -> DataFrame:
+    """place, text: what the recommended task rests on. Classes, and the smallest one (the first label of equals) with its share, or the
+    number of different values and their spread; a target that could hold ordinal labels has a third line."""
+    smallest = class_distribution(df, target).agg(F.min_by("label", F.struct("n", "label")).alias("label"))
+    number = F.col(target).cast("double") if is_numeric(df.schema[target].dataType) else F.lit(None).cast("double")
+    spread = normalise_missing(df).agg(F.stddev_samp(number).alias("std"))
+    facts = recommend_task(df, target).join(F.broadcast(smallest)).join(F.broadcast(spread))  # one row each
+    continuous, classes = F.col("task") == "regression", F.col("n_classes").cast("string")
+    share = F.format_string("%.1f", 100 * F.col("least_rate"))
+    lines = F.array(
+        F.when(continuous, F.concat(classes, F.lit(" different numbers"))).otherwise(F.concat(classes, F.lit(" classes"))),
+        F.when(continuous, F.concat(F.lit("standard deviation "), F.format_string("%.3f", "std")))
+        .when(F.col("trainable"), F.concat(F.lit("smallest class "), F.col("label"), F.lit(" has "), share, F.lit(" %"))),
+        F.when(F.col("alternative").isNotNull(), F.concat(F.lit("the "), classes, F.lit(" numbers may be ordinal labels"))),
+    )
+    return facts.select(F.posexplode(F.array_compact(lines)).alias("place", "text")).withColumn("place", F.col("place") + 1)
+
+
 def label_name(name: str) -> bool:
     return bool(set(re.findall("[a-z0-9]+", name.lower())) & set(LABEL_TOKENS)) or normalise_name(name) in LABEL_NAMES
 

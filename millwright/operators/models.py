@@ -83,7 +83,7 @@ def train_one(train: DataFrame, name: str, task: str, features: Sequence[str], t
     return Trained(name, task, tuple(features), target, tuple(labels), positive, prepared, model, time.monotonic() - began, kinds)
 
 
-def train_all(train: DataFrame, test: DataFrame, features: Sequence[str], target: str, task: str, names: Sequence[str] | None = None, seed: int = 42) -> tuple[list[Trained], dict[str, str]]:
+def train_all(train: DataFrame, test: DataFrame, features: Sequence[str], target: str, task: str, names: Sequence[str] | None = None, seed: int = 42, most_classes: int = 1000) -> tuple[list[Trained], dict[str, str]]:
     """The models that could be trained and the errors of the others; an error if there is none. Fits are distributed, the loop has three steps at most."""
     names = list(names or CATALOG[task])
     if len(set(names)) < len(names):
@@ -91,7 +91,9 @@ def train_all(train: DataFrame, test: DataFrame, features: Sequence[str], target
     train = train.filter(F.col(target).isNotNull())
     labels, positive = [], None
     if task != "regression":
-        labels = sorted(r[0] for r in train.select(F.col(target).cast("string")).distinct().collect())
+        labels = sorted(r[0] for r in train.select(F.col(target).cast("string")).distinct().limit(most_classes + 1).collect())
+        if len(labels) > most_classes:
+            raise ValueError(f"the target has over {most_classes} classes: it is no label")
         unseen = test.filter(F.col(target).isNotNull() & ~F.col(target).cast("string").isin(labels)).limit(1)
         if not unseen.isEmpty():
             raise ValueError("the test fold has a class that the train fold lacks")
@@ -243,5 +245,25 @@ def top_features(impacts: DataFrame, k: int = 5, by: Sequence[str] = ()) -> Data
     return impacts.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
+def strongest(parts: Column, k: int = 5) -> tuple[Column, Column]:
+    """Of an array of (feature, impact): the k features that raise a score most and the k that lower it most, strongest first, by name where equal.
+
+    Features without an impact, or with none known, are in neither list. A row's list has an item for each feature, so no rows are shuffled.
+    """
+    def best(sign: int) -> Column:
+        some = F.filter(parts, lambda x: sign * x["impact"] > 0)
+        ranked = F.array_sort(F.transform(some, lambda x: F.struct((-sign * x["impact"]).alias("o"), x["feature"].alias("feature"), x["impact"].alias("impact"))))
+        return F.transform(F.slice(ranked, 1, k), lambda x: F.struct(x["feature"].alias("feature"), x["impact"].alias("impact")))
+
+    return best(1), best(-1)
+
+
+def local_features(impacts: DataFrame, key: Sequence[str], k: int = 5) -> DataFrame:
+    """key, positive, negative: the strongest features of each row of impacts (key, feature, impact)."""
+    rows = impacts.groupBy(*key).agg(F.collect_list(F.struct("feature", "impact")).alias("parts"))  # an item for each feature
+    positive, negative = strongest(F.col("parts"), k)
+    return rows.select(*key, positive.alias("positive"), negative.alias("negative"))
+
+
 def global_importance(impacts: DataFrame) -> DataFrame:
     return impacts.groupBy("feature").agg(F.avg(F.abs("impact")).alias("impact"))

@@ -141,6 +141,15 @@ def scorecard(spark, sf_dir):
     return rounded(evallog.scorecard(flags, "key", {"known_intent": (F.col("role") == "user", F.col("intent") != "unknown"), "no_causal_claim": (F.col("role") == "assistant", ~F.col("causal")), "system_turns": (F.col("role") == "nobody", F.lit(True))})).withColumn("first_failing", F.col("first_failing").cast("string"))
 
 
+def scorecard_failures(spark, sf_dir):
+    """Each turn that fails a rate of the scorecard, and why."""
+    t = table(spark, sf_dir, "conversations")
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("conv_id") % 4 == 0, " therefore the best model").otherwise(""))
+    flags = t.select(F.concat_ws(":", "conv_id", "turn").alias("key"), "role", evallog.route_intent(text).alias("intent"), evallog.text_markers(text)["causal_claim"].alias("causal"))
+    why = F.concat(F.lit("intent "), F.col("intent"))
+    return evallog.failing_rows(flags, "key", {"known_intent": (F.col("role") == "user", F.col("intent") != "unknown", why), "no_causal_claim": (F.col("role") == "assistant", ~F.col("causal"), F.lit("causal claim"))})
+
+
 def resolve_expected(spark, sf_dir):
     """The value of each supplier's case in a report of its lines, looked up."""
     report = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("model")).agg(F.avg("l_quantity").alias("mean_quantity"), F.max("l_tax").alias("max_tax"))
@@ -267,6 +276,9 @@ FROM conversations c LEFT JOIN u USING (conv_id) WHERE role = 'assistant') SELEC
 FROM (SELECT *, coalesce(text, '') || CASE WHEN conv_id % 4 = 0 THEN ' therefore the best model' ELSE '' END AS t FROM conversations)),
 m AS (SELECT 'known_intent' AS metric, key, role = 'user' AS d, intent <> 'unknown' AS g FROM f UNION ALL SELECT 'no_causal_claim', key, role = 'assistant', NOT causal FROM f UNION ALL SELECT 'system_turns', key, role = 'nobody', TRUE FROM f)
 SELECT metric, count(*) FILTER (d AND g) AS numerator, count(*) FILTER (d) AS denominator, round(count(*) FILTER (d AND g) / nullif(count(*) FILTER (d), 0), 6) AS rate, CAST(min(key) FILTER (d AND NOT g) AS VARCHAR) AS first_failing FROM m GROUP BY metric""",
+    "scorecard_failures": f"""WITH f AS (SELECT concat_ws(':', conv_id, turn) AS key, role, {_intents('t')} AS intent, {" OR ".join(f"contains(lower(t), '{w}')" for w in evallog.CAUSAL)} AS causal
+FROM (SELECT *, coalesce(text, '') || CASE WHEN conv_id % 4 = 0 THEN ' therefore the best model' ELSE '' END AS t FROM conversations))
+SELECT 'known_intent' AS metric, key, 'intent ' || intent AS reason FROM f WHERE role = 'user' AND intent = 'unknown' UNION ALL SELECT 'no_causal_claim', key, 'causal claim' FROM f WHERE role = 'assistant' AND causal""",
     "resolve_expected": """SELECT s_suppkey AS case_id, CASE WHEN s_suppkey % 2 = 0 THEN 'mean_quantity' WHEN s_suppkey % 3 = 0 THEN 'max_tax' ELSE 'f1' END AS metric,
 round(CASE WHEN s_suppkey % 2 = 0 THEN q WHEN s_suppkey % 3 = 0 THEN t END, 6) AS value FROM supplier LEFT JOIN (SELECT l_suppkey, avg(l_quantity) AS q, max(l_tax) AS t FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey""",
     "report_numbers": "SELECT DISTINCT n::DOUBLE AS number FROM (SELECT n_nationkey AS n FROM nation UNION ALL SELECT n_regionkey FROM nation)",

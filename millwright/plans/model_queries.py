@@ -121,6 +121,22 @@ def psi_categorical(spark, sf_dir):
     return rounded(drift.psi_categorical(*windows(spark, sf_dir), ["event_type", "user_id"]).drop("new_categories"))
 
 
+def new_category_rows(spark, sf_dir):
+    """Pairs of hour and asset that only the production window has, and how often."""
+    base, prod = (df.withColumn("pair", F.concat(F.hour("ts"), F.lit(":"), F.col("user_id"))) for df in windows(spark, sf_dir))
+    return drift.new_category_rows(base, prod, ["pair", "event_type"])
+
+
+def local_features(spark, sf_dir):
+    """What raises and what lowers the sum of an order line's standardised numbers most: a linear score's own contributions."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[F.col(c).cast("double").alias(c) for c in LINE_SENSORS])
+    facts = lines.agg(*[f(c).alias(f"{c}_{n}") for c in LINE_SENSORS for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    parts = F.array(*[F.struct(F.lit(c).alias("feature"), F.try_divide(F.col(c) - F.col(f"{c}_mean"), F.col(f"{c}_std")).alias("impact")) for c in LINE_SENSORS])
+    positive, negative = models.strongest(parts, 2)
+    out = lines.join(F.broadcast(facts)).select("l_orderkey", "l_linenumber", positive.alias("p"), negative.alias("n"))  # one row
+    return rounded(out.select("l_orderkey", "l_linenumber", F.array_join("p.feature", ",").alias("positive"), F.array_join("n.feature", ",").alias("negative"), F.get("n", F.lit(0))["impact"].alias("lowest")))
+
+
 def new_categories(spark, sf_dir):
     """Pairs of hour and type that only the production window has."""
     base, prod = (df.withColumn("pair", F.concat(F.hour("ts"), F.lit(":"), F.col("user_id") % 40)) for df in windows(spark, sf_dir))
@@ -167,6 +183,12 @@ def top_anomalies(spark, sf_dir):
     return rounded(anomaly.top_anomalies(_scored(spark, sf_dir), "robust_score", ["event_id"]))
 
 
+def anomaly_listing(spark, sf_dir):
+    """The twenty strangest readings with what deviates, and how many are not listed."""
+    out = anomaly.anomaly_listing(_scored(spark, sf_dir), "robust_score", ["event_id"], NUMBERS, 20, 2)
+    return rounded(out.select("event_id", "robust_score", F.array_join(F.col("top.column"), ",").alias("deviating"), F.round(F.col("top")[0]["z"], 6).alias("z"), "rows_omitted"))
+
+
 def combined_scores(spark, sf_dir):
     """Robust and value scores combined, flagged at the baseline's 0.98 quantile."""
     base, prod = windows(spark, sf_dir)
@@ -415,6 +437,15 @@ SELECT event_id, CASE WHEN abs(zv) >= abs(zk) THEN 'value' ELSE 'k' END AS "colu
 m AS (SELECT quantile_cont(r, 0.5) AS rm, stddev_pop(r) AS rs, quantile_cont(q, 0.5) AS qm, stddev_pop(q) AS qs FROM s WHERE base), d AS (SELECT quantile_cont(abs(r - rm), 0.5) AS rd, quantile_cont(abs(q - qm), 0.5) AS qd FROM s, m WHERE base),
 c AS (SELECT event_id, base, ((r - rm) / CASE WHEN rd > 0 THEN rd / 0.6745 WHEN rs > 0 THEN rs ELSE 1 END + (q - qm) / CASE WHEN qd > 0 THEN qd / 0.6745 WHEN qs > 0 THEN qs ELSE 1 END) / 2 AS c FROM s, m, d)
 SELECT event_id, round(c, 6) AS combined_score, c > (SELECT quantile_cont(c, 0.98) FROM c WHERE base) AS flagged FROM c WHERE NOT base""",
+    "anomaly_listing": f"""WITH {_E}{_FITS}, z AS (SELECT event_id, {_ZV} AS zv, {_ZK} AS zk FROM p, fv, fk) SELECT event_id, round(greatest(abs(zv), abs(zk)), 6) AS robust_score,
+CASE WHEN abs(zv) >= abs(zk) THEN 'value,k' ELSE 'k,value' END AS deviating, round(CASE WHEN abs(zv) >= abs(zk) THEN zv ELSE zk END, 6) AS z, greatest((SELECT count(*) FROM p) - 20, 0) AS rows_omitted
+FROM z ORDER BY greatest(abs(zv), abs(zk)) DESC, event_id LIMIT 20""",
+    "new_category_rows": f"""WITH {_E}, x AS (SELECT ts, unnest([{{'column': 'pair', 'category': concat(hour(ts), ':', user_id)}}, {{'column': 'event_type', 'category': event_type}}]) AS c FROM e)
+SELECT c."column" AS "column", c.category AS category, count(*) AS n FROM x WHERE c.category IS NOT NULL GROUP BY 1, 2 HAVING min(ts) >= TIMESTAMP '{SPLIT_DATE}'""",
+    "local_features": f"""WITH m AS (SELECT {", ".join(f"avg({c}::DOUBLE) AS {c}_m, stddev_pop({c}::DOUBLE) AS {c}_s" for c in LINE_SENSORS)} FROM lineitem),
+x AS (SELECT l_orderkey, l_linenumber, [{", ".join(f"{{'i': ({c}::DOUBLE - {c}_m) / {c}_s, 'f': '{c}'}}" for c in LINE_SENSORS)}] AS a FROM lineitem, m),
+y AS (SELECT l_orderkey, l_linenumber, list_sort(list_transform(list_filter(a, lambda v: v.i > 0), lambda v: {{'o': -v.i, 'f': v.f}})) AS p, list_sort(list_transform(list_filter(a, lambda v: v.i < 0), lambda v: {{'o': v.i, 'f': v.f}})) AS n FROM x)
+SELECT l_orderkey, l_linenumber, array_to_string(list_transform(p[1:2], lambda v: v.f), ',') AS positive, array_to_string(list_transform(n[1:2], lambda v: v.f), ',') AS negative, round(n[1].o, 6) AS lowest FROM y""",
     "anomaly_summary": f"WITH {_E}{_FITS} SELECT count(*) AS n_rows, count(*) FILTER (greatest(abs({_ZV}), abs({_ZK})) > 3) AS n_flagged, round(avg(CASE WHEN greatest(abs({_ZV}), abs({_ZK})) > 3 THEN 1.0 ELSE 0.0 END), 6) AS rate FROM p, fv, fk",
     "monitoring_run": _RUN + " SELECT *, severity = 'HIGH' OR prod_rate - base_rate >= 0.1 AS retrain FROM w",
     "retraining_recommendation": _RUN + """ SELECT t.trigger, t.fired FROM (SELECT unnest([{'trigger': 'high_drift', 'fired': severity = 'HIGH'}, {'trigger': 'metric_drop', 'fired': TRUE}, {'trigger': 'anomaly_jump', 'fired': round(prod_rate - base_rate, 6) >= 0.1},

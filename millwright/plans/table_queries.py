@@ -165,6 +165,22 @@ def recommend_task(spark, sf_dir):
     return rounded(out)
 
 
+def task_evidence(spark, sf_dir):
+    """Why each of four targets has its task; line numbers as prices could be ordinal labels."""
+    quantity = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("double").alias("l_quantity"))
+    parts = [("event_type", events(spark, sf_dir), "event_type"), ("is_returned", _lines(spark, sf_dir), "is_returned"), ("l_extendedprice", table(spark, sf_dir, "lineitem"), "l_extendedprice"), ("l_quantity", quantity, "l_quantity")]
+    out = None
+    for name, df, target in parts:
+        part = framing.task_evidence(df, target).select(F.lit(name).alias("target"), "place", "text")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def split_classes(spark, sf_dir):
+    base, prod = windows(spark, sf_dir)
+    return rounded(tables.split_classes(split.split_by_source(base, prod).withColumnRenamed("fold", "split"), "event_type"))
+
+
 def leakage_stats(spark, sf_dir):
     return rounded(framing.leakage_stats(_lines(spark, sf_dir), "is_returned", ["l_quantity", "l_tax", "outcome", "copy_of_it", "l_linestatus"]))
 
@@ -255,6 +271,18 @@ FROM (SELECT *, CASE WHEN n < 2 THEN 'insufficient_target' WHEN n_classes <= 1 T
   SELECT count(*) AS n_classes, CAST(sum(c) AS BIGINT) AS n, min(c) / sum(c)::DOUBLE AS rate FROM (SELECT count(*) AS c FROM {source} GROUP BY {column})), {spread})"""
 
 
+def _evidence_sql(name: str, source: str, column: str, numeric: bool) -> str:
+    std = "stddev_samp(t::DOUBLE)" if numeric else "max(NULL::DOUBLE)"
+    return f"""SELECT '{name}' AS target, place, text FROM (
+  SELECT 1 AS place, n_classes || CASE WHEN continuous THEN ' different numbers' ELSE ' classes' END AS text FROM f_{name}
+  UNION ALL SELECT 2, CASE WHEN continuous THEN 'standard deviation ' || printf('%.3f', std) ELSE 'smallest class ' || label || ' has ' || printf('%.1f', 100 * least / n) || ' %' END FROM f_{name}
+  UNION ALL SELECT 3, 'the ' || n_classes || ' numbers may be ordinal labels' FROM f_{name} WHERE continuous AND n_classes <= 100)""".replace(
+        f"f_{name}",
+        f"""(SELECT *, {str(numeric).upper()} AND n_classes > 30 AS continuous FROM (SELECT count(*) AS n_classes, CAST(sum(c) AS DOUBLE) AS n, CAST(min(c) AS DOUBLE) AS least, arg_min(label, (c, label)) AS label FROM (
+    SELECT CAST({column} AS VARCHAR) AS label, count(*) AS c FROM {source} WHERE {column} IS NOT NULL GROUP BY {column})), (SELECT {std} AS std FROM (SELECT {column} AS t FROM {source})))""",
+    )
+
+
 _FINDINGS = f"""WITH e AS (SELECT *, 1 AS unit_state FROM ({EVENTS_SQL})),
 cells AS (SELECT sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END)::DOUBLE / (count(*) * 7) AS rate, count(*) AS n FROM e),
 c AS ({_column_stats("e", ["value", "k", "unit_state"])}), o AS ({_outliers(["value", "k"])}),
@@ -333,6 +361,9 @@ FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_suppkey)""",
     "health_score": _FINDINGS + " SELECT count(*) AS n_findings, coalesce(sum(penalty), 0)::DOUBLE AS penalty, round(greatest(0, least(100, 100 - coalesce(sum(penalty), 0)))::DOUBLE, 2) AS score FROM f",
     "class_distribution": "SELECT CAST(label AS VARCHAR) AS label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS rate FROM embeddings GROUP BY label",
     "recommend_task": " UNION ALL ".join(_task_sql(n) for n in _TASKS),
+    "task_evidence": " UNION ALL ".join(_evidence_sql(n, *x) for n, x in (_TASKS | {"l_quantity": ("lineitem", "l_quantity", True)}).items()),
+    "split_classes": f"""WITH {_E}, c AS (SELECT CASE WHEN ts < TIMESTAMP '{SPLIT_DATE}' THEN 'train' ELSE 'test' END AS split, event_type AS label, count(*) AS n FROM e WHERE event_type IS NOT NULL GROUP BY 1, 2)
+SELECT split, label, n, round(n / sum(n) OVER (PARTITION BY split), 6) AS rate FROM c""",
     "leakage_stats": f"WITH l AS ({_LINES_SQL}), s AS (" + " UNION ALL ".join(
         _STATS.format(c=c, r=_CORR.format(c=c) if c != "l_linestatus" else "NULL::DOUBLE") for c in ("l_quantity", "l_tax", "outcome", "copy_of_it", "l_linestatus")
     ) + ') SELECT "column", round(agreement, 6) AS agreement, round(correlation, 6) AS correlation FROM s',

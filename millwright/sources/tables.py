@@ -162,6 +162,13 @@ def split_summary(df: DataFrame, target: str) -> DataFrame:
     return out.withColumn("missing_rate", F.col("missing_cells") / (F.col("n_rows") * len(columns)))
 
 
+def split_classes(df: DataFrame, target: str) -> DataFrame:
+    """split, label, n, rate: the classes of each split; a missing target is no class. Totals have one row for each split and are broadcast."""
+    counts = normalise_missing(df).filter(F.col(target).isNotNull()).groupBy("split", F.col(target).cast("string").alias("label")).agg(F.count("*").alias("n"))
+    totals = counts.groupBy("split").agg(F.sum("n").alias("all"))
+    return counts.join(F.broadcast(totals), "split").select("split", "label", "n", (F.col("n") / F.col("all")).alias("rate"))
+
+
 def write_reports(report: DataFrame, path: str) -> None:
     """A small report as JSON and CSV; numbers that are not finite become null, nested values JSON in the CSV."""
     fractions = [f.name for f in report.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
