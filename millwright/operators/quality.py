@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millwright.functions.columns import IDENTIFIER_HINTS, has_hint, is_numeric, normalise_missing, unpivot
+from millwright.functions.prefix import written
 from millwright.functions.quantiles import at_ranks, median_mad, ordered_values, value_counts
 from millwright.operators.profile import NEAR_UNIQUE, boolean_like, column_profile, duplicate_rows, table_profile
 from millwright.operators.succession import gap_counts, runs_by_asset, succession
@@ -169,7 +170,7 @@ def quality_findings(df: DataFrame, roles: Roles, t: Thresholds = Thresholds(),
         _bands(duplicate_rows(df), "duplicates", F.col("duplicate_rate"), t.duplicates, p),
     ]
     if sensors:
-        columns = column_profile(df, sensors)
+        columns = written(column_profile(df, sensors), "facts")  # like the other facts that are written: a few rows, read twice
         parts.append(_finding(columns.filter("n_distinct <= 1"), "constant_sensor", "warning", F.col("n_distinct"), F.lit(p["constant_sensor"]), F.col("column")))
         near = columns.filter(F.col("n_distinct") > 1).filter(F.col("unique_ratio") <= t.near_constant)
         parts.append(_finding(near, "near_constant_sensor", "warning", F.col("n_distinct"), F.lit(p["near_constant_sensor"]), F.col("column")))
@@ -182,14 +183,14 @@ def quality_findings(df: DataFrame, roles: Roles, t: Thresholds = Thresholds(),
             parts.append(_finding(flat, "flatline", "warning", F.col("longest"), F.lit(p["flatline"]), F.col("column")))
         twice = duplicate_timestamps(df, roles).filter("duplicate_timestamps > 0")
         parts.append(_finding(twice, "duplicate_timestamps", "warning", F.col("duplicate_timestamps"), F.lit(p["duplicate_timestamps"])))
-        between = sampling_gaps(df, roles, t.gap_factor, summaries)
+        between = written(sampling_gaps(df, roles, t.gap_factor, summaries), "facts")
         parts.append(_finding(between.filter("long_gaps > 0"), "timestamp_gaps", "warning", F.col("long_gaps"), F.lit(p["timestamp_gaps"])))
         parts.append(_finding(between.filter(F.col("sampling_cv") > t.sampling_cv), "sampling_irregularity", "warning", F.col("sampling_cv"), F.lit(p["sampling_irregularity"])))
     if roles.asset:
         assets = asset_imbalance(df, roles.asset).filter(F.col("ratio") > t.asset_ratio)
         parts.append(_finding(assets, "asset_imbalance", "warning", F.col("ratio"), F.lit(p["asset_imbalance"])))
     if roles.target:
-        classes, name = target_imbalance(df, roles.target), F.lit(roles.target)
+        classes, name = written(target_imbalance(df, roles.target), "facts"), F.lit(roles.target)
         parts.append(_finding(classes.filter(F.col("ratio") > t.target_ratio), "target_imbalance", "warning", F.col("ratio"), F.lit(p["target_imbalance"]), name))
         parts.append(_finding(classes.filter("n_classes = 1"), "target_imbalance", "error", F.col("n_classes"), F.lit(p["single_class"]), name))
     usable = df.agg((F.count(roles.target) if roles.target else F.count("*")).alias("n")).filter(F.col("n") < t.samples)
