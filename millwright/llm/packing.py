@@ -24,11 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm.common import LOWER, blocks, longs, materialise, mix, prefix_hash, runs, text_bytes, whole_groups
+from millwright.llm.common import _POWERS, LOWER, blocks, longs, materialise, mix, prefix_hash, runs, text_bytes, whole_groups
 
 WINDOW, END, SHARD_TOKENS, CACHE = 4096, 2, 4_000_000, 1_500_000
 K1, B = 1.2, 0.75
-_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: What the tokenizer splits a word of plain characters into: letters, single digits, other characters.
+_PARTS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[0-9]|[!-&(-/:-`{-~]+")
+_PLAIN = re.compile(rb"(?:[!-&(-~]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Bytes of text in a block, and parts of words that are kept.
+BLOCK, PARTS = 2 << 20, 1 << 16
+
 
 def _byte_letters() -> dict[int, int]:
     """The characters that byte-level vocabularies use for bytes: printable ones stand for themselves, the others follow 255 in order."""
@@ -51,16 +56,34 @@ class WordTokenizer:
         if self.whole.get_vocab_size() > 1 << 16:
             raise ValueError("token ids of over two bytes")
         self.letters = _byte_letters()
+        self.parts: dict[bytes, list[int]] = {}
         self.reset()
 
     def reset(self) -> None:
         self.keys, self.at = np.empty(0, _KEY), np.empty(0, np.int64)
         self.flat, self.start, self.size = np.empty(0, np.uint16), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def _ids(self, word: bytes) -> list[int]:
-        if _LETTERS.fullmatch(word):
-            return [t.id for t in self.whole.model.tokenize(word.decode("latin-1").translate(self.letters))]
-        return self.whole.encode(word.decode(), add_special_tokens=False).ids
+    def _lists(self, spelt: list[bytes]) -> list[list[int]]:
+        """Ids of each word. A word of letters is one part for the tokenizer's model, other words of plain characters are several."""
+        tokenize, out = self.whole.model.tokenize, []
+        letters = b" ".join(spelt).decode("latin-1").translate(self.letters).split(chr(self.letters[32]))  # no word has a space
+        for word, seen in zip(spelt, letters, strict=True):
+            if word.isalpha():
+                out.append([t.id for t in tokenize(seen)])
+            elif not _PLAIN.fullmatch(word):
+                out.append(self.whole.encode(word.decode(), add_special_tokens=False).ids)
+            elif len(parts := _PARTS.findall(word)) == 1:
+                out.append([t.id for t in tokenize(seen)])
+            else:
+                ids: list[int] = []
+                for part in parts:
+                    if part not in self.parts:
+                        if len(self.parts) >= PARTS:
+                            self.parts.clear()
+                        self.parts[part] = [t.id for t in tokenize(part.decode("latin-1").translate(self.letters))]
+                    ids += self.parts[part]
+                out.append(ids)
+        return out
 
     def encode_block(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the place where each text's begin (and the end of the last)."""
@@ -84,7 +107,8 @@ class WordTokenizer:
         row = self.at[safe] if len(self.keys) else np.zeros(len(wanted), np.int64)
         new = np.flatnonzero(~known)
         if len(new):
-            lists = [self._ids(small[begin[f] : end[f]]) for f in first[new].tolist()]
+            at_new = first[new]
+            lists = self._lists([small[i:j] for i, j in zip(begin[at_new].tolist(), end[at_new].tolist(), strict=True)])
             size = np.fromiter(map(len, lists), np.int64, len(lists))
             row[new] = np.arange(len(self.start), len(self.start) + len(new))
             self.start = np.append(self.start, len(self.flat) + np.cumsum(size) - size)
@@ -127,6 +151,8 @@ def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[starts[:-1]], inverse
 
 
+#: Masks of the first bytes of eight, by their number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _KEY = np.dtype([("h", np.uint64), ("first", np.uint64), ("last", np.uint64), ("n", np.int64)])
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -174,10 +200,9 @@ def word_keys(low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray
     size = end - begin
     out["h"] = mix((sums[end] - sums[begin]) * down[begin] + size.astype(np.uint64))
     padded = np.concatenate([low, np.zeros(8, np.uint8)])
-    span = np.arange(8)
-    short = span < np.minimum(size, 8)[:, None]
-    out["first"] = np.where(short, padded[begin[:, None] + span], 0).astype(np.uint8).view(np.uint64)[:, 0] if len(begin) else 0
-    out["last"] = np.where(short, padded[np.maximum(end - 8, begin)[:, None] + span], 0).astype(np.uint8).view(np.uint64)[:, 0] if len(begin) else 0
+    eight = np.ndarray(len(low) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    own = _FIRST[np.minimum(size, 8)]
+    out["first"], out["last"] = eight[begin] & own, eight[np.maximum(end - 8, begin)] & own
     out["n"] = size
     return out
 
@@ -193,7 +218,7 @@ def tokenise(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         if tokenizer not in _TOKENIZERS:  # kept by the worker for its next task
             _TOKENIZERS[tokenizer] = WordTokenizer(tokenizer)
         own = _TOKENIZERS[tokenizer]
-        for part, data, at in blocks(batches, "text"):
+        for part, data, at in blocks(batches, "text", BLOCK):
             ids, bounds = own.encode_block(data, at)
             n = np.diff(bounds) + 1
             out = np.insert(ids, bounds[1:], END).astype("<u2")
@@ -245,7 +270,7 @@ class _Index:
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 own = order[a:b]
                 best[own[np.argpartition(-w[own], terms)[:terms]] if b - a > terms else own] = True
-        term, self.item, self.weight = term[best], item[best].astype(np.int32), w[best].astype(np.float32)
+        term, self.item, self.weight = term[best], item[best], w[best].astype(np.float32).astype(float)
         self.bounds = np.searchsorted(term, np.arange(len(idf) + 1))
         order = np.argsort(self.item, kind="stable")
         self.queries = np.split(term[order].astype(np.int64), np.searchsorted(self.item[order], np.arange(1, self.n)))
@@ -343,6 +368,8 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, average = shared.value
+        _TOKENIZERS.clear()  # the worker's words are not needed any more
+        _POWERS.clear()
         for rows, _ in whole_groups(batches, ["shard"]):
             shard = longs(rows.column("shard"))
             for number in np.unique(shard).tolist():
