@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millwright.functions.columns import coarse_dtype, config_hash, is_numeric, normalise_missing, seeded_order
-from millwright.functions.prefix import global_order
+from millwright.functions.prefix import global_order, written
 from millwright.operators import metrics
 from millwright.operators.features import FeatureError, Preprocessor, fit_preprocessor
 from millwright.operators.ledger import append_once, read_log
@@ -130,7 +130,7 @@ def _scoring_seconds(model: Trained, df: DataFrame) -> float:
 
 def evaluate(models: Sequence[Trained], df: DataFrame, key: Sequence[str]) -> DataFrame:
     """model, the metrics of the task, complexity, latency (seconds to score df) and training_seconds."""
-    first, pred = models[0], predictions(models, df, key)
+    first, pred = models[0], written(predictions(models, df, key), "predictions")  # each row is scored once for all metrics
     if first.task == "regression":
         out = metrics.regression_metrics(pred)
     else:
