@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,24 +101,41 @@ def stream_flatline(readings: DataFrame, asset: str, ts: str, state: str, rows:
     return rows_.groupBy("asset").applyInPandasWithState(step, kinds, "last string, run long", "append", "NoTimeout")
 
 
+#: Readings in one item of a buffer.
+CHUNK = 10_000
+
+
 class _Watch(StatefulProcessor):
-    """An asset's readings in the order of time. State: readings that the watermark has not passed (buffer), and the last one that was judged, with its run."""
+    """An asset's readings in the order of time. State: readings that the watermark has not passed (buffer), and the last one that was judged, with its run.
+
+    Each call for state costs Python and the JVM far more than a reading does. So a buffer's item holds the readings of a micro-batch, readings
+    that are not due are left unread, and the one timer is known from the last reading's row.
+    """
 
-    def __init__(self, ts: T.DataType, key: T.DataType, rows: int, gap: int, silence: int, forget: int):
-        self.kinds, self.rows, self.gap, self.silence, self.forget = (ts, key), rows, gap, silence, forget
+    def __init__(self, key: T.DataType, rows: int, gap: int, silence: int, forget: int):
+        self.kind, self.rows, self.gap, self.silence, self.forget = key, rows, gap, silence, forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        reading = [T.StructField("at", T.LongType()), T.StructField("key", self.kinds[1]), T.StructField("state", T.StringType())]
+        many = [T.StructField(c, T.ArrayType(kind)) for c, kind in (("at", T.LongType()), ("key", self.kind), ("state", T.StringType()))]
+        last = {"at": T.LongType(), "state": T.StringType(), "run": T.LongType(), "since": T.LongType(), "told": T.BooleanType(), "wake": T.LongType()}
         self.handle = handle
-        self.buffer = handle.getListState("buffer", T.StructType(reading))
-        self.last = handle.getValueState("last", T.StructType([reading[0], reading[2], T.StructField("run", T.LongType()), T.StructField("since", T.LongType()), T.StructField("told", T.BooleanType())]))
+        self.buffer = handle.getListState("buffer", T.StructType(many))
+        self.last = handle.getValueState("last", T.StructType([T.StructField(c, kind) for c, kind in last.items()]))
 
-    def _judge(self, asset: object, now: int) -> Iterator[pd.DataFrame]:
-        """What is known up to the watermark (milliseconds); later readings stay in the buffer, and a timer wakes the asset for the next of them."""
+    def _last(self) -> tuple:
+        """The last reading that was judged (time None: none yet), its run, and the time of the asset's timer."""
+        return self.last.get() or (None, None, 0, 0, False, None)
+
+    def _judge(self, asset: object, now: int, timer: bool) -> Iterator[pd.DataFrame]:
+        """What is known up to the watermark (milliseconds); later readings stay in the buffer, and a timer wakes the asset for the next of them.
+
+        timer: the asset's timer has called, and Spark deletes it.
+        """
         found: list[tuple] = []
-        at, state, run, since, told = self.last.get() if self.last.exists() else (None, None, 0, 0, False)
-        held = sorted((tuple(r) for r in self.buffer.get()), key=lambda r: r[:2]) if self.buffer.exists() else []
-        due = [r for r in held if r[0] // 1000 <= now]
+        at, state, run, since, told, wake = self._last()
+        wake = None if timer else wake
+        held = sorted((r for chunk in self.buffer.get() for r in zip(*chunk, strict=True)), key=lambda r: r[:2])
+        due = bisect_right(held, now, key=lambda r: r[0] // 1000)
 
         def ended() -> None:
             if run >= self.rows:
@@ -128,7 +147,7 @@ class _Watch(StatefulProcessor):
         def forgotten(until: int) -> bool:
             return at is not None and until > at + self.forget
 
-        for t, _, x in due:
+        for t, _, x in held[:due]:
             if forgotten(t):
                 if not told:
                     silent()
@@ -145,47 +164,50 @@ class _Watch(StatefulProcessor):
                 ended()
                 run, since = int(x is not None), t
             at, state, told = t, x, False
-        rest = held[len(due) :]
+        rest = held[due:]
         clock = now * 1000
         if at is not None and not rest and clock > at + self.silence and not told:
             silent()
             told = True
+        if due:
+            self.buffer.put([tuple(map(list, zip(*rest[i : i + CHUNK], strict=True))) for i in range(0, len(rest), CHUNK)]) if rest else self.buffer.clear()
         if not rest and forgotten(clock):
             ended()
             self.last.clear()
-            self.buffer.clear()
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
+            self._wake(wake, None)
         else:
-            if at is not None:
-                self.last.update((at, state, run, since, told))
-            if due:
-                self.buffer.put(rest) if rest else self.buffer.clear()
-            self._wake(now, rest[0][0] if rest else at + (self.forget if told else self.silence) + 1000)
+            wake = self._wake(wake, max(now + 1, -(-(rest[0][0] if rest else at + (self.forget if told else self.silence) + 1000) // 1000)))
+            self.last.update((at, state, run, since, told, wake))
         if found:
-            out = pd.DataFrame(found, columns=["asset", "kind", "started", "ended", "n", "state"])
-            times = {c: pd.to_datetime(out[c], unit="us") for c in ("started", "ended")}
-            yield out.assign(n=out["n"].astype("Int64"), **times)
-
-    def _wake(self, now: int, at: int) -> None:
-        """One timer: at a reading's time, or when silence or the time to forget has passed."""
-        when = max(now + 1, -(-at // 1000))
-        there = list(self.handle.listTimers())
-        for timer in there:
-            if timer != when:
-                self.handle.deleteTimer(timer)
-        if when not in there:
-            self.handle.registerTimer(when)
+            asset_, kind, *times, n, state_ = zip(*found, strict=True)
+            started, ended_ = (pd.DatetimeIndex(np.array(t, "datetime64[us]")).tz_localize("UTC") for t in times)
+            yield pd.DataFrame({"asset": asset_, "kind": kind, "started": started, "ended": ended_, "n": pd.array(n, "Int64"), "state": state_})
+
+    def _wake(self, there: int | None, when: int | None) -> int | None:
+        """One timer, at `when` instead of `there`: a reading's time, or when silence or the time to forget has passed."""
+        if there != when:
+            if there is not None:
+                self.handle.deleteTimer(there)
+            if when is not None:
+                self.handle.registerTimer(when)
+        return when
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        firsts = []
         for part in rows:
-            at = part["ts"].to_numpy("datetime64[us]").astype("int64").tolist()
-            states = [None if pd.isna(x) else x for x in part["state"].tolist()]
-            self.buffer.appendList(list(zip(at, part["key"].tolist(), states, strict=True)))
-        yield from self._judge(key[0], max(timerValues.getCurrentWatermarkInMs(), 0))
+            at, states = part["at"].tolist(), [x if isinstance(x, str) else None for x in part["state"].tolist()]
+            self.buffer.appendValue((at, part["key"].tolist(), states))
+            firsts.append(min(at))
+        first, now = min(firsts), max(timerValues.getCurrentWatermarkInMs(), 0)
+        if first // 1000 <= now:
+            yield from self._judge(key[0], now, False)
+            return
+        *last, wake = self._last()  # what else is due has a timer
+        if wake is None or wake > -(-first // 1000):
+            self.last.update((*last, self._wake(wake, -(-first // 1000))))
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._judge(key[0], max(timerValues.getCurrentWatermarkInMs(), 0))
+        yield from self._judge(key[0], max(timerValues.getCurrentWatermarkInMs(), 0), True)
 
     def close(self) -> None:
         pass
@@ -203,9 +225,10 @@ def stream_watch(
     Ties of time are judged by key. Needs the RocksDB state store: drain(rocksdb=True).
     """
     micros = [int(pd.Timedelta(x).value // 1000) for x in (gap, silence, forget)]
-    rows_ = readings.filter(F.col(asset).isNotNull() & F.col(ts).isNotNull()).select(F.col(asset).alias("asset"), F.col(ts).alias("ts"), F.col(key).alias("key"), F.col(state).cast("string").alias("state"))
+    columns = [F.col(asset).alias("asset"), F.col(ts).alias("ts"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.col(key).alias("key"), F.col(state).cast("string").alias("state")]
+    rows_ = readings.filter(F.col(asset).isNotNull() & F.col(ts).isNotNull()).select(columns)
     schema = T.StructType([rows_.schema["asset"], T.StructField("kind", T.StringType()), *[T.StructField(c, T.TimestampType()) for c in ("started", "ended")], T.StructField("n", T.LongType()), T.StructField("state", T.StringType())])
-    watch = _Watch(rows_.schema["ts"].dataType, rows_.schema["key"].dataType, rows, *micros)
+    watch = _Watch(rows_.schema["key"].dataType, rows, *micros)
     return rows_.withWatermark("ts", delay).groupBy("asset").transformWithStateInPandas(watch, outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
