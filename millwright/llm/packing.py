@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -31,6 +32,8 @@ K1, B = 1.2, 0.75
 #: What the tokenizer splits a word of plain characters into: letters, single digits, other characters.
 _PARTS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[0-9]|[!-&(-/:-`{-~]+")
 _PLAIN = re.compile(rb"(?:[!-&(-~]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Neighbours that are sorted before the others are.
+FIRST = 64
 #: Bytes of text in a block, and parts of words that are kept.
 BLOCK, PARTS = 2 << 20, 1 << 16
 
@@ -46,7 +49,8 @@ class WordTokenizer:
     """Token ids of texts, word by word: the tokenizer drops white space and never joins words, so each word is encoded once.
 
     The words of a block of texts are found and told apart by array operations; a word's key is a 64-bit hash,
-    its length and its first and last eight bytes. Words that are new are encoded and kept, up to CACHE of them.
+    its length and its first and last eight bytes. Words that are new are encoded and kept, up to CACHE of them: in the order of
+    their hashes, the latest ones in a table of their own, so that the large one is seldom written again.
     """
 
     def __init__(self, path: str):
@@ -60,7 +64,7 @@ class WordTokenizer:
         self.reset()
 
     def reset(self) -> None:
-        self.keys, self.at = np.empty(0, _KEY), np.empty(0, np.int64)
+        self.known, self.recent = _no_words(), _no_words()
         self.flat, self.start, self.size = np.empty(0, np.uint16), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _lists(self, spelt: list[bytes]) -> list[list[int]]:
@@ -95,17 +99,21 @@ class WordTokenizer:
         low = LOWER[data]
         begin, end = words(low, at)
         keys = word_keys(low, begin, end)
-        first, inverse = distinct(keys["h"])
-        if not all((keys[f] == keys[f][first][inverse]).all() for f in _KEY.names):  # two words with one hash
-            _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        wanted, small = keys[first], low.tobytes()
-        if len(self.keys) > CACHE:
+        first, inverse = distinct(keys[0])
+        if not all((k == k[first][inverse]).all() for k in keys):  # two words with one hash
+            _, first, inverse = np.unique(np.rec.fromarrays(keys), return_index=True, return_inverse=True)
+        wanted, small = [k[first] for k in keys], low.tobytes()
+        if len(self.known[0]) + len(self.recent[0]) > CACHE:
             self.reset()
-        place = np.searchsorted(self.keys["h"], wanted["h"])
-        safe = np.minimum(place, max(0, len(self.keys) - 1))
-        known = self.keys[safe] == wanted if len(self.keys) else np.zeros(len(wanted), bool)
-        row = self.at[safe] if len(self.keys) else np.zeros(len(wanted), np.int64)
-        new = np.flatnonzero(~known)
+        row, taken = np.full(len(first), -1), np.zeros(len(first), bool)
+        for table in (self.known, self.recent):
+            if len(table[0]):
+                place = np.minimum(np.searchsorted(table[0], wanted[0]), len(table[0]) - 1)
+                same = [t[place] == w for t, w in zip(table, wanted, strict=False)]
+                taken |= same[0]
+                same = np.logical_and.reduce(same)
+                row[same] = table[4][place[same]]
+        new = np.flatnonzero(row < 0)
         if len(new):
             at_new = first[new]
             lists = self._lists([small[i:j] for i, j in zip(begin[at_new].tolist(), end[at_new].tolist(), strict=True)])
@@ -113,12 +121,13 @@ class WordTokenizer:
             row[new] = np.arange(len(self.start), len(self.start) + len(new))
             self.start = np.append(self.start, len(self.flat) + np.cumsum(size) - size)
             self.size = np.append(self.size, size)
-            self.flat = np.append(self.flat, np.fromiter((i for x in lists for i in x), np.uint16, int(size.sum())))
-            fresh = np.ones(len(new), bool)  # of several words with one hash the first is kept
-            fresh[1:] = wanted["h"][new][1:] != wanted["h"][new][:-1]
-            if len(self.keys):
-                fresh &= self.keys["h"][safe[new]] != wanted["h"][new]
-            self.keys, self.at = np.insert(self.keys, place[new][fresh], wanted[new][fresh]), np.insert(self.at, place[new][fresh], row[new][fresh])
+            self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(lists), np.uint16, int(size.sum())))
+            fresh = ~taken[new]  # of several words with one hash the first is kept
+            fresh[1:] &= wanted[0][new][1:] != wanted[0][new][:-1]
+            kept = new[fresh]
+            self.recent = _merged(self.recent, [*[w[kept] for w in wanted], row[kept]])
+            if 8 * len(self.recent[0]) > len(self.known[0]):
+                self.known, self.recent = _merged(self.known, self.recent), _no_words()
         row = row[inverse]
         size = self.size[row]
         ends = np.cumsum(size)
@@ -153,11 +162,11 @@ def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 #: Masks of the first bytes of eight, by their number.
 _FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-_KEY = np.dtype([("h", np.uint64), ("first", np.uint64), ("last", np.uint64), ("n", np.int64)])
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Marks that end a word: all of ASCII but the apostrophe, which may be part of what follows or goes before.
 _STOPS = np.zeros(256, bool)
-_STOPS[[44, 46]] = True
+_STOPS[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _LOWER = np.zeros(256, bool)
 _LOWER[97:123] = True
 _ACCENTED = np.zeros(256, bool)
@@ -165,7 +174,7 @@ _ACCENTED[[*range(0x9F, 0xB7), *range(0xB8, 0xC0)]] = True
 
 
 def words(low: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of lower-cased texts; points and commas behind a letter at a word's end are a word of their own."""
+    """Starts and ends of the words of lower-cased texts; marks behind a letter at a word's end are a word of their own."""
     n = len(low)
     black = ~_SPACE[low]
     start = black.copy()
@@ -194,17 +203,25 @@ def words(low: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, end
 
 
-def word_keys(low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    out = np.empty(len(begin), _KEY)
+def _no_words() -> list[np.ndarray]:
+    return [*[np.empty(0, np.uint64) for _ in range(3)], np.empty(0, np.int64), np.empty(0, np.int64)]
+
+
+def _merged(one: list[np.ndarray], other: list[np.ndarray]) -> list[np.ndarray]:
+    """Two tables of words in the order of hashes as one; sorting joins two sorted runs."""
+    order = np.argsort(np.concatenate([one[0], other[0]]), kind="stable")
+    return [np.concatenate([a, b])[order] for a, b in zip(one, other, strict=True)]
+
+
+def word_keys(low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Hash, first and last eight bytes and length of each word."""
     sums, down = prefix_hash(low, 0x9E3779B97F4A7C15)
     size = end - begin
-    out["h"] = mix((sums[end] - sums[begin]) * down[begin] + size.astype(np.uint64))
+    h = mix((sums[end] - sums[begin]) * down[begin] + size.astype(np.uint64))
     padded = np.concatenate([low, np.zeros(8, np.uint8)])
     eight = np.ndarray(len(low) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
     own = _FIRST[np.minimum(size, 8)]
-    out["first"], out["last"] = eight[begin] & own, eight[np.maximum(end - 8, begin)] & own
-    out["n"] = size
-    return out
+    return [h, eight[begin] & own, eight[np.maximum(end - 8, begin)] & own, size]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -256,7 +273,10 @@ def term_counts(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class _Index:
-    """Inverted index of a shard: for each term the items that have it, with BM25 weights."""
+    """Inverted index of a shard: for each term the items that have it, with BM25 weights.
+
+    Items that are used up are dropped from it whenever a quarter of them are, so that most of what a seed looks at can still be packed.
+    """
 
     def __init__(self, ids: np.ndarray, at: np.ndarray, idf: np.ndarray, average: float, terms: int | None):
         term, item, tf = term_counts(ids, at)
@@ -272,16 +292,36 @@ class _Index:
                 best[own[np.argpartition(-w[own], terms)[:terms]] if b - a > terms else own] = True
         term, self.item, self.weight = term[best], item[best], w[best].astype(np.float32).astype(float)
         self.bounds = np.searchsorted(term, np.arange(len(idf) + 1))
+        self.held = self.n
         order = np.argsort(self.item, kind="stable")
         self.queries = np.split(term[order].astype(np.int64), np.searchsorted(self.item[order], np.arange(1, self.n)))
 
+    def _drop(self, unused: np.ndarray) -> None:
+        left = int(np.count_nonzero(unused))
+        if 4 * left < 3 * self.held:
+            keep = unused[self.item]
+            self.bounds = np.concatenate([[0], np.cumsum(keep)])[self.bounds]
+            self.item, self.weight, self.held = self.item[keep], self.weight[keep], left
+
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused items that share terms with the seed, best first."""
-        spans = [slice(self.bounds[t], self.bounds[t + 1]) for t in self.queries[seed].tolist()]
+        return np.fromiter(self.nearest(seed, unused), np.int64)
+
+    def nearest(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """As neighbours, one by one; few of many are asked for, so the best FIRST are sorted before the others."""
+        self._drop(unused)
+        terms = self.queries[seed]
+        spans = [slice(a, b) for a, b in zip(self.bounds[terms].tolist(), self.bounds[terms + 1].tolist(), strict=True)]
         items = np.concatenate([self.item[s] for s in spans])
         score = np.bincount(items, np.concatenate([self.weight[s] for s in spans]), self.n)
         found = np.flatnonzero((score > 0) & unused)
-        return found[np.argsort(-score[found], kind="stable")]
+        best = np.ones(len(found), bool)
+        if len(found) > FIRST:
+            own = score[found]
+            best = own >= np.partition(own, -FIRST)[-FIRST]
+        for some in (best, ~best):
+            part = found[some]
+            yield from part[np.argsort(-score[part], kind="stable")].tolist()
 
 
 def pack_shard(sizes: np.ndarray, index_of: Callable, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
@@ -324,7 +364,7 @@ def pack_shard(sizes: np.ndarray, index_of: Callable, window: int = WINDOW) -> I
         first, seed = seed, None
         cut = None if add(first) else first
         if room:
-            for doc in index.neighbours(first, unused).tolist():
+            for doc in index.nearest(first, unused):
                 if not add(doc):
                     cut = doc
                 if not room:
