@@ -5,7 +5,8 @@ windows have equal anchors at equal places. A document's windows with the same a
 is one for about 40 bytes of text. Of each segment only numbers are dealt out at first: those whose anchor, with the
 bytes of half a window before it or behind it, occurs once have no window that occurs elsewhere, and are dropped.
 
-All others are fetched and dealt to shards by anchor. A shard lays its segments out with a separator of its own
+All others are fetched and dealt to shards by anchor. Segments with the same bytes are one string of a shard: its copies
+behind the first one are removed whole. A shard lays its different segments out with a separator of its own
 behind each, sorts their suffixes by Larsson-Sadakane refinement and gets common prefixes by Kasai's scan (all
 segments of the shard in step). Windows are equal if their suffixes agree in LENGTH bytes; of equal ones the first
 stays, and the others are removed. A group of segments that is too large for one shard is cut into several; each
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millwright.functions.prefix import global_order
-from millwright.llm.common import blocks, bloom_filter, longs, materialise, may_be_in, mix, powers, runs, text_bytes, whole_groups
+from millwright.llm.common import blocks, bloom_filter, in_bloom, longs, materialise, may_be_in, mix, powers, runs, text_bytes, whole_groups
 
 LENGTH, GRAM, BLOCK = 100, 16, 1 << 19
 _ONE = 0xD6E8FEB86659FD93
@@ -240,6 +241,14 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray, lanes: np.ndarray, c
     return out
 
 
+def first_copies(strings: pa.Array) -> np.ndarray:
+    """Whether each string is the first one with its bytes."""
+    coded = strings.dictionary_encode()
+    code, first = coded.indices.to_numpy(), np.empty(len(coded.dictionary), np.int64)
+    first[code[::-1]] = np.arange(len(code))[::-1]  # what is assigned last stays
+    return first[code] == np.arange(len(code))
+
+
 def _slices(key: np.ndarray, at: np.ndarray, limit: int) -> Iterator[slice]:
     """Slices of whole groups of rows, of about limit bytes each, or of one group."""
     starts, first = runs(key), 0
@@ -254,6 +263,17 @@ def _shards(found: DataFrame, length: int, most: int) -> DataFrame:
     """doc, start, end: spans to remove; with shard and window: the table of different windows of a shard that holds a part of a group."""
     names = ["doc", "start", "end", "shard", "code", "window"]
 
+    def spans(*columns: np.ndarray) -> pa.RecordBatch:
+        fill = [pa.nulls(len(columns[0]), t) for t in (pa.int64(), pa.int64(), pa.binary())]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), *fill], names)
+
+    def apart(rows: pa.RecordBatch) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+        """The different segments, and the spans of their copies; a copy is behind the first one, as rows are sorted by document and start."""
+        first = first_copies(rows.column("bytes"))
+        copies = rows.filter(pa.array(~first))
+        start = longs(copies.column("start"))
+        return rows.filter(pa.array(first)), spans(longs(copies.column("doc")), start, start + np.diff(text_bytes(copies.column("bytes"))[1]))
+
     def sorted_shard(rows: pa.RecordBatch, shard: int | None) -> pa.RecordBatch:
         # of equal windows the first one is in the first row, as rows are sorted by document and start
         doc, start = longs(rows.column("doc")), longs(rows.column("start"))
@@ -273,8 +293,7 @@ def _shards(found: DataFrame, length: int, most: int) -> DataFrame:
         part = part[cut[:-1]]
         columns = [doc[part], start[part] + one - lanes[part], start[part] + last - lanes[part] + length]
         if shard is None:
-            fill = [pa.nulls(len(part), t) for t in (pa.int64(), pa.int64(), pa.binary())]
-            return pa.RecordBatch.from_arrays([*map(pa.array, columns), *fill], names)
+            return spans(*columns)
         part = rows_of[first]
         base, raw = first - part, data.tobytes()  # without the separators
         more = doc[part], start[part] + first - lanes[part], start[part] + first - lanes[part] + length
@@ -294,9 +313,13 @@ def _shards(found: DataFrame, length: int, most: int) -> DataFrame:
         for rows, large in whole_groups(batches, ["key"], most):
             if large:
                 for at in range(0, rows.num_rows, most):
-                    yield sorted_shard(rows.slice(at, most), shard)
+                    different, copies = apart(rows.slice(at, most))
+                    yield copies
+                    yield sorted_shard(different, shard)
                     shard += 1
                 continue
+            rows, copies = apart(rows)
+            yield copies
             for part in _slices(longs(rows.column("key")), text_bytes(rows.column("bytes"))[1], 1 << 17):
                 yield sorted_shard(rows.slice(part.start, part.stop - part.start), None)
 
@@ -345,7 +368,7 @@ def _merged(windows: DataFrame, length: int, bucket: int = 1 << 15) -> DataFrame
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = 1024) -> DataFrame:
-    """doc, start, end: byte spans, which may overlap, whose windows of length bytes all start earlier elsewhere.
+    """doc, start, end (of tables that are written): byte spans, which may overlap, whose windows of length bytes all start earlier elsewhere.
 
     docs has the columns doc (long, not null; different) and text. most: rows of a shard.
     """
@@ -370,9 +393,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     found = texts.join(lists, "doc").select("doc", "text", "parts").mapInArrow(fetch, "key long, doc long, start long, bytes binary")
     compared = _shards(found, length, most).withColumn("task", F.spark_partition_id().cast("long"))
     compared = materialise(compared, "compared")
-    spans = compared.filter("window is null").select("doc", "start", "end")
-    tables = compared.filter("window is not null")
-    return spans if tables.isEmpty() else spans.union(_merged(tables, length))
+    spans = compared.filter("shard is null").select("doc", "start", "end")
+    tables = compared.filter("shard is not null")
+    return spans if tables.isEmpty() else spans.union(materialise(_merged(tables, length), "merged"))
 
 
 def _numbered(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
@@ -392,13 +415,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with with_text the kept bytes: one row for each row of df."""
     docs, repeats = _numbered(df, id_col, text_col)
     different = docs.select("doc", "text")
-    spans = materialise(repeated_spans(different.dropDuplicates(["doc"]) if repeats else different, length, gram, most), "spans")
+    spans = repeated_spans(different.dropDuplicates(["doc"]) if repeats else different, length, gram, most)
     lists = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in blocks(batches, "text"):
             raw, base, out = data.tobytes(), at.tolist(), []
-            listed = rows.column("spans").to_pylist()
+            listed = rows.column("spans").to_pylist() if "spans" in rows.schema.names else [None] * rows.num_rows
             for a, b, own in zip(base[:-1], base[1:], listed, strict=True):
                 kept, done, n = [], 0, 0
                 for s in sorted((x["start"], min(x["end"], b - a)) for x in own or ()):
@@ -417,11 +440,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     bloom = bloom_filter(lists.select(F.xxhash64("doc").alias("h")))
     marked = docs.withColumn("h", F.xxhash64("doc"))
-    whole = may_be_in(marked, "h", bloom, inside=False).withColumn("spans", F.lit(None).cast(lists.schema["spans"].dataType))
     cut = may_be_in(marked, "h", bloom).join(lists, "doc", "left")
+
+    def finish_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the documents that have no spans for certain; in the same step, so that a task needs one Python worker only."""
+        yield from finish(b.filter(pa.array(~in_bloom(longs(b.column("h")).view(np.uint64), bloom.value))) for b in batches)
+
     kind = docs.schema["id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return whole.select("id", "text", "spans").mapInArrow(finish, schema).union(cut.select("id", "text", "spans").mapInArrow(finish, schema))
+    return marked.select("id", "text", "h").mapInArrow(finish_others, schema).union(cut.select("id", "text", "spans").mapInArrow(finish, schema))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -178,6 +179,36 @@ def test_suffix_dedup_text_ids_repeated_and_null_ids(spark):
     assert got == sorted([("a", m, m), ("b", n, 200), ("b", n, 200), ("c", n + 1, n), ("", m + 1, 0), ("", 200, 0), ("c", 0, 0)])
 
 
+def test_suffix_dedup_sorts_copies_once(spark, monkeypatch):
+    """A shard's strings differ, and copies are removed all the same: of three documents with the same text the first one stays."""
+    laid_out = suffix_dedup.laid_out
+
+    def different(data, at):
+        strings = [data[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+        assert len(set(strings)) == len(strings)
+        return laid_out(data, at)
+
+    monkeypatch.setattr(suffix_dedup, "laid_out", different)
+    text = prose(random.Random(4), 200)
+    docs = spark.createDataFrame([(k, text) for k in (3, 1, 2)] + [(4, "x" + text[7:])], "doc_id long, text string")
+    n = len(text)
+    for most in (1024, 2):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs, most=most).collect()}
+        assert got == {1: (n, 0, 0), 2: (n, n, 1), 3: (n, n, 1), 4: (n - 6, n - 7, 1)}
+    assert suffix_dedup.first_copies(pa.array([b"b", b"a", b"b", b"", b"a", b"c"], pa.binary())[1:]).tolist() == [True, True, True, False, True]
+
+
+def test_suffix_dedup_needs_one_python_worker_in_a_task(docs):
+    """Texts go through one Python worker between two exchanges; a second one costs as much memory again."""
+
+    def most(plan):
+        below = [plan.children().apply(k) for k in range(plan.children().size())]
+        own = max((most(x) for x in below), default=0) if plan.nodeName() != "Join" else 0
+        return own + (plan.nodeName() == "MapInArrow")
+
+    assert most(suffix_dedup.remove_repeats(docs)._jdf.queryExecution().optimizedPlan()) == 1
+
+
 def plain_suffixes(strings):
     """(string, place) of all suffixes in order; a string's end is less than any byte and than the ends of later strings."""
     found = [(k, i) for k, s in enumerate(strings) for i in range(len(s) + 1)]
