@@ -71,14 +71,24 @@ class Trained:
         return out.withColumn("prediction", F.element_at(labels, F.col("prediction").cast("int") + 1)).drop("features", "probability", "rawPrediction")
 
 
-def train_one(train: DataFrame, name: str, task: str, features: Sequence[str], target: str, labels: Sequence[str], positive: str | None, prepared: Preprocessor, n: int, seed: int) -> Trained:
-    rows = prepared.transform(train)
+def _with_label(rows: DataFrame, task: str, target: str, labels: Sequence[str]) -> DataFrame:
+    """features and __label, a number, of prepared rows."""
     if task == "regression":
-        rows = rows.withColumn("__label", F.col(target).cast("double"))
+        label = F.col(target).cast("double")
     else:
-        rows = rows.withColumn("__label", (F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(target).cast("string")) - 1).cast("double"))
+        label = (F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(target).cast("string")) - 1).cast("double")
+    return rows.select("features", label.alias("__label"))
+
+
+def train_one(train: DataFrame, name: str, task: str, features: Sequence[str], target: str, labels: Sequence[str], positive: str | None, prepared: Preprocessor, n: int, seed: int) -> Trained:
+    """A model of the catalog, fitted on all rows. Boosting takes rows without drawing any, so equal rows are one row of their weight there."""
+    rows, model = _with_label(prepared.transform(train), task, target, labels), build_model(name, task, n, seed)
     began = time.monotonic()
-    model = build_model(name, task, n, seed).fit(rows.select("features", "__label"))
+    if name == "boosted_trees":
+        rows = rows.groupBy("features", "__label").agg(F.count("*").cast("double").alias("__weight"))
+        rows = written(rows.repartition(train.sparkSession.sparkContext.defaultParallelism), "weighted")  # a few bytes a row: what was one file would be one task
+        model = model.setWeightCol("__weight")
+    model = model.fit(rows)
     kinds = {c: coarse_dtype(train.schema[c].dataType) for c in features}
     return Trained(name, task, tuple(features), target, tuple(labels), positive, prepared, model, time.monotonic() - began, kinds)
 
@@ -128,8 +138,11 @@ def _scoring_seconds(model: Trained, df: DataFrame) -> float:
     return time.perf_counter() - start
 
 
-def evaluate(models: Sequence[Trained], df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """model, the metrics of the task, complexity, latency (seconds to score df) and training_seconds."""
+def evaluate(models: Sequence[Trained], df: DataFrame, key: Sequence[str], failed: dict[str, str] | None = None) -> DataFrame:
+    """model, the metrics of the task, complexity, latency (seconds to score df) and training_seconds.
+
+    With failed (what train_all gives) there is a column error, and a row for each model that could not be trained, without metrics.
+    """
     first, pred = models[0], written(predictions(models, df, key), "predictions")  # each row is scored once for all metrics
     if first.task == "regression":
         out = metrics.regression_metrics(pred)
@@ -140,7 +153,11 @@ def evaluate(models: Sequence[Trained], df: DataFrame, key: Sequence[str]) -> Da
     order = {m: i for i, m in enumerate(CATALOG[first.task])}
     facts = [(m.name, order[m.name], _scoring_seconds(m, df), float(m.seconds)) for m in models]
     known = df.sparkSession.createDataFrame(facts, "model string, complexity int, latency double, training_seconds double")
-    return out.join(known, "model")
+    out = out.join(known, "model")
+    if failed is None:
+        return out
+    lost = df.sparkSession.createDataFrame([(m, order.get(m), e) for m, e in failed.items()], "model string, complexity int, error string")
+    return out.withColumn("error", F.lit(None).cast("string")).unionByName(lost, allowMissingColumns=True)
 
 
 def append_runs(evaluated: DataFrame, settings: dict, path: str) -> None:
