@@ -6,10 +6,12 @@ is one for about 40 bytes of text. Of each segment only numbers are dealt out at
 bytes of half a window before it or behind it, occurs once have no window that occurs elsewhere, and are dropped.
 
 All others are fetched and dealt to shards by anchor. Segments with the same bytes are one string of a shard: its copies
-behind the first one are removed whole. A shard lays its different segments out with a separator of its own
+behind the first one are removed whole. Different segments of a group can have a window in common only if they agree in the bytes of half a
+window on one side of the anchor; those that agree with no other one are left out. A shard lays the others out with a separator of its own
 behind each, sorts their suffixes by Larsson-Sadakane refinement and gets common prefixes by Kasai's scan (all
 segments of the shard in step). Windows are equal if their suffixes agree in LENGTH bytes; of equal ones the first
-stays, and the others are removed. A group of segments that is too large for one shard is cut into several; each
+stays, and the others are removed. A group of too many different segments for one shard is cut into several, and one of very many segments
+is dealt to several tasks before; each shard
 gives its sorted table of different windows, and the tables are merged by binary search, on the windows' bytes.
 
 Order: smaller id first, then the earlier start. Cases: a null text is empty; a null id is the smallest one; ids of
@@ -26,6 +28,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +36,7 @@ from pyspark.sql import types as T
 from millwright.functions.prefix import global_order
 from millwright.llm.common import blocks, bloom_filter, in_bloom, longs, materialise, may_be_in, mix, powers, runs, text_bytes, whole_groups
 
-LENGTH, GRAM, BLOCK = 100, 16, 1 << 19
+LENGTH, GRAM, BLOCK = 100, 16, 1 << 18
 _ONE = 0xD6E8FEB86659FD93
 _LOW = np.uint64((1 << 24) - 1)
 _BYTES = np.array([1 << (8 * k) for k in range(8)], np.uint64)
@@ -108,28 +111,63 @@ def _occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, doc long, place long")
 
 
+def repeated(code: np.ndarray) -> np.ndarray:
+    """Whether each value occurs more than once."""
+    order, out = np.argsort(code), np.zeros(len(code), bool)
+    same = code[order[1:]] == code[order[:-1]]
+    out[order[1:][same]] = out[order[:-1][same]] = True
+    return out
+
+
 def _repeatable(occurrences: DataFrame, length: int, gram: int, most: int) -> DataFrame:
-    """doc, start, count, key: the segments of which a window may occur elsewhere."""
+    """doc, place, key, part: the segments of which a window may occur elsewhere.
+
+    place packs the start, the anchor's offset and the number of windows (7 bits each). A group of over most rows is dealt out in parts of
+    about most rows, from 1 on; others are part 0.
+    """
     half = (length - gram + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, seen = None, 0  # the large group that is read, and its rows so far
         for rows, large in whole_groups(batches, ["key"], most):
             if not large:
                 starts = runs(longs(rows.column("key")))
                 rows = rows.filter(pa.array(np.repeat(np.diff(starts) > 1, np.diff(starts))))
             key, doc, place = (longs(rows.column(c)) for c in ("key", "doc", "place"))
             offset, count = (place >> 25) & 127, (place >> 18) & 127
-            pair = np.full(len(key), large)
-            if not large:
+            pair, part = np.full(len(key), large), np.zeros(len(key), np.int64)
+            if large:  # pieces of one group, or whole large groups of a batch
+                starts = runs(key)
+                part = np.arange(len(key)) - np.repeat(starts[:-1], np.diff(starts))
+                part[: starts[1]] += seen if key[0] == name else 0
+                name, seen = key[-1], int(part[-1]) + 1
+                part = part // most + 1
+            else:
                 # half a window or more is before the anchor in the last windows, or behind it in the first ones
                 for side, has in ((9, offset >= half), (0, offset - count + 1 <= half)):
                     own = np.flatnonzero(has)
-                    code = mix(mix(key[own].view(np.uint64)) + ((place[own] >> side) & 511).astype(np.uint64))
-                    _, inverse, number = np.unique(code, return_inverse=True, return_counts=True)
-                    pair[own] |= number[inverse] > 1
-            yield pa.RecordBatch.from_arrays([pa.array(x[pair]) for x in (doc, place >> 32, count.astype(np.int32), key)], ["doc", "start", "count", "key"])
+                    pair[own] |= repeated(mix(mix(key[own].view(np.uint64)) + ((place[own] >> side) & 511).astype(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(x[pair]) for x in (doc, place >> 18, key, part.astype(np.int32))], ["doc", "place", "key", "part"])
+
+    return occurrences.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc long, place long, key long, part int")
 
-    return occurrences.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc long, start long, count int, key long")
+
+def paired(key: np.ndarray, offset: np.ndarray, data: np.ndarray, at: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Of different segments: whether half a window's bytes before the anchor, or behind it, also occur in another segment of the group.
+
+    Equal windows have half a window's bytes on one side of the anchor in common, so no others can have a window in common.
+    """
+    half = (length - gram + 1) // 2
+    up, down = powers(_ONE, len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    anchor, least = at[:-1] + offset, offset - (np.diff(at) - length)  # least: bytes before the anchor in the last window
+    out = np.zeros(len(key), bool)
+    for has, first in ((offset >= half, anchor - half), (least <= length - gram - half, anchor + gram)):
+        own = np.flatnonzero(has)
+        i = first[own]
+        out[own] |= repeated(mix(mix(key[own].view(np.uint64)) + (sums[i + half] - sums[i]) * down[i]))
+    return out
 
 
 def laid_out(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,8 +297,11 @@ def _slices(key: np.ndarray, at: np.ndarray, limit: int) -> Iterator[slice]:
         first = last
 
 
-def _shards(found: DataFrame, length: int, most: int) -> DataFrame:
-    """doc, start, end: spans to remove; with shard and window: the table of different windows of a shard that holds a part of a group."""
+def _shards(found: DataFrame, length: int, gram: int, most: int) -> DataFrame:
+    """doc, start, end: spans to remove; with shard and window: the table of different windows of a shard that holds a part of a group.
+
+    found has place, the start and the anchor's offset (7 bits). Groups of over most different segments are cut, and so are those that come in parts.
+    """
     names = ["doc", "start", "end", "shard", "code", "window"]
 
     def spans(*columns: np.ndarray) -> pa.RecordBatch:
@@ -271,12 +312,12 @@ def _shards(found: DataFrame, length: int, most: int) -> DataFrame:
         """The different segments, and the spans of their copies; a copy is behind the first one, as rows are sorted by document and start."""
         first = first_copies(rows.column("bytes"))
         copies = rows.filter(pa.array(~first))
-        start = longs(copies.column("start"))
+        start = longs(copies.column("place")) >> 7
         return rows.filter(pa.array(first)), spans(longs(copies.column("doc")), start, start + np.diff(text_bytes(copies.column("bytes"))[1]))
 
     def sorted_shard(rows: pa.RecordBatch, shard: int | None) -> pa.RecordBatch:
         # of equal windows the first one is in the first row, as rows are sorted by document and start
-        doc, start = longs(rows.column("doc")), longs(rows.column("start"))
+        doc, start = longs(rows.column("doc")), longs(rows.column("place")) >> 7
         data, at = text_bytes(rows.column("bytes"))
         symbols, lanes = laid_out(data, at)
         count, rows_of = np.maximum(np.diff(lanes) - length, 0), np.repeat(np.arange(len(doc)), np.diff(lanes))
@@ -310,20 +351,24 @@ def _shards(found: DataFrame, length: int, most: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = 0
-        for rows, large in whole_groups(batches, ["key"], most):
-            if large:
-                for at in range(0, rows.num_rows, most):
-                    different, copies = apart(rows.slice(at, most))
-                    yield copies
-                    yield sorted_shard(different, shard)
-                    shard += 1
-                continue
+        for rows, _ in whole_groups(batches, ["key"], 8 * most):
             rows, copies = apart(rows)
             yield copies
-            for part in _slices(longs(rows.column("key")), text_bytes(rows.column("bytes"))[1], 1 << 17):
-                yield sorted_shard(rows.slice(part.start, part.stop - part.start), None)
+            key, part = longs(rows.column("key")), longs(rows.column("part"))
+            stays = paired(key, longs(rows.column("place")) & 127, *text_bytes(rows.column("bytes")), length, gram) | (part > 0)
+            rows, key, part = rows.filter(pa.array(stays)), key[stays], part[stays]
+            starts = runs(key)
+            size = np.diff(starts)
+            cut = (size > most) | (part[starts[:-1]] > 0)
+            for group in np.flatnonzero(cut).tolist():
+                for at in range(int(starts[group]), int(starts[group + 1]), most):
+                    yield sorted_shard(rows.slice(at, min(most, int(starts[group + 1]) - at)), shard)
+                    shard += 1
+            rows = rows.filter(pa.array(np.repeat(~cut, size)))
+            for own in _slices(longs(rows.column("key")), text_bytes(rows.column("bytes"))[1], 1 << 17):
+                yield sorted_shard(rows.slice(own.start, own.stop - own.start), None)
 
-    sorted_rows = found.repartition("key").sortWithinPartitions("key", "doc", "start")
+    sorted_rows = found.repartition("key", "part").sortWithinPartitions("key", "doc", "place")
     return sorted_rows.mapInArrow(run, "doc long, start long, end long, shard long, code long, window binary")
 
 
@@ -373,31 +418,47 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     docs has the columns doc (long, not null; different) and text. most: rows of a shard.
     """
     repeatable = materialise(_repeatable(_occurrences(docs, length, gram), length, gram, 8 * most), "segments")
-    lists = repeatable.groupBy("doc").agg(F.collect_list(F.struct("start", "count", "key")).alias("parts"))  # bounded by the text
+    lists = repeatable.groupBy("doc").agg(F.collect_list(F.struct("place", "key", "part")).alias("parts"))  # bounded by the text
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in blocks(batches, "text"):
             column = rows.column("parts")
             parts, number = column.flatten(), np.diff(column.offsets.to_numpy())
-            doc, start, count = np.repeat(longs(rows.column("doc")), number), longs(parts.field("start")), longs(parts.field("count"))
-            base, size = start + np.repeat(at[:-1], number), count + length - 1
+            doc, place = np.repeat(longs(rows.column("doc")), number), longs(parts.field("place"))
+            base, size, place = (place >> 14) + np.repeat(at[:-1], number), (place & 127) + length - 1, place >> 7
             for a in range(0, len(doc), 1 << 12):  # bounded batches of a long text
                 own = slice(a, a + (1 << 12))
                 offsets = np.concatenate([[0], np.cumsum(size[own])])
                 taken = data[np.arange(offsets[-1]) + np.repeat(base[own] - offsets[:-1], size[own])]
                 column = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(taken)])
-                yield pa.RecordBatch.from_arrays([parts.field("key").slice(a, len(offsets) - 1), pa.array(doc[own]), pa.array(start[own]), column], ["key", "doc", "start", "bytes"])
+                key, part = (parts.field(c).slice(a, len(offsets) - 1) for c in ("key", "part"))
+                yield pa.RecordBatch.from_arrays([key, part, pa.array(doc[own]), pa.array(place[own]), column], ["key", "part", "doc", "place", "bytes"])
 
     bloom = bloom_filter(lists.select(F.xxhash64("doc").alias("h")))
     texts = may_be_in(docs.withColumn("h", F.xxhash64("doc")), "h", bloom).drop("h")
-    found = texts.join(lists, "doc").select("doc", "text", "parts").mapInArrow(fetch, "key long, doc long, start long, bytes binary")
-    compared = _shards(found, length, most).withColumn("task", F.spark_partition_id().cast("long"))
+    found = texts.join(lists, "doc").select("doc", "text", "parts").mapInArrow(fetch, "key long, part int, doc long, place long, bytes binary")
+    compared = _shards(found, length, gram, most).withColumn("task", F.spark_partition_id().cast("long"))
     compared = materialise(compared, "compared")
     spans = compared.filter("shard is null").select("doc", "start", "end")
     tables = compared.filter("shard is not null")
     return spans if tables.isEmpty() else spans.union(materialise(_merged(tables, length), "merged"))
 
 
+def removed(spans: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, begin and end (in the bytes of all rows) of the maximal runs that each row's spans cover, in order."""
+    owner = np.repeat(np.arange(len(spans)), pc.fill_null(spans.value_lengths(), 0).to_numpy())
+    parts = spans.flatten()
+    first, last = at[owner] + longs(parts.field("start")), np.minimum(at[owner] + longs(parts.field("end")), at[owner + 1])
+    inside = first < at[owner + 1]
+    owner, first, last = owner[inside], first[inside], last[inside]
+    order = np.argsort(first, kind="stable")  # rows are behind one another, so this is their order too
+    owner, first, last = owner[order], first[order], np.maximum.accumulate(last[order])
+    new = np.ones(len(owner), bool)
+    new[1:] = (first[1:] > last[:-1]) | (owner[1:] != owner[:-1])
+    heads = np.flatnonzero(new)
+    return owner[heads], first[heads], last[np.append(heads[1:], len(owner)) - 1] if len(heads) else first[:0]
+
+
 def _numbered(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
     """id, doc, text: doc is the id, if ids are different integers; else the place of (id, hash of the text) in their order, which rows may repeat."""
     text = F.col(text_col).cast("string")
@@ -420,23 +481,19 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in blocks(batches, "text"):
-            raw, base, out = data.tobytes(), at.tolist(), []
-            listed = rows.column("spans").to_pylist() if "spans" in rows.schema.names else [None] * rows.num_rows
-            for a, b, own in zip(base[:-1], base[1:], listed, strict=True):
-                kept, done, n = [], 0, 0
-                for s in sorted((x["start"], min(x["end"], b - a)) for x in own or ()):
-                    if s[0] >= b - a:
-                        break
-                    if s[0] > done or not n:
-                        kept.append(raw[a + done : a + s[0]])
-                        n += 1
-                    done = max(done, s[1])
-                kept.append(raw[a + done : b])
-                text = b"".join(kept)
-                out.append((b - a, b - a - len(text), n, sha256(text).hexdigest(), text))
+            n = rows.num_rows
+            owner, first, last = removed(rows.column("spans"), at) if "spans" in rows.schema.names else [np.zeros(0, np.int64)] * 3
+            view, edges, kept = memoryview(data), np.searchsorted(owner, np.arange(n + 1)).tolist(), []
+            base, first, last = at.tolist(), first.tolist(), last.tolist()
+            for k in range(n):
+                cut = slice(edges[k], edges[k + 1])
+                pieces = zip([base[k], *last[cut]], [*first[cut], base[k + 1]], strict=True)
+                kept.append(b"".join([view[a:b] for a, b in pieces]))
+            gone = np.diff(at) - np.array([len(x) for x in kept], np.int64)
+            columns = [np.diff(at), gone, np.diff(edges).astype(np.int64), [sha256(x).hexdigest() for x in kept], kept]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: 4 + with_text]
-            yield pa.RecordBatch.from_arrays([rows.column("id"), *[pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)]], names[: 5 + with_text])
+            yield pa.RecordBatch.from_arrays([rows.column("id"), *[pa.array(x, t) for x, t in zip(columns, kinds, strict=False)]], names[: 5 + with_text])
 
     bloom = bloom_filter(lists.select(F.xxhash64("doc").alias("h")))
     marked = docs.withColumn("h", F.xxhash64("doc"))
