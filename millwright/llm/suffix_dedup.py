@@ -11,7 +11,7 @@ window on one side of the anchor; those that agree with no other one are left ou
 behind each, sorts their suffixes by Larsson-Sadakane refinement and gets common prefixes by Kasai's scan (all
 segments of the shard in step). Windows are equal if their suffixes agree in LENGTH bytes; of equal ones the first
 stays, and the others are removed. A group of too many different segments for one shard is cut into several, and one of very many segments
-is dealt to several tasks before; each shard
+is dealt to several tasks before (those of frequent anchors, which some documents tell, already as numbers); each shard
 gives its sorted table of different windows, and the tables are merged by binary search, on the windows' bytes.
 
 Order: smaller id first, then the earlier start. Cases: a null text is empty; a null id is the smallest one; ids of
@@ -37,6 +37,8 @@ from millwright.functions.prefix import global_order
 from millwright.llm.common import blocks, bloom_filter, in_bloom, longs, materialise, may_be_in, mix, powers, runs, text_bytes, whole_groups
 
 LENGTH, GRAM, BLOCK = 100, 16, 1 << 18
+#: One document of so many tells which anchors are frequent; that decides only how their segments are dealt to tasks.
+SHARE = 64
 _ONE = 0xD6E8FEB86659FD93
 _LOW = np.uint64((1 << 24) - 1)
 _BYTES = np.array([1 << (8 * k) for k in range(8)], np.uint64)
@@ -87,8 +89,57 @@ def segments(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[
     return first, count, anchor, mix(grams[anchor]), before, after
 
 
-def _occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """key, doc, place: one row for each segment; key is the anchor's hash.
+class Dealt:
+    """Frequent anchors and the codes under which their segments are dealt: about `size` segments each, for an estimated number of them."""
+
+    def __init__(self, keys: np.ndarray, number: np.ndarray, size: int):
+        order = np.argsort(keys)
+        self.keys, self.codes_of = keys[order], -(-number[order] // size)
+        salt = np.concatenate([np.zeros(0, np.int64), *[np.arange(1, n + 1) for n in self.codes_of.tolist()]])
+        own = np.repeat(self.keys, self.codes_of)
+        code = self.code(own, salt)
+        order = np.argsort(code)
+        self.codes, self.own, self.salt = code[order], own[order], salt[order]
+
+    @staticmethod
+    def code(key: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        return mix(key.view(np.uint64) + salt.astype(np.uint64)).view(np.int64)
+
+    @staticmethod
+    def find(where: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places in `what` of values that are in the sorted array `where`, and their places there."""
+        if not len(where):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(where, what), len(where) - 1)
+        hit = np.flatnonzero(where[at] == what)
+        return hit, at[hit]
+
+    def deal(self, key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """key, with a code in place of each frequent one."""
+        hit, at = self.find(self.keys, key)
+        spread = mix(mix(doc[hit].view(np.uint64)) + place[hit].astype(np.uint64)) % self.codes_of[at].astype(np.uint64)
+        key = key.copy()
+        key[hit] = self.code(key[hit], spread.astype(np.int64) + 1)
+        return key
+
+    def undo(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The keys, and the salt of each (0: not frequent). Another key that equals a code is dealt with it as a whole, which does no harm."""
+        hit, at = self.find(self.codes, code)
+        key, salt = code.copy(), np.zeros(len(code), np.int64)
+        key[hit], salt[hit] = self.own[at], self.salt[at]
+        return key, salt
+
+
+def _dealt(docs: DataFrame, length: int, gram: int, most: int) -> Dealt:
+    """The anchors that are estimated, by some documents, to occur over 4 * most times. Others that do are only slower; no segment is left out."""
+    some = _occurrences(docs.filter(F.pmod(F.xxhash64("doc"), F.lit(SHARE)) == 0), length, gram)
+    found = some.groupBy("key").count().filter(F.col("count") * SHARE > 4 * most).collect()  # at most one for 4 * most segments
+    key, number = (np.array([r[k] for r in found], np.int64) for k in (0, 1))
+    return Dealt(key, number * SHARE, 4 * most)
+
+
+def _occurrences(docs: DataFrame, length: int, gram: int, dealt: Dealt | None = None) -> DataFrame:
+    """key, doc, place: one row for each segment; key is the anchor's hash, or a code of it if it is frequent.
 
     place packs the start (31 bits), the anchor's offset and the number of windows (7 bits each) and 9 bits of each neighbour's hash.
     """
@@ -104,7 +155,8 @@ def _occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 start = first - inner[owner] + (base if part is not data else 0)
                 place = (start.astype(np.int64) << 32) | ((anchor - first) << 25) | (count << 18)
                 place |= ((before & np.uint64(511)).astype(np.int64) << 9) | (after & np.uint64(511)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[owner]), pa.array(place)], ["key", "doc", "place"])
+                key = key.view(np.int64) if dealt is None else dealt.deal(key.view(np.int64), ids[owner], place)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[owner]), pa.array(place)], ["key", "doc", "place"])
                 if part is data:
                     break
 
@@ -119,37 +171,39 @@ def repeated(code: np.ndarray) -> np.ndarray:
     return out
 
 
-def _repeatable(occurrences: DataFrame, length: int, gram: int, most: int) -> DataFrame:
+def _repeatable(occurrences: DataFrame, length: int, gram: int, most: int, dealt: Dealt | None = None) -> DataFrame:
     """doc, place, key, part: the segments of which a window may occur elsewhere.
 
     place packs the start, the anchor's offset and the number of windows (7 bits each). A group of over most rows is dealt out in parts of
-    about most rows, from 1 on; others are part 0.
+    about most rows, from 1 on; others are part 0. The segments of a frequent anchor come by code, and so in parts from the first.
     """
-    half = (length - gram + 1) // 2
+    half, dealt = (length - gram + 1) // 2, dealt or Dealt(np.zeros(0, np.int64), np.zeros(0, np.int64), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, seen = None, 0  # the large group that is read, and its rows so far
         for rows, large in whole_groups(batches, ["key"], most):
             if not large:
-                starts = runs(longs(rows.column("key")))
-                rows = rows.filter(pa.array(np.repeat(np.diff(starts) > 1, np.diff(starts))))
-            key, doc, place = (longs(rows.column(c)) for c in ("key", "doc", "place"))
+                code = longs(rows.column("key"))
+                starts = runs(code)
+                rows = rows.filter(pa.array(np.repeat(np.diff(starts) > 1, np.diff(starts)) | (dealt.undo(code)[1] > 0)))
+            code, doc, place = (longs(rows.column(c)) for c in ("key", "doc", "place"))
+            key, salt = dealt.undo(code)
             offset, count = (place >> 25) & 127, (place >> 18) & 127
-            pair, part = np.full(len(key), large), np.zeros(len(key), np.int64)
+            pair, part = large | (salt > 0), (salt > 0).astype(np.int64)
             if large:  # pieces of one group, or whole large groups of a batch
-                starts = runs(key)
-                part = np.arange(len(key)) - np.repeat(starts[:-1], np.diff(starts))
-                part[: starts[1]] += seen if key[0] == name else 0
-                name, seen = key[-1], int(part[-1]) + 1
+                starts = runs(code)
+                part = np.arange(len(code)) - np.repeat(starts[:-1], np.diff(starts))
+                part[: starts[1]] += seen if code[0] == name else 0
+                name, seen = code[-1], int(part[-1]) + 1
                 part = part // most + 1
             else:
                 # half a window or more is before the anchor in the last windows, or behind it in the first ones
                 for side, has in ((9, offset >= half), (0, offset - count + 1 <= half)):
                     own = np.flatnonzero(has)
-                    pair[own] |= repeated(mix(mix(key[own].view(np.uint64)) + ((place[own] >> side) & 511).astype(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(x[pair]) for x in (doc, place >> 18, key, part.astype(np.int32))], ["doc", "place", "key", "part"])
+                    pair[own] |= repeated(mix(mix(code[own].view(np.uint64)) + ((place[own] >> side) & 511).astype(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(x[pair]) for x in (doc, place >> 18, key, (salt << 32) | part)], ["doc", "place", "key", "part"])
 
-    return occurrences.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc long, place long, key long, part int")
+    return occurrences.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc long, place long, key long, part long")
 
 
 def paired(key: np.ndarray, offset: np.ndarray, data: np.ndarray, at: np.ndarray, length: int, gram: int) -> np.ndarray:
@@ -417,7 +471,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
 
     docs has the columns doc (long, not null; different) and text. most: rows of a shard.
     """
-    repeatable = materialise(_repeatable(_occurrences(docs, length, gram), length, gram, 8 * most), "segments")
+    dealt = _dealt(docs, length, gram, 8 * most)
+    repeatable = materialise(_repeatable(_occurrences(docs, length, gram, dealt), length, gram, 8 * most, dealt), "segments")
     lists = repeatable.groupBy("doc").agg(F.collect_list(F.struct("place", "key", "part")).alias("parts"))  # bounded by the text
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,7 +491,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
 
     bloom = bloom_filter(lists.select(F.xxhash64("doc").alias("h")))
     texts = may_be_in(docs.withColumn("h", F.xxhash64("doc")), "h", bloom).drop("h")
-    found = texts.join(lists, "doc").select("doc", "text", "parts").mapInArrow(fetch, "key long, part int, doc long, place long, bytes binary")
+    found = texts.join(lists, "doc").select("doc", "text", "parts").mapInArrow(fetch, "key long, part long, doc long, place long, bytes binary")
     compared = _shards(found, length, gram, most).withColumn("task", F.spark_partition_id().cast("long"))
     compared = materialise(compared, "compared")
     spans = compared.filter("shard is null").select("doc", "start", "end")

@@ -55,6 +55,22 @@ def test_a_large_group_is_dealt_out_in_parts(spark):
     assert got == plain(rows, 100) and sum(x[1] for x in got.values()) > 3000
 
 
+def test_segments_of_a_frequent_anchor_are_dealt_out_as_numbers(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SHARE", 1)
+    rng = random.Random(7)
+    passage = words(rng, 40)
+    rows = [(k, words(rng, rng.randint(0, 4)) + passage[rng.randint(0, 30) : rng.randint(150, 200)] + words(rng, 2)) for k in range(-100, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    numbered = suffix_dedup._numbered(docs, "doc_id", "text")[0].select("doc", "text")
+    dealt = suffix_dedup._dealt(numbered, 100, 16, 16)
+    plainly, spread = (suffix_dedup._occurrences(numbered, 100, 16, x).groupBy("key").count().agg({"count": "max"}).first()[0] for x in (None, dealt))
+    assert plainly > 200 and spread < 120  # codes of about 64 segments each
+    key, salt = dealt.undo(dealt.codes)
+    assert set(key) == set(dealt.keys) and salt.min() == 1 and dealt.undo(dealt.keys)[1].max() == 0
+    got = {r[0]: tuple(r[1:]) for r in suffix_dedup.remove_repeats(docs, most=2).collect()}
+    assert got == plain(rows, 100)
+
+
 @pytest.mark.parametrize(("length", "gram"), [(20, 5), (21, 5), (30, 8)])
 @pytest.mark.parametrize("most", [1024, 1])
 def test_other_lengths(spark, length, gram, most):
