@@ -409,7 +409,9 @@ def _shards(found: DataFrame, length: int, gram: int, most: int) -> DataFrame:
             rows, copies = apart(rows)
             yield copies
             key, part = longs(rows.column("key")), longs(rows.column("part"))
-            stays = paired(key, longs(rows.column("place")) & 127, *text_bytes(rows.column("bytes")), length, gram) | (part > 0)
+            offset, (data, at), stays = longs(rows.column("place")) & 127, text_bytes(rows.column("bytes")), part > 0
+            for own in _slices(key, at, 1 << 18):
+                stays[own] |= paired(key[own], offset[own], data[at[own.start] : at[own.stop]], at[own.start : own.stop + 1] - at[own.start], length, gram)
             rows, key, part = rows.filter(pa.array(stays)), key[stays], part[stays]
             starts = runs(key)
             size = np.diff(starts)
